@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP4_SQL, op4_decontaminate
+from .exact import OP5_SQL, op5_exact
+from .mixture import OP3_SQL, op3_mixture
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_mixture": op3_mixture,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_exact": op5_exact,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_mixture": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op5_exact": OP5_SQL,
+}
