@@ -54,7 +54,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "ite
     """(h, gram, items): each distinct window with the items that hold it, as sorted strings."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("words")).where("size(words) > 0 and item is not null")
     items = items.withColumn("n", F.least(F.size("words"), F.lit(window)))
-    grams = items.select("item", F.explode(F.expr("transform(sequence(1, size(words) - n + 1), i -> slice(words, i, n))")).alias("gram"))
+    grams = items.select("item", F.explode_outer(F.expr("transform(sequence(1, size(words) - n + 1), i -> slice(words, i, n))")).alias("gram"))
     grams = grams.groupBy("gram").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("wh", _word_hashes(F.col("gram")))
     h = F.coalesce(*(F.when(F.size("gram") == n, _gram_hash(F.col("wh"), 0, n)) for n in range(1, window + 1)))
     return grams.select(h.alias("h"), "gram", "items")
@@ -66,9 +66,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     sizes = [r.n for r in grams.select(F.size("gram").alias("n")).distinct().orderBy("n").collect()] or [window]  # `window` values at most
     blocks = max(1, -(-grams.count() // block))
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words")).withColumn("wh", _word_hashes(F.col("words")))
+    # Outer, or else the optimizer adds a filter on the array's size, which works the whole row out again.
     # Element 0 marks the document, so that one pass gives its row even without a hit.
     rows = rows.withColumn("hashes", F.concat(F.array(F.lit(0).cast("long")), *(_hashes(n) for n in sizes)))
-    each = rows.select("doc_id", "words", F.posexplode("hashes").alias("pos", "hash"))
+    each = rows.select("doc_id", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
     # Where each window length begins in the row of hashes.
     at, begin = F.lit(1), {}
     for n in sizes:
