@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact import OP5_SQL, op5_exact
+from .language import op8_language
 from .mixture import OP3_SQL, op3_mixture
+from .quality import op7_quality
 from .simhash import op1_simhash
+from .toxicity import op6_toxicity
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_mixture": op3_mixture,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact": op5_exact,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op3_mixture": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op5_exact": OP5_SQL,
+    "op10_warc": OP10_SQL,
 }
