@@ -8,7 +8,7 @@ Poisson counts are Poisson), so no rate is capped. Copies are dealt to partition
 of id and copy number, and sorted by another one inside: a global shuffle in one exchange.
 
 Only DataFrame functions. Row counts per source are pre-aggregated; the rate table has a row
-for each source and is broadcast only by Spark's own size check.
+for each source and is broadcast only if its rows, counted first, are few.
 
 Defined cases: a null source is a source of its own; a source without a weight in `weights`
 has rate 0; null ids and repeated rows draw by id, so repeated rows get the same count; an
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 PRECISION = 1e-15
 
@@ -67,8 +67,10 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 17, part: floa
     return copies.withColumn("_deal", key(1)).repartition("_deal").sortWithinPartitions(key(2)).drop("_deal")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, size: float = 1.0, seed: int = 17) -> DataFrame:
-    return poisson_copies(docs, source_rates(docs, weights, alpha, size), seed)
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, size: float = 1.0, seed: int = 17, most_sources: int = 50_000) -> DataFrame:
+    """Replicate docs to the target weights. Rates are broadcast if there are at most most_sources of them (some 20 MB); else joined by shuffle."""
+    rates = cut(source_rates(docs, weights, alpha, size))
+    return poisson_copies(docs, F.broadcast(rates) if rates.count() <= most_sources else rates, seed)
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed, max_rows: int,
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
-def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), least_docs: int = 4, least_weight: float = 2.0, least_neighbours: int = 4) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), least_docs: int = 4, least_weight: float = 1.0, least_neighbours: int = 4) -> dict[str, float]:
     """Feature -> weight. Counted in each task first, then summed by Spark; only the chosen features reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,10 @@ def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), leas
     base = n[1] / (n[0] + n[1])
     share = F.col("toxic") / (F.col("clean") + F.col("toxic"))
     gain = F.col("toxic") * F.log(share / base) + F.when(share < 1, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
+    # Log-odds at cautious ends of both counts, so that a rare feature weighs little.
+    least = F.col("toxic") - 1.64 * F.sqrt("toxic") + 0.5
+    most = F.col("clean") + 1.64 * F.sqrt(F.col("clean") + 1) + 0.5
+    weight = F.log(least / (n[1] + 1.0)) - F.log(most / (n[0] + 1.0))
     found = counts.where((F.col("toxic") >= least_docs) & (F.bit_count("bits") >= least_neighbours)).withColumn("w", weight)
     found = found.where((F.col("w") >= least_weight) & (gain >= math.log(max(1, counts.count())) + 2))
     lexicon: dict[str, float] = {}
