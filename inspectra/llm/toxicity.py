@@ -2,7 +2,7 @@
 
 Folding lower-cases, maps look-alike letters of other scripts and digits used as letters to
 plain ones, and turns everything but letters into blanks. The lexicon is learned: words and
-word beginnings with the log-odds of toxic against clean labelled documents, counted by Spark
+word beginnings with the log-odds of toxic against clean labelled documents (at cautious ends of both counts), counted by Spark
 over a bounded sample of labelled rows (`max_rows`, smallest hash of doc_id first). A feature
 also needs many different left neighbours, so a passage that was merely copied does not enter.
 Matches inside an exception phrase do not count. The weight of all matches over log2 of the
@@ -70,7 +70,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed, max_rows: int,
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
-def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), least_docs: int = 4, least_weight: float = 1.0, least_neighbours: int = 4) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), least_docs: int = 4, relative: float = 0.4, neighbours: float = 0.5) -> dict[str, float]:
     """Feature -> weight. Counted in each task first, then summed by Spark; only the chosen features reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +96,11 @@ def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), leas
     least = F.col("toxic") - 1.64 * F.sqrt("toxic") + 0.5
     most = F.col("clean") + 1.64 * F.sqrt(F.col("clean") + 1) + 0.5
     weight = F.log(least / (n[1] + 1.0)) - F.log(most / (n[0] + 1.0))
-    found = counts.where((F.col("toxic") >= least_docs) & (F.bit_count("bits") >= least_neighbours)).withColumn("w", weight)
-    found = found.where((F.col("w") >= least_weight) & (gain >= math.log(max(1, counts.count())) + 2))
+    # Words of a copied passage keep their left neighbours; t independent ones would fill 62 bits so far.
+    spread = 62 * (1 - F.exp(-F.col("toxic") / 62))
+    found = counts.where((F.col("toxic") >= least_docs) & (F.bit_count("bits") >= spread * neighbours)).withColumn("w", weight)
+    found = cut(found.where((F.col("w") > 0) & (gain >= math.log(max(1, counts.count())) + 2)))
+    found = found.where(F.col("w") >= relative * (found.agg(F.max("w")).first()[0] or 0.0))
     lexicon: dict[str, float] = {}
     for f, w in sorted(((r.f, r.w) for r in found.select("f", "w").collect()), key=lambda x: (len(x[0].rstrip()), x[0])):
         # A word that a shorter chosen beginning covers would count twice.
