@@ -183,9 +183,10 @@ def scan(file, begin: int, end: int, piece: int = 1 << 20) -> Iterator[bytes]:
 
 
 def read(archives: DataFrame, folder: str, split_bytes: int = 4 << 20) -> DataFrame:
-    """The records of the archives (path, size): RECORD columns. Ranges of split_bytes are dealt evenly."""
+    """The records of the archives (path, size): RECORD columns. A task for each range of split_bytes; by number, as adaptive execution would merge these few rows into one task."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))
-    ranges = archives.where("size > 0").select("path", "size", F.explode(starts).alias("begin")).repartition("path", "begin")
+    ranges = archives.where("size > 0").select("path", F.explode(starts).alias("begin"))
+    ranges = ranges.repartition(max(1, ranges.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(folder)
