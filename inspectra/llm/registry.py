@@ -8,11 +8,13 @@ from .language import op8_language
 from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
 from .simhash import op1_simhash
+from .substring import OP2_SQL, op2_substring
 from .toxicity import op6_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_substring": op2_substring,
     "op3_mixture": op3_mixture,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact": op5_exact,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring": OP2_SQL,
     "op3_mixture": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op5_exact": OP5_SQL,
