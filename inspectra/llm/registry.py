@@ -9,6 +9,7 @@ from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
 from .simhash import op1_simhash
 from .substring import OP2_SQL, op2_substring
+from .suffixes import op9_suffixes
 from .toxicity import op6_toxicity
 from .warc import OP10_SQL, op10_warc
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
 }
 
