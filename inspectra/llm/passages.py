@@ -61,8 +61,11 @@ def text_runs(unit: Unit, texts: list[bytes | None]) -> Iterator[tuple[np.ndarra
         yield number[seg], start + shift, n, anchor + shift, h
 
 
+_PACK = 10  # bits of a run's windows, and of its anchor's distance: widths below 1024
+
+
 def anchors(texts: DataFrame, unit: Unit) -> DataFrame:
-    """(anchor, place, doc_id, start, windows, at) of each run; place tells texts and positions apart, not copies of a text."""
+    """(anchor, place, doc_id, run) of each run, run packed; place tells texts and positions apart, not copies of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,12 +74,42 @@ def anchors(texts: DataFrame, unit: Unit) -> DataFrame:
             digest = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in own], np.uint64)
             for i, start, n, anchor, h in text_runs(unit, own):
                 place = mix(digest[i] + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(ids[i], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((anchor - start).astype(np.int32))],
-                    names=["anchor", "place", "doc_id", "start", "windows", "at"],
-                )
+                packed = (start << _PACK | n) << _PACK | anchor - start
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(ids[i], pa.int64()), pa.array(packed)], names=["anchor", "place", "doc_id", "run"])
 
-    return texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, place long, doc_id long, start int, windows int, at int")
+    return texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, place long, doc_id long, run long")
+
+
+def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor, place and doc_id those whose anchor stands in several places, one for each place.
+    Of a group that goes on in the next batch one row is held at most, so its size does not matter."""
+    held, known = None, None  # the only place so far of the group that is open; the anchor of it if it has more
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        if held is not None:
+            rows = np.concatenate([held, rows], axis=1)
+        anchor, place = rows[0], rows[1]
+        new_place = np.r_[True, (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1])]
+        if known is not None and known[0] == anchor[0] and known[1] == place[0]:
+            new_place[0] = False  # given out at the end of the last batch
+        open_anchor = known[0] if known is not None else None
+        last = (anchor[-1], place[-1])
+        rows = rows[:, new_place]
+        anchor = rows[0]
+        edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[edge, len(anchor)])
+        several = np.repeat(size > 1, size)
+        if open_anchor is not None:
+            several |= anchor == open_anchor
+        held, tail = None, len(anchor)
+        if len(anchor) and not several[-1] and anchor[-1] == last[0]:
+            held, tail = rows[:, -1:], tail - 1
+        known = last if held is None else None
+        out = rows[:, :tail][:, several[:tail]]
+        if out.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[2]), pa.array(out[3])], names=["anchor", "doc_id", "run"])
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -86,14 +119,17 @@ def copies(texts: DataFrame) -> DataFrame:
     return own.join(first, "d").select("doc_id", "first")
 
 
-def candidates(texts: DataFrame, unit: Unit, copied: DataFrame) -> DataFrame:
-    """(doc_id, runs): the runs (start, windows, at, anchor) of each document whose anchor stands in more than one place."""
-    # Dealt once: the same exchange serves the aggregation and the join.
-    own = anchors(texts, unit).repartition("anchor")
-    often = own.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor")
-    found = own.join(often.hint("merge"), "anchor", "left_semi")
-    found = found.join(copied.where("doc_id <> first").select("doc_id").distinct(), "doc_id", "left_anti")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "at", "anchor")).alias("runs"))
+def candidates(texts: DataFrame, unit: Unit) -> DataFrame:
+    """(doc_id, runs): the runs (anchor, packed) of each document whose anchor stands in more than one place; of equal texts those of the smallest id."""
+    dealt = anchors(texts, unit).repartition("anchor").sortWithinPartitions("anchor", "place", "doc_id")
+    found = dealt.mapInArrow(repeated_anchors, "anchor long, doc_id long, run long")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+
+
+def unpacked(run: int) -> tuple[int, int, int]:
+    """(start, windows, distance of the anchor from start)"""
+    low = (1 << _PACK) - 1
+    return run >> 2 * _PACK, run >> _PACK & low, run & low
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[list[int]]:
@@ -107,8 +143,8 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[list[int]]:
     return out
 
 
-def without(texts: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row of texts; spans: (doc_id, a, b) item positions, b exclusive or ALL."""
+def without(texts: DataFrame, spans: DataFrame, unit: Unit, keep_text: bool = True) -> DataFrame:
+    """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row of texts (kept null unless keep_text); spans: (doc_id, a, b) item positions, b exclusive or ALL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +155,7 @@ def without(texts: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
                 gone = merged([(x["a"], x["b"]) for x in spans.as_py() or []], n) if n >= unit.width else []
                 at = [0, *(x for s in gone for x in s), n]
                 kept = unit.joined([items[x:y] for x, y in zip(at[::2], at[1::2])])
-                for column, x in zip(out, (n, sum(y - x for x, y in gone), len(gone), sha256(kept).hexdigest(), kept)):
+                for column, x in zip(out, (n, sum(y - x for x, y in gone), len(gone), sha256(kept).hexdigest(), kept if keep_text else None)):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds))], names=["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256", "kept"])

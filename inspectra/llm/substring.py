@@ -15,16 +15,18 @@ one another; a null doc_id is kept whole and counts against nobody; other column
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import ALL, Unit, candidates, copies, grouped, without
+from .passages import ALL, Unit, candidates, copies, grouped, unpacked, without
+from .winnow import mix
 
 WIDTH = 13
 
@@ -32,7 +34,7 @@ WIDTH = 13
 def word_unit(width: int = WIDTH, k: int = 4) -> Unit:
     return Unit(
         split=lambda t: t.split(),
-        hashed=lambda w: np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)),
+        hashed=lambda w: mix(np.fromiter(map(crc32, w), np.uint64, len(w))),  # equal hashes only make candidates
         joined=lambda parts: b" ".join(w for p in parts for w in p),
         width=width,
         k=min(k, width),
@@ -110,22 +112,31 @@ class Automaton:
         return out
 
 
-def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, a, b) word spans to remove among the passages of one anchor: distinct passages with their (doc_id, start)."""
+def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int = 4) -> Iterator[tuple[int, int, int]]:
+    """(doc_id, a, b) word spans to remove among the passages of one anchor: distinct passages with their (doc_id, start, anchor's distance)."""
     if len(group) == 1:
         text, places = group[0]
-        low = min(doc for doc, _ in places)
+        low = min(places)[0]
         n = text.count(b" ") + 1
-        yield from ((doc, start, start + n) for doc, start in places if doc > low)
+        yield from ((doc, start, start + n) for doc, start, _ in places if doc > low)
         return
-    split = [(text.split(b" "), places) for text, places in group]
+    # A common window holds the anchor and, on its left or right, half of its other words at least.
+    half = -(-(width - k) // 2)
+    split, sides = [], Counter()
+    for text, places in group:
+        words, at = text.split(b" "), places[0][2]
+        left = (0, *words[at - half : at]) if at >= half else None
+        right = (1, *words[at + k : at + k + half]) if len(words) >= at + k + half else None
+        split.append((words, places, left, right))
+        sides.update((left, right))
+    split = [x for x in split if len(x[1]) > 1 or (x[2] and sides[x[2]] > 1) or (x[3] and sides[x[3]] > 1)]
     auto = Automaton()
-    for words, places in sorted(split, key=lambda x: min(x[1])):
-        auto.add(words, min(doc for doc, _ in places))
+    for words, places, *_ in sorted(split, key=lambda x: min(x[1])):
+        auto.add(words, min(places)[0])
     auto.settle()
-    for words, places in split:
+    for words, places, *_ in split:
         first = np.array(auto.first_of_windows(words, width))
-        for doc, start in places:
+        for doc, start, _ in places:
             at = np.flatnonzero(first < doc)
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
@@ -137,24 +148,25 @@ def repeated_words(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, a, b): word spans of texts (doc_id, text binary) that a smaller doc_id has too; they may overlap."""
     unit = word_unit(width)
     copied = copies(texts)
-    own = texts.join(candidates(texts, unit, copied), "doc_id")
+    own = texts.join(candidates(texts, unit), "doc_id")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
         for b in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = unit.split(text)
                 for r in found:
-                    passage = b" ".join(words[r["start"] : r["start"] + r["windows"] + width - 1])
-                    for column, x in zip(rows, (r["anchor"], passage, doc, r["start"])):
+                    start, windows, at = unpacked(r["run"])
+                    for column, x in zip(rows, (r["anchor"], b" ".join(words[start : start + windows + width - 1]), doc, start, at)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.int64(), pa.int32()))], names=["anchor", "passage", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["anchor", "passage", "doc_id", "start", "at"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, ...] = ([], [], [])
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "a", "b"])
         for group in grouped(batches, "anchor", "passage"):
-            for row in removals(group, width):
+            for row in removals(group, width, unit.k):
                 for column, x in zip(out, row):
                     column.append(x)
             if len(out[0]) > 50_000:
@@ -162,7 +174,7 @@ def repeated_words(texts: DataFrame, width: int = WIDTH) -> DataFrame:
                 out = ([], [], [])
         yield pack()
 
-    dealt = own.select("doc_id", "text", "runs").mapInArrow(passages, "anchor long, passage binary, doc_id long, start int")
+    dealt = own.select("doc_id", "text", "runs").mapInArrow(passages, "anchor long, passage binary, doc_id long, start long, at int")
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "passage")
     spans = dealt.mapInArrow(compare, "doc_id long, a long, b long")
     return spans.union(copied.where("doc_id <> first").select("doc_id", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
@@ -172,14 +184,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row."""
     texts = _texts(docs, id_col, text_col)
-    return without(texts, repeated_words(texts, width), word_unit(width))
+    return without(texts, repeated_words(texts, width), word_unit(width), keep_text)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup(table(spark, sf_dir, "documents"))
+    found = substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", F.col("n_items").alias("n_words"), "n_removed", "kept_sha256")
 
 

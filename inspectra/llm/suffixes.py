@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import ALL, Unit, candidates, copies, grouped, without
+from .passages import ALL, Unit, candidates, copies, grouped, unpacked, without
 
 WIDTH = 400
 #: Neighbouring windows that are decided together if their bytes are alike.
@@ -108,9 +108,10 @@ def undecided(text: bytes, found: list, width: int, block: int) -> Iterator[tupl
     """(key, bytes, start) of the blocks of a text's candidate runs. A block holds the windows of a run whose
     distance from the anchor has one quotient by `block`; the bytes that all of these share make its key."""
     for r in found:
-        anchor, last = r["start"] + r["at"], r["start"] + r["windows"] - 1
-        for q in range((anchor - last) // block, (anchor - r["start"]) // block + 1):
-            a, b = max(r["start"], anchor - (q + 1) * block + 1), min(last, anchor - q * block)
+        begin, windows, at = unpacked(r["run"])
+        anchor, last = begin + at, begin + windows - 1
+        for q in range((anchor - last) // block, at // block + 1):
+            a, b = max(begin, anchor - (q + 1) * block + 1), min(last, anchor - q * block)
             core = text[anchor - q * block : anchor - (q + 1) * block + 1 + width]
             yield xxhash.xxh3_64_intdigest(core, seed=q), text[a : b + width], a
 
@@ -120,7 +121,7 @@ def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     unit = byte_unit(width)
     block = min(BLOCK, max(1, width // 3))
     copied = copies(texts)
-    own = texts.join(candidates(texts, unit, copied), "doc_id")
+    own = texts.join(candidates(texts, unit), "doc_id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -177,12 +178,12 @@ def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans.union(copied.select("doc_id", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return without(texts, repeated_bytes(texts, width), byte_unit(width))
+    return without(texts, repeated_bytes(texts, width), byte_unit(width), keep_text)
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    found = suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", F.col("n_items").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
