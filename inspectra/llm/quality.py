@@ -1,7 +1,8 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed word uni- and bigrams, one of the target text (documents
-labelled good) and one of the raw text (all documents), give each document the log ratio of
+Two generative models over hashed word uni- and bigrams, one of the target text (a bounded sample
+of documents labelled good, `max_rows`, smallest hash of doc_id first) and one of the raw text
+(all documents), give each document the log ratio of
 its likelihoods. Gumbel noise, hashed from the doc_id, is added, and the k largest keys are
 taken: a sample without replacement with odds in proportion to the ratio.
 
@@ -110,13 +111,14 @@ def kth_largest(rows: DataFrame, k: int, ranges: int = 1 << 12, few: int = 10_00
     return last.key, last.doc_id
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bits: int = 16, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bits: int = 16, seed: int = 7, max_rows: int = 20_000) -> DataFrame:
     """(doc_id, log_ratio, key, selected) for every row. `share` of the rows is taken; None: the share of good ones among the labelled."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("target"))
     if share is None:
         share = good.agg(F.avg(F.col("target").cast("int"))).first()[0] or 1.0
-    # The target rows need their texts: labels join the id once, then texts are counted where they are.
-    marked = docs.select("doc_id", "text").join(good.where("target"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # The ids of the target sample (max_rows at most) are broadcast, so no text is shuffled to find its label.
+    few = good.where("target").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    marked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     ratios = log_ratios(gram_counts(marked, bits), bits)
     own = cut(score(docs, ratios, bits, seed))
     last = kth_largest(own, round(share * own.count()))
