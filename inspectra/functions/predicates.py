@@ -190,7 +190,8 @@ def is_all_digits(text: C) -> Column:
 
 
 def length_of(c: C, kind: str = "text") -> Column:
-    return F.coalesce(F.size(col(c)) if kind == "array" else F.length(col(c)), F.lit(0)) if kind != "array" else F.when(col(c).isNull(), 0).otherwise(F.size(col(c)))
+    c = col(c)
+    return F.when(c.isNull(), 0).otherwise(F.size(c) if kind == "array" else F.length(c))
 
 
 # Aggregates over the rows of a group

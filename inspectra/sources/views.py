@@ -119,6 +119,18 @@ SELECT CAST(s_suppkey % 40 AS BIGINT) AS establishment_id, s_name AS name,
        CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE CAST(10 + s_suppkey % 30 AS INT) END AS licensed_worker_count,
        CAST(5 + (s_suppkey * 3) % 50 AS INT) AS deployed_worker_count
 FROM supplier
+""",
+    "x_prose_assertion": """
+SELECT CAST(event_id AS BIGINT) AS assertion_id, CAST(user_id AS BIGINT) AS establishment_id, ts AS created_at,
+       CASE event_id % 17 WHEN 0 THEN 'states_employee_name' WHEN 1 THEN 'states_designation' WHEN 2 THEN 'states_date_of_joining' WHEN 3 THEN 'states_wage_rate'
+            WHEN 4 THEN 'states_working_hours' WHEN 5 THEN 'is_signed_by_employer' WHEN 6 THEN 'grievance_committee_members' WHEN 7 THEN 'grievance_committee_women'
+            WHEN 8 THEN 'grievance_committee_employer_reps' WHEN 9 THEN 'grievance_committee_worker_reps' WHEN 10 THEN 'has_chairperson' WHEN 11 THEN 'strike_notice_days'
+            WHEN 12 THEN 'is_certified' WHEN 13 THEN 'adopts_model_standing_orders' WHEN 14 THEN 'covers_classification_of_workers'
+            WHEN 15 THEN 'covers_disciplinary_procedure' ELSE 'covers_termination' END AS key,
+       (event_id % 10 <> 0) AS present,
+       CASE WHEN event_id % 17 IN (6, 7, 8, 9) THEN CAST(CAST(floor(value) AS INT) % 14 AS VARCHAR(20)) WHEN event_id % 17 = 11 THEN CAST(CAST(floor(value) AS INT) % 70 AS VARCHAR(20))
+            ELSE CASE CAST(floor(value) AS INT) % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' Y ' WHEN 3 THEN 'unclear' WHEN 4 THEN 'TRUE' ELSE 'False' END END AS value_text
+FROM events
 """,
     "x_registration": """
 SELECT CAST(c_custkey % 100 AS BIGINT) AS establishment_id,
@@ -154,6 +166,9 @@ FROM lineitem
 """,
 }
 
+#: Parts of the SQL twins, for DuckDB only.
+ORACLE_VIEWS: dict[str, str] = {}
+
 
 def _closure(sql: str) -> list[str]:
     """The views that a statement refers to, each after those it refers to itself."""
@@ -161,8 +176,8 @@ def _closure(sql: str) -> list[str]:
 
     def visit(text: str) -> None:
         for name in re.findall(r"\bx_\w+", text):
-            if name in VIEWS and name not in out:
-                visit(VIEWS[name])
+            if name in (VIEWS | ORACLE_VIEWS) and name not in out:
+                visit((VIEWS | ORACLE_VIEWS)[name])
                 if name not in out:
                     out.append(name)
 
@@ -175,7 +190,7 @@ def with_views(sql: str) -> str:
     names = _closure(sql)
     if not names:
         return sql
-    heads = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    heads = ",\n".join(f"{n} AS ({(VIEWS | ORACLE_VIEWS)[n].strip()})" for n in names)
     body = sql.strip()
     return f"WITH {heads},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {heads}\n{body}"
 
