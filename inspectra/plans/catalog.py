@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inspectra.operators import anomaly, facts, rules  # noqa: F401
+from inspectra.operators import anomaly, cleaning, facts, rules  # noqa: F401
 from inspectra.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
