@@ -61,6 +61,12 @@ def text_runs(unit: Unit, texts: list[bytes | None]) -> Iterator[tuple[np.ndarra
         yield number[seg], start + shift, n, anchor + shift, h
 
 
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text binary). A doc_id that is long already is taken as it is: an alias would keep two joins from reading one exchange."""
+    plain = id_col == "doc_id" and docs.schema[id_col].dataType.simpleString() == "bigint"
+    return docs.select(F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+
+
 _PACK = 10  # bits of a run's windows, and of its anchor's distance: widths below 1024
 
 
@@ -161,8 +167,10 @@ def without(texts: DataFrame, spans: DataFrame, unit: Unit, keep_text: bool = Tr
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds))], names=["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_items long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # Known ids as in the inner join that cut the candidates out: both then read one exchange of the texts.
+    joined = texts.where("doc_id is not null").join(by_doc, "doc_id", "left").select("doc_id", "text", "spans")
+    nameless = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"))
+    return joined.union(nameless).mapInArrow(run, "doc_id long, n_items long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[list[tuple[bytes, list[tuple]]]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import ALL, Unit, candidates, copies, grouped, unpacked, without
+from .passages import ALL, Unit, candidates, copies, grouped, id_and_text, unpacked, without
 from .winnow import mix
 
 WIDTH = 13
@@ -148,7 +148,7 @@ def repeated_words(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, a, b): word spans of texts (doc_id, text binary) that a smaller doc_id has too; they may overlap."""
     unit = word_unit(width)
     copied = copies(texts)
-    own = texts.join(candidates(texts, unit), "doc_id")
+    own = texts.where("doc_id is not null").join(candidates(texts, unit), "doc_id")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
@@ -180,13 +180,9 @@ def repeated_words(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans.union(copied.where("doc_id <> first").select("doc_id", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-
-
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row."""
-    texts = _texts(docs, id_col, text_col)
+    texts = id_and_text(docs, id_col, text_col)
     return without(texts, repeated_words(texts, width), word_unit(width), keep_text)
 
 

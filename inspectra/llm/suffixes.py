@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import ALL, Unit, candidates, copies, grouped, unpacked, without
+from .passages import ALL, Unit, candidates, copies, grouped, id_and_text, unpacked, without
 
 WIDTH = 400
 #: Neighbouring windows that are decided together if their bytes are alike.
@@ -121,7 +121,7 @@ def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     unit = byte_unit(width)
     block = min(BLOCK, max(1, width // 3))
     copied = copies(texts)
-    own = texts.join(candidates(texts, unit), "doc_id")
+    own = texts.where("doc_id is not null").join(candidates(texts, unit), "doc_id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -180,7 +180,7 @@ def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = id_and_text(docs, id_col, text_col)
     return without(texts, repeated_bytes(texts, width), byte_unit(width), keep_text)
 
 
