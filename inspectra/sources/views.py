@@ -160,8 +160,8 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS finding_id, CAST(l_supp
        CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS affected_worker_count,
        CASE WHEN l_partkey % 3 = 0 THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS exposure_paise,
        CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE CAST(l_discount * 10 AS DOUBLE) END AS extraction_confidence,
-       CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, l_shipdate AS created_on,
-       CASE WHEN l_partkey % 4 = 0 THEN CAST(l_shipdate + CAST(l_partkey % 60 AS INT) AS DATE) END AS due_on
+       CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, CAST(l_shipdate AS DATE) AS created_on,
+       CASE WHEN l_partkey % 4 = 0 THEN CAST(CAST(l_shipdate AS DATE) + CAST(l_partkey % 60 AS INT) AS DATE) END AS due_on
 FROM lineitem
 """,
 }
