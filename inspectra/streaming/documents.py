@@ -6,14 +6,11 @@ earlier rows of its period (operators.documents.superseded) and the period is ev
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inspectra.operators.documents import TERMINAL
 from inspectra.operators.facts import USABLE, K
@@ -30,34 +27,28 @@ def document_events(spark: SparkSession, folder: str, files_per_trigger: int = 1
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def barrier(events: DataFrame, idle: str = "7 days") -> DataFrame:
-    """One evaluation request for a batch, as soon as it is sealed and all its documents are terminal, once. State: the latest status of
-    each document of the batch. A batch that stays open and silent for `idle` is forgotten."""
-    length = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        sealed, released, docs = state.get if state.exists else (False, False, "{}")
-        known = json.loads(docs)
-        for chunk in chunks:
-            for e in chunk.itertuples():
-                if e.sealed:
-                    sealed = True
-                else:
-                    at, old = str(int(e.document_id)), known.get(str(int(e.document_id)))
-                    stamp = e.created_at.isoformat()
-                    if old is None or old[0] <= stamp:
-                        known[at] = [stamp, e.status, bool(e.dated)]
-        usable = sum(1 for _, s, dated in known.values() if s in USABLE and dated)
-        if sealed and not released and known and usable and all(s in TERMINAL for _, s, _ in known.values()):
-            released = True
-            yield pd.DataFrame({"batch_id": [int(key[0])], "documents": [len(known)], "usable": [usable]})
-        state.update((sealed, released, json.dumps(known)))
-        state.setTimeoutDuration(length)
-
-    return events.groupBy("batch_id").applyInPandasWithState(step, REQUEST, "sealed boolean, released boolean, docs string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def barrier(events: DataFrame, folder: str, checkpoint: str) -> None:
+    """One evaluation request for a batch, as soon as it is sealed and all its documents are terminal, once. Each micro-batch writes
+    the open batches (`state/N`: the latest event of each document) and its requests (`requests/number=N`); both are named by the
+    micro-batch, so one that runs again after a lost driver writes the same rows. A released batch leaves the state."""
+
+    def step(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        done = spark.read.schema(REQUEST + ", number int").option("basePath", f"{folder}/requests").parquet(f"{folder}/requests").where(F.col("number") < number) if number else spark.createDataFrame([], REQUEST)
+        known = rows.unionByName(spark.read.schema(EVENT).parquet(f"{folder}/state/{number - 1}")) if number else rows
+        known = known.join(done.select("batch_id"), "batch_id", "left_anti")
+        last = known.groupBy("batch_id", "document_id").agg(F.max_by(F.struct("status", "dated", "sealed", "created_at"), "created_at").alias("e")).select("batch_id", "document_id", "e.*")
+        doc = F.col("document_id").isNotNull()
+        usable = F.count_if(doc & F.col("status").isin(USABLE) & F.col("dated"))
+        batches = last.groupBy("batch_id").agg(
+            F.max("sealed").alias("sealed"), F.count("document_id").alias("documents"), F.count_if(doc & ~F.col("status").isin(TERMINAL)).alias("running"), usable.alias("usable")
+        )
+        ready = batches.where("sealed and running = 0 and usable > 0").select("batch_id", "documents", "usable")
+        ready.write.mode("overwrite").parquet(f"{folder}/requests/number={number}")
+        gone = spark.read.parquet(f"{folder}/requests/number={number}").select("batch_id")
+        last.join(gone, "batch_id", "left_anti").write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+    events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def unique_uploads(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -84,11 +75,6 @@ def keep_findings(stream: DataFrame, folder: str, checkpoint: str, evaluate: Cal
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collect_requests(requests: DataFrame, folder: str, checkpoint: str) -> None:
-    """Run to the end of what is there and append the requests as Parquet."""
-    requests.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-
-
 @query("t1_t2_batch_barrier", """SELECT batch_id, count(*) AS documents, count(*) FILTER (WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED')) AS usable FROM x_document GROUP BY 1
  HAVING count(*) FILTER (WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED')) > 0""")
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +91,5 @@ def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     seals = last.groupBy("batch_id").agg(F.max("created_at").alias("created_at")).select("batch_id", F.lit(None).cast("long").alias("document_id"), F.lit(None).cast("string").alias("status"), F.lit(False).alias("dated"), F.lit(True).alias("sealed"), "created_at")
     for rows in (received.unionByName(seals), last):
         rows.write.mode("append").parquet(f"{folder}/events")
-    collect_requests(barrier(document_events(spark, f"{folder}/events", 4)), f"{folder}/requests", f"{folder}/checkpoint")
-    return spark.read.schema(REQUEST).parquet(f"{folder}/requests")
+    barrier(document_events(spark, f"{folder}/events", 4), folder, f"{folder}/checkpoint")
+    return spark.read.schema(REQUEST).option("basePath", f"{folder}/requests").parquet(f"{folder}/requests").select("batch_id", "documents", "usable")
