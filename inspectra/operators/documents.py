@@ -149,23 +149,29 @@ def _l3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VIEWS["x_audit"] = """
-SELECT CAST(event_id + 1 AS BIGINT) AS sequence, event_type || ':' || CAST(user_id AS VARCHAR(20)) AS action, CASE WHEN event_id % 1000 = 500 THEN 'broken' ELSE sha256_hex END AS entry_hash, prev_hash
-FROM (SELECT event_id, event_type, user_id, CAST(event_id * 7919 AS VARCHAR(30)) AS sha256_hex, CASE WHEN event_id = 0 THEN '0' ELSE CAST((event_id - 1) * 7919 AS VARCHAR(30)) END AS prev_hash FROM events) e
+SELECT CAST(a.event_id + 1 AS BIGINT) AS sequence, a.event_type AS action,
+       CASE WHEN a.event_id % 1000 = 500 THEN 'broken' ELSE md5(CAST(a.event_id + 1 AS VARCHAR(20)) || ':' || a.event_type) END AS entry_hash,
+       CASE WHEN b.event_id IS NULL THEN '0' ELSE md5(CAST(b.event_id + 1 AS VARCHAR(20)) || ':' || b.event_type) END AS prev_hash
+FROM events a LEFT JOIN events b ON b.event_id = a.event_id - 1
 """
 
 
-def chain_breaks(entries: DataFrame, genesis: str = "0") -> DataFrame:
-    """H1: entries whose previous entry is missing or has another hash. A join on sequence = sequence + 1: no global window."""
+def chain_breaks(entries: DataFrame, genesis: str = "0", content: Column | None = None) -> DataFrame:
+    """H1: (sequence, reason) of entries whose previous entry is missing, whose link to it does not hold, or whose own hash is not that of
+    their content, in this order. A join on sequence = sequence + 1: no global window. The first break is `min(sequence)`."""
     before = entries.select((c("sequence") + 1).alias("sequence"), c("entry_hash").alias("_before"))
     joined = entries.join(before, "sequence", "left")
     want = F.when(c("sequence") == 1, F.lit(genesis)).otherwise(c("_before"))
-    reason = F.when(want.isNull(), "sequence").when(c("prev_hash") != want, "prev_hash")
+    reason = F.when(want.isNull(), "sequence").when(~c("prev_hash").eqNullSafe(want), "prev_hash")
+    if content is not None:
+        reason = reason.when(~c("entry_hash").eqNullSafe(content), "entry_hash")
     return joined.withColumn("reason", reason).where("reason is not null").select("sequence", "reason")
 
 
-@query("h1_audit_chain", "SELECT a.sequence, CASE WHEN a.sequence > 1 AND b.sequence IS NULL THEN 'sequence' ELSE 'prev_hash' END AS reason FROM x_audit a LEFT JOIN x_audit b ON b.sequence + 1 = a.sequence WHERE (a.sequence > 1 AND b.sequence IS NULL) OR a.prev_hash <> CASE WHEN a.sequence = 1 THEN '0' ELSE b.entry_hash END")
+@query("h1_audit_chain", """SELECT sequence, reason FROM (SELECT a.sequence, CASE WHEN a.sequence > 1 AND b.sequence IS NULL THEN 'sequence' WHEN a.prev_hash <> CASE WHEN a.sequence = 1 THEN '0' ELSE b.entry_hash END THEN 'prev_hash'
+ WHEN a.entry_hash <> md5(a.sequence || ':' || a.action) THEN 'entry_hash' END AS reason FROM x_audit a LEFT JOIN x_audit b ON b.sequence + 1 = a.sequence) WHERE reason IS NOT NULL""")
 def _h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain_breaks(frame(spark, sf_dir, "x_audit"))
+    return chain_breaks(frame(spark, sf_dir, "x_audit"), content=F.md5(F.concat_ws(":", c("sequence").cast("string"), "action")))
 
 
 def detection_report(expected: DataFrame, found: DataFrame) -> DataFrame:
