@@ -90,17 +90,22 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
+def _digest() -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256))
+
+
 def find_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, first): the pages whose payload a smaller page_id has too."""
+    """(page_id, d, first): the pages and payload digests whose payload a smaller page_id has too."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.where("page_id is not null").select("page_id", F.unhex(F.sha2(html, 256)).alias("d"), F.octet_length(html).alias("n")).where(F.col("n") >= least_bytes)
+    own = pages.where("page_id is not null").select("page_id", _digest().alias("d"), F.octet_length(html).alias("n")).where(F.col("n") >= least_bytes)
     first = own.groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return own.join(first, "d").where("page_id <> first").select("page_id", "first").distinct()
+    return own.join(first, "d").where("page_id <> first").select("page_id", "d", "first").distinct()
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write all pages to archives in the folder; (path, size) of each archive. Runs at once."""
-    marked = pages.select("page_id", "url", "html").join(find_revisits(pages, least_bytes), "page_id", "left").select("page_id", "url", F.col("html").cast("binary").alias("html"), "first")
+    own = pages.select("page_id", "url", "html", _digest().alias("d"))
+    marked = own.join(find_revisits(pages, least_bytes), ["page_id", "d"], "left").select("page_id", "url", F.col("html").cast("binary").alias("html"), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)

@@ -121,6 +121,14 @@ def test_warc_round_trip(spark, tmp_path):
             assert r.payload == (data if want == i else None) or (want == i and bytes(r.payload) == data)
 
 
+def test_warc_repeated_page_id(spark, tmp_path):
+    pages = [(3, "u", "A"), (7, "u", "A"), (7, "u", "C"), (4, "u", "B"), (7, "u", "B"), (7, "u", "C"), (None, "u", "A")]
+    folder = f"file://{tmp_path}/w"
+    archives = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), folder)
+    got = sorted((r.page_id or 0, r.refers_to or 0, bytes(r.payload or b"")) for r in warc.read(archives, folder).collect())
+    assert got == [(0, 0, b"A"), (3, 0, b"A"), (4, 0, b"B"), (7, 0, b"C"), (7, 0, b"C"), (7, 3, b""), (7, 4, b"")]
+
+
 def test_false_magic_is_not_a_record():
     inner = warc.member(b"not a record")
     blob = b"".join(warc.member(warc.record(i, "u", zlib.compress(bytes([i])) + inner, None), 0) for i in range(5))
