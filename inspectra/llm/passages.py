@@ -4,7 +4,7 @@
    a whole text count as one place) cannot be part of a repeated window. Fixed-size rows.
 2. Only windows with a repeated anchor are cut out of the texts and dealt by content, for the
    operator's own comparison.
-3. The found passages come back to their documents by id.
+3. The found passages come back to their documents by id and digest of the text.
 
 Whole copies are found by digest and do not enter step 2, but for the smallest id of each.
 """
@@ -62,28 +62,28 @@ def text_runs(unit: Unit, texts: list[bytes | None]) -> Iterator[tuple[np.ndarra
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text binary). A doc_id that is long already is taken as it is: an alias would keep two joins from reading one exchange."""
+    """(doc_id, text binary, own: a digest that tells the texts of one doc_id apart). A doc_id that is long already is taken as it is: an alias would keep two joins from reading one exchange."""
     plain = id_col == "doc_id" and docs.schema[id_col].dataType.simpleString() == "bigint"
-    return docs.select(F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("binary")).alias("own"))
 
 
 _PACK = 10  # bits of a run's windows, and of its anchor's distance: widths below 1024
 
 
 def anchors(texts: DataFrame, unit: Unit) -> DataFrame:
-    """(anchor, place, doc_id, run) of each run, run packed; place tells texts and positions apart, not copies of a text."""
+    """(anchor, place, doc_id, own, run) of each run, run packed; place tells texts and positions apart, not copies of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [t.as_py() for t in b.column(1)]
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, mine = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             digest = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in own], np.uint64)
             for i, start, n, anchor, h in text_runs(unit, own):
                 place = mix(digest[i] + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 packed = (start << _PACK | n) << _PACK | anchor - start
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(ids[i], pa.int64()), pa.array(packed)], names=["anchor", "place", "doc_id", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64)), pa.array(ids[i], pa.int64()), pa.array(mine[i], pa.int64()), pa.array(packed)], names=["anchor", "place", "doc_id", "own", "run"])
 
-    return texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, place long, doc_id long, run long")
+    return texts.where("doc_id is not null").select("doc_id", "text", "own").mapInArrow(run, "anchor long, place long, doc_id long, own long, run long")
 
 
 def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for b in batches:
         if not b.num_rows:
             continue
-        rows = np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        rows = np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
         if held is not None:
             rows = np.concatenate([held, rows], axis=1)
         anchor, place = rows[0], rows[1]
@@ -115,21 +115,21 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         known = last if held is None else None
         out = rows[:, :tail][:, several[:tail]]
         if out.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[2]), pa.array(out[3])], names=["anchor", "doc_id", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[2]), pa.array(out[3]), pa.array(out[4])], names=["anchor", "doc_id", "own", "run"])
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """(doc_id, first): documents whose whole text others have too, and the smallest id of these."""
-    own = texts.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("d"))
+    """(doc_id, own, first): documents whose whole text others have too, and the smallest id of these."""
+    own = texts.where("doc_id is not null and text is not null").select("doc_id", "own", F.unhex(F.sha2("text", 256)).alias("d"))
     first = own.groupBy("d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return own.join(first, "d").select("doc_id", "first")
+    return own.join(first, "d").select("doc_id", "own", "first")
 
 
 def candidates(texts: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, runs): the runs (anchor, packed) of each document whose anchor stands in more than one place; of equal texts those of the smallest id."""
+    """(doc_id, own, runs): the runs (anchor, packed) of each document whose anchor stands in more than one place; of equal texts those of the smallest id."""
     dealt = anchors(texts, unit).repartition("anchor").sortWithinPartitions("anchor", "place", "doc_id")
-    found = dealt.mapInArrow(repeated_anchors, "anchor long, doc_id long, run long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
+    found = dealt.mapInArrow(repeated_anchors, "anchor long, doc_id long, own long, run long")
+    return found.groupBy("doc_id", "own").agg(F.collect_list(F.struct("anchor", "run")).alias("runs"))
 
 
 def unpacked(run: int) -> tuple[int, int, int]:
@@ -150,7 +150,7 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[list[int]]:
 
 
 def without(texts: DataFrame, spans: DataFrame, unit: Unit, keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row of texts (kept null unless keep_text); spans: (doc_id, a, b) item positions, b exclusive or ALL."""
+    """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row of texts (kept null unless keep_text); spans: (doc_id, own, a, b) item positions, b exclusive or ALL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,9 +166,9 @@ def without(texts: DataFrame, spans: DataFrame, unit: Unit, keep_text: bool = Tr
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds))], names=["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    by_doc = spans.groupBy("doc_id", "own").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     # Known ids as in the inner join that cut the candidates out: both then read one exchange of the texts.
-    joined = texts.where("doc_id is not null").join(by_doc, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = texts.where("doc_id is not null").join(by_doc, ["doc_id", "own"], "left").select("doc_id", "text", "spans")
     nameless = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"))
     return joined.union(nameless).mapInArrow(run, "doc_id long, n_items long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

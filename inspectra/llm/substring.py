@@ -112,19 +112,19 @@ class Automaton:
         return out
 
 
-def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int = 4) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, a, b) word spans to remove among the passages of one anchor: distinct passages with their (doc_id, start, anchor's distance)."""
+def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int = 4) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, own, a, b) word spans to remove among the passages of one anchor: distinct passages with their (doc_id, own, start, anchor's distance)."""
     if len(group) == 1:
         text, places = group[0]
         low = min(places)[0]
         n = text.count(b" ") + 1
-        yield from ((doc, start, start + n) for doc, start, _ in places if doc > low)
+        yield from ((doc, mine, start, start + n) for doc, mine, start, _ in places if doc > low)
         return
     # A common window holds the anchor and, on its left or right, half of its other words at least.
     half = -(-(width - k) // 2)
     split, sides = [], Counter()
     for text, places in group:
-        words, at = text.split(b" "), places[0][2]
+        words, at = text.split(b" "), places[0][3]
         left = (0, *words[at - half : at]) if at >= half else None
         right = (1, *words[at + k : at + k + half]) if len(words) >= at + k + half else None
         split.append((words, places, left, right))
@@ -136,48 +136,48 @@ def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int
     auto.settle()
     for words, places, *_ in split:
         first = np.array(auto.first_of_windows(words, width))
-        for doc, start, _ in places:
+        for doc, mine, start, _ in places:
             at = np.flatnonzero(first < doc)
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
                 for a, b in zip(np.r_[at[0], at[cut + 1]], np.r_[at[cut], at[-1]]):
-                    yield doc, start + int(a), start + int(b) + width
+                    yield doc, mine, start + int(a), start + int(b) + width
 
 
 def repeated_words(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, a, b): word spans of texts (doc_id, text binary) that a smaller doc_id has too; they may overlap."""
+    """(doc_id, own, a, b): word spans of texts (doc_id, text binary, own) that a smaller doc_id has too; they may overlap."""
     unit = word_unit(width)
     copied = copies(texts)
-    own = texts.where("doc_id is not null").join(candidates(texts, unit), "doc_id")
+    own = texts.where("doc_id is not null").join(candidates(texts, unit), ["doc_id", "own"])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         for b in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc, mine, text, found in zip(*(b.column(i).to_pylist() for i in range(4))):
                 words = unit.split(text)
                 for r in found:
                     start, windows, at = unpacked(r["run"])
-                    for column, x in zip(rows, (r["anchor"], b" ".join(words[start : start + windows + width - 1]), doc, start, at)):
+                    for column, x in zip(rows, (r["anchor"], b" ".join(words[start : start + windows + width - 1]), doc, mine, start, at)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["anchor", "passage", "doc_id", "start", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["anchor", "passage", "doc_id", "own", "start", "at"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [])
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "a", "b"])
+        out: tuple[list, ...] = ([], [], [], [])
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "own", "a", "b"])
         for group in grouped(batches, "anchor", "passage"):
             for row in removals(group, width, unit.k):
                 for column, x in zip(out, row):
                     column.append(x)
             if len(out[0]) > 50_000:
                 yield pack()
-                out = ([], [], [])
+                out = ([], [], [], [])
         yield pack()
 
-    dealt = own.select("doc_id", "text", "runs").mapInArrow(passages, "anchor long, passage binary, doc_id long, start long, at int")
+    dealt = own.select("doc_id", "own", "text", "runs").mapInArrow(passages, "anchor long, passage binary, doc_id long, own long, start long, at int")
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "passage")
-    spans = dealt.mapInArrow(compare, "doc_id long, a long, b long")
-    return spans.union(copied.where("doc_id <> first").select("doc_id", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
+    spans = dealt.mapInArrow(compare, "doc_id long, own long, a long, b long")
+    return spans.union(copied.where("doc_id <> first").select("doc_id", "own", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -117,33 +117,33 @@ def undecided(text: bytes, found: list, width: int, block: int) -> Iterator[tupl
 
 
 def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, a, b): byte spans of texts (doc_id, text binary) whose strings of `width` bytes stand elsewhere too; they may overlap."""
+    """(doc_id, own, a, b): byte spans of texts (doc_id, text binary, own) whose strings of `width` bytes stand elsewhere too; they may overlap."""
     unit = byte_unit(width)
     block = min(BLOCK, max(1, width // 3))
     copied = copies(texts)
-    own = texts.where("doc_id is not null").join(candidates(texts, unit), "doc_id")
+    own = texts.where("doc_id is not null").join(candidates(texts, unit), ["doc_id", "own"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        rows: tuple[list, ...] = ([], [], [], [])
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["key", "bytes", "doc_id", "start"])
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["key", "bytes", "doc_id", "own", "start"])
         for b in batches:
-            for doc, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for doc, mine, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 for key, part, start in undecided(text.as_py(), found, width, block):
-                    for column, x in zip(rows, (key - (1 << 64) if key >> 63 else key, part, doc, start)):
+                    for column, x in zip(rows, (key - (1 << 64) if key >> 63 else key, part, doc, mine, start)):
                         column.append(x)
                 if len(rows[0]) > 20_000:
                     yield pack()
-                    rows = ([], [], [], [])
+                    rows = ([], [], [], [], [])
         yield pack()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
         held: list[tuple[bytes, tuple | None]] = []
         size = 0
 
-        def put(doc: int, a: int, b: int) -> None:
-            for column, x in zip(out, (doc, a, b)):
+        def put(doc: int, mine: int, a: int, b: int) -> None:
+            for column, x in zip(out, (doc, mine, a, b)):
                 column.append(x)
 
         def decide() -> None:
@@ -151,14 +151,14 @@ def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
                 if place is not None and len(at):
                     cut = np.flatnonzero(np.diff(at) > 1)
                     for a, b in zip(np.r_[at[0], at[cut + 1]], np.r_[at[cut], at[-1]]):
-                        put(place[0], place[1] + int(a), place[1] + int(b) + width)
+                        put(place[0], place[1], place[2] + int(a), place[2] + int(b) + width)
 
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "a", "b"])
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "own", "a", "b"])
         for group in grouped(batches, "key", "bytes"):
             for part, places in group:
                 if len(places) > 1:  # the whole block stands in several places
-                    for doc, start in places:
-                        put(doc, start, start + len(part))
+                    for doc, mine, start in places:
+                        put(doc, mine, start, start + len(part))
             if len(group) > 1 and any(len(places) == 1 for _, places in group):
                 held += [(part, places[0] if len(places) == 1 else None) for part, places in group]
                 size += sum(len(part) for part, _ in group)
@@ -167,15 +167,15 @@ def repeated_bytes(texts: DataFrame, width: int = WIDTH) -> DataFrame:
                     held, size = [], 0
             if len(out[0]) > 50_000:
                 yield pack()
-                out = ([], [], [])
+                out = ([], [], [], [])
         if held:
             decide()
         yield pack()
 
-    dealt = own.select("doc_id", "text", "runs").mapInArrow(blocks, "key long, bytes binary, doc_id long, start long")
+    dealt = own.select("doc_id", "own", "text", "runs").mapInArrow(blocks, "key long, bytes binary, doc_id long, own long, start long")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "bytes")
-    spans = dealt.mapInArrow(compare, "doc_id long, a long, b long")
-    return spans.union(copied.select("doc_id", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
+    spans = dealt.mapInArrow(compare, "doc_id long, own long, a long, b long")
+    return spans.union(copied.select("doc_id", "own", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -84,6 +84,17 @@ def test_substring_dedup(spark):
     assert [got[i] for i in range(len(texts))] == brute_words(texts, 5)
 
 
+def test_repeated_id_with_two_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (8, f"{z} {y}"), (5, z)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    texts = [t for _, t in rows]
+    got = sorted((r.n_items, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, 24).collect())
+    assert got == sorted(brute_bytes(texts, 24))
+    got = sorted((r.doc_id, r.n_items, r.n_removed) for r in substring_dedup(df, 5).collect())
+    assert got == [(3, 30, 0), (5, 30, 0), (5, 30, 0), (5, 30, 30), (8, 60, 60)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(df).count() == 0 and substring_dedup(df).count() == 0
