@@ -9,7 +9,7 @@ from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
 from .simhash import op1_simhash
 from .substring import OP2_SQL, op2_substring
-from .suffixes import op9_suffixes
+from .suffixes import OP9_SQL, op9_suffixes
 from .toxicity import op6_toxicity
 from .warc import OP10_SQL, op10_warc
 
@@ -31,5 +31,6 @@ ORACLE_SQL = {
     "op3_mixture": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op5_exact": OP5_SQL,
+    "op9_suffixes": OP9_SQL,
     "op10_warc": OP10_SQL,
 }

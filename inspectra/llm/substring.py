@@ -6,7 +6,8 @@ corpus is sharded by winnowed anchors, each shard's automata are built in the ta
 gets the shard, and the candidate passages of all documents stream through the automata of
 their shard. Each state knows the smallest document that its strings end in; at every
 word the matching statistics give the state of the last 13 words, and with it their first
-document. An anchor whose passages are all alike needs no automaton.
+document. Passages that are all alike need no automaton. A shard has MANY rows at most; hot anchors
+are cut window by window (see passages).
 
 Defined cases: null and short texts lose nothing; of equal texts all but the smallest id lose
 everything (from 13 words on); rows that repeat a doc_id get a row each and do not count against
@@ -25,19 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import ALL, Unit, candidates, copies, grouped, id_and_text, unpacked, without
+from .passages import ALL, Place, Unit, copies, dealt_parts, distinct_texts, grouped, id_and_text, settled, without
 from .winnow import mix
 
 WIDTH = 13
 
 
-def word_unit(width: int = WIDTH, k: int = 4) -> Unit:
+def word_unit(width: int = WIDTH, k: int = 4, **hot: int) -> Unit:
     return Unit(
         split=lambda t: t.split(),
         hashed=lambda w: mix(np.fromiter(map(crc32, w), np.uint64, len(w))),  # equal hashes only make candidates
-        joined=lambda parts: b" ".join(w for p in parts for w in p),
+        joined=lambda parts: b" ".join(parts[0] if len(parts) == 1 else [w for p in parts for w in p]),
+        length=lambda part: part.count(b" ") + 1,
         width=width,
         k=min(k, width),
+        **hot,
     )
 
 
@@ -112,13 +115,18 @@ class Automaton:
         return out
 
 
-def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int = 4) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, own, a, b) word spans to remove among the passages of one anchor: distinct passages with their (doc_id, own, start, anchor's distance)."""
+def settle(places: list[Place]) -> tuple[list[Place], list[Place]]:
+    """Of the places of one passage those after the first document go; those of the first are still to be compared."""
+    low = min(places)[0]
+    return [p for p in places if p[0] > low], [p for p in places if p[0] == low]
+
+
+def removals(group: list[tuple[bytes, list[Place]]], width: int = WIDTH, k: int = 4) -> Iterator[tuple[int, int, int, int]]:
+    """(doc_id, own, a, b) word spans to remove among distinct passages with one key and their places."""
     if len(group) == 1:
         text, places = group[0]
-        low = min(places)[0]
         n = text.count(b" ") + 1
-        yield from ((doc, mine, start, start + n) for doc, mine, start, _ in places if doc > low)
+        yield from ((doc, mine, start, start + n) for doc, mine, start, _ in settle(places)[0])
         return
     # A common window holds the anchor and, on its left or right, half of its other words at least.
     half = -(-(width - k) // 2)
@@ -129,7 +137,7 @@ def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int
         right = (1, *words[at + k : at + k + half]) if len(words) >= at + k + half else None
         split.append((words, places, left, right))
         sides.update((left, right))
-    split = [x for x in split if len(x[1]) > 1 or (x[2] and sides[x[2]] > 1) or (x[3] and sides[x[3]] > 1)]
+    split = [x for x in split if len(x[1]) > 1 or x[1][0][3] < 0 or (x[2] and sides[x[2]] > 1) or (x[3] and sides[x[3]] > 1)]
     auto = Automaton()
     for words, places, *_ in sorted(split, key=lambda x: min(x[1])):
         auto.add(words, min(places)[0])
@@ -144,46 +152,42 @@ def removals(group: list[tuple[bytes, list[tuple]]], width: int = WIDTH, k: int
                     yield doc, mine, start + int(a), start + int(b) + width
 
 
-def repeated_words(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_words(texts: DataFrame, width: int = WIDTH, **hot: int) -> DataFrame:
     """(doc_id, own, a, b): word spans of texts (doc_id, text binary, own) that a smaller doc_id has too; they may overlap."""
-    unit = word_unit(width)
+    unit = word_unit(width, **hot)
     copied = copies(texts)
-    own = texts.where("doc_id is not null").join(candidates(texts, unit), ["doc_id", "own"])
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        for b in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, mine, text, found in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = unit.split(text)
-                for r in found:
-                    start, windows, at = unpacked(r["run"])
-                    for column, x in zip(rows, (r["anchor"], b" ".join(words[start : start + windows + width - 1]), doc, mine, start, at)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["anchor", "passage", "doc_id", "own", "start", "at"])
+    dealt = dealt_parts(distinct_texts(texts, copied), unit, width - unit.k + 1, 1, settle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "own", "a", "b"]
+        done: list[list[pa.Array]] = []
         out: tuple[list, ...] = ([], [], [], [])
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "own", "a", "b"])
-        for group in grouped(batches, "anchor", "passage"):
+
+        def read() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                done.append(settled(b))
+                yield b
+
+        for group, _ in grouped(read()):
             for row in removals(group, width, unit.k):
                 for column, x in zip(out, row):
                     column.append(x)
+            while done:
+                yield pa.RecordBatch.from_arrays(done.pop(), names=names)
             if len(out[0]) > 50_000:
-                yield pack()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
                 out = ([], [], [], [])
-        yield pack()
+        for columns in [*done, [pa.array(x, pa.int64()) for x in out]]:
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    dealt = own.select("doc_id", "own", "text", "runs").mapInArrow(passages, "anchor long, passage binary, doc_id long, own long, start long, at int")
-    dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "passage")
     spans = dealt.mapInArrow(compare, "doc_id long, own long, a long, b long")
     return spans.union(copied.where("doc_id <> first").select("doc_id", "own", F.lit(0).cast("long"), F.lit(ALL).cast("long")))
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row."""
+def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, **hot: int) -> DataFrame:
+    """(doc_id, n_items, n_removed, n_spans, kept_sha256, kept) for every row. hot: `often` and `many`, from which an anchor is hot."""
     texts = id_and_text(docs, id_col, text_col)
-    return without(texts, repeated_words(texts, width), word_unit(width), keep_text)
+    return without(texts, repeated_words(texts, width, **hot), word_unit(width), keep_text)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

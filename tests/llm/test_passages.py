@@ -1,9 +1,12 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from inspectra.llm.passages import merged
+from inspectra.llm.passages import merged, repeated_anchors
 from inspectra.llm.substring import substring_dedup
 from inspectra.llm.suffixes import repeated_starts, suffix_dedup
 
@@ -70,20 +73,50 @@ def test_repeated_starts():
         assert [x.tolist() for x in repeated_starts(parts, 6)] == want
 
 
-def test_suffix_dedup(spark):
+#: Limits of ordinary groups, and such that nearly all groups are hot or too large.
+HOT = [{}, {"often": 2, "many": 3}, {"many": 2}]
+
+
+@pytest.mark.parametrize("limits", [*HOT, {"most": 40}, {"most": 40, "often": 3}])
+def test_suffix_dedup(spark, limits):
     texts = corpus(2, "ab é", 40, 60) + ["abcdefgh" * 30]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, runs string").repartition(3)
-    got = {r.doc_id: (r.n_items, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, 24).collect()}
+    got = {r.doc_id: (r.n_items, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, 24, **limits).collect()}
     assert [got[i] for i in range(len(texts))] == brute_bytes(texts, 24)
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("limits", HOT)
+def test_substring_dedup(spark, limits):
     texts = corpus(4, ["a ", "b ", "ç\n", "d  "], 40, 30)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, runs string").repartition(3)
-    got = {r.doc_id: (r.n_items, r.n_removed, r.kept_sha256) for r in substring_dedup(df, 5).collect()}
+    got = {r.doc_id: (r.n_items, r.n_removed, r.kept_sha256) for r in substring_dedup(df, 5, **limits).collect()}
     assert [got[i] for i in range(len(texts))] == brute_words(texts, 5)
 
 
+def test_common_passage_with_differing_surroundings(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    shared = " ".join(word() for _ in range(40))
+    texts = [" ".join([*(word() for _ in range(20)), shared, *(word() for _ in range(20))]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_items, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, 60, often=5, many=10, most=400).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes(texts, 60)
+    got = {r.doc_id: (r.n_items, r.n_removed, r.kept_sha256) for r in substring_dedup(df, often=5, many=10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_words(texts, 13)
+
+
+def test_repeated_anchors_over_batches():
+    rng = random.Random(3)
+    rows = sorted([(rng.randrange(12), rng.randrange(5), 0, i, False) for i in range(200)] + [(3, 0, 0, -1, False), (40, 0, 0, -1, False), (50, 1, 0, 7, False)], key=lambda x: (x[0], x[3]))
+    rows += [(9, 2, 0, 1000, True)]
+    n = Counter(a for a, _, _, r, known in rows if not known and r >= 0)
+    for size in (1, 3, 50, 500):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("anchor", "doc_id", "own", "run", "known"), r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = Counter(tuple(r.values()) for b in repeated_anchors(iter(batches), 18) for r in b.to_pylist())
+        want = Counter((d, o, 2 * r + (known or a == 3 or n[a] > 18)) for a, d, o, r, known in rows if r >= 0 and (known or n[a] > 1 or a == 3))
+        assert got == want
+
+
 def test_repeated_id_with_two_texts(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
     rows = [(3, x), (5, x), (5, y), (8, f"{z} {y}"), (5, z)]
