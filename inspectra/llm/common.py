@@ -13,11 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode with none set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="inspectra-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -28,3 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each made different from all taken ones (and one another) by underscores in front."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name = "_" + name
+        seen.add(name.lower())
+        out.append(name)
+    return out

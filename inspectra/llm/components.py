@@ -29,13 +29,14 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root): for every node with a link, the smallest node it can reach.
 
-    Null ends and self-links are ignored; repeated links count once; no links, no rows.
+    Null ends and self-links are ignored; repeated links count once; no links, no rows. A round that
+    changes nothing ends it: the links' number and two sums of 64-bit hashes are as before.
     """
     state = cut(links.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
 
     def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        return row["n"], row["h"]
+        sums = (F.sum(F.xxhash64(F.lit(salt), "u", "v").cast("decimal(20,0)")) for salt in (1, 2))
+        return tuple(df.agg(F.count(F.lit(1)), *sums).first())
 
     before = mark(state)
     for _ in range(max_rounds):

@@ -5,13 +5,14 @@ windows are exploded straight into a broadcast hash join with the benchmark's wi
 match of hashes counts only if the words themselves are equal. Nothing but hits and one
 mark per document is shuffled.
 
-The benchmark is broadcast in blocks of at most `block` windows (a proven bound, some tens of
-MB); a larger benchmark takes more blocks, each probed by all documents.
+A benchmark of up to `block` windows is broadcast whole (some tens of MB). Of a larger one only the
+64-bit hashes are, up to `hashes` of them (a proven bound, some 200 MB), and hits are verified by a join that is dealt
+by hash; beyond that, documents are probed once for each `hashes` of them.
 
 Defined cases: null and wordless texts have no words and are not contaminated; an item of fewer
 words than a window is one window; an item without words, or null, matches nothing; rows that
-repeat a doc_id are one document; items that repeat an item_id count once; other columns are
-ignored.
+repeat a doc_id and its text are one document, with another text one of their own; a null doc_id is an id like others;
+items that repeat an item_id count once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,16 +61,17 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "ite
     return grams.select(h.alias("h"), "gram", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000) -> DataFrame:
-    """(doc_id, n_words, spans, items) for every document; spans: array of (start, end) word positions, end exclusive."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000, hashes: int = 4_000_000) -> DataFrame:
+    """(doc_id, own, n_words, spans, items) for every document; own: the text's digest; spans: array of (start, end) word positions, end exclusive."""
     grams = cut(benchmark_windows(benchmark, window))
     sizes = [r.n for r in grams.select(F.size("gram").alias("n")).distinct().orderBy("n").collect()] or [window]  # `window` values at most
-    blocks = max(1, -(-grams.count() // block))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words")).withColumn("wh", _word_hashes(F.col("words")))
+    count = grams.count()
+    blocks = max(1, -(-count // hashes))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("own"), words(F.col(text_col)).alias("words")).withColumn("wh", _word_hashes(F.col("words")))
     # Outer, or else the optimizer adds a filter on the array's size, which works the whole row out again.
     # Element 0 marks the document, so that one pass gives its row even without a hit.
     rows = rows.withColumn("hashes", F.concat(F.array(F.lit(0).cast("long")), *(_hashes(n) for n in sizes)))
-    each = rows.select("doc_id", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
+    each = rows.select("doc_id", "own", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
     # Where each window length begins in the row of hashes.
     at, begin = F.lit(1), {}
     for n in sizes:
@@ -77,21 +79,34 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         at = at + F.greatest(F.size("words") - (n - 1), F.lit(0))
     start = F.coalesce(*(F.when(F.size("gram") == n, F.col("pos") - begin[n]) for n in sizes))
 
+    by_place = F.coalesce(*(F.when(F.col("pos") >= begin[n], F.col("pos") - begin[n]) for n in reversed(sizes)))
+
     def probe(k: int) -> DataFrame:
-        own = grams.where(F.pmod("h", F.lit(blocks)) == k) if blocks > 1 else grams
         mark = F.lit(k == 0) & (F.col("pos") == 0)
-        same = (F.col("hash") == F.col("h")) & (F.col("pos") > 0) & (F.slice(F.col("words"), F.when(F.col("pos") > 0, start + 1).otherwise(1), F.size("gram")) == F.col("gram"))
-        found = each.join(F.broadcast(own), same, "left").where(mark | F.col("h").isNotNull())
+        if count <= block:
+            same = (F.col("hash") == F.col("h")) & (F.col("pos") > 0) & (F.slice(F.col("words"), F.when(F.col("pos") > 0, start + 1).otherwise(1), F.size("gram")) == F.col("gram"))
+            found = each.join(F.broadcast(grams), same, "left").where(mark | F.col("h").isNotNull())
+            at, n_words = start, F.size("words")
+        else:
+            known = grams.where(F.pmod("h", F.lit(blocks)) == k).select(F.col("h").alias("known")).distinct()
+            found = each.join(F.broadcast(known), (F.col("hash") == F.col("known")) & (F.col("pos") > 0), "left").where(mark | F.col("known").isNotNull())
+            # Marks have no hash to meet by: they are dealt by document, and match nothing.
+            own = F.when(F.col("pos") > 0, F.slice("words", by_place + 1, window))
+            found = found.select("doc_id", "own", "pos", "known", F.size("words").alias("n"), by_place.alias("at"), own.alias("own_words"), F.coalesce("known", F.xxhash64("doc_id", "own")).alias("probe"))
+            same = (F.col("probe") == F.col("h")) & F.col("known").isNotNull() & (F.slice("own_words", F.lit(1), F.size("gram")) == F.col("gram"))
+            found = found.join(grams, same, "left").where(mark | F.col("h").isNotNull())
+            at, n_words = F.col("at"), F.col("n")
         hit = F.col("h").isNotNull()
         return found.select(
             "doc_id",
-            F.when(mark, F.size("words")).alias("n_words"),
-            F.when(hit, F.struct(start.alias("start"), (start + F.size("gram")).alias("end"))).alias("span"),
+            "own",
+            F.when(mark, n_words).alias("n_words"),
+            F.when(hit, F.struct(at.alias("start"), (at + F.size("gram")).alias("end"))).alias("span"),
             "items",
         )
 
     found = reduce(DataFrame.unionByName, map(probe, range(blocks)))
-    return found.groupBy("doc_id").agg(
+    return found.groupBy("doc_id", "own").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -99,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **columns) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, spans, contaminated) for every document."""
+    """(doc_id, own, n_words, n_hit, n_items, items, spans, contaminated) for every document."""
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -107,13 +122,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **col
         lambda a: a["n"],
     )
     found = hits(docs, benchmark, window, **columns)
-    return found.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+    return found.select("doc_id", "own", "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs without a hit, all columns as they were."""
-    bad = decontaminate(docs, benchmark, window).where("contaminated and doc_id is not null").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("own").alias("bad_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ for each source and is broadcast only if its rows, counted first, are few.
 
 Defined cases: a null source is a source of its own; a source without a weight in `weights`
 has rate 0; null ids and repeated rows draw by id, so repeated rows get the same count; an
-empty table gives no rows; a column called `copy` is replaced.
+empty table gives no rows; a column called `copy` is replaced; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 PRECISION = 1e-15
 
@@ -45,26 +45,33 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
 
 def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 17, part: float = 8.0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The columns of docs and `copy` (0, 1, ...): each row as often as its count says, in globally random order."""
-    parts = F.greatest(F.ceil(F.col("rate") / part), F.lit(1))
+    own = [c for c in docs.columns if c.lower() != "copy"]
+    source, rate, parts, lam, cdf, n, deal = fresh([*docs.columns, "copy"], "source_", "rate_", "parts_", "lam_", "cdf_", "n_", "deal_")
+    number = F.greatest(F.ceil(F.col("rate") / part), F.lit(1))
     # The distribution function up to where it is 1 in doubles: some 40 numbers for a rate of 8, made once a source.
     steps = F.sequence(F.lit(1), (F.lit(part) * 3 + 40).cast("int"))
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), parts.cast("int").alias("_parts"), (F.col("rate") / parts).alias("lam"))
-    start = F.struct(F.exp(-F.col("lam")).alias("p"), F.array(F.exp(-F.col("lam"))).alias("cdf"))
-    cdf = F.aggregate(
+    rates = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), number.cast("int").alias(parts), (F.col("rate") / number).alias(lam))
+    start = F.struct(F.exp(-F.col(lam)).alias("p"), F.array(F.exp(-F.col(lam))).alias("cdf"))
+    grown = F.aggregate(
         steps,
         start,
-        lambda a, k: F.struct((a["p"] * F.col("lam") / k).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col("lam") / k)).alias("cdf")),
+        lambda a, k: F.struct((a["p"] * F.col(lam) / k).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col(lam) / k)).alias("cdf")),
         lambda a: F.filter(a["cdf"], lambda c: c < 1 - PRECISION),
     )
-    rates = rates.withColumn("_cdf", F.when(F.col("_rate") > 0, cdf)).drop("lam")
-    own = [c for c in docs.columns if c != "copy"]
-    joined = docs.select(*own).join(rates, docs[source_col].eqNullSafe(F.col("_source")))
-    one = lambda i: F.size(F.filter("_cdf", lambda c: c <= uniform(str(seed), F.col(id_col), i)))
-    count = F.when(F.col("_rate") > 0, F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, i: a + one(i))).otherwise(0)
-    counted = joined.withColumn("_n", count).where("_n > 0")
-    copies = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    key = lambda salt: F.xxhash64(F.lit(seed + salt), F.col(id_col), F.col("copy"))
-    return copies.withColumn("_deal", key(1)).repartition("_deal").sortWithinPartitions(key(2)).drop("_deal")
+    rates = rates.withColumn(cdf, F.when(F.col(rate) > 0, grown)).drop(lam)
+    joined = docs.select(*map(_quoted, own)).join(rates, F.col(_quoted(source_col)).eqNullSafe(F.col(source)))
+    one = lambda i: F.size(F.filter(cdf, lambda c: c <= uniform(str(seed), F.col(id_col), i)))
+    count = F.when(F.col(rate) > 0, F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, i: a + one(i))).otherwise(0)
+    counted = joined.withColumn(n, count).where(F.col(n) > 0)
+    copies = counted.select(*map(_quoted, own), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
+    # Rows without an id are told apart by all they hold.
+    rest = F.when(F.col(id_col).isNull(), F.xxhash64(*(F.col(_quoted(c)) for c, kind in docs.dtypes if c in own and "map<" not in kind)))
+    key = lambda salt: F.xxhash64(F.lit(seed + salt), F.col(id_col), rest, F.col("copy"))
+    return copies.withColumn(deal, key(1)).repartition(deal).sortWithinPartitions(key(2)).drop(deal)
+
+
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, size: float = 1.0, seed: int = 17, most_sources: int = 50_000) -> DataFrame:

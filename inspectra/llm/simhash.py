@@ -166,17 +166,20 @@ def links(nodes: DataFrame, budget: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[own][i]), pa.array(node[own][j])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last, perhaps unfinished, group
+        held: list[tuple] = []  # the last, perhaps unfinished, group, batch by batch
         for b in batches:
-            now = (b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
-            turn, v, node = now if held is None else (np.concatenate(x) for x in zip(held, now))
+            if not b.num_rows:
+                continue
+            turn, v, node = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
             same = (turn == turn[-1]) & (v >> np.uint64(BITS - PREFIX) == v[-1] >> np.uint64(BITS - PREFIX))
             at = len(same) - int(same.sum())
-            if at:
-                yield from walk(turn[:at], v[:at], node[:at])
-            held = (turn[at:], v[at:], node[at:])
-        if held is not None:
-            yield from walk(*held)
+            open_ = held and (held[0][0][0], held[0][1][0] >> np.uint64(BITS - PREFIX)) != (turn[-1], v[-1] >> np.uint64(BITS - PREFIX))
+            if at or open_:
+                yield from walk(*(np.concatenate(x) for x in zip(*held, (turn[:at], v[:at], node[:at]))))
+                held = []
+            held.append((turn[at:], v[at:], node[at:]))
+        if held:
+            yield from walk(*(np.concatenate(x) for x in zip(*held)))
 
     # Unsigned order: flip the sign bit for the sort.
     dealt = _dealt(nodes).repartition("turn", "prefix").sortWithinPartitions("turn", F.col("v").bitwiseXOR(F.lit(-(1 << 63))))

@@ -6,12 +6,15 @@ are found on digests alone; only (digest, page_id) rows are grouped.
 
 Reader: a task gets byte ranges. It scans its range for the gzip magic, takes a candidate only if
 its decoded head is a WARC record header, and owns the records that start inside, reading
-past the end of the range to finish the last one. From a true member the next follows at its end.
+past the end of the range to finish the last one. From a true member the next follows at its end, up to the range's end
+or the file's; a chain that breaks before began inside a payload (a stored archive), and the search goes on behind its first
+byte. A chain of inner records that is longer than a whole range is the one case that is not told apart. Records of other
+types (warcinfo, request, ...) are passed over; archives of other writers are read too.
 
 Files are reached through the file system of the folder's URI (pyarrow.fs), from executors too.
 
 Defined cases: a null payload is empty; a null page_id or url is written as an empty one and read
-back as null; equal payloads below `least_bytes` are all responses; rows that repeat a page_id
+back as null; a record id of another writer gives a null page_id, a missing digest is worked out; equal payloads below `least_bytes` are all responses; rows that repeat a page_id
 are separate records, and the first response of a payload is that of the smallest page_id (all its
 repeats are responses); no pages, no archives.
 """
@@ -65,22 +68,30 @@ def member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes) -> dict:
-    """The fields of a decoded record."""
+def parse(data: bytes) -> dict | None:
+    """The fields of a decoded response or revisit record; null for other types."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda s: int(s[len("<urn:page:") : -1]) if len(s) > len("<urn:page:>") else None
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    block = rest[: int(fields.get("content-length") or len(rest))]
+    http, split, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    lengths = [x[15:].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    whole = len(payload) if kind == "response" else int(lengths[0]) if lengths and lengths[0].isdigit() else None
+
+    def number(value: str | None) -> int | None:
+        inner = (value or "").removeprefix("<urn:page:").removesuffix(">")
+        return int(inner) if inner != value and inner.lstrip("-").isdigit() else None
+
     return {
-        "page_id": number(fields["WARC-Record-ID"]),
-        "url": fields["WARC-Target-URI"] or None,
-        "record_type": fields["WARC-Type"],
-        "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "payload_bytes": length,
-        "payload": payload if fields["WARC-Type"] == "response" else None,
+        "page_id": number(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri") or None,
+        "record_type": kind,
+        "refers_to": number(fields.get("warc-refers-to")),
+        "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in fields else digest32(payload) if kind == "response" else None,
+        "payload_bytes": whole,
+        "payload": payload if kind == "response" else None,
     }
 
 
@@ -127,64 +138,81 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
 
 
 class _Window:
-    """A file read piece by piece from a position on; `data` begins at `at`."""
+    """A file read piece by piece from a position on: data[pos:] is still to be looked at, and data begins at `at` in the file."""
 
     def __init__(self, file, at: int, piece: int):
-        self.file, self.at, self.piece, self.data = file, at, piece, b""
+        self.file, self.at, self.piece, self.data, self.pos = file, at, piece, b"", 0
         file.seek(at)
 
     def more(self) -> bool:
-        got = self.file.read(self.piece)
+        """Twice as much each time for what is longer than a piece, so that a long record is copied a few times only."""
+        if self.pos:
+            self.at, self.data, self.pos = self.at + self.pos, self.data[self.pos :], 0
+        got = self.file.read(max(self.piece, len(self.data)))
         self.data += got
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.at, self.data = self.at + n, self.data[n:]
-
 
-def _decode(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """(record, length of its member) if a WARC record's member begins at w.data[at]."""
-    z, out, used = zlib.decompressobj(31), [], at
-    checked = False
+def _decode(w: _Window, step: int = 1 << 16) -> tuple[bytes, int] | None:
+    """(record, length of its member) if a WARC record's member begins at w.pos."""
+    z, out, used = zlib.decompressobj(31), [], 0
+    head = b""
     while True:
+        part = w.data[w.pos + used : w.pos + used + step]
+        if not part:
+            if not w.more():
+                return None
+            continue
         try:
-            out.append(z.decompress(w.data[used:]))
+            got = z.decompress(part)
         except zlib.error:
             return None
-        if not checked:
-            head = b"".join(out)
-            if not b"WARC/1.".startswith(head[:7]):
+        out.append(got)
+        used += len(part)
+        if len(head) < 7:
+            head = (head + got)[:7]
+            if not b"WARC/1.".startswith(head):
                 return None
-            checked = len(head) >= 7
         if z.eof:
-            end = len(w.data) - len(z.unused_data)
-            return (b"".join(out), end - at) if checked else None
-        used = len(w.data)
-        if not w.more():
-            return None
+            return (b"".join(out), used - len(z.unused_data)) if len(head) == 7 else None
 
 
 def scan(file, begin: int, end: int, piece: int = 1 << 20) -> Iterator[bytes]:
     """The records that start in [begin, end)."""
     w = _Window(file, begin, piece)
-    while w.at < end:
-        if len(w.data) < len(MAGIC) and not w.more() and len(w.data) < len(MAGIC):
-            return
-        at = w.data.find(MAGIC)
-        if at < 0:
-            if len(w.data) >= len(MAGIC):
-                w.drop(len(w.data) - len(MAGIC) + 1)
-            if not w.more():
+    chain: list[bytes] = []  # records of a chain that may still break
+    first = begin  # where it began
+    while True:
+        if len(w.data) - w.pos < len(MAGIC) and w.more():
+            continue
+        place = w.at + w.pos
+        left = len(w.data) - w.pos
+        got = _decode(w) if w.data.startswith(MAGIC, w.pos) else None
+        if place >= end or not left:
+            # The chain is a true one if it goes on behind the range, or the file ends with it.
+            if not chain or not left or got is not None:
+                yield from chain
                 return
+        elif got is not None:
+            if begin == 0 and first == 0:
+                yield got[0]  # from the beginning of the file no member is inside another one
+            else:
+                chain.append(got[0])
+            w.pos += got[1]
             continue
-        if w.at + at >= end:
+        if chain:  # broken: it began inside a payload
+            chain, w = [], _Window(file, first + 1, piece)
+        elif left:
+            w.pos += 1
+        # The next candidate.
+        while (at := w.data.find(MAGIC, w.pos)) < 0:
+            w.pos = max(w.pos, len(w.data) - len(MAGIC) + 1)
+            if w.at + w.pos >= end or not w.more():
+                return
+        w.pos = at
+        first = w.at + at
+        if first >= end:
             return
-        got = _decode(w, at)
-        if got is None:
-            w.drop(at + 1)
-            continue
-        yield got[0]
-        w.drop(at + got[1])
 
 
 def read(archives: DataFrame, folder: str, split_bytes: int = 4 << 20) -> DataFrame:
@@ -200,9 +228,10 @@ def read(archives: DataFrame, folder: str, split_bytes: int = 4 << 20) -> DataFr
                 rows, weight = [], 0
                 with fs.open_input_file(path) as file:
                     for data in scan(file, begin, begin + split_bytes):
-                        rows.append(parse(data))
+                        if (fields := parse(data)) is not None:
+                            rows.append(fields)
                         weight += len(data)
-                        if weight > 8 << 20:
+                        if rows and weight > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                             rows, weight = [], 0
                 if rows:

@@ -34,20 +34,32 @@ def test_exact_groups(spark):
     assert got == [(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 2, True), (5, 5, 2, True), (6, 7, 2, False), (7, 7, 2, True)]
     assert exact.clashing_chunks(df).count() == 0
     assert exact.exact_groups(df.where("false")).count() == 0
+    nameless = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (None, "c"), (7, "c")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact.exact_groups(nameless).collect())
+    assert got == [(0, 0, 1, True), (0, 0, 2, True), (0, 0, 2, True), (0, 7, 2, False), (7, 7, 2, True)]
+    # Identifiers that clash prove nothing: whole texts are compared.
+    want = sorted(map(tuple, exact.exact_groups(df).collect()))
+    weak = lambda chunk: chunk[:1]
+    assert exact.clashing_chunks(df, identify=weak).count() > 0
+    assert sorted(map(tuple, exact.exact_groups(df, identify=weak).collect())) == want
 
 
 def test_decontaminate_cases(spark):
     bench = spark.createDataFrame([("i1", "One two THREE four five six seven eight nine ten eleven"), ("i2", "short item"), ("i3", None), ("i4", "...")], "item_id string, text string")
     docs = [(1, "x one two three four five six seven eight nine ten y"), (2, None), (3, "!!"), (4, "a short, ITEM here short item"), (5, "one two three four five six seven eight nine"), (6, "Éa short item")]
     df = spark.createDataFrame([(i, t, "w") for i, t in docs], "doc_id long, text string, words string")
-    for block in (200_000, 1):
-        got = {r.doc_id: (r.n_words, r.spans, r["items"]) for r in decontaminate.hits(df, bench, block=block).collect()}
+    for limits in ({}, {"block": 1}, {"block": 1, "hashes": 1}):
+        got = {r.doc_id: (r.n_words, r.spans, r["items"]) for r in decontaminate.hits(df, bench, **limits).collect()}
         span = lambda v: [(s.start, s.end) for s in v]
         assert {k: (n, span(s), i) for k, (n, s, i) in got.items()} == {
             1: (12, [(1, 11)], ["i1"]), 2: (0, [], []), 3: (0, [], []), 4: (6, [(1, 3), (4, 6)], ["i2"]), 5: (9, [], []), 6: (3, [(1, 3)], ["i2"]),
         }
     assert sorted(r.doc_id for r in decontaminate.remove_documents(df, bench).collect()) == [2, 3, 5]
     assert decontaminate.decontaminate(df.where("false"), bench).count() == 0
+    again = spark.createDataFrame([(1, "short item"), (1, "clean text of another row"), (1, "short item"), (None, "a short item"), (None, "clean")], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_hit) for r in decontaminate.decontaminate(again, bench).collect())
+    assert got == [(1, 0), (2, 2), (3, 2), (5, 0)]
+    assert sorted(r.text for r in decontaminate.remove_documents(again, bench).collect()) == ["clean", "clean text of another row"]
     assert decontaminate.decontaminate(df, bench.where("false")).where("contaminated").count() == 0
 
 
@@ -62,6 +74,13 @@ def test_mixture(spark):
     again = mixture.mix(df.repartition(7), {"a": 1.0, "b": 3.0})
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixture.mix(df, {"a": 1.0, "b": 3.0}).collect()))
     assert mixture.mix(df.where("false")).count() == 0
+    odd = df.select("*", *(F.lit(1).alias(c) for c in ("source_", "rate_", "N_", "deal_", "a.b`c", "cdf_")), F.lit(9).alias("Copy"))
+    got = mixture.mix(odd, {"a": 1.0, "b": 3.0})
+    assert got.columns == ["doc_id", "source", "text", "source_", "rate_", "N_", "deal_", "a.b`c", "cdf_", "copy"] and got.count() == n["a"] + n["b"]
+    many = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").cast("string").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert mixture.mix(many, {"a": 1.0}, size=9.0).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_toxicity_matching(spark):
@@ -129,9 +148,29 @@ def test_warc_repeated_page_id(spark, tmp_path):
     assert got == [(0, 0, b"A"), (3, 0, b"A"), (4, 0, b"B"), (7, 0, b"C"), (7, 0, b"C"), (7, 3, b""), (7, 4, b"")]
 
 
+def records(blob, cuts, piece=16):
+    edges = [0, *cuts, len(blob)]
+    return [x for a, b in zip(edges, edges[1:]) for x in warc.scan(io.BytesIO(blob), a, b, piece)]
+
+
 def test_false_magic_is_not_a_record():
     inner = warc.member(b"not a record")
     blob = b"".join(warc.member(warc.record(i, "u", zlib.compress(bytes([i])) + inner, None), 0) for i in range(5))
     for cut in range(1, len(blob), 7):
-        found = [*warc.scan(io.BytesIO(blob), 0, cut, 16), *warc.scan(io.BytesIO(blob), cut, len(blob), 16)]
-        assert [warc.parse(x)["page_id"] for x in found] == list(range(5))
+        assert [warc.parse(x)["page_id"] for x in records(blob, [cut])] == list(range(5))
+
+
+def test_archive_in_a_payload():
+    inner = b"".join(warc.member(warc.record(90 + i, "u", b"inner", None)) for i in range(2))
+    blob = b"".join(warc.member(warc.record(i, "u", inner if i == 1 else b"x" * i, None), 0) for i in range(4))
+    for cut in range(1, len(blob), 5):
+        assert [warc.parse(x)["page_id"] for x in records(blob, [cut])] == list(range(4)), cut
+
+
+def test_archives_of_other_writers():
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    plain = b"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n"
+    blob = warc.member(info) + warc.member(plain)
+    assert [warc.parse(x) for x in records(blob, [])] == [None, {"page_id": None, "url": "http://x", "record_type": "response", "refers_to": None, "payload_digest": warc.digest32(b"body"), "payload_bytes": 4, "payload": b"body"}]
+    assert records(b"", []) == [] and records(b"junk", [2]) == []
+    assert len(records(warc.member(plain) + b"junk", [9])) == 1
