@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .winnow import runs
 
 ALL = 1 << 62
@@ -78,8 +79,8 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     plain = id_col == "doc_id" and docs.schema[id_col].dataType.simpleString() == "bigint"
     rows = docs.select(F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     single = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    # Not a literal: the optimizer would take a constant out of the joins' keys.
-    return rows.withColumn("own", F.col("doc_id").bitwiseAND(F.lit(0).cast("long")) if single else F.xxhash64("text"))
+    # Neither a literal, which the optimizer would take out of the joins' keys, nor nullable, as it would filter some of their inputs.
+    return rows.withColumn("own", F.coalesce(F.col("doc_id").bitwiseAND(F.lit(0).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64("text"))
 
 
 def anchors(texts: DataFrame, unit: Unit) -> DataFrame:
@@ -129,7 +130,8 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[p
 def copies(texts: DataFrame) -> DataFrame:
     """(doc_id, own, first): documents whose whole text others have too, and the smallest id of these."""
     own = texts.where("doc_id is not null and text is not null").select("doc_id", "own", F.unhex(F.sha2("text", 256)).alias("d"))
-    first = own.groupBy("d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Cut, so that the join deals both sides anew and adaptive execution can split the rows of a large group.
+    first = cut(own.groupBy("d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     return own.join(first, "d").select("doc_id", "own", "first")
 
 
@@ -188,14 +190,19 @@ def blocks(unit: Unit, items, start: int, windows: int, at: int, block: int) ->
 
 def _rows(unit: Unit, parts: dict, settle: Callable) -> pa.RecordBatch:
     rows: tuple[list, ...] = ([], [], [], [], [], [])
+    decided: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for (key, part), places in parts.items():
         gone, dealt = settle(places) if len(places) > 1 else ((), places)
+        n = unit.length(part) if gone else 0
         for doc, own, a, _ in gone:
-            for column, x in zip(rows, (doc, None, doc, own, a, a + unit.length(part))):
-                column.append(x)
+            decided.setdefault((doc, own), []).append((a, a + n))
         for doc, own, a, at in dealt:
             for column, x in zip(rows, (key, part, doc, own, a, at)):
                 column.append(x)
+    for (doc, own), found in decided.items():
+        for a, b in merged(found, ALL):
+            for column, x in zip(rows, (doc, None, doc, own, a, b)):
+                column.append(x)
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["key", "part", "doc_id", "own", "start", "until"])
 

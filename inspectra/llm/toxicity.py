@@ -173,11 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, max_rows: int = 20_000) ->
     return (lexicon, *fit_logistic(points.x.to_numpy(), points.y.to_numpy(np.float64)))
 
 
-def toxicity(docs: DataFrame, model: tuple[dict[str, float], float, float]) -> DataFrame:
-    """(doc_id, score, predicted, n_matches) for every row."""
+def toxicity(docs: DataFrame, model: tuple[dict[str, float], float, float], keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, or the columns `keep`, score, predicted, n_matches) for every row."""
+    keep = keep or ["doc_id"]
     lexicon, slope, intercept = model
     score = 1 / (1 + F.exp(-(F.col("x") * slope + intercept)))
-    return raw_scores(docs, lexicon, ["doc_id"]).select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_matches")
+    return raw_scores(docs, lexicon, keep).select(*keep, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
 def held_out(doc_id):
