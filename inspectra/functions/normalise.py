@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from inspectra.functions.predicates import col
 
-# What stands for an empty cell, date formats in order, and the parts of names that tell nobody apart.
+# What stands for an empty cell, date formats in order, skills, tokens that tell no names apart, cells of total and of header rows.
 BLANKS = ["", "null", "none", "n/a", "na", "-", "--"]
-DATE_FORMATS = ["d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "d-M-yy", "d/M/yy", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMMM yyyy"]
+DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "yyyy-M", "M/yyyy"]
 SKILLS = ["UNSKILLED", "SEMI_SKILLED", "SKILLED", "HIGHLY_SKILLED"]
-HONORIFICS = ["MR", "MRS", "MS", "SHRI", "SMT", "KUM", "DR", "SRI", "KUMARI", "MISS", "MD", "LATE", "SHRIMATI", "MASTER", "PROF", "ER", "ADV"]
-TOTAL_MARKS = ["total", "grand total", "sub total", "subtotal", "totals", "page total", "net total", "gross total", "total amount", "sum", "carried forward"]
+NOISE_TOKENS = ["SHRI", "SHRIMATI", "SMT", "SRI", "MR", "MRS", "MS", "MISS", "MASTER", "SARDAR", "LATE", "DECEASED", "SO", "DO", "WO", "CO", "OF"]
+TOTAL_MARKS = ["TOTAL", "GRAND TOTAL", "SUBTOTAL", "SUB-TOTAL", "SUB TOTAL", "C/F", "C-F", "B/F", "B-F", "CARRIED FORWARD", "BROUGHT FORWARD"]
+HEADER_MARKS = ["WORKER NAME", "EMPLOYEE NAME", "MEMBER NAME", "NAME OF WORKER", "NAME OF EMPLOYEE", "NAME"]
 
 
 def clean_text(c: Column | str) -> Column:
@@ -54,11 +55,10 @@ def parse_skill(c: Column | str) -> Column:
 
 
 def longest_run(c: Column | str) -> Column:
-    """Longest run of present marks; null with fewer than three recognised marks."""
-    marks = F.regexp_replace(F.lower(col(c)), r"[^a-z0-9\- ./]", "")
-    known = F.length(F.regexp_replace(marks, r"[ ./]", ""))
+    """Longest run of worked marks. Absences, offs and separators break a run; other symbols do neither. Null with fewer than three marks of either kind."""
+    marks = F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}\- ./]", "")
     runs = F.split(F.regexp_replace(marks, r"[awhlox\- ./]", " "), " ")
-    return F.when(known >= 3, F.array_max(F.transform(runs, lambda r: F.length(r))))
+    return F.when(F.length(marks) >= 3, F.array_max(F.transform(runs, lambda r: F.length(r))))
 
 
 def digits_only(c: Column | str) -> Column:
@@ -67,17 +67,17 @@ def digits_only(c: Column | str) -> Column:
 
 
 def name_key(c: Column | str) -> Column:
-    """Upper-case tokens without relation, punctuation and honorifics."""
-    text = F.regexp_replace(F.upper(col(c)), r"\b([SDWC]/O|(SON|DAUGHTER|WIFE) OF)\b.*$", "")
+    """Upper-case tokens up to a relation, without punctuation and noise tokens."""
+    text = F.regexp_replace(F.upper(col(c)), r"\b([SDWC]\s*/\s*O|(SON|DAUGHTER|WIFE)\s+OF)\b[\s\S]*$", "")
     tokens = F.split(F.trim(F.regexp_replace(text, r"[^A-Z0-9\s]", " ")), r"\s+")
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(HONORIFICS) & (t != "")), " ")
+    return F.array_join(F.filter(tokens, lambda t: ~t.isin(NOISE_TOKENS) & (t != "")), " ")
 
 
-def row_reason(name: Column | str, page_known: Column, has_id: Column, header_marks: list[str], repeated: Column) -> Column:
+def row_reason(name: Column | str, page_known: Column, has_id: Column, repeated: Column) -> Column:
     """Why a row is removed, first reason first; null: accepted."""
-    text = F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(col(name), F.lit("")), ".", " ")), r"\s+", " "))
+    text = F.trim(F.regexp_replace(F.upper(F.translate(F.coalesce(col(name), F.lit("")), ".", " ")), r"\s+", " "))
     return reduce(
         lambda so_far, step: so_far.when(step[0], step[1]),
-        [(text.isin(TOTAL_MARKS), "total"), (text.isin(header_marks) & ~has_id, "header"), (repeated, "duplicate")],
+        [(text.isin(TOTAL_MARKS), "total"), (text.isin(HEADER_MARKS) & ~has_id, "header"), (repeated, "duplicate")],
         F.when(~page_known, "bad_page"),
     )

@@ -6,6 +6,7 @@ are gathered; medians are exact and sort within a group only.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inspectra.functions import predicates as p
 from inspectra.operators import facts
+from inspectra.plans.materialise import cut
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, frame
 
@@ -36,7 +38,7 @@ def benford(rows: DataFrame, column: str, by: list[str], least: int = 60, critic
 
 
 # log10(1 + 1/d).
-F_EXPECTED = {d: __import__("math").log10(1 + 1 / d) for d in range(1, 10)}
+F_EXPECTED = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
 
 
 def outliers(rows: DataFrame, column: str, by: list[str], least: int = 8, threshold: float = 3.5) -> DataFrame:
@@ -149,10 +151,12 @@ _PARTS = {
 }
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    wages = facts.wage_facts(frame(spark, sf_dir, "x_wage_line"), frame(spark, sf_dir, "x_attendance"))
+def _inputs(spark: SparkSession, sf_dir: str, once=lambda df: df) -> tuple[DataFrame, ...]:
+    """once: how to keep a table that several tests read."""
+    attendance = once(frame(spark, sf_dir, "x_attendance").select("establishment_id", "worker_key", "row_number", "period_start", "period_end", "period_year", "days_present", "days_absent", "overtime_hours"))
+    wages = once(facts.wage_facts(frame(spark, sf_dir, "x_wage_line"), attendance))
     epf = facts.contribution_facts(frame(spark, sf_dir, "x_contribution").where("scheme = 'EPF'"), wages)
-    return wages, frame(spark, sf_dir, "x_attendance"), epf, peer_values(wages, frame(spark, sf_dir, "x_establishment"))
+    return wages, attendance, epf, peer_values(wages, frame(spark, sf_dir, "x_establishment"))
 
 
 @query("a8_peer_values", "SELECT * FROM x_o_peer")
@@ -162,7 +166,7 @@ def _a8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a1_a9_all_tests", "\nUNION ALL ".join(_PARTS.values()))
 def _a9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_tests(*_inputs(spark, sf_dir), YEAR)
+    return all_tests(*_inputs(spark, sf_dir, cut), YEAR)
 
 
 def _one(name: str):

@@ -18,12 +18,17 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS row_id, CAST(l_suppkey
        CASE l_partkey % 6 WHEN 0 THEN CAST(CAST(l_quantity AS INT) * 37 AS VARCHAR(20)) || '.50' WHEN 1 THEN '1,' || CAST(100 + CAST(l_quantity AS INT) AS VARCHAR(20)) || '.25'
             WHEN 2 THEN '(' || CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) || '.75)' WHEN 3 THEN '₹ 2,' || CAST(200 + CAST(l_quantity AS INT) AS VARCHAR(20)) WHEN 4 THEN '-' ELSE 'n/a' END AS amount,
        CASE l_partkey % 5 WHEN 0 THEN ' semi  skilled ' WHEN 1 THEN 'Semi-Skilled' WHEN 2 THEN 'skilled' WHEN 3 THEN 'expert' ELSE NULL END AS skill,
-       CASE l_suppkey % 9 WHEN 0 THEN 'Grand Total' WHEN 1 THEN 'Sub.Total' WHEN 2 THEN 'Name' ELSE 'Worker ' || CAST(l_suppkey % 20 AS VARCHAR(20)) END AS worker_name,
+       CASE l_suppkey % 11 WHEN 0 THEN 'Grand Total' WHEN 1 THEN 'Sub.Total' WHEN 2 THEN 'Name' WHEN 3 THEN 'c/f' WHEN 4 THEN 'Brought   Forward' WHEN 5 THEN 'Member Name' WHEN 6 THEN 'Totals' WHEN 7 THEN 'Sl No'
+            ELSE 'Worker ' || CAST(l_suppkey % 20 AS VARCHAR(20)) END AS worker_name,
        CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS VARCHAR(20)) END AS uan
 FROM lineitem
 """
-# Cells that mark a header row.
-HEADER_MARKS = ["name", "employee name", "worker name", "name of employee", "name of worker", "sl no"]
+
+VIEWS["x_marks"] = """
+SELECT CAST(event_id AS BIGINT) AS event_id, substr('P P', 1, CAST(event_id % 4 AS INT)) || repeat('P', CAST(event_id % 5 AS INT)) || CASE event_id % 6 WHEN 0 THEN '/' WHEN 1 THEN 'A' WHEN 2 THEN '*' WHEN 3 THEN 'W.' WHEN 4 THEN ' ' ELSE 'h' END
+       || repeat('8', CAST(event_id % 7 AS INT)) AS marks
+FROM events
+"""
 
 
 @query("n1_n6_cells", r"""SELECT row_id, CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END AS amount_text, try_cast(replace(CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END, ',', '') AS DOUBLE) AS number,
@@ -35,11 +40,20 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", n.clean_text("amount").alias("amount_text"), n.parse_number("amount").alias("number"), n.parse_int("amount").alias("whole"), n.parse_paise("amount").alias("paise"), n.parse_skill("skill").alias("skill"))
 
 
-@query("n4_dates", """SELECT x.document_id, form, created_at::DATE AS parsed FROM x_document x, (VALUES (0), (1), (2)) AS f(form) UNION ALL SELECT document_id, 3, date_trunc('month', created_at)::DATE FROM x_document""")
+_FORMS = ["yyyy-MM-dd", "d-M-yyyy", "d/M/yyyy", "dd.MM.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "yyyy-MM", "MM/yyyy", "d-M-yy", "d/M/yy"]
+
+
+@query("n4_dates", """SELECT document_id, form, CASE WHEN form <= 5 THEN created_at::DATE WHEN form <= 9 THEN date_trunc('month', created_at)::DATE END AS parsed FROM x_document, range(12) AS f(form)""")
 def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates printed in four formats and read again."""
-    rows = frame(spark, sf_dir, "x_document").select("document_id", F.posexplode(F.array(*(F.date_format("created_at", f) for f in ("d-M-yyyy", "d/M/yyyy", "yyyy-M-d", "MMM yyyy")))).alias("form", "text"))
-    return rows.select("document_id", "form", n.parse_date("text").alias("parsed"))
+    """Dates printed in the ten formats, and in two that are none, and read again."""
+    rows = frame(spark, sf_dir, "x_document").select("document_id", F.posexplode(F.array(*(F.date_format("created_at", f) for f in _FORMS))).alias("form", "text"))
+    return rows.select("document_id", F.col("form").cast("long").alias("form"), n.parse_date("text").alias("parsed"))
+
+
+@query("n7_mark_runs", r"""WITH m AS (SELECT event_id, regexp_replace(lower(marks), '[^a-z0-9\- ./]', '', 'g') AS k FROM x_marks)
+ SELECT event_id, CASE WHEN length(k) >= 3 THEN list_max(list_transform(string_split(regexp_replace(k, '[awhlox ./-]', ' ', 'g'), ' '), lambda r: length(r)))::INT END AS run FROM m""")
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "x_marks").select("event_id", n.longest_run("marks").alias("run"))
 
 
 def accepted_rows(rows: DataFrame, pages: DataFrame, value_columns: list[str]) -> DataFrame:
@@ -49,7 +63,7 @@ def accepted_rows(rows: DataFrame, pages: DataFrame, value_columns: list[str]) -
     keyed = rows.withColumn("_digest", digest)
     first = keyed.groupBy("document_id", "page", "_digest").agg(F.min("row_id").alias("_first"))
     marked = keyed.join(first, ["document_id", "page", "_digest"]).join(pages.select("document_id", "page").distinct().withColumn("_page", F.lit(True)), ["document_id", "page"], "left")
-    return marked.withColumn("reason", n.row_reason("worker_name", p.truth("_page"), c("uan").isNotNull(), HEADER_MARKS, c("row_id") > c("_first"))).drop("_digest", "_first", "_page")
+    return marked.withColumn("reason", n.row_reason("worker_name", p.truth("_page"), c("uan").isNotNull(), c("row_id") > c("_first"))).drop("_digest", "_first", "_page")
 
 
 def removal_counts(rows: DataFrame) -> DataFrame:
@@ -59,8 +73,8 @@ def removal_counts(rows: DataFrame) -> DataFrame:
 
 
 @query("n10_n14_removed_rows", """SELECT document_id, count(*) AS seen, count(*) FILTER (WHERE reason IS NULL) AS accepted, count(*) FILTER (WHERE reason = 'bad_page') AS removed_bad_page, count(*) FILTER (WHERE reason = 'total') AS removed_total,
-  count(*) FILTER (WHERE reason = 'header') AS removed_header, count(*) FILTER (WHERE reason = 'duplicate') AS removed_duplicate FROM (SELECT document_id, CASE WHEN page >= 38 THEN 'bad_page' WHEN worker_name IN ('Grand Total', 'Sub.Total') THEN 'total'
-  WHEN worker_name = 'Name' AND uan IS NULL THEN 'header' WHEN row_id > min(row_id) OVER (PARTITION BY document_id, page, amount, skill, worker_name, uan) THEN 'duplicate' END AS reason FROM x_raw_amount) GROUP BY 1""")
+  count(*) FILTER (WHERE reason = 'header') AS removed_header, count(*) FILTER (WHERE reason = 'duplicate') AS removed_duplicate FROM (SELECT document_id, CASE WHEN page >= 38 THEN 'bad_page' WHEN worker_name IN ('Grand Total', 'Sub.Total', 'c/f', 'Brought   Forward') THEN 'total'
+  WHEN worker_name IN ('Name', 'Member Name') AND uan IS NULL THEN 'header' WHEN row_id > min(row_id) OVER (PARTITION BY document_id, page, amount, skill, worker_name, uan) THEN 'duplicate' END AS reason FROM x_raw_amount) GROUP BY 1""")
 def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, "x_raw_amount")
     return removal_counts(accepted_rows(rows, rows.where("page < 38"), ["amount", "skill", "worker_name", "uan"]))

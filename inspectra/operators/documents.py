@@ -12,6 +12,8 @@ from inspectra.plans.registry import query
 from inspectra.sources.views import VIEWS, frame
 
 c = F.col
+# Documents whose dates are those of the assessed wage period.
+PERIOD_BEARING = ["WAGE_REGISTER", "WAGE_SLIP", "MUSTER_ROLL", "LEAVE_REGISTER", "OVERTIME_REGISTER", "DEDUCTION_REGISTER", "EPF_ECR", "ESIC_CHALLAN", "EMPLOYEE_REGISTER"]
 FILING = ["establishment_id", "doc_type", "period_start", "period_end"]
 TERMINAL = ["EXTRACTED", "NEEDS_REVIEW", "VERIFIED", "EVALUATED", "FAILED", "REJECTED", "SUPERSEDED"]
 
@@ -52,13 +54,13 @@ def _d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_periods(documents: DataFrame) -> DataFrame:
     """The commonest period of a batch's payroll documents, the later one of equals; without any, the latest dated document's start."""
-    payroll = c("doc_type").isin("WAGE_REGISTER", "MUSTER_ROLL", "EPF_ECR")
+    payroll = c("doc_type").isin(PERIOD_BEARING)
     dated = documents.where("period_start is not null").withColumn("period_end", F.coalesce("period_end", "period_start"))
     n_ = dated.groupBy("batch_id", "period_start", "period_end").agg(F.count_if(payroll).alias("k"))
     return n_.groupBy("batch_id").agg(F.max_by(F.struct("period_start", "period_end"), F.struct("k", F.when(c("k") > 0, c("period_end")).otherwise(c("period_start")), "period_start")).alias("p")).select("batch_id", "p.*")
 
 
-@query("d5_batch_period", """SELECT batch_id, period_start, period_end FROM (SELECT batch_id, period_start, coalesce(period_end, period_start) AS period_end, count(*) FILTER (WHERE doc_type IN ('WAGE_REGISTER', 'MUSTER_ROLL', 'EPF_ECR')) AS k FROM x_document GROUP BY 1, 2, 3)
+@query("d5_batch_period", """SELECT batch_id, period_start, period_end FROM (SELECT batch_id, period_start, coalesce(period_end, period_start) AS period_end, count(*) FILTER (WHERE doc_type IN ('WAGE_REGISTER', 'WAGE_SLIP', 'MUSTER_ROLL', 'LEAVE_REGISTER', 'OVERTIME_REGISTER', 'DEDUCTION_REGISTER', 'EPF_ECR', 'ESIC_CHALLAN', 'EMPLOYEE_REGISTER')) AS k FROM x_document GROUP BY 1, 2, 3)
   QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY k DESC, CASE WHEN k > 0 THEN period_end ELSE period_start END DESC, period_start DESC) = 1""")
 def _d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_periods(frame(spark, sf_dir, "x_document"))

@@ -15,8 +15,15 @@ from inspectra.sources.views import ORACLE_VIEWS, frame
 
 K = ["establishment_id", "period_start", "period_end"]
 ESIC_CEILING_PAISE = 2_100_000
-# Document types, and the prose answers that rules read.
-DOC_TYPES = ["WAGE_REGISTER", "MUSTER_ROLL", "EPF_ECR", "STANDING_ORDERS", "APPOINTMENT_LETTER"]
+# Document types, names by which rules know their counts, and the prose answers that rules read.
+DOC_TYPES = [
+    "EMPLOYEE_REGISTER", "WAGE_REGISTER", "MUSTER_ROLL", "WAGE_SLIP", "OVERTIME_REGISTER", "DEDUCTION_REGISTER", "EPF_ECR", "ESIC_CHALLAN", "APPOINTMENT_LETTER", "ESTABLISHMENT_REGISTRATION", "CONTRACTOR_LICENCE",
+    "BOCW_CESS_RECEIPT", "ACCIDENT_REGISTER", "HEALTH_CHECKUP_RECORD", "WELFARE_FACILITY_RECORD", "STANDING_ORDERS", "GRIEVANCE_COMMITTEE_RECORD", "LEAVE_REGISTER", "ANNUAL_RETURN", "UNKNOWN",
+]
+DOC_ALIASES = {
+    "works_committee": "GRIEVANCE_COMMITTEE_RECORD", "grievance_committee": "GRIEVANCE_COMMITTEE_RECORD", "creche_record": "WELFARE_FACILITY_RECORD", "canteen_record": "WELFARE_FACILITY_RECORD",
+    "health_checkup": "HEALTH_CHECKUP_RECORD",
+}
 PROSE_FLAGS = [
     "states_employee_name", "states_designation", "states_date_of_joining", "states_wage_rate", "states_working_hours", "is_signed_by_employer",
     "has_chairperson", "is_certified", "adopts_model_standing_orders", "covers_classification_of_workers", "covers_disciplinary_procedure", "covers_termination",
@@ -36,6 +43,17 @@ def overlapping(rows: DataFrame, periods: DataFrame) -> DataFrame:
     return pair.where(F.col("_month") == F.trunc(F.greatest("period_start", "on_start"), "month")).drop("_month")
 
 
+def in_periods(rows: DataFrame, periods: DataFrame) -> DataFrame:
+    """F1 for facts: rows under the key of each assessed period that theirs overlaps, in place of their own period."""
+    own = [x for x in rows.columns if x not in K]
+    return overlapping(rows, periods).select("establishment_id", F.col("on_start").alias("period_start"), F.col("on_end").alias("period_end"), *own)
+
+
+def of_batch(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """(batch_id, document columns): documents of the batches under assessment, in each batch that holds them."""
+    return members.select("batch_id", "document_id").distinct().join(documents.drop("batch_id"), "document_id")
+
+
 def rates_as_of(rates: DataFrame, wanted: DataFrame) -> DataFrame:
     """for each (state_code, on) of wanted and each skill category the rate with the latest effective_from up to then; the end date is not looked at."""
     known = wanted.join(rates, "state_code").where("effective_from <= on")
@@ -68,6 +86,8 @@ def wage_facts(wages: DataFrame, attendance: DataFrame, floors: DataFrame | None
             "hourly_rate_paise": p.ordinary_hourly_rate("statutory_wages_paise"),
             "settlement_days": p.days_between("date_of_exit", "paid_on"),
             "unpaid_days": F.col("days_present") - F.col("days_paid"),
+            "display_rate_paise": F.when(F.col("normal_hours_per_day") > 0, p.to_int(p.ratio("statutory_wages_paise", F.col("days_paid") * F.col("normal_hours_per_day")))),
+            "row_verified": ~p.truth("needs_review"),
             "esic_eligible_worker_key": F.when(F.col("total_remuneration_paise") <= ESIC_CEILING_PAISE, F.col("worker_key")),
         }
     )
@@ -146,19 +166,21 @@ def prose_facts(assertions: DataFrame) -> DataFrame:
 
 
 def document_counts(documents: DataFrame) -> DataFrame:
-    """usable documents per K by type, zero-filled."""
+    """usable documents per K by type and by the names that rules use, zero-filled."""
     rows = documents.where(F.col("status").isin(USABLE) & F.col("period_start").isNotNull())
-    by_type = [F.count_if(F.col("doc_type") == t).alias(f"{t.lower()}_count") for t in DOC_TYPES]
+    names = {t.lower(): t for t in DOC_TYPES} | DOC_ALIASES
+    by_type = [F.count_if(F.col("doc_type").eqNullSafe(t)).alias(f"{name}_count") for name, t in names.items()]
     return rows.groupBy(*K).agg(*by_type, F.count_if(F.col("status") == "NEEDS_REVIEW").alias("needs_review_count"), p.count_rows().alias("documents_total"))
 
 
 def headcounts(wages: DataFrame, lines: DataFrame) -> DataFrame:
-    """F8: distinct workers per K in each source, in one pass over the union of keys."""
-    keys = wages.select(*K, "worker_key", F.lit("REGISTER").alias("source"), "esic_eligible_worker_key").unionByName(
-        lines.select(*K, "worker_key", F.col("scheme").alias("source"), F.lit(None).cast("long").alias("esic_eligible_worker_key"))
+    """F8: distinct workers per K in each source: one row per worker first, with the sources that know him, then sums. No row is multiplied."""
+    keys = wages.select(*K, "worker_key", F.lit("REGISTER").alias("source"), F.col("esic_eligible_worker_key").isNotNull().alias("eligible")).unionByName(
+        lines.select(*K, "worker_key", F.col("scheme").alias("source"), F.lit(False).alias("eligible"))
     )
-    n = lambda s: F.count_distinct(F.when(F.col("source") == s, F.col("worker_key")))
-    return keys.groupBy(*K).agg(n("REGISTER").alias("register_count"), n("EPF").alias("epf_count"), n("ESIC").alias("esic_count"), F.count_distinct("esic_eligible_worker_key").alias("esic_eligible_count"))
+    seen = {"register_count": F.col("source") == "REGISTER", "epf_count": F.col("source") == "EPF", "esic_count": F.col("source") == "ESIC", "esic_eligible_count": F.col("eligible")}
+    each = keys.groupBy(*K, "worker_key").agg(*(F.bool_or(test).alias(name) for name, test in seen.items()))
+    return each.groupBy(*K).agg(*(F.count_if(F.col(name) & F.col("worker_key").isNotNull()).alias(name) for name in seen))
 
 
 def establishment_facts(establishments: DataFrame, counts: DataFrame) -> DataFrame:
@@ -197,6 +219,7 @@ GROUP BY ALL
 """
 ORACLE_VIEWS["x_o_wage"] = f"""
 SELECT *, paid_on - date_of_exit AS settlement_days, days_present - days_paid AS unpaid_days,
+       CASE WHEN normal_hours_per_day > 0 AND days_paid > 0 THEN trunc(statutory_wages_paise / (days_paid * normal_hours_per_day))::BIGINT END AS display_rate_paise,
        statutory_wages_paise::DOUBLE / nullif(days_paid, 0) AS daily_wage_paise,
        deductions_paise::DOUBLE / nullif(total_remuneration_paise, 0) AS deduction_share,
        other_allowances_paise::DOUBLE / nullif(total_remuneration_paise, 0) AS excluded_share,
@@ -242,9 +265,18 @@ SELECT establishment_id, {_PROSE}
 FROM (SELECT establishment_id, key, coalesce(present, false) AS stated, CASE WHEN present THEN value_text END AS v FROM x_prose_assertion
       QUALIFY row_number() OVER (PARTITION BY establishment_id, key ORDER BY created_at DESC, assertion_id DESC) = 1) GROUP BY establishment_id
 """
-_DOCS = ", ".join(f"count(*) FILTER (WHERE doc_type = '{t}') AS {t.lower()}_count" for t in DOC_TYPES)
-ORACLE_VIEWS["x_o_docs"] = f"""
-SELECT establishment_id, period_start, period_end, {_DOCS}, count(*) FILTER (WHERE status = 'NEEDS_REVIEW') AS needs_review_count, count(*) AS documents_total
+ORACLE_VIEWS["x_o_docs"] = """
+SELECT establishment_id, period_start, period_end, count(*) FILTER (WHERE doc_type = 'EMPLOYEE_REGISTER') AS employee_register_count, count(*) FILTER (WHERE doc_type = 'WAGE_REGISTER') AS wage_register_count,
+  count(*) FILTER (WHERE doc_type = 'MUSTER_ROLL') AS muster_roll_count, count(*) FILTER (WHERE doc_type = 'WAGE_SLIP') AS wage_slip_count, count(*) FILTER (WHERE doc_type = 'OVERTIME_REGISTER') AS overtime_register_count,
+  count(*) FILTER (WHERE doc_type = 'DEDUCTION_REGISTER') AS deduction_register_count, count(*) FILTER (WHERE doc_type = 'EPF_ECR') AS epf_ecr_count, count(*) FILTER (WHERE doc_type = 'ESIC_CHALLAN') AS esic_challan_count,
+  count(*) FILTER (WHERE doc_type = 'APPOINTMENT_LETTER') AS appointment_letter_count, count(*) FILTER (WHERE doc_type = 'ESTABLISHMENT_REGISTRATION') AS establishment_registration_count,
+  count(*) FILTER (WHERE doc_type = 'CONTRACTOR_LICENCE') AS contractor_licence_count, count(*) FILTER (WHERE doc_type = 'BOCW_CESS_RECEIPT') AS bocw_cess_receipt_count, count(*) FILTER (WHERE doc_type = 'ACCIDENT_REGISTER') AS accident_register_count,
+  count(*) FILTER (WHERE doc_type = 'HEALTH_CHECKUP_RECORD') AS health_checkup_record_count, count(*) FILTER (WHERE doc_type = 'WELFARE_FACILITY_RECORD') AS welfare_facility_record_count,
+  count(*) FILTER (WHERE doc_type = 'STANDING_ORDERS') AS standing_orders_count, count(*) FILTER (WHERE doc_type = 'GRIEVANCE_COMMITTEE_RECORD') AS grievance_committee_record_count, count(*) FILTER (WHERE doc_type = 'LEAVE_REGISTER') AS leave_register_count,
+  count(*) FILTER (WHERE doc_type = 'ANNUAL_RETURN') AS annual_return_count, count(*) FILTER (WHERE doc_type = 'UNKNOWN') AS unknown_count,
+  count(*) FILTER (WHERE doc_type = 'GRIEVANCE_COMMITTEE_RECORD') AS works_committee_count, count(*) FILTER (WHERE doc_type = 'GRIEVANCE_COMMITTEE_RECORD') AS grievance_committee_count,
+  count(*) FILTER (WHERE doc_type = 'WELFARE_FACILITY_RECORD') AS creche_record_count, count(*) FILTER (WHERE doc_type = 'WELFARE_FACILITY_RECORD') AS canteen_record_count, count(*) FILTER (WHERE doc_type = 'HEALTH_CHECKUP_RECORD') AS health_checkup_count,
+  count(*) FILTER (WHERE status = 'NEEDS_REVIEW') AS needs_review_count, count(*) AS documents_total
 FROM x_document WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED') AND period_start IS NOT NULL GROUP BY 1, 2, 3
 """
 
@@ -260,11 +292,11 @@ def _f01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f03_f04_wage_facts", """SELECT establishment_id, period_start, period_end, worker_key, row_number, days_present, overtime_hours, statutory_wages_paise, total_remuneration_paise, daily_wage_paise,
-  deduction_share, excluded_share, hourly_rate_paise, settlement_days, unpaid_days, shortfall_vs_floor_paise, esic_eligible_worker_key FROM x_o_wage""")
+  deduction_share, excluded_share, hourly_rate_paise, settlement_days, unpaid_days, display_rate_paise, true AS row_verified, shortfall_vs_floor_paise, esic_eligible_worker_key FROM x_o_wage""")
 def _f03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_wage_facts(spark, sf_dir).select(
         *K, "worker_key", "row_number", "days_present", "overtime_hours", "statutory_wages_paise", "total_remuneration_paise", "daily_wage_paise", "deduction_share", "excluded_share",
-        "hourly_rate_paise", "settlement_days", "unpaid_days", "shortfall_vs_floor_paise", "esic_eligible_worker_key",
+        "hourly_rate_paise", "settlement_days", "unpaid_days", "display_rate_paise", "row_verified", "shortfall_vs_floor_paise", "esic_eligible_worker_key",
     )
 
 

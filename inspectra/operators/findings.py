@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inspectra.functions import predicates as p
 from inspectra.operators import rules
 from inspectra.operators.facts import K
+from inspectra.plans.materialise import cut
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, frame
 
@@ -259,12 +260,14 @@ def _c16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e7_e8_findings_snapshot", f"""WITH o AS ({rules.OUTCOME_SQL}),
  r(rule_id, severity) AS (VALUES {", ".join(f"('{r.rule_id}', '{r.severity}')" for r in rules.rules())}),
- cur AS (SELECT substr(sha256(concat_ws('|', rule_id, establishment_id, period_start, period_end)), 1, 48) AS dedupe_key, establishment_id, state, severity, affected FROM o JOIN r USING (rule_id)),
+ cur AS MATERIALIZED (SELECT substr(sha256(concat_ws('|', rule_id, establishment_id, period_start, period_end)), 1, 48) AS dedupe_key, establishment_id, state, severity, affected FROM o JOIN r USING (rule_id)),
  prev AS (SELECT dedupe_key, CASE establishment_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'RESOLVED' ELSE 'DISPUTED' END AS status, 'INFO' AS severity, 1::BIGINT AS affected FROM cur WHERE establishment_id % 4 <> 3)
  SELECT dedupe_key, CASE WHEN state = 'violation' AND (status IS NULL OR status = 'RESOLVED') THEN 'OPEN' WHEN state = 'violation' THEN status WHEN state = 'pass' AND status IN ('OPEN', 'DISPUTED') THEN 'RESOLVED' ELSE status END AS new_status,
   CASE WHEN state = 'violation' THEN cur.severity ELSE prev.severity END AS severity, CASE WHEN state = 'violation' THEN cur.affected ELSE prev.affected END AS affected FROM cur LEFT JOIN prev USING (dedupe_key) WHERE new_status IS NOT NULL""")
 def _e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes upserted over an earlier snapshot that holds three in four establishments."""
-    found = rules.outcomes(spark, sf_dir).join(F.broadcast(rules.rule_table(spark).select("rule_id", "severity")), "rule_id").withColumn("dedupe_key", dedupe_key())
+    severity = F.broadcast(rules.rule_table(spark).select("rule_id", "severity"))
+    # Both the earlier snapshot and the new outcomes derive from these rows: worked out once.
+    found = cut(rules.outcomes(spark, sf_dir).join(severity, "rule_id").withColumn("dedupe_key", dedupe_key()))
     old = found.where("establishment_id % 4 <> 3").select("dedupe_key", lookup(c("establishment_id") % 4, {0: "OPEN", 1: "RESOLVED"}, "DISPUTED").alias("status"), F.lit("INFO").alias("severity"), F.lit(1).cast("long").alias("affected"))
     return upsert(found, old).withColumnRenamed("status", "new_status")

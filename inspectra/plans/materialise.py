@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary folder only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inspectra-checkpoint-"))
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary folder only in local mode with none set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="inspectra-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found

@@ -92,8 +92,10 @@ FROM supplier
 """,
     "x_document": """
 SELECT CAST(o_orderkey AS BIGINT) AS document_id, CAST(o_custkey % 20 AS BIGINT) AS establishment_id,
-       CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'WAGE_REGISTER' WHEN '2' THEN 'MUSTER_ROLL' WHEN '3' THEN 'EPF_ECR'
-            WHEN '4' THEN 'STANDING_ORDERS' ELSE 'APPOINTMENT_LETTER' END AS doc_type,
+       CASE CAST(substr(o_orderpriority, 1, 1) AS INT) * 4 + CAST((o_custkey - o_custkey % 20) / 20 AS INT) % 4
+            WHEN 4 THEN 'EMPLOYEE_REGISTER' WHEN 5 THEN 'WAGE_REGISTER' WHEN 6 THEN 'MUSTER_ROLL' WHEN 7 THEN 'WAGE_SLIP' WHEN 8 THEN 'OVERTIME_REGISTER' WHEN 9 THEN 'DEDUCTION_REGISTER' WHEN 10 THEN 'EPF_ECR'
+            WHEN 11 THEN 'ESIC_CHALLAN' WHEN 12 THEN 'APPOINTMENT_LETTER' WHEN 13 THEN 'ESTABLISHMENT_REGISTRATION' WHEN 14 THEN 'CONTRACTOR_LICENCE' WHEN 15 THEN 'BOCW_CESS_RECEIPT' WHEN 16 THEN 'ACCIDENT_REGISTER'
+            WHEN 17 THEN 'HEALTH_CHECKUP_RECORD' WHEN 18 THEN 'WELFARE_FACILITY_RECORD' WHEN 19 THEN 'STANDING_ORDERS' WHEN 20 THEN 'GRIEVANCE_COMMITTEE_RECORD' WHEN 21 THEN 'LEAVE_REGISTER' WHEN 22 THEN 'ANNUAL_RETURN' ELSE 'UNKNOWN' END AS doc_type,
        CASE WHEN o_orderkey % 19 = 0 THEN 'FAILED' WHEN o_orderkey % 17 = 0 THEN 'REJECTED' WHEN o_orderstatus = 'F' THEN 'EXTRACTED'
             WHEN o_orderstatus = 'O' THEN 'EVALUATED' ELSE 'NEEDS_REVIEW' END AS status,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start, last_day(CAST(o_orderdate AS DATE)) AS period_end,
@@ -101,8 +103,8 @@ SELECT CAST(o_orderkey AS BIGINT) AS document_id, CAST(o_custkey % 20 AS BIGINT)
 FROM orders
 """,
     "x_incident": """
-SELECT CAST(user_id AS BIGINT) AS establishment_id, CAST(event_id AS BIGINT) AS incident_id, CAST(ts AS DATE) AS occurred_on,
-       CASE WHEN event_id % 4 <> 0 THEN CAST(CAST(ts AS DATE) + CAST(event_id % 9 AS INT) AS DATE) END AS notified_on,
+SELECT CAST(user_id AS BIGINT) AS establishment_id, CAST(event_id AS BIGINT) AS incident_id, CAST(DATE '1992-01-15' + CAST(event_id % 2400 AS INT) AS DATE) AS occurred_on,
+       CASE WHEN event_id % 4 <> 0 THEN CAST(DATE '1992-01-15' + CAST(event_id % 2400 + event_id % 9 - 1 AS INT) AS DATE) END AS notified_on,
        CASE WHEN event_id % 3 <> 0 THEN 'REF' || CAST(event_id AS VARCHAR(20)) END AS notification_reference
 FROM events WHERE event_type = 'error'
 """,
@@ -196,13 +198,11 @@ def with_views(sql: str) -> str:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table or view. Plans are bound at once, so later calls with other folders do not change earlier frames."""
+    """A test table or view. Tables are passed to the statement itself, so no temporary view of the caller is touched."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
-    for t in BASE:
-        if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for v in dict.fromkeys(re.findall(r"\bx_\w+", sql)):
-        frame(spark, sf_dir, v).createOrReplaceTempView(v)
-    return spark.sql(sql)
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    used = [t for t in BASE if re.search(rf"\b{t}\b", sql)] + list(dict.fromkeys(re.findall(r"\bx_\w+", sql)))
+    for t in used:
+        sql = re.sub(rf"((?:FROM|JOIN)\s+){t}\b(?:\s+(?!JOIN|ON|WHERE|UNION|LEFT|GROUP)(\w+))?", lambda m, t=t: f"{m[1]}{{{t}}} AS {m[2] or t}", sql)
+    return spark.sql(sql, **{t: frame(spark, sf_dir, t) for t in used})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inspectra.operators.documents import TERMINAL
 from inspectra.operators.facts import USABLE, K
 from inspectra.operators.findings import upsert
+from inspectra.plans.materialise import shared_dir
 from inspectra.plans.registry import query
 from inspectra.sources.views import frame
 
@@ -79,12 +80,7 @@ def keep_findings(stream: DataFrame, folder: str, checkpoint: str, evaluate: Cal
  HAVING count(*) FILTER (WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED')) > 0""")
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all batches as a stream of two rounds of events, seals first."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="inspectra-stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     docs = frame(spark, sf_dir, "x_document")
     last = docs.select("batch_id", "document_id", "status", F.lit(True).alias("dated"), F.lit(False).alias("sealed"), F.col("created_at").cast("timestamp").alias("created_at"))
     received = last.withColumns({"status": F.lit("RECEIVED"), "created_at": F.col("created_at") - F.expr("interval 1 day")})
