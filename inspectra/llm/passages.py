@@ -148,12 +148,12 @@ def candidates(texts: DataFrame, unit: Unit) -> DataFrame:
 
 
 PART = "key long, part binary, doc_id long, own long, start long, until long"
-Place = tuple[int | None, int, int, int]  # doc_id, own, start, anchor's distance (-1: hot)
+Place = tuple[int | None, int, int, int]  # doc_id, own, start, and the anchor's distance, or of hot anchors the items of the place, negative
 
 
 def dealt_parts(texts: DataFrame, unit: Unit, block: int, hot_block: int, settle: Callable[[list[Place]], tuple[list[Place], list[Place]]]) -> DataFrame:
     """PART rows of texts, dealt and sorted by key and part. settle gets the places of equal parts and returns those that go (rows without a part, until: their end)
-    and those that are dealt (until: the anchor's distance)."""
+    and those that are dealt (until: the anchor's distance, or of hot anchors the items of the place, negative)."""
     found = texts.join(candidates(texts, unit), ["doc_id", "own"]).select("doc_id", "own", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def dealt_parts(texts: DataFrame, unit: Unit, block: int, hot_block: int, settle
                     for key, a, end in blocks(unit, items, start, windows, at, hot_block if hot else block):
                         part = unit.joined([items[a:end]])
                         weight += len(part)
-                        parts.setdefault((key, part), []).append((doc, own, a, -1 if hot else start + at - a))
+                        parts.setdefault((key, part), []).append((doc, own, a, a - end if hot else start + at - a))
                 if weight > PIECE << 4:
                     yield _rows(unit, parts, settle)
                     parts, weight = {}, 0

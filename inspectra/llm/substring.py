@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .passages import ALL, Place, Unit, copies, dealt_parts, distinct_texts, grouped, id_and_text, settled, without
+from .passages import ALL, Place, Unit, copies, dealt_parts, distinct_texts, grouped, id_and_text, merged, settled, without
 from .winnow import mix
 
 WIDTH = 13
@@ -116,9 +116,13 @@ class Automaton:
 
 
 def settle(places: list[Place]) -> tuple[list[Place], list[Place]]:
-    """Of the places of one passage those after the first document go; those of the first are still to be compared."""
+    """Of the places of one passage those after the first document go; those of the first are still to be compared. Where a text repeats
+    one window over and over, its places are one."""
     low = min(places)[0]
-    return [p for p in places if p[0] > low], [p for p in places if p[0] == low]
+    first = [p for p in places if p[0] == low]
+    if len(first) > 1 and first[0][3] < 0:
+        first = [(low, own, a, a - b) for own in {p[1] for p in first} for a, b in merged([(p[2], p[2] - p[3]) for p in first if p[1] == own], ALL)]
+    return [p for p in places if p[0] > low], first
 
 
 def removals(group: list[tuple[bytes, list[Place]]], width: int = WIDTH, k: int = 4) -> Iterator[tuple[int, int, int, int]]:
@@ -126,7 +130,8 @@ def removals(group: list[tuple[bytes, list[Place]]], width: int = WIDTH, k: int
     if len(group) == 1:
         text, places = group[0]
         n = text.count(b" ") + 1
-        yield from ((doc, mine, start, start + n) for doc, mine, start, _ in settle(places)[0])
+        low = min(places)[0]
+        yield from ((doc, mine, start, start + (n if at >= 0 else -at)) for doc, mine, start, at in places if doc > low)
         return
     # A common window holds the anchor and, on its left or right, half of its other words at least.
     half = -(-(width - k) // 2)
@@ -144,8 +149,11 @@ def removals(group: list[tuple[bytes, list[Place]]], width: int = WIDTH, k: int
     auto.settle()
     for words, places, *_ in split:
         first = np.array(auto.first_of_windows(words, width))
-        for doc, mine, start, _ in places:
+        for doc, mine, start, until in places:
             at = np.flatnonzero(first < doc)
+            if until < 0 and len(at):  # a single window
+                yield doc, mine, start, start - until
+                continue
             if len(at):
                 cut = np.flatnonzero(np.diff(at) > 1)
                 for a, b in zip(np.r_[at[0], at[cut + 1]], np.r_[at[cut], at[-1]]):

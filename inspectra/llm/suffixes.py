@@ -31,6 +31,8 @@ WIDTH = 400
 BLOCK = 128
 #: The same for anchors with very many places.
 HOT_BLOCK = 16
+#: Places of an anchor from which it is such a one: parts are large here.
+MANY = 2_000
 #: Bytes that are sorted at once, and of one key at most.
 BATCH, GROUP = 1 << 17, 1 << 22
 
@@ -38,6 +40,7 @@ _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) | np.uint6
 
 
 def byte_unit(width: int = WIDTH, k: int = 64, **hot: int) -> Unit:
+    hot.setdefault("many", MANY)
     return Unit(split=lambda t: t, hashed=lambda t: _BYTE[np.frombuffer(t, np.uint8)], joined=b"".join, length=len, width=width, k=min(k, width), **hot)
 
 
