@@ -235,3 +235,8 @@ def all_at_least(c: C, limit: C) -> Column:
 
 def unique_count(c: C) -> Column:
     return F.count_distinct(col(c))
+
+
+def unique(values: Column | str) -> Column:
+    """The distinct items of an array in the order of their first mention."""
+    return F.array_distinct(col(values))

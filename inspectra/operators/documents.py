@@ -130,24 +130,58 @@ def token_similarity(a: Column, b: Column) -> Column:
     return F.round(200.0 * shared / (F.size(left) + F.size(right)), 1)
 
 
-def shortlist(names: DataFrame, people: DataFrame, top: int = 8, floor: float = 45.0) -> DataFrame:
-    """L3: the likeliest known people of the same establishment for each printed name: blocks are name tokens and their
-    first letters; similarity is this library's own. The report is a top list, ties go to smaller ids."""
+def _blocks(key: Column, known: bool) -> Column:
+    """Whole tokens, and first letters, by which an initial on one side meets the tokens of the other."""
+    tokens = F.filter(F.array_distinct(F.split(key, " ")), lambda t: t != "")
+    initials = F.filter(tokens, lambda t: F.length(t) == 1)
+    here, there = ("f:", "i:") if known else ("i:", "f:")
+    return F.array_distinct(F.concat(tokens, F.transform(initials, lambda t: F.concat(F.lit(here), t)), F.transform(tokens, lambda t: F.concat(F.lit(there), F.substring(t, 1, 1)))))
+
+
+def shortlist(names: DataFrame, people: DataFrame, top: int = 8, floor: float = 45.0, few: int = 60) -> DataFrame:
+    """L3: the likeliest known people of the same establishment for each printed name: everybody where at most `few` are known, else the `top` best of those that share a block with it
+    (a whole token, or an initial and a token it begins), with a similarity of `floor` at least, which is this library's own. Ties go to smaller ids.
+    A token that much of an establishment's register shares makes a pair of each printed name and person with it; establishments bound that."""
     from pyspark.sql import Window
 
-    keyed = lambda df, id_col, name: df.select("establishment_id", id_col, n.name_key(name).alias(f"{id_col}_key")).withColumn("token", F.explode_outer(F.array_distinct(F.split(f"{id_col}_key", " "))))
-    pairs = keyed(names, "name_id", "printed_name").join(keyed(people, "identity_id", "display_name"), ["establishment_id", "token"]).select("establishment_id", "name_id", "identity_id", "name_id_key", "identity_id_key").distinct()
-    scored = pairs.withColumn("score", token_similarity(c("name_id_key"), c("identity_id_key"))).where(c("score") >= floor)
+    size = people.groupBy("establishment_id").agg(p.count_rows().alias("_known"))
+    a = names.select("establishment_id", "name_id", n.name_key("printed_name").alias("name_id_key"))
+    b = people.select("establishment_id", "identity_id", n.name_key("display_name").alias("identity_id_key")).join(size, "establishment_id")
+    small = b.where(c("_known") <= few).drop("_known")
+    whole = a.join(small, "establishment_id")
+    block = lambda df, key, known: df.withColumn("_block", F.explode(_blocks(c(key), known)))
+    met = block(a, "name_id_key", False).join(block(b.where(c("_known") > few), "identity_id_key", True).drop("_known"), ["establishment_id", "_block"]).drop("_block").distinct()
+    score = token_similarity(c("name_id_key"), c("identity_id_key"))
+    whole, met = whole.withColumn("score", score), met.withColumn("score", score).where(c("score") >= floor)
     w = Window.partitionBy("establishment_id", "name_id").orderBy(F.desc("score"), "identity_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(c("place") <= top).select("establishment_id", "name_id", "identity_id", "score", "place")
+    place = lambda df: df.withColumn("place", F.row_number().over(w))
+    out = ["establishment_id", "name_id", "identity_id", "score", "place"]
+    return place(whole).select(*out).unionByName(place(met).where(c("place") <= top).select(*out))
+
+
+def shortened(people: DataFrame) -> DataFrame:
+    """Every known person's name, printed without its last word, and every third one by initials only."""
+    short = F.regexp_replace("display_name", r"\s+\S+$", "")
+    initials = F.array_join(F.transform(F.split(short, " "), lambda t: F.substring(t, 1, 1)), " ")
+    return people.select("establishment_id", c("identity_id").alias("name_id"), F.when(c("identity_id") % 3 == 0, initials).otherwise(short).alias("printed_name"))
+
+
+SHORTLIST_SQL = r"""
+WITH k AS (SELECT establishment_id, identity_id, list_filter(string_split(trim(regexp_replace(upper(display_name), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS w FROM x_identity),
+m AS (SELECT establishment_id, identity_id AS name_id, CASE WHEN identity_id % 3 = 0 THEN list_transform(w[1 : len(w) - 1], lambda t: left(t, 1)) ELSE w[1 : len(w) - 1] END AS v FROM k),
+b AS (SELECT establishment_id, identity_id, list_distinct(w) AS w, count(*) OVER (PARTITION BY establishment_id) AS known FROM k),
+p AS (SELECT m.establishment_id, name_id, identity_id, known, list_distinct(v) AS v, w, len(list_filter(list_distinct(v), lambda x: len(list_filter(w, lambda y: x = y OR (length(x) = 1 AND starts_with(y, x)) OR (length(y) = 1 AND starts_with(x, y)))) > 0)) AS shared
+      FROM m JOIN b ON m.establishment_id = b.establishment_id),
+s AS (SELECT *, round(200.0::DOUBLE * shared / (len(v) + len(w)), 1) AS score FROM p WHERE known <= 60 OR shared > 0)
+SELECT establishment_id, name_id, identity_id, score, row_number() OVER (PARTITION BY establishment_id, name_id ORDER BY score DESC, identity_id)::INT AS place FROM s WHERE known <= 60 OR score >= 45 QUALIFY known <= 60 OR place <= 8
+"""
 
 
-@query("l3_shortlist")
+@query("l3_shortlist", SHORTLIST_SQL)
 def _l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every known person's name, printed without its last word, against the register."""
+    """Every known person's shortened name against the register."""
     people = frame(spark, sf_dir, "x_identity")
-    names = people.select("establishment_id", c("identity_id").alias("name_id"), F.regexp_replace("display_name", r"\s+\S+$", "").alias("printed_name"))
-    return shortlist(names, people)
+    return shortlist(shortened(people), people)
 
 
 VIEWS["x_audit"] = """

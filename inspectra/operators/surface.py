@@ -187,10 +187,10 @@ def _v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace_texts(pages.select("document_id", F.lit(1).alias("claim_id"), F.substring("text", 21, 30).alias("value")), pages)
 
 
-@query("n8_n9_name_keys", r"""SELECT identity_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(upper('Shri. ' || display_name), '[^A-Z0-9\s]', ' ', 'g')), '\s+'), lambda t: t <> '' AND t NOT IN ('MR', 'MRS', 'MS', 'SHRI', 'SMT', 'KUM', 'DR', 'SRI', 'KUMARI', 'MISS', 'MD', 'LATE', 'SHRIMATI', 'MASTER', 'PROF', 'ER', 'ADV')), ' ') AS name_key,
+@query("n8_n9_name_keys", r"""SELECT identity_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(upper('Shri. ' || display_name || ' Sardar, Dr'), '[^A-Z0-9\s]', ' ', 'g')), '\s+'), lambda t: t <> '' AND t NOT IN ('SHRI', 'SHRIMATI', 'SMT', 'SRI', 'MR', 'MRS', 'MS', 'MISS', 'MASTER', 'SARDAR', 'LATE', 'DECEASED', 'SO', 'DO', 'WO', 'CO', 'OF')), ' ') AS name_key,
   regexp_replace(uan, '\D', '', 'g') AS digits FROM x_identity""")
 def _n9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("Shri. "), "display_name", F.lit(" S/O Ram Lal"))
+    name = F.concat(F.lit("Shri. "), "display_name", F.lit(" Sardar, Dr s / o Ram Lal"))
     return frame(spark, sf_dir, "x_identity").select("identity_id", n.name_key(name).alias("name_key"), n.digits_only("uan").alias("digits"))
 
 
