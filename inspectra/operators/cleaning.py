@@ -31,6 +31,11 @@ FROM events
 """
 
 
+VIEWS["x_page_line"] = """
+SELECT CAST(doc_id AS BIGINT) AS document_id, text || chr(10) || 'No 12 345 ' || CAST(doc_id % 100 AS VARCHAR(20)) || CASE doc_id % 5 WHEN 0 THEN ' id 2345 6789 0124' WHEN 1 THEN ' id 2345 6789 0125' ELSE ' none' END AS text FROM documents
+"""
+
+
 @query("n1_n6_cells", r"""SELECT row_id, CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END AS amount_text, try_cast(replace(CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END, ',', '') AS DOUBLE) AS number,
   round_even(try_cast(replace(CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END, ',', '') AS DOUBLE), 0)::BIGINT AS whole,
   CASE WHEN amount LIKE '(%)' THEN -1 ELSE 1 END * round(try_cast(regexp_replace(CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END, '[^0-9.\-]', '', 'g') AS DECIMAL(18,4)) * 100)::BIGINT AS paise,
@@ -93,12 +98,13 @@ def wage_reasons() -> Column:
     slack = F.greatest(F.lit(100.0), p.to_int("overtime_hours").cast("double") * 100)
     return reasons(
         (F.abs(c("gross_paise") - parts) > 100, "gross"), (F.abs(c("net_paid_paise") - net) > 100, "net"),
+        (F.abs(c("deductions_paise") - (c("pf_paise") + c("esi_paise") + c("advance_paise"))) > 100, "deductions"),
         (F.abs(c("overtime_paise") - c("overtime_hours") * c("overtime_rate_paise")) > slack, "overtime"), (c("days_paid") > 31, "days"),
     )
 
 
 @query("v6_v12_wage_reasons", """SELECT row_number, establishment_id, worker_key, period_start, array_to_string(list_filter([CASE WHEN abs(gross_paise - CASE WHEN coalesce(basic_paise, da_paise, other_allowances_paise) IS NOT NULL THEN coalesce(basic_paise, 0) + coalesce(da_paise, 0) + coalesce(other_allowances_paise, 0) END) > 100 THEN 'gross' END,
-  CASE WHEN abs(net_paid_paise - (gross_paise + coalesce(overtime_paise, 0) - coalesce(deductions_paise, 0))) > 100 THEN 'net' END,
+  CASE WHEN abs(net_paid_paise - (gross_paise + coalesce(overtime_paise, 0) - coalesce(deductions_paise, 0))) > 100 THEN 'net' END, CASE WHEN abs(deductions_paise - (pf_paise + esi_paise + advance_paise)) > 100 THEN 'deductions' END,
   CASE WHEN abs(overtime_paise - overtime_hours * overtime_rate_paise) > greatest(100, trunc(overtime_hours) * 100) THEN 'overtime' END, CASE WHEN days_paid > 31 THEN 'days' END], lambda x: x IS NOT NULL), ',') AS reasons FROM x_wage_line""")
 def _v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "x_wage_line").select("row_number", "establishment_id", "worker_key", "period_start", F.array_join(wage_reasons(), ",").alias("reasons"))
@@ -111,6 +117,14 @@ def _v7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "x_attendance").select("row_number", "establishment_id", "worker_key", "period_start", F.array_join(own, ",").alias("reasons"))
 
 
+@query("v7_contribution_reasons", """SELECT scheme, row_number, establishment_id, worker_key, period_start, array_to_string(list_filter([CASE WHEN employee_share_paise > wage_base_paise THEN 'share' END, CASE WHEN ncp_days < 0 OR ncp_days > 31 THEN 'ncp' END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM (SELECT *, row_number % 40 - 3 AS ncp_days FROM x_contribution)""")
+def _v7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "x_contribution").withColumn("ncp_days", c("row_number") % 40 - 3)
+    own = reasons((c("employee_share_paise") > c("wage_base_paise"), "share"), (~c("ncp_days").between(0, 31), "ncp"))
+    return rows.select("scheme", "row_number", "establishment_id", "worker_key", "period_start", F.array_join(own, ",").alias("reasons"))
+
+
 def column_totals(rows: DataFrame, printed: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Printed totals against summed rows; a break is more than a rupee and more than a hundredth. Zero or unknown totals are not compared."""
     summed = rows.groupBy(*by).agg(F.sum(column).alias("summed"))
@@ -136,10 +150,12 @@ def bad_formats(uan: Column, pan: Column | None = None, esic: Column | None = No
     return reasons(*checks)
 
 
-@query("v9_formats", """SELECT identity_id, CASE WHEN identity_id % 10 = 0 THEN 'uan' ELSE '' END AS reasons FROM (SELECT identity_id, CASE WHEN identity_id % 10 = 0 THEN 'X' || uan ELSE uan END AS u FROM x_identity) WHERE u IS NOT NULL UNION ALL SELECT identity_id, '' FROM x_identity WHERE uan IS NULL""")
+@query("v9_formats", """SELECT identity_id, concat_ws(',', CASE WHEN identity_id % 10 = 0 AND uan IS NOT NULL THEN 'uan' END, CASE WHEN identity_id % 7 IN (1, 2) THEN 'pan' END, CASE WHEN identity_id % 6 IN (2, 3) THEN 'esic' END) AS reasons FROM x_identity""")
 def _v9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, "x_identity").withColumn("u", F.when(c("identity_id") % 10 == 0, F.concat(F.lit("X"), "uan")).otherwise(c("uan")))
-    return rows.select("identity_id", F.array_join(bad_formats(c("u")), ",").alias("reasons"))
+    pan = F.when(c("identity_id") % 7 == 0, " ").when(c("identity_id") % 7 == 1, "ABCDE12345").when(c("identity_id") % 7 == 2, "abcde1234f").otherwise("ABCDE1234F")
+    esic = F.when(c("identity_id") % 6 == 0, F.repeat(F.lit("7"), 17)).when(c("identity_id") % 6 == 1, "").when(c("identity_id") % 6 == 2, F.repeat(F.lit("7"), 12)).when(c("identity_id") % 6 == 3, "12345-6789").otherwise("1234567890")
+    return rows.select("identity_id", F.array_join(bad_formats(c("u"), pan, esic), ",").alias("reasons"))
 
 
 # The multiplication table of the dihedral group and the position permutations of the Verhoeff check.
@@ -169,14 +185,17 @@ def national_ids(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(verhoeff_ok(c("n"))).select(id_col, F.concat(F.lit("XXXXXXXX"), F.substring("n", 9, 4)).alias("masked"))
 
 
-@query("v10_national_ids")
+@query("v10_national_ids", "SELECT document_id, 'XXXXXXXX0124' AS masked FROM x_page_line WHERE document_id % 5 = 0 AND text IS NOT NULL")
 def _v10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return national_ids(frame(spark, sf_dir, "documents"), "doc_id", "text")
+    """A fifth of the pages bear a number with a valid check digit, a fifth one with a wrong digit."""
+    return national_ids(frame(spark, sf_dir, "x_page_line"), "document_id", "text")
 
 
-@query("v13_date_sanity", "SELECT incident_id, coalesce(notified_on < occurred_on, false) AS reversed FROM x_incident")
+@query("v13_date_sanity", "SELECT 'incident' AS kind, incident_id AS id, coalesce(notified_on < occurred_on, false) AS reversed FROM x_incident UNION ALL SELECT 'registration', filed, coalesce(valid_to < valid_from, false) FROM x_registration")
 def _v13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, "x_incident").select("incident_id", p.is_before("notified_on", "occurred_on").alias("reversed"))
+    """Incidents notified before they occurred, and registrations that end before they begin."""
+    incidents = frame(spark, sf_dir, "x_incident").select(F.lit("incident").alias("kind"), c("incident_id").alias("id"), p.is_before("notified_on", "occurred_on").alias("reversed"))
+    return incidents.unionByName(frame(spark, sf_dir, "x_registration").select(F.lit("registration").alias("kind"), c("filed").alias("id"), p.is_before("valid_to", "valid_from").alias("reversed")))
 
 
 def compare_readings(left: DataFrame, right: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -207,11 +226,6 @@ def _v8(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tracing claims on pages
 
 
-VIEWS["x_page_line"] = """
-SELECT CAST(doc_id AS BIGINT) AS document_id, text FROM documents
-"""
-
-
 def page_tokens(pages: DataFrame) -> DataFrame:
     """(document_id, line, pos, text): words of the lines of a text. Outer explodes keep the optimizer from splitting twice."""
     lines = pages.select("document_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "_line"))

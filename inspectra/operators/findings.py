@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.functions import predicates as p
-from inspectra.operators import rules
+from inspectra.operators import facts, rules
 from inspectra.operators.facts import K
-from inspectra.plans.materialise import cut
+from inspectra.plans.materialise import cut, shared_dir
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, frame
 
@@ -67,10 +69,15 @@ def penalty() -> Column:
     return lookup(c("severity"), SEVERITY, 0).cast("double") * scale * sure
 
 
-def code_scores(findings: DataFrame, by: list[str]) -> DataFrame:
-    """A score for each code with findings; 100 without any penalty."""
+def code_scores(findings: DataFrame, by: list[str], assessed: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """A score for each code with findings; 100 without any penalty. assessed: (by, rule_id) of the rules that this run assessed, to which scored findings are held;
+    coverage: (by, code, coverage, relevant): codes of which no check was assessed get no score."""
     rows = findings.where("code is not null").withColumn("_scored", p.truth(is_scored()))
+    if assessed is not None:
+        rows = rows.join(assessed.select(*by, "rule_id").distinct().withColumn("_ran", F.lit(True)), [*by, "rule_id"], "left").withColumn("_scored", c("_scored") & p.truth("_ran"))
     sums = rows.groupBy(*by, "code").agg(F.sum(F.when(c("_scored"), penalty()).otherwise(0.0)).alias("points"), F.count_if("_scored").alias("findings"), F.count_if(c("_scored") & (c("severity") == "CRITICAL")).alias("critical"))
+    if coverage is not None:
+        sums = sums.join(coverage.where(F.bround(c("coverage") * c("relevant"), 0) > 0).select(*by, "code"), [*by, "code"], "left_semi")
     return sums.select(*by, "code", F.bround(p.clamp(100 * F.exp(-c("points") / 120), 0, 100), 1).alias("score"), F.bround("points", 2).alias("penalty"), "findings", "critical")
 
 
@@ -271,3 +278,98 @@ def _e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(rules.outcomes(spark, sf_dir).join(severity, "rule_id").withColumn("dedupe_key", dedupe_key()))
     old = found.where("establishment_id % 4 <> 3").select("dedupe_key", lookup(c("establishment_id") % 4, {0: "OPEN", 1: "RESOLVED"}, "DISPUTED").alias("status"), F.lit("INFO").alias("severity"), F.lit(1).cast("long").alias("affected"))
     return upsert(found, old).withColumnRenamed("status", "new_status")
+
+
+@query("c1_c3_assessed_scores", f"""WITH a AS (SELECT DISTINCT establishment_id, period_start, rule_id FROM x_finding WHERE finding_id % 4 <> 0), v AS (SELECT establishment_id, period_start, code FROM x_finding WHERE code IS NOT NULL GROUP BY 1, 2, 3 HAVING round_even(least(count(*), 4) / 4.0 * (min(finding_id) % 3), 0) > 0)
+ SELECT establishment_id, period_start, code, round_even(greatest(0, least(100, 100 * exp(-points / 120))), 1) AS score, round_even(points, 2) AS penalty, findings, critical FROM (SELECT establishment_id, period_start, code,
+ sum(CASE WHEN s THEN {_SEV('severity')} * CASE WHEN coalesce(affected_worker_count, 0) <= 1 THEN 1 ELSE least(3, 1 + log10(affected_worker_count)) END * coalesce(0.6::DOUBLE + 0.4::DOUBLE * extraction_confidence, 1) ELSE 0 END) AS points, count(*) FILTER (WHERE s) AS findings,
+ count(*) FILTER (WHERE s AND severity = 'CRITICAL') AS critical FROM (SELECT f.*, kind <> 'ANOMALY' AND f.rule_id <> 'MODEL.OBSERVATION' AND status IN ('OPEN', 'ACKNOWLEDGED', 'DISPUTED') AND rule_basis <> 'RULES_PENDING' AND a.rule_id IS NOT NULL AS s
+ FROM x_finding f LEFT JOIN a ON a.establishment_id = f.establishment_id AND a.period_start = f.period_start AND a.rule_id = f.rule_id WHERE code IS NOT NULL) GROUP BY 1, 2, 3) JOIN v USING (establishment_id, period_start, code)""")
+def _c1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores held to what a run assessed."""
+    rows = frame(spark, sf_dir, "x_finding")
+    seen = rows.where("code is not null").groupBy(*E_PERIOD, "code").agg((F.least(p.count_rows(), F.lit(4)) / 4).alias("coverage"), (F.min("finding_id") % 3).alias("relevant"))
+    return code_scores(rows, E_PERIOD, rows.where("finding_id % 4 <> 0"), seen)
+
+
+def observed_workers(counts: DataFrame) -> DataFrame:
+    """The largest positive count of workers in any source, contract labour left out: null if there is none."""
+    return counts.withColumn("observed_workers", F.greatest(*(F.when(c(x) > 0, c(x)) for x in ("register_count", "epf_count", "esic_count"))))
+
+
+@query("c9_observed_workers", "SELECT establishment_id, period_start, period_end, nullif(greatest(register_count, epf_count, esic_count), 0) AS observed_workers FROM x_o_counts")
+def _c9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observed_workers(facts.headcounts(facts.all_wage_facts(spark, sf_dir), frame(spark, sf_dir, "x_contribution"))).select(*K, "observed_workers")
+
+
+def assessed_periods(outcomes: DataFrame) -> DataFrame:
+    """The periods that get a score at all: some check was assessed."""
+    return outcomes.where(c("state").isin("pass", "violation")).select(*K).distinct()
+
+
+@query("c10_assessed_periods", f"WITH o AS ({rules.OUTCOME_SQL}) SELECT DISTINCT establishment_id, period_start, period_end FROM o WHERE state IN ('pass', 'violation')")
+def _c10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed_periods(rules.outcomes(spark, sf_dir))
+
+
+def append_cards(cards: DataFrame, run: int, folder: str) -> DataFrame:
+    """An assessment's score cards, added to those of earlier ones; none is ever changed. The run names its folder, so a run that is repeated replaces only itself. All cards so far."""
+    cards.write.mode("overwrite").parquet(f"{folder}/run={run}")
+    return cards.sparkSession.read.parquet(folder)
+
+
+@query("s6_cards_appended", "SELECT run, establishment_id, period_start, round_even(greatest(0, least(100, raw)), 1) AS overall FROM x_o_card, (VALUES (1), (2)) AS r(run) WHERE run = 1 OR establishment_id % 2 = 0")
+def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two assessments, the second of every other establishment, and that one done twice."""
+    folder = f"{shared_dir(spark).rstrip('/')}/cards-{uuid.uuid4().hex}"
+    cards = cut(scorecards(frame(spark, sf_dir, "x_finding"), E_PERIOD).select(*E_PERIOD, "overall"))
+    append_cards(cards, 1, folder)
+    append_cards(cards.where("establishment_id % 2 = 0"), 2, folder)
+    return append_cards(cards.where("establishment_id % 2 = 0"), 2, folder).select("run", *E_PERIOD, "overall")
+
+
+def notices(findings: DataFrame, cards: DataFrame, by: list[str]) -> DataFrame:
+    """(by, notice, findings): to the employer if scored findings are open, to inspectors also for the two worst bands, and about completeness if records do not suffice. One per audience."""
+    open_ = findings.where((c("status") == "OPEN") & is_scored()).groupBy(*by).agg(p.count_rows().alias("n"))
+    rows = cards.join(open_, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    kinds = {"EMPLOYER": c("n") > 0, "INSPECTOR": (c("n") > 0) | c("band").isin("HIGH", "CRITICAL"), "COMPLETENESS": ~c("sufficient")}
+    return rows.select(*by, "n", F.explode(F.array_compact(F.array(*(F.when(p.truth(test), F.lit(kind)) for kind, test in kinds.items())))).alias("notice")).select(*by, "notice", c("n").alias("findings"))
+
+
+@query("c13_notices", """WITH d AS (SELECT establishment_id, period_start, count(*) AS documents, count(*) FILTER (WHERE status <> 'NEEDS_REVIEW')::DOUBLE / count(*) AS coverage FROM x_document GROUP BY 1, 2),
+ n AS (SELECT establishment_id, period_start, count(*) AS n FROM x_finding WHERE status = 'OPEN' AND kind <> 'ANOMALY' AND rule_id <> 'MODEL.OBSERVATION' AND rule_basis <> 'RULES_PENDING' GROUP BY 1, 2),
+ k AS (SELECT c.establishment_id, c.period_start, raw, coalesce(n, 0) AS n, coalesce(documents, 0) > 0 AND coalesce(coverage, 0) >= 0.6 AS sufficient FROM x_o_card c LEFT JOIN d USING (establishment_id, period_start) LEFT JOIN n USING (establishment_id, period_start))
+ SELECT establishment_id, period_start, 'EMPLOYER' AS notice, n AS findings FROM k WHERE n > 0 UNION ALL SELECT establishment_id, period_start, 'INSPECTOR', n FROM k WHERE n > 0 OR raw < 70 UNION ALL SELECT establishment_id, period_start, 'COMPLETENESS', n FROM k WHERE NOT sufficient""")
+def _c13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frame(spark, sf_dir, "x_document").groupBy(*E_PERIOD).agg(p.count_rows().alias("documents"), (F.count_if(c("status") != "NEEDS_REVIEW") / p.count_rows()).alias("coverage"))
+    found = frame(spark, sf_dir, "x_finding")
+    return notices(found, scorecards(found, E_PERIOD, docs), E_PERIOD)
+
+
+def advisory_findings(anomalies: DataFrame, observations: DataFrame, previous: DataFrame) -> DataFrame:
+    """Advisory findings over an earlier snapshot (dedupe_key, kind, severity, message, status). anomalies: (test, K, severity, message) refresh message and severity of theirs and leave its status;
+    observations: (title, detail, confidence, kind, K, severity) enter once, if they are confident and worded, and are never a non-compliance."""
+    key = lambda *parts: F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(x.cast("string"), F.lit("-")) for x in parts)), 256), 1, 48)
+    a = anomalies.select(key(c("test"), *map(c, K)).alias("dedupe_key"), F.lit("ANOMALY").alias("kind"), "severity", "message", F.lit(True).alias("refresh"))
+    worded = (c("confidence") >= 0.55) & (F.coalesce(F.trim("title"), F.lit("")) != "") & (F.coalesce(F.trim("detail"), F.lit("")) != "")
+    kind = F.when(c("kind") == "NON_COMPLIANCE", "DISCREPANCY").otherwise(c("kind"))
+    o = observations.where(worded).select(key(F.lit("model"), F.substring(F.lower("title"), 1, 120), c("establishment_id"), c("period_start")).alias("dedupe_key"), kind.alias("kind"), "severity", c("detail").alias("message"), F.lit(False).alias("refresh"))
+    new = a.unionByName(o).groupBy("dedupe_key").agg(F.min(F.struct("kind", "severity", "message", "refresh")).alias("new"))
+    both = new.join(previous.select("dedupe_key", F.struct("kind", "severity", "message").alias("old"), "status"), "dedupe_key", "full_outer")
+    fresh = c("old").isNull() | p.truth("new.refresh")
+    return both.select("dedupe_key", *(F.when(fresh & c("new").isNotNull() & (c("old").isNull() | F.lit(x != "kind")), c(f"new.{x}")).otherwise(c(f"old.{x}")).alias(x) for x in ("kind", "severity", "message")), F.coalesce("status", F.lit("OPEN")).alias("status"))
+
+
+@query("e11_advisory_findings", """WITH f AS (SELECT *, last_day(period_start)::DATE AS period_end FROM x_finding), k AS (SELECT substr(sha256(concat_ws('|', rule_id, establishment_id, period_start, period_end)), 1, 48) AS dedupe_key, 'ANOMALY' AS kind, severity, 'n ' || affected_worker_count AS message, true AS refresh FROM f WHERE kind = 'ANOMALY' AND affected_worker_count IS NOT NULL
+ UNION ALL SELECT substr(sha256(concat_ws('|', 'model', lower(rule_id), establishment_id, period_start)), 1, 48), CASE WHEN kind = 'NON_COMPLIANCE' THEN 'DISCREPANCY' ELSE kind END, severity, code, false FROM f WHERE kind <> 'ANOMALY' AND extraction_confidence >= 0.55 AND code IS NOT NULL),
+ n AS (SELECT dedupe_key, min(struct_pack(kind := kind, severity := severity, message := message, refresh := refresh)) AS new FROM k GROUP BY 1), o AS (SELECT dedupe_key, 'EARLIER' AS kind, 'INFO' AS severity, 'before' AS message, 'RESOLVED' AS status FROM n WHERE substr(dedupe_key, 1, 1) < '8')
+ SELECT dedupe_key, coalesce(o.kind, new.kind) AS kind, CASE WHEN o.kind IS NULL OR new.refresh THEN new.severity ELSE o.severity END AS severity, CASE WHEN o.kind IS NULL OR new.refresh THEN new.message ELSE o.message END AS message, coalesce(status, 'OPEN') AS status FROM n LEFT JOIN o USING (dedupe_key)""")
+def _e11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies and worded observations over a snapshot that knows about half of them."""
+    rows = frame(spark, sf_dir, "x_finding").withColumn("period_end", F.last_day("period_start"))
+    anomalies = rows.where("kind = 'ANOMALY' and affected_worker_count is not null").select(c("rule_id").alias("test"), *K, "severity", F.concat(F.lit("n "), c("affected_worker_count").cast("string")).alias("message"))
+    observations = rows.where("kind <> 'ANOMALY'").select(c("rule_id").alias("title"), c("code").alias("detail"), c("extraction_confidence").alias("confidence"), "kind", *K, "severity")
+    none = spark.createDataFrame([], "dedupe_key string, kind string, severity string, message string, status string")
+    first = cut(advisory_findings(anomalies, observations, none))
+    known = first.where("substring(dedupe_key, 1, 1) < '8'").select("dedupe_key", F.lit("EARLIER").alias("kind"), F.lit("INFO").alias("severity"), F.lit("before").alias("message"), F.lit("RESOLVED").alias("status"))
+    return advisory_findings(anomalies, observations, known)

@@ -35,16 +35,17 @@ SELECT b.*,
        CASE WHEN pk % 17 = 0 THEN NULL ELSE CAST(8 + CASE WHEN pk % 19 = 0 THEN 1 ELSE 0 END AS DOUBLE) END AS normal_hours_per_day
 FROM x_wage_base b
 """,
-    "x_wage_line": """
-SELECT establishment_id, worker_key, row_number, period_start, period_end, period_year, days_paid,
+    "x_wage_core": """
+SELECT establishment_id, worker_key, row_number, pk, period_start, period_end, period_year, days_paid,
        CASE WHEN pk % 7 = 0 THEN NULL ELSE days_paid + (ln % 3) - 1 END AS days_present,
        normal_hours_per_day, overtime_hours, basic_paise, da_paise, other_allowances_paise,
-       CASE WHEN pk % 53 = 0 THEN NULL
+       CASE WHEN pk % 53 = 0 THEN NULL WHEN establishment_id % 37 = 5 AND pk % 2 = 0 THEN CAST(1234567 AS BIGINT)
+            WHEN establishment_id % 37 = 6 THEN basic_paise - basic_paise % 50000 + 50000
             ELSE basic_paise + coalesce(da_paise, 0) + other_allowances_paise
                  + CASE WHEN pk % 29 = 0 THEN 5000 ELSE 0 END END AS gross_paise,
        CASE WHEN overtime_hours > 0 THEN CAST(20000 + (ok % 50) * 1000 AS BIGINT) END AS overtime_rate_paise,
        CASE WHEN overtime_hours > 0 AND pk % 13 <> 0
-            THEN CAST(overtime_hours * (20000 + (ok % 50) * 1000) AS BIGINT) END AS overtime_paise,
+            THEN CAST(overtime_hours * (20000 + (ok % 50) * 1000) AS BIGINT) + CASE WHEN ok % 43 = 0 THEN 700 ELSE 0 END END AS overtime_paise,
        CAST(floor((basic_paise + coalesce(da_paise, 0) + other_allowances_paise) * tax * 8) AS BIGINT) AS deductions_paise,
        CASE WHEN pk % 59 = 0 THEN NULL
             ELSE basic_paise + coalesce(da_paise, 0) + other_allowances_paise
@@ -56,11 +57,18 @@ SELECT establishment_id, worker_key, row_number, period_start, period_end, perio
        CASE WHEN pk % 23 = 0 THEN CAST(period_end - 3 AS DATE) END AS date_of_exit,
        (pk % 61 = 0) AS needs_review
 FROM x_wage_parts
+""",
+    "x_wage_line": """
+SELECT w.establishment_id, w.worker_key, w.row_number, w.period_start, w.period_end, w.period_year, w.days_paid, w.days_present, w.normal_hours_per_day, w.overtime_hours, w.basic_paise, w.da_paise, w.other_allowances_paise,
+       w.gross_paise, w.overtime_rate_paise, w.overtime_paise, w.deductions_paise, w.net_paid_paise, w.paid_on, w.date_of_exit, w.needs_review,
+       CASE WHEN pk % 9 = 0 THEN NULL ELSE CAST(floor(w.deductions_paise * 0.5) AS BIGINT) END AS pf_paise, CAST(floor(w.deductions_paise * 0.25) AS BIGINT) AS esi_paise,
+       w.deductions_paise - CAST(floor(w.deductions_paise * 0.5) AS BIGINT) - CAST(floor(w.deductions_paise * 0.25) AS BIGINT) + CASE WHEN pk % 31 = 0 THEN 500 ELSE 0 END AS advance_paise
+FROM x_wage_core w
 """,
     "x_attendance": """
 SELECT establishment_id, worker_key, row_number, period_start, period_end, period_year,
-       days_paid + (ln % 2) AS days_present,
-       CASE WHEN pk % 11 = 0 THEN NULL ELSE CAST(30 - qty % 31 AS DOUBLE) END AS days_absent,
+       CASE WHEN establishment_id % 37 = 7 THEN CAST(26 AS DOUBLE) ELSE days_paid + (ln % 2) END AS days_present,
+       CASE WHEN pk % 11 = 0 THEN NULL WHEN establishment_id % 37 = 7 THEN CAST(0 AS DOUBLE) ELSE CAST(30 - qty % 31 AS DOUBLE) END AS days_absent,
        overtime_hours,
        CAST(7 + qty % 4 AS DOUBLE) AS max_daily_hours,
        CAST(40 + qty % 13 AS DOUBLE) AS max_weekly_hours,
@@ -69,16 +77,16 @@ FROM x_wage_parts WHERE ln <> 5
 """,
     "x_contribution": """
 SELECT 'EPF' AS scheme, establishment_id, worker_key, row_number, period_start, period_end, period_year,
-       CASE WHEN pk % 47 = 0 THEN NULL WHEN worker_key % 10 = 3
+       CASE WHEN pk % 47 = 0 THEN NULL WHEN establishment_id % 37 = 8 AND pk % 4 <> 0 THEN CAST(1500000 AS BIGINT) WHEN worker_key % 10 = 3
             THEN CAST(floor((basic_paise + coalesce(da_paise, 0)) * 0.6) AS BIGINT)
             ELSE basic_paise + coalesce(da_paise, 0) END AS wage_base_paise,
-       CAST(floor((basic_paise + coalesce(da_paise, 0)) * 0.12) AS BIGINT) AS employee_share_paise,
+       CASE WHEN pk % 71 = 0 THEN NULL ELSE CAST(floor((basic_paise + coalesce(da_paise, 0)) * 0.12) AS BIGINT) END AS employee_share_paise,
        CASE WHEN pk % 67 = 0 THEN NULL
             ELSE CAST(floor((basic_paise + coalesce(da_paise, 0)) * 0.0367) AS BIGINT) END AS employer_share_paise
 FROM x_wage_parts WHERE worker_key % 10 NOT IN (1, 2)
 UNION ALL
 SELECT 'ESIC', establishment_id, worker_key, row_number, period_start, period_end, period_year,
-       basic_paise, CAST(floor(basic_paise * 0.0075) AS BIGINT), CAST(floor(basic_paise * 0.0325) AS BIGINT)
+       CASE WHEN pk % 73 = 0 THEN NULL ELSE basic_paise END, CASE WHEN pk % 79 = 0 THEN NULL ELSE CAST(floor(basic_paise * 0.0075) AS BIGINT) END, CASE WHEN pk % 83 = 0 THEN NULL ELSE CAST(floor(basic_paise * 0.0325) AS BIGINT) END
 FROM x_wage_parts WHERE cents <= 2100000 AND worker_key % 5 <> 4
 """,
     "x_establishment": """
@@ -130,7 +138,7 @@ SELECT CAST(event_id AS BIGINT) AS assertion_id, CAST(user_id AS BIGINT) AS esta
             WHEN 12 THEN 'is_certified' WHEN 13 THEN 'adopts_model_standing_orders' WHEN 14 THEN 'covers_classification_of_workers'
             WHEN 15 THEN 'covers_disciplinary_procedure' ELSE 'covers_termination' END AS key,
        (event_id % 10 <> 0) AS present,
-       CASE WHEN event_id % 17 IN (6, 7, 8, 9) THEN CAST(CAST(floor(value) AS INT) % 14 AS VARCHAR(20)) WHEN event_id % 17 = 11 THEN CAST(CAST(floor(value) AS INT) % 70 AS VARCHAR(20))
+       CASE WHEN event_id % 17 IN (8, 9) THEN CAST(user_id % 4 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) WHEN event_id % 17 IN (6, 7) THEN CAST(CAST(floor(value) AS INT) % 14 AS VARCHAR(20)) WHEN event_id % 17 = 11 THEN CAST(CAST(floor(value) AS INT) % 70 AS VARCHAR(20))
             ELSE CASE CAST(floor(value) AS INT) % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' Y ' WHEN 3 THEN 'unclear' WHEN 4 THEN 'TRUE' ELSE 'False' END END AS value_text
 FROM events
 """,
