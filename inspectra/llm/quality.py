@@ -87,26 +87,32 @@ def score(docs: DataFrame, ratios: np.ndarray, bits: int, seed: int = 7) -> Data
 
 
 def kth_largest(rows: DataFrame, k: int, ranges: int = 1 << 12, few: int = 10_000) -> tuple[float, int] | None:
-    """(key, doc_id) of the k-th row in the order key descending, doc_id ascending. Counts of ranges until `few` rows are left."""
+    """(key, doc_id) of the k-th row in the order key descending, doc_id ascending. Counts of ranges until `few` rows are left; keys are
+    doubles, or whole numbers that are divided exactly."""
+    whole = rows.schema["key"].dataType.simpleString() != "double"
     low, high = rows.agg(F.min("key"), F.max("key")).first()
     if low is None or k <= 0:
         return None
     inside = rows
-    for _ in range(12):
+    for _ in range(20):
         n = inside.count()
         if n <= few or low == high:
             break
-        width = (high - low) / ranges
-        counts = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(ranges - 1)).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+        if whole:
+            at = F.floor((F.col("key").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(-(-(high - low + 1) // ranges)).cast("decimal(38,0)"))
+        else:
+            at = F.floor((F.col("key") - low) / ((high - low) / ranges))
+        counts = inside.groupBy(F.least(at.cast("long"), F.lit(ranges - 1).cast("long")).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
         for r in counts.orderBy(F.desc("r")).collect():  # `ranges` rows at most
             if k <= r.n:
                 low, high = r.a, r.b
                 break
             k -= r.n
         inside = rows.where(F.col("key").between(low, high))
-    if low == high and inside.count() > few:  # one key for all that is left: the same search over ids
-        top = kth_largest(inside.select((-F.col("doc_id")).cast("double").alias("key"), "doc_id"), k, ranges, few)
-        return None if top is None else (low, top[1])
+    if low == high and not whole and inside.count() > few:  # one key for all that is left: the same search over ids
+        nameless = inside.where("doc_id is null").count()
+        top = kth_largest(inside.where("doc_id is not null").select((-F.col("doc_id")).alias("key"), "doc_id"), k - nameless, ranges, few)
+        return (low, top[1]) if top is not None else (low, None)
     last = inside.orderBy(F.desc("key"), F.asc("doc_id")).limit(k).orderBy(F.asc("key"), F.desc("doc_id")).first()
     return last.key, last.doc_id
 
@@ -122,7 +128,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bit
     ratios = log_ratios(gram_counts(marked, bits), bits)
     own = cut(score(docs, ratios, bits, seed))
     last = kth_largest(own, round(share * own.count()))
-    taken = F.lit(False) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & F.coalesce(F.col("doc_id") <= last[1], F.lit(last[1] is None)))
+    # Of rows with one key those without an id come first.
+    tie = F.col("doc_id").isNull() if last is None or last[1] is None else F.col("doc_id").isNull() | (F.col("doc_id") <= last[1])
+    taken = F.lit(False) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & tie)
     return own.withColumn("selected", taken)
 
 

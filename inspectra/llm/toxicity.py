@@ -70,7 +70,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed, max_rows: int,
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
-def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6), least_docs: int = 4, relative: float = 0.4, neighbours: float = 0.5) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6, 7), least_docs: int = 4, relative: float = 0.2, neighbours: float = 0.5) -> dict[str, float]:
     """Feature -> weight. Counted in each task first, then summed by Spark; only the chosen features reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
