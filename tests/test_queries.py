@@ -17,5 +17,12 @@ def test_matches_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_without_a_twin(spark, name):
+    """Each of these is held to a plain computation elsewhere; here it must have rows."""
+    assert name in {"v16_word_lines"}
+    assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["f02_f06_incidents", "a1_benford", "a2_outliers", "a3_duplicates", "a4_round_amounts", "a5_zero_variance", "a6_uniform_base", "v2_split_numbers", "v10_national_ids"])
+def test_has_rows(spark, name):
+    assert QUERIES[name](spark, SF).take(1)
