@@ -28,7 +28,7 @@ PROSE_FLAGS = [
     "states_employee_name", "states_designation", "states_date_of_joining", "states_wage_rate", "states_working_hours", "is_signed_by_employer",
     "has_chairperson", "is_certified", "adopts_model_standing_orders", "covers_classification_of_workers", "covers_disciplinary_procedure", "covers_termination",
 ]
-PROSE_NUMBERS = ["grievance_committee_members", "grievance_committee_women", "grievance_committee_employer_reps", "grievance_committee_worker_reps", "strike_notice_days"]
+PROSE_NUMBERS = ["grievance_committee_members", "grievance_committee_women", "grievance_committee_employer_reps", "grievance_committee_worker_reps", "strike_notice_days", "total_workers"]
 USABLE = ["EXTRACTED", "NEEDS_REVIEW", "VERIFIED", "EVALUATED"]
 
 
@@ -173,24 +173,41 @@ def document_counts(documents: DataFrame) -> DataFrame:
     return rows.groupBy(*K).agg(*by_type, F.count_if(F.col("status") == "NEEDS_REVIEW").alias("needs_review_count"), p.count_rows().alias("documents_total"))
 
 
-def headcounts(wages: DataFrame, lines: DataFrame) -> DataFrame:
-    """F8: distinct workers per K in each source: one row per worker first, with the sources that know him, then sums. No row is multiplied."""
-    keys = wages.select(*K, "worker_key", F.lit("REGISTER").alias("source"), F.col("esic_eligible_worker_key").isNotNull().alias("eligible")).unionByName(
+def register_counts(people: DataFrame, documents: DataFrame) -> DataFrame:
+    """(K, register_count, contract_count, unreviewed_matches) of the people in service within each period for which an employee register was filed. documents: those of the assessed periods."""
+    filed = documents.where(F.col("status").isin(USABLE) & (F.col("doc_type") == "EMPLOYEE_REGISTER")).select(*K).distinct()
+    exit_day = F.col("date_of_exit") if "date_of_exit" in people.columns else F.lit(None).cast("date")
+    there = (F.col("date_of_joining").isNull() | (F.col("date_of_joining") <= F.col("period_end"))) & (exit_day.isNull() | (exit_day >= F.col("period_start")))
+    weak = F.coalesce(F.col("match_confidence"), F.lit(1.0)) < 0.9 if "match_confidence" in people.columns else F.lit(False)
+    seen = p.truth("match_reviewed") if "match_reviewed" in people.columns else F.lit(False)
+    rows = filed.join(people, "establishment_id").where(there)
+    return rows.groupBy(*K).agg(F.count_distinct("identity_id").alias("register_count"), F.count_if(p.truth("is_contract_worker")).alias("contract_count"), F.count_if(weak & ~seen).alias("unreviewed_matches"))
+
+
+def headcounts(wages: DataFrame, lines: DataFrame, registers: DataFrame | None = None, prose: DataFrame | None = None) -> DataFrame:
+    """F8: distinct workers per K in each source: one row per worker first, with the sources that know him, then sums; no row is multiplied. The annual return is the prose answer total_workers.
+    A source that is not given or has no row counts 0, the annual return null."""
+    keys = wages.select(*K, "worker_key", F.lit("WAGES").alias("source"), F.col("esic_eligible_worker_key").isNotNull().alias("eligible")).unionByName(
         lines.select(*K, "worker_key", F.col("scheme").alias("source"), F.lit(False).alias("eligible"))
     )
-    seen = {"register_count": F.col("source") == "REGISTER", "epf_count": F.col("source") == "EPF", "esic_count": F.col("source") == "ESIC", "esic_eligible_count": F.col("eligible")}
+    seen = {"wage_count": F.col("source") == "WAGES", "epf_count": F.col("source") == "EPF", "esic_count": F.col("source") == "ESIC", "esic_eligible_count": F.col("eligible")}
     each = keys.groupBy(*K, "worker_key").agg(*(F.bool_or(test).alias(name) for name, test in seen.items()))
-    return each.groupBy(*K).agg(*(F.count_if(F.col(name) & F.col("worker_key").isNotNull()).alias(name) for name in seen))
+    counts = each.groupBy(*K).agg(*(F.count_if(F.col(name) & F.col("worker_key").isNotNull()).alias(name) for name in seen))
+    counts = counts.join(registers.select(*K, "register_count"), K, "left") if registers is not None else counts.withColumn("register_count", F.lit(None).cast("long"))
+    told = prose.select("establishment_id", F.col("total_workers").alias("annual_return_workers")) if prose is not None else None
+    counts = counts.join(told, "establishment_id", "left") if told is not None else counts.withColumn("annual_return_workers", F.lit(None).cast("double"))
+    return counts.fillna(0, ["register_count"])
 
 
 def establishment_facts(establishments: DataFrame, counts: DataFrame) -> DataFrame:
     """Counts are the largest of what was declared and what was seen; women's share is 0 without workers."""
     rows = counts.join(establishments.where("is_active"), "establishment_id")
-    effective = F.greatest("worker_count", "register_count", "epf_count", "esic_count").cast("long")
+    told = F.when(F.col("annual_return_workers") >= 0, p.to_int("annual_return_workers"))
+    effective = F.greatest(F.col("worker_count").cast("long"), "register_count", "wage_count", "epf_count", "esic_count", told.cast("long")).cast("long")
     return rows.select(
         *K, "state_code", "nic_code", "organisation_id", effective.alias("worker_count"), F.greatest(F.col("worker_count_peak_12m"), effective).cast("long").alias("worker_count_peak_12m"),
         F.col("women_worker_count").cast("long").alias("women_worker_count"), F.col("contract_worker_count").cast("long").alias("contract_worker_count"), "engages_contract_labour", "is_factory",
-        F.coalesce(p.ratio("women_worker_count", effective), F.lit(0.0)).alias("women_ratio"), "register_count", "epf_count", "esic_count", "esic_eligible_count",
+        F.coalesce(p.ratio("women_worker_count", effective), F.lit(0.0)).alias("women_ratio"), "register_count", "wage_count", "epf_count", "esic_count", "esic_eligible_count", "annual_return_workers",
     )
 
 
@@ -242,18 +259,25 @@ ORACLE_VIEWS["x_o_incident"] = """
 SELECT i.*, k.period_start, k.period_end, notified_on - occurred_on AS delay_days
 FROM x_incident i JOIN (SELECT DISTINCT establishment_id, period_start, period_end FROM x_document) k ON i.establishment_id = k.establishment_id AND occurred_on BETWEEN k.period_start AND k.period_end
 """
+ORACLE_VIEWS["x_o_register"] = """
+SELECT k.establishment_id, k.period_start, k.period_end, count(DISTINCT identity_id) AS register_count, count(*) FILTER (WHERE is_contract_worker) AS contract_count
+FROM (SELECT DISTINCT establishment_id, period_start, period_end FROM x_document WHERE doc_type = 'EMPLOYEE_REGISTER' AND status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED')) k
+JOIN x_identity i ON i.establishment_id = k.establishment_id AND (date_of_joining IS NULL OR date_of_joining <= k.period_end) GROUP BY 1, 2, 3
+"""
 ORACLE_VIEWS["x_o_counts"] = """
-SELECT establishment_id, period_start, period_end, count(DISTINCT worker_key) FILTER (WHERE s = 'REGISTER') AS register_count, count(DISTINCT worker_key) FILTER (WHERE s = 'EPF') AS epf_count,
+SELECT k.*, coalesce(r.register_count, 0) AS register_count, p.total_workers AS annual_return_workers FROM (
+SELECT establishment_id, period_start, period_end, count(DISTINCT worker_key) FILTER (WHERE s = 'WAGES') AS wage_count, count(DISTINCT worker_key) FILTER (WHERE s = 'EPF') AS epf_count,
        count(DISTINCT worker_key) FILTER (WHERE s = 'ESIC') AS esic_count, count(DISTINCT e) AS esic_eligible_count
-FROM (SELECT establishment_id, period_start, period_end, worker_key, 'REGISTER' AS s, esic_eligible_worker_key AS e FROM x_o_wage
-      UNION ALL SELECT establishment_id, period_start, period_end, worker_key, scheme, NULL FROM x_contribution) GROUP BY 1, 2, 3
+FROM (SELECT establishment_id, period_start, period_end, worker_key, 'WAGES' AS s, esic_eligible_worker_key AS e FROM x_o_wage
+      UNION ALL SELECT establishment_id, period_start, period_end, worker_key, scheme, NULL FROM x_contribution) GROUP BY 1, 2, 3) k
+LEFT JOIN x_o_register r ON r.establishment_id = k.establishment_id AND r.period_start = k.period_start AND r.period_end = k.period_end
+LEFT JOIN x_o_prose p ON p.establishment_id = k.establishment_id
 """
 ORACLE_VIEWS["x_o_estab"] = """
-SELECT c.establishment_id, period_start, period_end, state_code, nic_code, organisation_id, greatest(e.worker_count, register_count, epf_count, esic_count)::BIGINT AS worker_count,
-       greatest(worker_count_peak_12m, e.worker_count, register_count, epf_count, esic_count)::BIGINT AS worker_count_peak_12m, women_worker_count::BIGINT AS women_worker_count,
-       contract_worker_count::BIGINT AS contract_worker_count, engages_contract_labour, is_factory,
-       coalesce(women_worker_count::DOUBLE / nullif(greatest(e.worker_count, register_count, epf_count, esic_count), 0), 0) AS women_ratio, register_count, epf_count, esic_count, esic_eligible_count
-FROM x_o_counts c JOIN x_establishment e ON c.establishment_id = e.establishment_id AND e.is_active
+SELECT establishment_id, period_start, period_end, state_code, nic_code, organisation_id, effective AS worker_count, greatest(worker_count_peak_12m, effective)::BIGINT AS worker_count_peak_12m, women_worker_count::BIGINT AS women_worker_count,
+       contract_worker_count::BIGINT AS contract_worker_count, engages_contract_labour, is_factory, coalesce(women_worker_count::DOUBLE / nullif(effective, 0), 0) AS women_ratio,
+       register_count, wage_count, epf_count, esic_count, esic_eligible_count, annual_return_workers
+FROM (SELECT c.*, e.* EXCLUDE (establishment_id), greatest(e.worker_count, register_count, wage_count, epf_count, esic_count, trunc(annual_return_workers))::BIGINT AS effective FROM x_o_counts c JOIN x_establishment e ON c.establishment_id = e.establishment_id AND e.is_active)
 """
 _PROSE = ",\n".join(
     [f"max(CASE WHEN key = '{k}' AND stated THEN coalesce(lower(trim(v)) IN ('yes', 'true', 'y'), false) END) AS {k}" for k in PROSE_FLAGS]
@@ -313,10 +337,16 @@ def _f06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f08_f09_f16_establishments", "SELECT * FROM x_o_estab")
 def _f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = headcounts(all_wage_facts(spark, sf_dir), frame(spark, sf_dir, "x_contribution"))
+    registers = register_counts(frame(spark, sf_dir, "x_identity"), frame(spark, sf_dir, "x_document"))
+    counts = headcounts(all_wage_facts(spark, sf_dir), frame(spark, sf_dir, "x_contribution"), registers, prose_facts(frame(spark, sf_dir, "x_prose_assertion")))
     return establishment_facts(frame(spark, sf_dir, "x_establishment"), counts)
 
 
+@query("f08_register_counts", "SELECT *, 0 AS unreviewed_matches FROM x_o_register")
+def _f08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register_counts(frame(spark, sf_dir, "x_identity"), frame(spark, sf_dir, "x_document"))
+
+
 @query("f07_register_active", """SELECT establishment_id, identity_id, date_of_joining FROM x_identity i WHERE (date_of_joining IS NULL OR date_of_joining <= DATE '1992-06-30')
   AND EXISTS (SELECT 1 FROM x_document d WHERE d.establishment_id = i.establishment_id AND d.doc_type = 'APPOINTMENT_LETTER')""")
 def _f07(spark: SparkSession, sf_dir: str) -> DataFrame:

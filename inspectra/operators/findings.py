@@ -294,12 +294,14 @@ def _c1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observed_workers(counts: DataFrame) -> DataFrame:
     """The largest positive count of workers in any source, contract labour left out: null if there is none."""
-    return counts.withColumn("observed_workers", F.greatest(*(F.when(c(x) > 0, c(x)) for x in ("register_count", "epf_count", "esic_count"))))
+    return counts.withColumn("observed_workers", F.greatest(*(F.when(c(x) > 0, c(x)) for x in ("register_count", "wage_count", "epf_count", "esic_count", "annual_return_workers"))).cast("long"))
 
 
-@query("c9_observed_workers", "SELECT establishment_id, period_start, period_end, nullif(greatest(register_count, epf_count, esic_count), 0) AS observed_workers FROM x_o_counts")
+@query("c9_observed_workers", "SELECT establishment_id, period_start, period_end, nullif(greatest(register_count, wage_count, epf_count, esic_count, annual_return_workers), 0)::BIGINT AS observed_workers FROM x_o_counts")
 def _c9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observed_workers(facts.headcounts(facts.all_wage_facts(spark, sf_dir), frame(spark, sf_dir, "x_contribution"))).select(*K, "observed_workers")
+    registers = facts.register_counts(frame(spark, sf_dir, "x_identity"), frame(spark, sf_dir, "x_document"))
+    counts = facts.headcounts(facts.all_wage_facts(spark, sf_dir), frame(spark, sf_dir, "x_contribution"), registers, facts.prose_facts(frame(spark, sf_dir, "x_prose_assertion")))
+    return observed_workers(counts).select(*K, "observed_workers")
 
 
 def assessed_periods(outcomes: DataFrame) -> DataFrame:

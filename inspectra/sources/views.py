@@ -132,13 +132,13 @@ FROM supplier
 """,
     "x_prose_assertion": """
 SELECT CAST(event_id AS BIGINT) AS assertion_id, CAST(user_id AS BIGINT) AS establishment_id, ts AS created_at,
-       CASE event_id % 17 WHEN 0 THEN 'states_employee_name' WHEN 1 THEN 'states_designation' WHEN 2 THEN 'states_date_of_joining' WHEN 3 THEN 'states_wage_rate'
+       CASE event_id % 18 WHEN 0 THEN 'states_employee_name' WHEN 1 THEN 'states_designation' WHEN 2 THEN 'states_date_of_joining' WHEN 3 THEN 'states_wage_rate'
             WHEN 4 THEN 'states_working_hours' WHEN 5 THEN 'is_signed_by_employer' WHEN 6 THEN 'grievance_committee_members' WHEN 7 THEN 'grievance_committee_women'
             WHEN 8 THEN 'grievance_committee_employer_reps' WHEN 9 THEN 'grievance_committee_worker_reps' WHEN 10 THEN 'has_chairperson' WHEN 11 THEN 'strike_notice_days'
             WHEN 12 THEN 'is_certified' WHEN 13 THEN 'adopts_model_standing_orders' WHEN 14 THEN 'covers_classification_of_workers'
-            WHEN 15 THEN 'covers_disciplinary_procedure' ELSE 'covers_termination' END AS key,
+            WHEN 15 THEN 'covers_disciplinary_procedure' WHEN 16 THEN 'covers_termination' ELSE 'total_workers' END AS key,
        (event_id % 10 <> 0) AS present,
-       CASE WHEN event_id % 17 IN (8, 9) THEN CAST(user_id % 4 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) WHEN event_id % 17 IN (6, 7) THEN CAST(CAST(floor(value) AS INT) % 14 AS VARCHAR(20)) WHEN event_id % 17 = 11 THEN CAST(CAST(floor(value) AS INT) % 70 AS VARCHAR(20))
+       CASE WHEN event_id % 18 IN (8, 9) THEN CAST(user_id % 4 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) WHEN event_id % 18 IN (6, 7) THEN CAST(CAST(floor(value) AS INT) % 14 AS VARCHAR(20)) WHEN event_id % 18 = 17 THEN CAST(user_id % 500 AS VARCHAR(20)) WHEN event_id % 18 = 11 THEN CAST(CAST(floor(value) AS INT) % 70 AS VARCHAR(20))
             ELSE CASE CAST(floor(value) AS INT) % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' Y ' WHEN 3 THEN 'unclear' WHEN 4 THEN 'TRUE' ELSE 'False' END END AS value_text
 FROM events
 """,
