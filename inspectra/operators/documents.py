@@ -84,14 +84,14 @@ def _d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_states(frame(spark, sf_dir, "x_document"))
 
 
-@query("d7_rows_per_table", "SELECT establishment_id, count(*) FILTER (WHERE t = 'wage') AS wage, count(*) FILTER (WHERE t = 'attendance') AS attendance, count(*) FILTER (WHERE t = 'contribution') AS contribution, count(*) FILTER (WHERE t = 'incident') AS incident FROM (SELECT establishment_id, 'wage' AS t FROM x_wage_line UNION ALL SELECT establishment_id, 'attendance' FROM x_attendance UNION ALL SELECT establishment_id, 'contribution' FROM x_contribution UNION ALL SELECT establishment_id, 'incident' FROM x_incident) GROUP BY 1")
+@query("d7_rows_per_table", "SELECT establishment_id, count(*) FILTER (WHERE t = 'wage') AS wage, count(*) FILTER (WHERE t = 'attendance') AS attendance, count(*) FILTER (WHERE t = 'contribution') AS contribution, count(*) FILTER (WHERE t = 'incident') AS incident, count(*) FILTER (WHERE t = 'prose') AS prose FROM (SELECT establishment_id, 'wage' AS t FROM x_wage_line UNION ALL SELECT establishment_id, 'attendance' FROM x_attendance UNION ALL SELECT establishment_id, 'contribution' FROM x_contribution UNION ALL SELECT establishment_id, 'incident' FROM x_incident UNION ALL SELECT establishment_id, 'prose' FROM x_prose_assertion) GROUP BY 1")
 def _d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each table is counted on its own first; only counts are united."""
     out = None
-    for t, view in (("wage", "x_wage_line"), ("attendance", "x_attendance"), ("contribution", "x_contribution"), ("incident", "x_incident")):
+    for t, view in (("wage", "x_wage_line"), ("attendance", "x_attendance"), ("contribution", "x_contribution"), ("incident", "x_incident"), ("prose", "x_prose_assertion")):
         own = frame(spark, sf_dir, view).groupBy("establishment_id").agg(p.count_rows().alias("n")).withColumn("t", F.lit(t))
         out = own if out is None else out.unionByName(own)
-    return out.groupBy("establishment_id").agg(*(F.sum(F.when(c("t") == t, c("n")).otherwise(0)).alias(t) for t in ("wage", "attendance", "contribution", "incident")))
+    return out.groupBy("establishment_id").agg(*(F.sum(F.when(c("t") == t, c("n")).otherwise(0)).alias(t) for t in ("wage", "attendance", "contribution", "incident", "prose")))
 
 
 def merge_shared_uan(people: DataFrame) -> DataFrame:
@@ -122,6 +122,21 @@ def _l6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.join(keepers, ["establishment_id", "uan"], "left").select("identity_id", F.coalesce("keeper_id", "identity_id").alias("keeper_id"))
 
 
+def repoint(rows: DataFrame, keepers: DataFrame, column: str = "worker_identity_id") -> DataFrame:
+    """Fact rows moved to the identity that stays. keepers: (identity_id, keeper_id) of the merged ones."""
+    moved = keepers.where("identity_id <> keeper_id").select(c("identity_id").alias(column), c("keeper_id").alias("_keeper"))
+    return rows.join(moved, column, "left").withColumn(column, F.coalesce("_keeper", column)).drop("_keeper")
+
+
+@query("l6_repointed_rows", f"""SELECT k AS worker_identity_id, count(*) AS n, sum(row_number)::BIGINT AS s FROM (SELECT w.row_number, coalesce(m.keeper_id, w.worker_key) AS k FROM x_wage_line w LEFT JOIN (SELECT identity_id, keeper_id FROM x_identity JOIN (SELECT establishment_id, uan, first(identity_id {_ORDER}) AS keeper_id FROM x_identity WHERE uan IS NOT NULL GROUP BY 1, 2) USING (establishment_id, uan)) m ON m.identity_id = w.worker_key) GROUP BY 1""")
+def _l6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wage rows per worker after identities were merged."""
+    people = frame(spark, sf_dir, "x_identity")
+    keepers = people.join(merge_shared_uan(people).select("establishment_id", "uan", "keeper_id"), ["establishment_id", "uan"]).select("identity_id", "keeper_id")
+    rows = repoint(frame(spark, sf_dir, "x_wage_line").withColumnRenamed("worker_key", "worker_identity_id"), keepers)
+    return rows.groupBy("worker_identity_id").agg(p.count_rows().alias("n"), F.sum("row_number").alias("s"))
+
+
 def token_similarity(a: Column, b: Column) -> Column:
     """0-100: shared name tokens, an initial counting for a token that it begins."""
     left, right = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))

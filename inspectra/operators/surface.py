@@ -12,7 +12,7 @@ from inspectra.operators import cleaning, facts
 from inspectra.operators.facts import K
 from inspectra.operators.findings import OPEN
 from inspectra.plans.registry import query
-from inspectra.sources.views import frame
+from inspectra.sources.views import VIEWS, frame
 
 c = F.col
 
@@ -134,10 +134,36 @@ def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot("document_id", ["doc_type", "status", "period_start"], "name", "value").where("value is not null")
 
 
-@query("s4_payload_rows", """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
+# The rows that each type of document delivers.
+PAYLOADS = {"WAGE_REGISTER": "rows array<struct<page:int,worker_name:string,gross:string,paid_on:string>>", "MUSTER_ROLL": "rows array<struct<page:int,worker_name:string,marks:string>>"}
+
+VIEWS["x_payload"] = """
+SELECT row_id, document_id, page, CASE WHEN row_id % 3 = 0 THEN 'MUSTER_ROLL' ELSE 'WAGE_REGISTER' END AS doc_type,
+       CASE WHEN row_id % 11 = 0 THEN 'not json' WHEN row_id % 3 = 0 THEN '{"rows":[{"page":' || CAST(page AS VARCHAR(20)) || ',"worker_name":"' || worker_name || '","marks":"PPAPP"},{"page":1,"worker_name":null,"marks":"AA"}]}'
+            ELSE '{"rows":[{"page":' || CAST(page AS VARCHAR(20)) || ',"worker_name":" ' || worker_name || '","gross":"' || amount || '","paid_on":"7/4/2026"}]}' END AS payload
+FROM x_raw_amount
+"""
+
+
+def payload_rows(payloads: DataFrame) -> DataFrame:
+    """(document_id, row_id, doc_type, n, page, worker_name, gross_paise, paid_on, longest_run): the typed rows of JSON payloads, each type of document by its own schema. What is no such JSON has no rows."""
+    out = None
+    for kind, schema in PAYLOADS.items():
+        rows = payloads.where(c("doc_type") == kind).select("document_id", "row_id", "doc_type", F.posexplode(F.from_json("payload", schema)["rows"]).alias("n", "r"))
+        wage = kind == "WAGE_REGISTER"
+        typed = rows.select(
+            "document_id", "row_id", "doc_type", "n", c("r.page").alias("page"), n.clean_text("r.worker_name").alias("worker_name"), (n.parse_paise("r.gross") if wage else F.lit(None).cast("long")).alias("gross_paise"),
+            (n.parse_date("r.paid_on") if wage else F.lit(None).cast("date")).alias("paid_on"), (F.lit(None).cast("int") if wage else n.longest_run("r.marks")).alias("longest_run"),
+        )
+        out = typed if out is None else out.unionByName(typed)
+    return out
+
+
+@query("s4_payload_rows", """WITH w AS (SELECT document_id, row_id, page::INT AS page, trim(regexp_replace(worker_name, '\\s+', ' ', 'g')) AS name, amount FROM x_raw_amount WHERE row_id % 11 <> 0)
+ SELECT document_id, row_id, 'MUSTER_ROLL' AS doc_type, 0 AS n, page, name AS worker_name, NULL::BIGINT AS gross_paise, NULL::DATE AS paid_on, 2 AS longest_run FROM w WHERE row_id % 3 = 0 UNION ALL SELECT document_id, row_id, 'MUSTER_ROLL', 1, 1, NULL, NULL, NULL, NULL FROM w WHERE row_id % 3 = 0
+ UNION ALL SELECT document_id, row_id, 'WAGE_REGISTER', 0, page, name, CASE WHEN amount LIKE '(%)' THEN -1 ELSE 1 END * round(try_cast(regexp_replace(CASE WHEN amount IN ('-', 'n/a') THEN NULL ELSE amount END, '[^0-9.\\-]', '', 'g') AS DECIMAL(18,4)) * 100)::BIGINT, DATE '2026-04-07', NULL FROM w WHERE row_id % 3 <> 0""")
 def _s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON payloads to typed columns by a fixed schema."""
-    return frame(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    return payload_rows(frame(spark, sf_dir, "x_payload"))
 
 
 def merged_header(pages: DataFrame, key: str, page: str, fields: list[str]) -> DataFrame:
@@ -194,9 +220,22 @@ def _n9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "x_identity").select("identity_id", n.name_key(name).alias("name_key"), n.digits_only("uan").alias("digits"))
 
 
-@query("c14_inspector_queue", "SELECT state_code, count(*) AS findings, count(DISTINCT f.establishment_id) AS establishments FROM x_finding f JOIN x_establishment e USING (establishment_id) WHERE is_active AND status IN ('OPEN', 'ACKNOWLEDGED', 'DISPUTED') GROUP BY 1")
+VIEWS["x_inspector"] = """
+SELECT CAST(c_custkey AS BIGINT) AS user_id, CASE WHEN c_custkey % 4 = 0 THEN 'ANALYST' ELSE 'INSPECTOR' END AS role, (c_custkey % 9 <> 0) AS is_active,
+       CASE c_custkey % 5 WHEN 0 THEN 'IN/MH,IN/GJ' WHEN 1 THEN 'IN/KA' WHEN 2 THEN '' WHEN 3 THEN 'IN/DL,IN/RJ' ELSE 'IN/MH' END AS jurisdictions
+FROM customer
+"""
+
+
+def inspector_queue(findings: DataFrame, establishments: DataFrame, users: DataFrame) -> DataFrame:
+    """C14: (user_id, findings, establishments): what each active inspector whose jurisdictions hold the establishment is told of. Findings are counted by establishment before they fan out."""
+    open_ = findings.where(c("status").isin(OPEN)).groupBy("establishment_id").agg(p.count_rows().alias("n"))
+    rows = open_.join(establishments.where("is_active").select("establishment_id", F.concat(F.lit("IN/"), "state_code").alias("jurisdiction")), "establishment_id")
+    who = users.where("is_active and role = 'INSPECTOR'").select("user_id", F.explode(F.array_distinct(F.split("jurisdictions", ","))).alias("jurisdiction")).where("jurisdiction <> ''")
+    return rows.join(who, "jurisdiction").groupBy("user_id").agg(F.sum("n").alias("findings"), p.count_rows().alias("establishments"))
+
+
+@query("c14_inspector_queue", """SELECT user_id, count(*) AS findings, count(DISTINCT f.establishment_id) AS establishments FROM x_finding f JOIN x_establishment e USING (establishment_id) JOIN (SELECT user_id, unnest(string_split(jurisdictions, ',')) AS j FROM x_inspector WHERE is_active AND role = 'INSPECTOR') u ON u.j = 'IN/' || e.state_code
+ WHERE e.is_active AND status IN ('OPEN', 'ACKNOWLEDGED', 'DISPUTED') GROUP BY 1""")
 def _c14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open findings that the inspectors of each jurisdiction get."""
-    est = frame(spark, sf_dir, "x_establishment").where("is_active").select("establishment_id", "state_code")
-    rows = frame(spark, sf_dir, "x_finding").where(c("status").isin(OPEN)).join(est, "establishment_id")
-    return rows.groupBy("state_code").agg(p.count_rows().alias("findings"), F.count_distinct("establishment_id").alias("establishments"))
+    return inspector_queue(frame(spark, sf_dir, "x_finding"), frame(spark, sf_dir, "x_establishment"), frame(spark, sf_dir, "x_inspector"))
