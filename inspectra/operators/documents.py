@@ -95,13 +95,15 @@ def _d7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_shared_uan(people: DataFrame) -> DataFrame:
-    """Identities of one establishment with one UAN become one: (establishment_id, uan, keeper_id, members, display_name, father_name, date_of_joining, is_contract_worker).
-    The keeper has a joining date, a father's name and the longest name, in that order; the smallest id of equals. Blanks are filled from the keeper's order."""
-    rows = people.where(c("uan").isNotNull()).withColumn("uan", n.digits_only("uan"))
-    order = F.struct(c("date_of_joining").isNotNull(), c("father_name").isNotNull(), F.length("display_name"), -c("identity_id"))
+    """Identities of one establishment with one UAN become one: (establishment_id, uan, keeper_id, members, display_name, father_name, date_of_joining, is_contract_worker, name_variants).
+    The keeper has the most spellings (column name_variants, where there is one), a joining date, a father's name and the longest name, in that order; the smallest id of equals. Blanks are filled from the keeper's order, spellings joined in it, 20 at most."""
+    spelled = c("name_variants") if "name_variants" in people.columns else F.array().cast("array<string>")
+    rows = people.where(c("uan").isNotNull()).withColumns({"uan": n.digits_only("uan"), "_own": F.coalesce(spelled, F.array().cast("array<string>"))})
+    order = F.struct(F.size("_own"), c("date_of_joining").isNotNull(), c("father_name").isNotNull(), F.length("display_name"), -c("identity_id"))
     best = lambda x: F.max_by(x, F.when(c(x).isNotNull(), order))
     return rows.groupBy("establishment_id", "uan").agg(
-        F.max_by("identity_id", order).alias("keeper_id"), p.count_rows().alias("members"), best("display_name").alias("display_name"), best("father_name").alias("father_name"), best("date_of_joining").alias("date_of_joining"), F.max("is_contract_worker").alias("is_contract_worker")
+        F.max_by("identity_id", order).alias("keeper_id"), p.count_rows().alias("members"), best("display_name").alias("display_name"), best("father_name").alias("father_name"), best("date_of_joining").alias("date_of_joining"), F.max("is_contract_worker").alias("is_contract_worker"),
+        F.slice(F.array_distinct(F.filter(F.flatten(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat(F.array("display_name"), "_own").alias("v"))))), lambda x: x["v"])), lambda v: v.isNotNull())), 1, 20).alias("name_variants"),
     )
 
 
@@ -109,9 +111,9 @@ _ORDER = "ORDER BY (date_of_joining IS NOT NULL) DESC, (father_name IS NOT NULL)
 
 
 @query("l5_merge_identities", f"""SELECT establishment_id, uan, first(identity_id {_ORDER}) AS keeper_id, count(*) AS members, first(display_name {_ORDER}) AS display_name, first(father_name {_ORDER}) FILTER (WHERE father_name IS NOT NULL) AS father_name,
- first(date_of_joining {_ORDER}) FILTER (WHERE date_of_joining IS NOT NULL) AS date_of_joining, bool_or(is_contract_worker) AS is_contract_worker FROM x_identity WHERE uan IS NOT NULL GROUP BY 1, 2""")
+ first(date_of_joining {_ORDER}) FILTER (WHERE date_of_joining IS NOT NULL) AS date_of_joining, bool_or(is_contract_worker) AS is_contract_worker, array_to_string(list(display_name {_ORDER}), '|') AS name_variants FROM x_identity WHERE uan IS NOT NULL GROUP BY 1, 2""")
 def _l5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_shared_uan(frame(spark, sf_dir, "x_identity"))
+    return merge_shared_uan(frame(spark, sf_dir, "x_identity")).withColumn("name_variants", F.array_join("name_variants", "|"))
 
 
 @query("l1_l6_repoint", f"""SELECT identity_id, coalesce(keeper_id, identity_id) AS keeper_id FROM x_identity LEFT JOIN (SELECT establishment_id, uan, first(identity_id {_ORDER}) AS keeper_id FROM x_identity WHERE uan IS NOT NULL GROUP BY 1, 2) USING (establishment_id, uan)""")

@@ -180,16 +180,19 @@ def _q9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:
-    """Q7: four one-way counts and the total in one pass. An unknown code counts as UNSPECIFIED, apart from the total."""
-    rows = findings.select(F.coalesce("code", F.lit("UNSPECIFIED")).alias("code"), "severity", "kind", "status", p.truth(is_scored()).alias("s"), "exposure_paise")
-    sets = rows.rollup("code").agg(F.grouping_id().alias("g"), p.count_rows().alias("n"), F.count_if("s").alias("scored"), p.total("exposure_paise").cast("long").alias("exposure_paise"))
-    out = sets.select(F.when(c("g") == 0, "code").otherwise("total").alias("dimension"), F.when(c("g") == 0, c("code")).otherwise("ALL").alias("value"), "n", "scored", "exposure_paise")
-    each = rows.select(F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), c(d).alias("value")) for d in ("severity", "kind", "status")))), "s", "exposure_paise")
-    other = each.groupBy("dimension", "value").agg(p.count_rows().alias("n"), F.count_if("s").alias("scored"), p.total("exposure_paise").cast("long").alias("exposure_paise"))
-    return out.unionByName(other)
+    """Q7: four one-way counts and the total; scored, advisory and awaiting ones apart. An unknown code counts as UNSPECIFIED, apart from the total."""
+    rows = findings.select(
+        F.coalesce("code", F.lit("UNSPECIFIED")).alias("code"), "severity", "kind", "status", F.lit("ALL").alias("total"), p.truth(is_scored()).alias("s"), p.truth((c("kind") == "ANOMALY") | (c("rule_id") == "MODEL.OBSERVATION")).alias("a"),
+        p.truth(c("rule_basis") == "RULES_PENDING").alias("w"), "exposure_paise",
+    )
+    kinds = ("code", "severity", "kind", "status", "total")
+    # Combinations are few: they are counted once, and only their counts are turned into the one-way tables.
+    cells = rows.groupBy(*kinds).agg(p.count_rows().alias("n"), F.count_if("s").alias("scored"), F.count_if("a").alias("advisory"), F.count_if("w").alias("awaiting"), p.total("exposure_paise").cast("long").alias("exposure_paise"))
+    each = cells.select(F.inline(F.array(*(F.struct(F.lit(d).alias("dimension"), c(d).alias("value")) for d in kinds))), "n", "scored", "advisory", "awaiting", "exposure_paise")
+    return each.groupBy("dimension", "value").agg(*(F.sum(x).alias(x) for x in ("n", "scored", "advisory", "awaiting", "exposure_paise")))
 
 
-@query("q7_finding_counts", """SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE s) AS scored, coalesce(sum(exposure_paise), 0)::BIGINT AS exposure_paise FROM (
+@query("q7_finding_counts", """SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE s) AS scored, count(*) FILTER (WHERE kind = 'ANOMALY' OR rule_id = 'MODEL.OBSERVATION') AS advisory, count(*) FILTER (WHERE rule_basis = 'RULES_PENDING') AS awaiting, coalesce(sum(exposure_paise), 0)::BIGINT AS exposure_paise FROM (
  SELECT *, kind <> 'ANOMALY' AND rule_id <> 'MODEL.OBSERVATION' AND status IN ('OPEN', 'ACKNOWLEDGED', 'DISPUTED') AND rule_basis <> 'RULES_PENDING' AS s FROM x_finding), LATERAL (VALUES ('code', coalesce(code, 'UNSPECIFIED')), ('severity', severity), ('kind', kind), ('status', status), ('total', 'ALL')) AS t(dimension, value) GROUP BY 1, 2""")
 def _q7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finding_counts(frame(spark, sf_dir, "x_finding"))
@@ -375,3 +378,18 @@ def _e11(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = cut(advisory_findings(anomalies, observations, none))
     known = first.where("substring(dedupe_key, 1, 1) < '8'").select("dedupe_key", F.lit("EARLIER").alias("kind"), F.lit("INFO").alias("severity"), F.lit("before").alias("message"), F.lit("RESOLVED").alias("status"))
     return advisory_findings(anomalies, observations, known)
+
+
+def establishment_page(establishments: DataFrame, cards: DataFrame, state: str | None = None, search: str | None = None, band_: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Q4: a page of establishments by name with their latest band; the band is filtered within the page, as it is asked for after the page was cut."""
+    rows = establishments if state is None else establishments.where(c("state_code") == state.upper())
+    rows = rows if search is None else rows.where(c("name").ilike(f"%{search}%"))
+    page = rows.orderBy("name", "establishment_id").offset(offset).limit(limit).join(latest_cards(cards).select("establishment_id", "band", "overall"), "establishment_id", "left")
+    return page if band_ is None else page.where(c("band") == band_)
+
+
+@query("q4_establishment_bands", """WITH k AS (SELECT establishment_id, CASE WHEN raw >= 85 THEN 'LOW' WHEN raw >= 70 THEN 'MEDIUM' WHEN raw >= 50 THEN 'HIGH' ELSE 'CRITICAL' END AS band FROM x_o_card QUALIFY row_number() OVER (PARTITION BY establishment_id ORDER BY period_start DESC) = 1)
+ SELECT establishment_id, name, band FROM (SELECT establishment_id, name FROM x_establishment WHERE name ILIKE '%supplier%' ORDER BY name, establishment_id LIMIT 50 OFFSET 2) JOIN k USING (establishment_id) WHERE band = 'MEDIUM'""")
+def _q4_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = scorecards(frame(spark, sf_dir, "x_finding"), E_PERIOD)
+    return establishment_page(frame(spark, sf_dir, "x_establishment"), cards, search="supplier", band_="MEDIUM", offset=2).select("establishment_id", "name", "band")

@@ -196,6 +196,27 @@ def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.where(c("text").rlike("^[0-9]{4,12}$")).select("document_id", "line", "pos", "width", c("text").cast("double").alias("number"))
 
 
+def trace_split_numbers(claims: DataFrame, tokens: DataFrame) -> DataFrame:
+    """V2: claims (document_id, claim_id, value) that no single token carries, held to neighbouring tokens of a line: the joined text is that number, or has its digits (a decimal point was lost).
+    The first line, start and width count: (document_id, claim_id, line, pos, width)."""
+    money = lambda x: F.regexp_replace(x, r"[^0-9.\-]", "").try_cast("decimal(30,10)")
+    spans = token_spans(tokens).where(c("text").rlike("[0-9]")).withColumns({"number": money(c("text")), "digits": n.digits_only("text")})
+    at = F.min(F.struct("line", "pos", "width")).alias("at")
+    wanted = claims.withColumns({"number": money(c("value")), "digits": n.digits_only("value")}).where("digits <> ''")
+    # Two equi-joins, on one row for each number and each digit sequence of a page.
+    by_number = wanted.join(spans.groupBy("document_id", "number").agg(at), ["document_id", "number"]).select("document_id", "claim_id", "at")
+    by_digits = wanted.join(spans.groupBy("document_id", "digits").agg(at), ["document_id", "digits"]).select("document_id", "claim_id", "at")
+    return by_number.union(by_digits).groupBy("document_id", "claim_id").agg(F.min("at").alias("at")).select("document_id", "claim_id", "at.*")
+
+
+@query("v2_traced_spans", """SELECT document_id, claim_id, len(string_split(text, chr(10))) - 1 AS line, 0 AS pos, 3 AS width FROM x_page_line, (VALUES (1), (2)) AS t(claim_id) WHERE text IS NOT NULL""")
+def _v2_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three claims a page: one printed in pieces, one that lost its point, one that is nowhere; of each the first span."""
+    pages = frame(spark, sf_dir, "x_page_line")
+    claims = pages.select("document_id", F.inline(F.array(*(F.struct(F.lit(i).alias("claim_id"), F.lit(v).alias("value")) for i, v in enumerate(("12,345", "123.45", "98989898.1"), 1)))))
+    return trace_split_numbers(claims, cleaning.page_tokens(pages))
+
+
 def trace_texts(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """V3: the first line of the page that holds the claimed text, or its first six letters: (document_id, claim_id, line)."""
     lines = pages.select("document_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "_l")).where("_l is not null")
