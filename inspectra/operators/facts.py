@@ -32,21 +32,30 @@ PROSE_NUMBERS = ["grievance_committee_members", "grievance_committee_women", "gr
 USABLE = ["EXTRACTED", "NEEDS_REVIEW", "VERIFIED", "EVALUATED"]
 
 
-def overlapping(rows: DataFrame, periods: DataFrame) -> DataFrame:
+#: Months of assessed periods that are broadcast at most (some 50 MB); more are joined by a shuffle.
+FEW_MONTHS = 500_000
+
+
+def overlapping(rows: DataFrame, periods: DataFrame, few: bool = False) -> DataFrame:
     """rows whose period overlaps an assessment's. Both sides are spread over the months they touch, so the range
-    condition becomes an equi-join; a pair is taken in its first common month only. A null bound drops the row."""
+    condition becomes an equi-join; a pair is taken in its first common month only. A null bound drops the row. few: the periods were counted (`are_few`) and can be broadcast."""
     month = lambda a, b: F.explode(F.sequence(F.trunc(a, "month"), F.trunc(b, "month"), F.expr("interval 1 month")))
     left = rows.where("period_start <= period_end").withColumn("_month", month("period_start", "period_end"))
     right = periods.select("establishment_id", F.col("period_start").alias("on_start"), F.col("period_end").alias("on_end")).where("on_start <= on_end")
     right = right.withColumn("_month", month("on_start", "on_end"))
-    pair = left.join(right, ["establishment_id", "_month"]).where("period_start <= on_end and period_end >= on_start")
+    pair = left.join(F.broadcast(right) if few else right, ["establishment_id", "_month"]).where("period_start <= on_end and period_end >= on_start")
     return pair.where(F.col("_month") == F.trunc(F.greatest("period_start", "on_start"), "month")).drop("_month")
 
 
-def in_periods(rows: DataFrame, periods: DataFrame) -> DataFrame:
+def are_few(periods: DataFrame) -> bool:
+    months = F.months_between(F.trunc("period_end", "month"), F.trunc("period_start", "month")) + 1
+    return (periods.where("period_start <= period_end").agg(F.sum(months)).first()[0] or 0) <= FEW_MONTHS
+
+
+def in_periods(rows: DataFrame, periods: DataFrame, few: bool = False) -> DataFrame:
     """F1 for facts: rows under the key of each assessed period that theirs overlaps, in place of their own period."""
     own = [x for x in rows.columns if x not in K]
-    return overlapping(rows, periods).select("establishment_id", F.col("on_start").alias("period_start"), F.col("on_end").alias("period_end"), *own)
+    return overlapping(rows, periods, few).select("establishment_id", F.col("on_start").alias("period_start"), F.col("on_end").alias("period_end"), *own)
 
 
 def of_batch(documents: DataFrame, members: DataFrame) -> DataFrame:
