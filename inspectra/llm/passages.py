@@ -169,7 +169,7 @@ def dealt_parts(texts: DataFrame, unit: Unit, block: int, hot_block: int, settle
                         part = unit.joined([items[a:end]])
                         weight += len(part)
                         parts.setdefault((key, part), []).append((doc, own, a, a - end if hot else start + at - a))
-                if weight > PIECE << 4:
+                if weight > PIECE << 3:
                     yield _rows(unit, parts, settle)
                     parts, weight = {}, 0
             yield _rows(unit, parts, settle)
