@@ -111,8 +111,8 @@ SELECT CAST(o_orderkey AS BIGINT) AS document_id, CAST(o_custkey % 20 AS BIGINT)
 FROM orders
 """,
     "x_incident": """
-SELECT CAST(user_id AS BIGINT) AS establishment_id, CAST(event_id AS BIGINT) AS incident_id, CAST(DATE '1992-01-15' + CAST(event_id % 2400 AS INT) AS DATE) AS occurred_on,
-       CASE WHEN event_id % 4 <> 0 THEN CAST(DATE '1992-01-15' + CAST(event_id % 2400 + event_id % 9 - 1 AS INT) AS DATE) END AS notified_on,
+SELECT CAST(user_id AS BIGINT) AS establishment_id, CAST(event_id AS BIGINT) AS incident_id, CAST(DATE '1995-01-15' + CAST(event_id % 2400 AS INT) AS DATE) AS occurred_on,
+       CASE WHEN event_id % 4 <> 0 THEN CAST(DATE '1995-01-15' + CAST(event_id % 2400 + event_id % 9 - 1 AS INT) AS DATE) END AS notified_on,
        CASE WHEN event_id % 3 <> 0 THEN 'REF' || CAST(event_id AS VARCHAR(20)) END AS notification_reference
 FROM events WHERE event_type = 'error'
 """,
