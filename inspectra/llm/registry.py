@@ -7,6 +7,7 @@ from .exact import OP5_SQL, op5_exact
 from .language import op8_language
 from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
+from .search import OP13_SQL, op13_search
 from .simhash import op1_simhash
 from .substring import OP2_SQL, op2_substring
 from .suffixes import OP9_SQL, op9_suffixes
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op5_exact": OP5_SQL,
     "op9_suffixes": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op13_search": OP13_SQL,
 }
