@@ -7,6 +7,7 @@ from .exact import OP5_SQL, op5_exact
 from .language import op8_language
 from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
+from .repair import OP11_SQL, op11_repair
 from .search import OP13_SQL, op13_search
 from .simhash import op1_simhash
 from .substring import OP2_SQL, op2_substring
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
+    "op11_repair": op11_repair,
     "op13_search": op13_search,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL = {
     "op5_exact": OP5_SQL,
     "op9_suffixes": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op11_repair": OP11_SQL,
     "op13_search": OP13_SQL,
 }
