@@ -1,24 +1,26 @@
-"""Near-duplicate documents by the Jaccard similarity of five-word shingles, 0.8 at least: operator 1 where a similarity is asked for.
+"""Near-duplicate documents by the Jaccard similarity of five-word shingles, 0.8 at least: operator 1 where a similarity is asked for, and what operator 12 shares with it.
 
 SimHash alone cannot give these pairs: of the links of 0.8 and more some 9 % lie within 2 differing bits of 64 and 80 %
 within 8. So the pairs are found exactly, and the Hamming budget is one that never fails: a parity fingerprint
 sets a bit for each shingle's hash, two shingles on one bit cancelling out, so two sets differ in at least as many shingles as their
 fingerprints in bits, and sets of a similarity of 0.8 in at most a ninth of both sizes.
 
-1. Of a third of all shingles (those of small hashes) it is counted which stand in several documents. A document that is like another has
-   nearly all of its own among these: at most n - ceil(0.8 n) can be missing. Only documents that do go on.
-2. Their shingles are all counted. Rare ones first, two sets of a similarity of 0.8 share one of the first
-   n - ceil(0.8 n) + 1 of each; shingles of one document only need not be dealt, and of those that meet the same documents one will do. A shingle that is frequent in a task, or in
-   more than MANY documents, is a common one: its rows are dealt by document, and all common ones come last, in the order of
-   their hashes. Any one order finds the same pairs; it decides about the work only.
-3. The documents of such a shingle meet; a pair within the budget is a proposal, and a task returns a forest of them. Buckets of
-   more than MANY documents are taken in overlapping pieces, each shingle's in another order.
-4. Proposals are verified on the whole shingle sets. Where one fails and its ends stay apart, its buckets look again, without
-   the failed pairs and now for WIDE partners of each document, until no proposal is left.
-
-Defined cases: null, empty or blank texts have one shingle, the empty one, and are alike; fewer words than a shingle make one shingle
+1. Documents of equal shingle sets are one node, named by the set's digest.
+2. Of a third of all shingles (those of small hashes) it is counted which stand in several nodes. A node that is like another has
+   nearly all of its own among these: at most n - ceil(0.8 n) can be missing. Only such nodes go on.
+3. Their shingles are all counted and put in one order, rare ones first. A shingle that is frequent in a task, or in
+   more than MANY nodes, is a common one: its rows are dealt by node, and all common ones come last, in the order of their hashes. Any one order finds the same pairs.
+   Two alike sets share, for every c, their first c common shingles among the first n - ceil(0.8 n) + c of each.
+4. Nodes meet under keys of c shingles (here c is 1; operator 12 takes 2 for small sets). Keys of the same nodes are one.
+   In a bucket a pair within the budget is a proposal, of which a forest is taken first and verified on the whole sets; buckets whose
+   nodes are in one component by then are done. Of the others all proposals between components are taken and verified.
+5. A bucket of more than MANY nodes (hot) meets in pieces at first, which joins dense groups. Where it is still open, and up to MANY nodes stand outside of its
+   largest component, these meet all pieces. Else the bucket is split by the next shingle (and by bands of size): what two alike sets share beyond the key begins there. Sets that share
+   no more than the key are linked to the smallest set of the bucket, if that is enough. This goes on until no bucket is hot, so no piece limit loses a link.
+
+Defined cases: null, empty or blank texts have one shingle, the empty one, and are alike (`blanks`; operator 12 leaves them unlinked); fewer words than a shingle make one shingle
 of what is there; repeated rows are alike; a null doc_id gets a component, but never names one (component_id is null where
-all ids are). Shingles, and rows where doc_id repeats or is null, are told apart by 64-bit hashes.
+all ids are). Words, shingles, sets, and rows where doc_id repeats or is null, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .passages import MANY, OFTEN
-from .winnow import mix
+from .passages import OFTEN
+from .winnow import gram_hashes
 
 SHINGLE = 5
 #: The least similarity as a fraction, so that it is compared in whole numbers.
@@ -48,24 +50,24 @@ BITS = 1 << 14
 BELOW = (1 << 64) // 3
 #: The count of common shingles, which come last in the order.
 COMMON = 1 << 30
-#: Partners that a document gets at once in a second look; the next look has the next ones.
+#: Partners that a node gets in the second look; the third look has all.
 WIDE = 64
+#: Nodes of a bucket that one task compares.
+MANY = 2000
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+def shingles(text: bytes | None, width: int = SHINGLE, blanks: bool = True) -> np.ndarray:
     """Sorted distinct hashes of the shingles of UTF-8 bytes; only A-Z are folded, only ASCII blanks split."""
     words = text.lower().split() if text else []
-    grams = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
-    return np.unique(np.fromiter(map(_hash, grams), np.uint64))
+    if not words:
+        return np.zeros(int(blanks), np.uint64)
+    return np.unique(gram_hashes(np.fromiter(map(_hash, words), np.uint64, len(words)), min(width, len(words))))
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    if UNDER * min(len(a), len(b)) < OVER * max(len(a), len(b)):
-        return False
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-    return (OVER + UNDER) * both >= OVER * (len(a) + len(b))
+def digest(found: np.ndarray) -> int:
+    """The signed 64-bit name of a set."""
+    return _hash(found.tobytes()) - (1 << 63)
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -75,8 +77,8 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
-def proposals(node: np.ndarray, size: np.ndarray, label: np.ndarray, prints: list[np.ndarray], bad: list[set], wide: int = 0) -> list[tuple[int, int]]:
-    """Pairs of nodes whose labels differ, which are within the budget and not known as bad: a forest of them, or all, up to `wide` for a node."""
+def proposals(node: np.ndarray, size: np.ndarray, lone: np.ndarray, label: np.ndarray, prints: list[np.ndarray], wide: int = 0) -> list[tuple[int, int]]:
+    """Pairs of nodes with differing labels within the budget: a forest of them, or all, up to `wide` for a node. prints are of the shared shingles; `lone` counts the others."""
     root = np.unique(label, return_inverse=True)[1].copy()
     out: list[tuple[int, int]] = []
     by_words: dict[int, np.ndarray] = {}
@@ -86,8 +88,8 @@ def proposals(node: np.ndarray, size: np.ndarray, label: np.ndarray, prints: lis
     for w, own in by_words.items():
         low = np.stack([prints[i] for i in own])
         more = by_words.get(2 * w, np.zeros(0, np.int64))
-        high = np.stack([prints[i].reshape(2, w) for i in more])[:, 0] ^ np.stack([prints[i].reshape(2, w) for i in more])[:, 1] if len(more) else np.zeros((0, w), np.uint64)
-        other, table = np.r_[own, more], np.concatenate([low, high])
+        twice = np.stack([prints[i] for i in more]).reshape(-1, 2, w) if len(more) else np.zeros((0, 2, w), np.uint64)
+        other, rows = np.r_[own, more], np.concatenate([low, twice[:, 0] ^ twice[:, 1]])
         for k, i in enumerate(own):
             rest = np.arange(k + 1, len(other))
             rest = rest[root[other[rest]] != root[i]]
@@ -95,11 +97,11 @@ def proposals(node: np.ndarray, size: np.ndarray, label: np.ndarray, prints: lis
             rest = rest[UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)]
             if not len(rest):
                 continue
-            apart = np.bitwise_count(table[rest] ^ low[k]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(rows[rest] ^ low[k]).sum(1, dtype=np.int64) + lone[i] + lone[other[rest]]
             rest = rest[(OVER + UNDER) * apart <= (UNDER - OVER) * (size[i] + size[other[rest]])]
             given = 0
             for j in other[rest]:
-                if root[i] != root[j] and int(node[j]) not in bad[i] and int(node[i]) not in bad[j]:
+                if root[i] != root[j]:
                     out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
                     given += 1
                     if not wide:
@@ -116,22 +118,29 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool]
     return (F.col(id_col).cast("long") if single else F.xxhash64(F.col(id_col), F.col(text_col))), single
 
 
-def _tokens(texts: DataFrame, width: int, often: int, below: int = 1 << 64) -> DataFrame:
-    """(token, node, n): a row for each shingle, n 0, or -1 if it is a common one; a row with n -2 tells a common shingle's task; and one row for each node, n the set's size. Of shingles
-    `below` a hash only, n of the node's row is one more than the number of them that must stand elsewhere too if anything is like it."""
+def _tokens(texts: DataFrame, width: int, blanks: bool, often: int, below: int = 1 << 64) -> DataFrame:
+    """(token, node, n) of texts (t): a row for each shingle, n 0, or -1 if it is a common one; a row with n -2 tells a common shingle's task; and one row for each node, n the set's size. Of shingles
+    `below` a hash only, n of the node's row is one more than the number of them that must stand elsewhere too if anything is like it. A set that a task meets again gives nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(1)]
+            sets = {}
+            for t in b.column(0):
+                found = shingles(t.as_py(), width, blanks)
+                name = digest(found)
+                if len(found) and name not in met:
+                    met.add(name)
+                    sets[name] = found
             if not sets:
                 continue
-            node, n = b.column(0).to_numpy(), np.array([len(s) for s in sets], np.int64)
-            head = n
+            node, n = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
+            head, own = n, list(sets.values())
             if below < 1 << 64:
-                sets = [s[: np.searchsorted(s, np.uint64(below))] for s in sets]
-                kept = np.array([len(s) for s in sets], np.int64)
+                own = [s[: np.searchsorted(s, np.uint64(below))] for s in own]
+                kept = np.array([len(s) for s in own], np.int64)
                 head, n = np.maximum(kept - (n + OVER * n // -UNDER), 0) + 1, kept
-            token = np.concatenate(sets)
+            token = np.concatenate(own)
             each, at, times = np.unique(token, return_inverse=True, return_counts=True)
             marks = each[times >= often]
             columns = [
@@ -141,18 +150,23 @@ def _tokens(texts: DataFrame, width: int, often: int, below: int = 1 << 64) -> D
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "node", "n"])
 
-    return texts.mapInArrow(run, "token long, node long, n int")
+    return texts.select("t").mapInArrow(run, "token long, node long, n int")
 
 
 def _counted(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
-    """(node, token, n) of rows sorted by token and n: sizes (token null), and shingles of several nodes with the number of these. `many` rows are held."""
+    """(node, token, n) of rows sorted by token, n and node: sizes (token null), and shingles of several nodes with the number of these. Repeated rows count once; `many` rows are held."""
 
     def pack(node: np.ndarray, token: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()) if token is None else pa.array(token), pa.array(n.astype(np.int32))], names=["node", "token", "n"])
 
     held, given = np.zeros((3, 0), np.int64), None  # the open group, or its token if its rows are given out as common ones
+    last = None
     for b in batches:
         rows = np.array([b.column(i).to_numpy().astype(np.int64) for i in range(3)])
+        if not rows.shape[1]:
+            continue
+        again = np.r_[last is not None and bool((rows[:, 0] == last).all()), (rows[:, 1:] == rows[:, :-1]).all(0)]
+        last, rows = rows[:, -1], rows[:, ~again]
         sizes, known = rows[2] > 0, rows[2] == -1
         if sizes.any():
             yield pack(rows[1, sizes], None, rows[2, sizes])
@@ -176,152 +190,210 @@ def _counted(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Record
         yield pack(held[1], held[0], np.full(held.shape[1], held.shape[1]))
 
 
-def _shared(texts: DataFrame, width: int, often: int, many: int, below: int = 1 << 64) -> DataFrame:
-    """(node, token, n) of _counted over all documents."""
-    rows = _tokens(texts, width, often, below)
-    rows = rows.repartition(F.when(F.col("n") == -1, F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token", "n")
+def _shared(texts: DataFrame, width: int, blanks: bool, often: int, many: int, below: int = 1 << 64) -> DataFrame:
+    """(node, token, n) of _counted over all texts."""
+    rows = _tokens(texts, width, blanks, often, below)
+    rows = rows.repartition(F.when(F.col("n") == -1, F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token", "n", "node")
     return rows.mapInArrow(lambda batches: _counted(batches, many), "node long, token long, n int")
 
 
-def _hopeful(texts: DataFrame, width: int, often: int, many: int) -> DataFrame:
-    """The texts (node, t) of which enough shingles below BELOW stand in several documents."""
-    need = F.max(F.when(F.col("token").isNull(), F.col("n")))
-    per = _shared(texts, width, often, many, BELOW).groupBy("node").agg(need.alias("need"), F.count("token").alias("found"))
-    return _among(texts, cut(per.where("found + 1 >= need").select("node")))
+def _among(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    return rows.join(F.broadcast(keys) if keys.count() <= IDS else keys, by, "left_semi")
 
 
-def _among(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(nodes) if nodes.count() <= IDS else nodes, "node", "left_semi")
+def rows_of(docs: DataFrame, id_col: str, text_col: str, width: int, blanks: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, own, row, node, n) of every row: own the text's digest, node and n name and size of its shingle set (null and 0 without); and (row, t), the texts."""
+    row, _ = _row_key(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), row.alias("row"), F.col(text_col).cast("binary").alias("t"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_py(), width, blanks) for t in b.column(3)]
+            node = pa.array([digest(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], node, pa.array([len(s) for s in found], pa.int64())], names=["doc_id", "own", "row", "node", "n"])
 
-def _firsts(texts: DataFrame, width: int, often: int, many: int) -> DataFrame:
-    """(node, n, token): the shingles by which nodes can meet; none for a node that has enough shingles of its own."""
-    mine = F.when(F.col("token").isNotNull(), F.struct("n", "token"))
-    counted = _shared(texts, width, often, many)
-    per = counted.groupBy("node").agg(F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("size"), F.sort_array(F.collect_list(mine)).alias("shared"))
-    first = F.expr(f"size - int(ceil({OVER} * size / {UNDER}D)) + 1 - (size - size(shared))")
-    per = per.withColumn("first", first).where("first > 0")
-    return per.select("node", F.col("size").alias("n"), F.explode(F.expr("slice(shared.token, 1, first)")).alias("token"))
+    return cut(texts.mapInArrow(run, "doc_id long, own long, row long, node long, n long")), texts.select("row", "t")
 
 
-def _meeting(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, node, n) sorted by token those of tokens with several rows, under a number that tokens of the same nodes share. Of more than `many` rows they keep their token; so many are held."""
-    held, given = np.zeros((3, 0), np.int64), None  # the open group, or its token if its rows are given out
-    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["token", "node", "n"])
+def nodes_of(rows: DataFrame, texts: DataFrame, width: int, blanks: bool, often: int, many: int) -> DataFrame:
+    """(node, size, need, lone, shared, scan, bits) of the sets that may have one alike.
 
-    def numbered(rows: np.ndarray, edge: np.ndarray, size: np.ndarray) -> np.ndarray:
-        total = np.add.reduceat(mix(rows[1].view(np.uint64)), edge)
-        rows[0] = np.repeat(np.where(size > many, rows[0, edge], mix(total + size.astype(np.uint64)).view(np.int64)), size)
-        return rows
+    need: shingles that any set alike shares; shared: the shingles that stand in several nodes, rare ones first; lone: the number of others; scan: the entries of the lists of its
+    first shingles, as far as a bucket goes; bits: the fingerprint of shared.
+    """
+    need = F.max(F.when(F.col("token").isNull(), F.col("n")))
+    third = _shared(texts, width, blanks, often, many, BELOW).groupBy("node").agg(need.alias("need"), F.count("token").alias("found"))
+    hopeful = cut(third.where("found + 1 >= need").select("node"))
+    one = _among(rows.select("node", "row"), hopeful, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
+    mine = F.when(F.col("token").isNotNull(), F.struct("n", "token"))
+    per = _shared(_among(texts, cut(one), "row"), width, blanks, often, many).groupBy("node").agg(F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("size"), F.sort_array(F.collect_list(mine)).alias("s"))
+    per = per.withColumn("need", F.expr(f"int(({OVER} * size + {UNDER - 1}) div {UNDER})")).where("size(s) >= need")
+    scan = F.aggregate(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1), F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.lit(many)))
+    per = per.select("node", "size", "need", (F.col("size") - F.size("s")).alias("lone"), F.col("s.token").alias("shared"), scan.alias("scan"))
 
-    for b in batches:
-        rows = np.concatenate([held, np.array([b.column(i).to_numpy().astype(np.int64) for i in range(3)])], axis=1)
-        if not rows.shape[1]:
-            continue
-        edge = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
-        size = np.diff(np.r_[edge, rows.shape[1]])
-        first = 0
-        if given is not None and rows[0, 0] == given:  # goes on
-            yield pack(rows[:, : size[0]])
-            first = 1
-        last = len(edge) - 1
-        if last < first:
-            held = rows[:, :0]
-            continue
-        tail, given = edge[last], None
-        own = rows[:, edge[first] : tail]
-        if own.shape[1]:
-            keep = np.repeat(size[first:last] > 1, size[first:last])
-            own = numbered(own, edge[first:last] - edge[first], size[first:last])[:, keep]
-            if own.shape[1]:
-                yield pack(own)
-        held = rows[:, tail:]
-        if held.shape[1] > many:
-            yield pack(held)
-            held, given = held[:, :0], held[0, 0]
-    if held.shape[1] > 1:
-        yield pack(numbered(held, np.zeros(1, np.int64), np.array([held.shape[1]])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [parity(x.values.to_numpy().view(np.uint64)).tobytes() for x in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary())], names=[*b.schema.names, "bits"])
 
+    return cut(per.mapInArrow(run, "node long, size int, need int, lone int, shared array<long>, scan long, bits binary"))
 
-def _sets(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, found, bits): shingle set and fingerprint of the nodes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t.as_py(), width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([parity(x).tobytes() for x in found], pa.binary())], names=["node", "found", "bits"])
+def list_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, at, depth): the inverted lists in which sets meet; at: the place of the key's last shingle."""
+    return nodes.select("node", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "key")).select("key", "node", (F.col("at") + 1).alias("at"), F.lit(1).alias("depth"), F.lit(None).cast("long").alias("passed"))
+
 
-    return cut(_among(texts, nodes).mapInArrow(run, "node long, found binary, bits binary").dropDuplicates(["node"]))
+def _met(keys: DataFrame, many: int) -> DataFrame:
+    """The keys of several nodes, with the number n of these; of keys with the same nodes, `many` at most, one. Where all nodes passed over one shingle that they share, they meet under that one."""
+    name = F.xxhash64(F.lit(7), "node")
+    passed = F.coalesce((F.count("passed") == F.count(F.lit(1))) & (F.min("passed") == F.max("passed")), F.lit(False))
+    each = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(name.cast("decimal(20,0)")).alias("sum"), F.bit_xor(name).alias("xor"), passed.alias("late")).where("n > 1 and not late")
+    same = F.when(F.col("n") > many, F.col("key"))
+    kept = each.groupBy("n", "sum", "xor", same).agg(F.min("key").alias("key")).select("key", "n")
+    return cut(keys.drop("passed").join(kept, "key"))
 
 
-def _proposed(rows: DataFrame, many: int, wide: int = 0) -> DataFrame:
-    """(a, b): the proposals of the buckets of rows (token, node, n, label, bits, bad)."""
+def _looked(hits: DataFrame, nodes: DataFrame, labels: DataFrame, wide: int) -> DataFrame:
+    """(a, b): proposals of the buckets of hits (key, piece, node), piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[tuple] = []
         now = None
 
         def pairs() -> pa.RecordBatch:
-            node, n, label = (np.array([r[i] for r in bucket], np.int64) for i in range(3))
-            found = proposals(node, n, label, [np.frombuffer(r[3], np.uint64) for r in bucket], [set(r[4] or ()) for r in bucket], wide)
+            node, size, lone, label = (np.array([r[i] for r in bucket], np.int64) for i in range(4))
+            found = proposals(node, size, lone, label, [np.frombuffer(r[4], np.uint64) for r in bucket], wide)
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for token, *row in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if token != now or len(bucket) >= many:
+            for key, piece, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, piece) != now:
                     if len(bucket) > 1:
                         yield pairs()
-                    bucket = bucket[len(bucket) // 2 :] if token == now else []
-                    now = token
+                    bucket, now = [], (key, piece)
                 bucket.append(tuple(row))
         if len(bucket) > 1:
             yield pairs()
 
-    dealt = rows.select("token", "node", "n", "label", "bits", "bad").repartition("token").sortWithinPartitions("token", F.xxhash64("token", "node"))
-    return cut(dealt.mapInArrow(run, "a long, b long").distinct())
+    rows = hits.select("key", "piece", "node").join(nodes.select("node", "size", "lone", "bits"), "node").join(labels, "node", "left")
+    dealt = rows.select("key", "piece", "node", "size", "lone", F.coalesce("root", "node").alias("label"), "bits").repartition("key", "piece").sortWithinPartitions("key", "piece")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, alike) of pairs."""
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, alike) of pairs, by their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = ([np.frombuffer(t.as_py(), np.uint64) for t in b.column(i)] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([alike(p, q) for p, q in zip(x, y)], pa.bool_())], names=["a", "b", "alike"])
+            both = (len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(b.column(3), b.column(4)))
+            alike = [(OVER + UNDER) * n >= OVER * total for n, total in zip(both, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
 
     few = F.broadcast(pairs) if pairs.count() <= IDS else pairs
-    left = few.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike boolean"))
+    left = few.join(nodes.select(F.col("node").alias("a"), F.col("shared").alias("x"), F.col("size").alias("m")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("shared").alias("y"), F.col("size").alias("k")), "b")
+    return cut(both.select("a", "b", (F.col("m") + F.col("k")).alias("total"), "x", "y").mapInArrow(run, "a long, b long, alike boolean"))
+
+
+def _direct(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, alike): links of hot buckets that the key's shingles alone prove, to the bucket's smallest set."""
+    sized = hot.join(nodes.select("node", "size"), "node")
+    least = sized.groupBy("key").agg(F.min(F.struct("size", "node")).alias("least"))
+    enough = F.expr(f"{OVER + UNDER} * depth >= {OVER} * (size + least.size) and node <> least.node")
+    return cut(sized.join(least, "key").where(enough).select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"), F.lit(True).alias("alike")))
+
+
+def _split(hot: DataFrame, nodes: DataFrame, banded: bool) -> DataFrame:
+    """Keys of one shingle more: all that may follow in a node's order. The first time also by size: sets of a similarity of 0.8 lie in one band or in neighbours.
+
+    What a node has before the key's last shingle and not in the key, no partner that it meets here first has: nodes with too much of that, given the least of the bucket, go."""
+    until = F.expr("size(shared) - need + depth + 1")
+    rows = hot.join(nodes.select("node", "size", "need", "lone", "shared"), "node").withColumn("apart", F.col("at") - F.col("depth") + F.col("lone"))
+    least = rows.groupBy("key").agg(F.min("apart").alias("least"))
+    # (OVER + UNDER) * (apart + least) <= (UNDER - OVER) * (size + size / 0.8) for any partner of the key.
+    rows = rows.join(least, "key").where(4 * (F.col("apart") + F.col("least")) <= F.col("size"))
+    band = F.floor(F.log(F.col("size")) / F.log(F.lit(1.26)))
+    rows = rows.withColumn("band", F.explode(F.array(band, band + 1))) if banded else rows.withColumn("band", F.lit(0))
+    rest = F.slice("shared", F.col("at") + 1, F.greatest(until - F.col("at"), F.lit(0)))
+    rows = rows.select("key", "node", "at", "depth", "band", rest.alias("rest"), F.posexplode(rest).alias("step", "token"))
+    passed = F.when(F.col("step") > 0, F.get("rest", F.col("step") - 1))
+    return rows.select(F.xxhash64("key", "band", "token").alias("key"), "node", (F.col("at") + F.col("step") + 1).alias("at"), (F.col("depth") + 1).alias("depth"), passed.alias("passed"))
+
+
+def _piece(number: Column) -> Column:
+    return F.pmod(F.xxhash64("key", "node"), number).cast("int")
+
+
+def _open(hits: DataFrame, roots: DataFrame) -> DataFrame:
+    """The hits of buckets with more than one component."""
+    tagged = hits.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    keys = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return cut(hits.join(keys, "key", "left_semi"))
+
+
+def _outsiders(hot: DataFrame, roots: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """Of open hot buckets: those with at most `many` nodes outside of their largest component, in pieces that each hold all of these; and the hits of the others."""
+    tagged = hot.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    each = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = cut(each.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top")))
+    few = per.where(F.col("total") - F.col("top.c") <= many).select("key", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / many).alias("k"))
+    pieces = F.when(F.col("label") == F.col("main"), F.array(_piece(F.col("k")))).otherwise(F.sequence(F.lit(0), F.col("k").cast("int") - 1))
+    dealt = tagged.join(few, "key").select("key", F.explode(pieces).alias("piece"), "node")
+    return cut(dealt), cut(hot.join(few, "key", "left_anti"))
+
+
+def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY) -> DataFrame:
+    """(node, root): components of the nodes that meet under keys and are alike."""
+    done = nodes.sparkSession.createDataFrame([], "a long, b long, alike boolean")
+    roots = nodes.sparkSession.createDataFrame([], "node long, root long")
+    banded = True
+
+    def look(hits: DataFrame, wide: int) -> None:
+        nonlocal done, roots
+        new = cut(_looked(hits, nodes, roots, wide).join(done, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            done = done.union(_verified(new, nodes))
+            roots = components(done.where("alike"))
+
+    while True:
+        hits = _met(keys, many)
+        if hits.isEmpty():
+            return roots
+        if banded:  # at first only: what dense groups there are is joined now
+            look(hits.withColumn("piece", _piece(F.ceil(F.col("n") / many))), 0)
+        small = hits.where(F.col("n") <= many)
+        for wide in (WIDE, many):
+            small = _open(small, roots)
+            if small.isEmpty():
+                break
+            look(small.withColumn("piece", F.lit(0)), wide)
+        hot = _open(hits.where(F.col("n") > many), roots)
+        if hot.isEmpty():
+            return roots
+        few, hot = _outsiders(hot, roots, many)
+        if not few.isEmpty():
+            look(few, WIDE)
+            look(few, many)
+        if hot.isEmpty():
+            return roots
+        proved = _direct(hot, nodes)
+        if not proved.isEmpty():
+            done = done.union(proved)
+            roots = components(done.where("alike"))
+        keys, banded = _split(hot, nodes, banded), False
+
+
+def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, own, n, component_id) of every row: component_id the smallest doc_id of its component, or doc_id where a row has no node."""
+    root = rows.join(roots, "node", "left").select("doc_id", "own", "n", F.coalesce("root", "node").alias("root"))
+    least = cut(root.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    component = F.when(F.col("k").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+    return root.join(least, "root", "left").select("doc_id", "own", "n", component.alias("component_id"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, often: int = OFTEN, many: int = MANY) -> DataFrame:
     """(doc_id, own, component_id) for every row: own is the text's digest; component_id the smallest doc_id reachable over pairs with a similarity of 0.8 at least."""
-    node, single = _row_key(docs, id_col, text_col)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), node.alias("node"), F.col(text_col).cast("binary").alias("t"))
-    texts = keyed.select("node", "t") if single else keyed.select("node", "t").dropDuplicates(["node"])
-    met = _firsts(_hopeful(texts, width, often, many), width, often, many).select("token", "node", "n").repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: _meeting(batches, many), "token long, node long, n int")
-    hits = cut(met.dropDuplicates(["token", "node"]))
-    sets = _sets(texts, hits.select("node").distinct(), width)
-    rows = hits.join(sets.select("node", "bits"), "node").withColumns({"label": F.col("node"), "bad": F.lit(None).cast("array<long>")})
-    done = _verified(_proposed(rows, many), sets)
-    roots = components(done.where("alike"))
-    while True:
-        failed = done.where("not alike")
-        ends = failed.select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-        open_ = ends.where("coalesce(x, a) <> coalesce(y, b)").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        again = cut(hits.join(open_, "node", "left_semi").select("token").distinct())
-        if again.isEmpty():
-            break
-        bad = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a")).groupBy("node").agg(F.collect_list("other").alias("bad"))
-        rows = hits.join(again, "token", "left_semi").join(roots, "node", "left").join(bad, "node", "left").join(sets.select("node", "bits"), "node")
-        new = _verified(_proposed(rows.withColumn("label", F.coalesce("root", "node")), many, WIDE), sets)
-        if new.isEmpty():
-            break
-        done = done.union(new)
-        if not new.where("alike").isEmpty():
-            roots = components(done.where("alike"))
-    named = keyed.select("doc_id", "own", "node").join(roots, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("root"))
-    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    component = F.when(F.col("n").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
-    return named.join(least, "root", "left").select("doc_id", "own", component.alias("component_id"))
+    rows, texts = rows_of(docs, id_col, text_col, width, True)
+    nodes = nodes_of(rows, texts, width, True, often, many)
+    return named(rows, linked(list_keys(nodes), nodes, many)).drop("n")

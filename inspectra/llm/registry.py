@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact import OP5_SQL, op5_exact
+from .jaccard import op12_jaccard
 from .language import op8_language
 from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
     "op11_repair": op11_repair,
+    "op12_jaccard": op12_jaccard,
     "op13_search": op13_search,
 }
 

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inspectra.llm.near import COMMON, _counted, _meeting, near_components, parity
+from inspectra.llm.jaccard import boundary, op12_jaccard, similar
+from inspectra.llm.near import COMMON, _counted, near_components, parity
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -71,26 +72,20 @@ def batches(rows, names, size):
     return (pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size))
 
 
-def test_counts_and_meetings_over_batches():
+def test_counts_over_batches():
     rng = random.Random(4)
-    rows = sorted([(rng.randrange(30), i, 0) for i in range(120)] + [(7, 0, -2), (50, 1, 0), (60, 0, -2)], key=lambda r: (r[0], r[2])) + [(5, 900, -1), (901, 901, 44)]
+    rows = sorted([(rng.randrange(30), i, 0) for i in range(120)] + [(7, 0, -2), (50, 1, 0), (60, 0, -2)], key=lambda r: (r[0], r[2], r[1])) + [(5, 900, -1), (901, 901, 44)]
     n = Counter(t for t, _, k in rows if k == 0)
+    repeated = [r for r in rows for _ in range(1 + rng.randrange(3))]
     want = Counter((i, t, COMMON if t == 7 or n[t] > 5 else n[t]) for t, i, k in rows if k == 0 and (n[t] > 1 or t == 7)) + Counter([(900, 5, COMMON), (901, None, 44)])
     for size in (1, 2, 7, 200):
-        assert Counter(tuple(r.values()) for b in _counted(batches(rows, ("token", "node", "n"), size), 5) for r in b.to_pylist()) == want
-    rows = sorted([(rng.randrange(40), i, 9) for i in range(50)] + [(77, i, 9) for i in (500, 501)] + [(99, i, 9) for i in (500, 501)] + [(88, i, 9) for i in range(600, 609)])
-    groups = {t: frozenset(i for u, i, _ in rows if u == t) for t, *_ in rows}
-    for size in (1, 2, 3, 7, 60):
-        got = [tuple(r.values()) for b in _meeting(batches(rows, ("token", "node", "n"), size), 6) for r in b.to_pylist()]
-        assert sorted((i, n) for _, i, n in got) == sorted((i, n) for t, i, n in rows if len(groups[t]) > 1)
-        numbers = {k: frozenset(i for u, i, _ in got if u == k) for k, *_ in got}
-        assert set(numbers.values()) == {g for g in groups.values() if len(g) > 1} and numbers[88] == groups[88]
-        assert sum(i == 500 for _, i, _ in got) == 2 and len({k for k, i, _ in got if i == 500}) == 1
-
-
-@pytest.mark.parametrize("limits", [{}, {"often": 5, "many": 12}])
+        for given in (rows, repeated):
+            assert Counter(tuple(r.values()) for b in _counted(batches(given, ("token", "node", "n"), size), 5) for r in b.to_pylist()) == want
+
+
+@pytest.mark.parametrize("limits", [{}, {"often": 5, "many": 12}, {"often": 3, "many": 4}])
 def test_components_match_all_pairs(spark, limits):
-    """With small limits most buckets are taken in pieces; each pair here meets in several of them."""
+    """With small limits most buckets are hot: taken in pieces, then split by the next shingles."""
     texts = planted()
     df = spark.createDataFrame([(i * 3 + 1, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n string").repartition(3)
     got = {r.doc_id: r.component_id for r in near_components(df, **limits).collect()}
@@ -128,3 +123,45 @@ def test_large_group_with_failing_proposals(spark):
         texts.append(" ".join(t))
     got = {r.doc_id: r.component_id for r in near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == roots(texts)
+
+
+@pytest.mark.parametrize("light", [None, 0, 30, 10_000])
+@pytest.mark.parametrize("many", [2000, 5])
+def test_jaccard_join_matches_all_pairs(spark, light, many):
+    """At every boundary: all light, all heavy, and sets of both kinds that are alike."""
+    texts = planted(21) + ["x y z " * 4000]
+    rng = random.Random(2)
+    base = [f"v{i}" for i in range(45)]
+    texts += [" ".join(base[: rng.randint(28, 45)]) for _ in range(25)] + texts[30:40]
+    df = spark.createDataFrame([(i * 3 + 1, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n string").repartition(3)
+    want = roots(texts)
+    words = [bool((t or "").split()) for t in texts]
+    got = {r.doc_id: (r.n, r.component_id) for r in similar(df, light=light, many=many).collect()}
+    assert [got[i * 3 + 1] for i in range(len(texts))] == [(len(plain(t)) if w else 0, 3 * (r if w else i) + 1) for i, (t, w, r) in enumerate(zip(texts, words, want))]
+
+
+def test_boundary_is_the_cheapest(spark):
+    rows = [(1, 10, 8, list(range(10)), 50), (2, 40, 32, list(range(40)), 90), (3, 400, 320, list(range(400)), 900)]
+    nodes = spark.createDataFrame(rows, "node long, size int, need int, shared array<long>, scan long")
+    width = [10 - 8 + 2, 40 - 32 + 2, 400 - 320 + 2]
+    cost = {b: sum(w * (w - 1) / 2 for (_, n, *_), w in zip(rows, width) if n <= b) + sum(r[4] for r in rows if 5 * r[1] >= 4 * (b + 1)) for b in (0, 10, 40, 400)}
+    assert boundary(nodes) == min(cost, key=cost.get)
+
+
+def test_jaccard_cases(spark):
+    schema = "doc_id long, text string, node long, key string"
+    rows = [(None, "a b c d e f g h i j", 1, "k"), (4, "A b c d e f g h i j", 1, "k"), (4, "", 1, "k"), (5, None, 1, "k"), (6, "one two", 1, "k"), (7, "ONE\ttwo", 1, "k")]
+    got = sorted((str(r.doc_id), r.n, r.component_id) for r in similar(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("4", 0, 4), ("4", 6, 4), ("5", 0, 5), ("6", 1, 6), ("7", 1, 6), ("None", 6, 4)]
+    assert similar(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_op12_equals_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = roots([t for _, t in docs])
+    least = {}
+    for (i, _), r in zip(docs, want):
+        least[r] = min(i, least.get(r, i))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op12_jaccard(spark, sf).collect()}
+    assert got == {i: (len(plain(t)) if (t or "").split() else 0, least[r] if (t or "").split() else i) for (i, t), r in zip(docs, want)}
