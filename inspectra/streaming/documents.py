@@ -1,26 +1,25 @@
-"""Document events as a stream: the batch barrier, request coalescing, idempotent uploads and snapshot upkeep.
-
-Late data: what counts is arrival order by created_at, not event time; a re-filing replaces
-earlier rows of its period (operators.documents.superseded) and the period is evaluated again.
-"""
+"""Document events as a stream: the batch barrier, request coalescing and idempotent uploads. Re-filings, findings and scores are in `filings`."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from inspectra.operators.documents import TERMINAL
 from inspectra.operators.facts import USABLE, K
-from inspectra.operators.findings import upsert
 from inspectra.plans.materialise import shared_dir
 from inspectra.plans.registry import query
 from inspectra.sources.views import frame
 
 EVENT = "batch_id long, document_id long, status string, dated boolean, sealed boolean, created_at timestamp"
 REQUEST = "batch_id long, documents long, usable long"
+#: State by key with collections needs this store.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def document_events(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -28,28 +27,48 @@ def document_events(spark: SparkSession, folder: str, files_per_trigger: int = 1
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def barrier(events: DataFrame, folder: str, checkpoint: str) -> None:
-    """One evaluation request for a batch, as soon as it is sealed and all its documents are terminal, once. Each micro-batch writes
-    the open batches (`state/N`: the latest event of each document) and its requests (`requests/number=N`); both are named by the
-    micro-batch, so one that runs again after a lost driver writes the same rows. A released batch leaves the state."""
-
-    def step(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        done = spark.read.schema(REQUEST + ", number int").option("basePath", f"{folder}/requests").parquet(f"{folder}/requests").where(F.col("number") < number) if number else spark.createDataFrame([], REQUEST)
-        known = rows.unionByName(spark.read.schema(EVENT).parquet(f"{folder}/state/{number - 1}")) if number else rows
-        known = known.join(done.select("batch_id"), "batch_id", "left_anti")
-        last = known.groupBy("batch_id", "document_id").agg(F.max_by(F.struct("status", "dated", "sealed", "created_at"), "created_at").alias("e")).select("batch_id", "document_id", "e.*")
-        doc = F.col("document_id").isNotNull()
-        usable = F.count_if(doc & F.col("status").isin(USABLE) & F.col("dated"))
-        batches = last.groupBy("batch_id").agg(
-            F.max("sealed").alias("sealed"), F.count("document_id").alias("documents"), F.count_if(doc & ~F.col("status").isin(TERMINAL)).alias("running"), usable.alias("usable")
-        )
-        ready = batches.where("sealed and running = 0 and usable > 0").select("batch_id", "documents", "usable")
-        ready.write.mode("overwrite").parquet(f"{folder}/requests/number={number}")
-        gone = spark.read.parquet(f"{folder}/requests/number={number}").select("batch_id")
-        last.join(gone, "batch_id", "left_anti").write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
-    events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+class Barrier(StatefulProcessor):
+    """T2 for one batch: the latest state of each document by created_at, counts that follow each change, and whether the batch is sealed or released. Memory is one document's state at a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.documents = handle.getMapState("documents", "document_id long", "created_at timestamp, status string, dated boolean")
+        self.counts = handle.getValueState("counts", "documents long, running long, usable long, sealed boolean, released boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        documents, running, usable, sealed, released = self.counts.get() if self.counts.exists() else (0, 0, 0, False, False)
+        for part in rows:
+            if released:
+                continue
+            for r in part.itertuples():
+                sealed = sealed or bool(r.sealed)
+                if pd.isna(r.document_id):
+                    continue
+                name, new = (int(r.document_id),), (r.created_at.to_pydatetime(), r.status, bool(r.dated))
+                old = self.documents.getValue(name) if self.documents.containsKey(name) else None
+                if old is not None and (old[0], old[1]) > (new[0], new[1]):
+                    continue
+                for state, step in ((old, -1), (new, 1)):
+                    if state is not None:
+                        documents += step
+                        running += step * (state[1] not in TERMINAL)
+                        usable += step * (state[1] in USABLE and state[2])
+                self.documents.updateValue(name, new)
+        ready = sealed and not released and running == 0 and usable > 0
+        if ready:
+            self.documents.clear()
+        self.counts.update((documents, running, usable, sealed, released or ready))
+        if ready:
+            yield pd.DataFrame({"batch_id": [int(key[0])], "documents": [documents], "usable": [usable]})
+
+    def close(self) -> None:
+        pass
+
+
+def barrier(events: DataFrame) -> DataFrame:
+    """One evaluation request for a batch, as soon as it is sealed and all its documents are terminal, once. A stream; its state is kept by batch in the state store, a
+    micro-batch reads and writes the batches only that it has events of. A released batch keeps one flag, and takes no more events."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.groupBy("batch_id").transformWithStateInPandas(Barrier(), REQUEST, "Append", "None")
 
 
 def unique_uploads(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -62,20 +81,6 @@ def coalesced(requests: DataFrame) -> DataFrame:
     return requests.dropDuplicates(K)
 
 
-def keep_findings(stream: DataFrame, folder: str, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame]):
-    """Per micro-batch the requested periods are evaluated and upserted over the last snapshot. A snapshot is named by its
-    batch, so a batch that runs again writes the same one again."""
-
-    def step(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        current = evaluate(coalesced(rows))
-        empty = spark.createDataFrame([], "dedupe_key string, status string, severity string, affected long")
-        previous = spark.read.parquet(f"{folder}/{number - 1}") if number else empty
-        upsert(current, previous).write.mode("overwrite").parquet(f"{folder}/{number}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 @query("t1_t2_batch_barrier", """SELECT batch_id, count(*) AS documents, count(*) FILTER (WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED')) AS usable FROM x_document GROUP BY 1
  HAVING count(*) FILTER (WHERE status IN ('EXTRACTED', 'NEEDS_REVIEW', 'VERIFIED', 'EVALUATED')) > 0""")
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +92,6 @@ def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     seals = last.groupBy("batch_id").agg(F.max("created_at").alias("created_at")).select("batch_id", F.lit(None).cast("long").alias("document_id"), F.lit(None).cast("string").alias("status"), F.lit(False).alias("dated"), F.lit(True).alias("sealed"), "created_at")
     for rows in (received.unionByName(seals), last):
         rows.write.mode("append").parquet(f"{folder}/events")
-    barrier(document_events(spark, f"{folder}/events", 4), folder, f"{folder}/checkpoint")
-    return spark.read.schema(REQUEST).option("basePath", f"{folder}/requests").parquet(f"{folder}/requests").select("batch_id", "documents", "usable")
+    requests = barrier(document_events(spark, f"{folder}/events", 4)).writeStream.format("parquet")
+    requests.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/requests").awaitTermination()
+    return spark.read.schema(REQUEST).parquet(f"{folder}/requests").select("batch_id", "documents", "usable")

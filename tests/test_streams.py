@@ -2,10 +2,13 @@
 
 import datetime as dt
 
-from inspectra.streaming.documents import coalesced, keep_findings, unique_uploads
+from pyspark.sql import functions as F
+
+from inspectra.streaming.documents import barrier, coalesced, unique_uploads
+from inspectra.streaming.filings import FILING, Assessments, Register, keep_register
+from inspectra.streaming.snapshots import Snapshots
 
 REQUEST = "establishment_id long, period_start date, period_end date, state string"
-FINDING = "dedupe_key string, state string, severity string, affected long"
 T = dt.datetime(2026, 4, 1, 12)
 
 
@@ -31,19 +34,88 @@ def test_coalesced(spark):
     assert coalesced(rows).count() == 3
 
 
-def test_snapshots(spark, tmp_path):
-    """Requests of three micro-batches: opened, repeated and resolved. A batch that runs again leaves the same snapshot."""
-    a, b = dt.date(2026, 4, 1), dt.date(2026, 5, 1)
-    rows = [[(1, a, a, "violation"), (1, a, a, "violation"), (2, a, a, "violation")], [(1, a, a, "pass")], [(3, b, b, "violation")]]
-    calls = []
+EVENT = "batch_id long, document_id long, status string, dated boolean, sealed boolean, created_at timestamp"
+
+
+def test_barrier(spark, tmp_path):
+    """Releases once, when sealed and done; an older event of a document changes nothing; a later failure of the only usable document keeps the batch back."""
+    at = lambda n: T + dt.timedelta(minutes=n)
+    seal = lambda b: (b, None, None, False, True, T)
+    rows = [
+        [(1, 10, "EXTRACTED", True, False, at(5)), (1, 11, "RECEIVED", True, False, at(1)), seal(1), (2, 20, "EXTRACTED", True, False, at(1)), (3, 30, "VERIFIED", True, False, at(1)), seal(3)],
+        [(1, 10, "RECEIVED", True, False, at(1)), (1, 11, "FAILED", True, False, at(6)), (2, 20, "FAILED", True, False, at(2)), seal(2), (3, 31, "RECEIVED", True, False, at(9))],
+        [(2, 21, "RECEIVED", True, False, at(3)), (1, 12, "EXTRACTED", True, False, at(9)), (4, 40, "EXTRACTED", False, False, at(1)), seal(4)],
+        [(2, 21, "EXTRACTED", True, False, at(4)), (4, 40, "EXTRACTED", True, False, at(2))],
+    ]
+    found = barrier(stream(spark, f"{tmp_path}/in", rows, EVENT))
+    found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("batch_id", "documents", "usable").collect())) == [(1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1)]
+
+
+FACTS = "document_id long, establishment_id long, period_start date, period_end date, amount long"
+
+
+def extract(documents):
+    return documents.selectExpr("document_id", "establishment_id", "period_start", "period_end", "explode(array(document_id * 10, document_id * 10 + 1)) as amount")
+
+
+def filing(doc, month, status="EXTRACTED", minutes=0, place=1, kind="WAGE_REGISTER"):
+    return (doc, place, kind, dt.date(2026, month, 1), dt.date(2026, month, 28), status, T + dt.timedelta(minutes=minutes))
+
+
+FILINGS = [
+    [filing(1, 4), filing(2, 4, minutes=-5), filing(3, 5), filing(4, 4, place=2, status="FAILED"), filing(9, 4, place=2)],
+    [filing(5, 4, minutes=3), filing(3, 6, minutes=1), filing(6, 5, status="REJECTED")],  # 5 replaces 1; 3 moves to June
+    [filing(5, 4, status="FAILED", minutes=4), filing(7, 4, minutes=-9)],  # 5 fails, so 1 stands again; 7 is late
+]
+
+
+def live(register, number):
+    return sorted((r.document_id, r.period_start.month, r.amount) for r in register.rows.read(number).collect())
+
+
+def rows_of(*documents):
+    return sorted((d, m, d * 10 + k) for d, m in documents for k in (0, 1))
+
+
+def test_refilings_withdraw_rows_and_replay(spark, tmp_path):
+    register = Register(spark, f"{tmp_path}/r", FACTS, extract, 8)
+    want = [rows_of((1, 4), (3, 5), (9, 4)), rows_of((5, 4), (3, 6), (9, 4)), rows_of((1, 4), (3, 6), (9, 4))]
+    asked = [{(1, 4), (1, 5), (2, 4)}, {(1, 4), (1, 5), (1, 6)}, {(1, 4)}]
+    for again in range(2):  # each micro-batch runs twice, as after a lost driver
+        for n, part in enumerate(FILINGS):
+            for _ in range(2):
+                requests = register.take(spark.createDataFrame(part, FILING), n)
+                assert {(r.establishment_id, r.period_start.month) for r in requests.collect()} == asked[n]
+                assert live(register, n) == want[n]
+    keep_register(stream(spark, f"{tmp_path}/in", FILINGS, FILING), f"{tmp_path}/check", streamed := Register(spark, f"{tmp_path}/s", FACTS, extract, 8))
+    assert live(streamed, 2) == want[2]
+
+
+def test_a_small_batch_writes_few_buckets(spark, tmp_path):
+    """What a micro-batch writes is in proportion to its buckets."""
+    table = Snapshots(spark, f"{tmp_path}/t", "k long, v long", "k", 32)
+    table.write(spark.range(1000).selectExpr("id as k", "0L as v"), list(range(32)), 0)
+    one = spark.createDataFrame([(5, 1)], "k long, v long")
+    touched = table.touched(one)
+    table.write(table.read(0, touched).where("k <> 5").union(one), touched, 1)
+    assert len(touched) == 1 and len(list((tmp_path / "t/data/number=1").glob("bucket=*"))) == 1
+    got = {r.k: r.v for r in table.read(1).collect()}
+    assert len(got) == 1000 and got[5] == 1 and sum(got.values()) == 1
+    table.write(table.read(1, touched).where("false"), touched, 2)  # a bucket may become empty
+    assert table.read(2).count() == table.read(1).count() - table.read(1, touched).count()
+
 
-    def evaluate(requests):
-        calls.append(requests.count())
-        return requests.selectExpr("concat(establishment_id, '|', period_start) as dedupe_key", "state", "'HIGH' as severity", "1L as affected")
+def test_assessments_follow_and_cards_are_added(spark, tmp_path):
+    def assess(requests, rows):
+        both = requests.join(rows.groupBy("establishment_id", "period_start", "period_end").agg(F.max("amount").alias("m")), ["establishment_id", "period_start", "period_end"], "left")
+        return both.selectExpr("establishment_id", "period_start", "period_end", "concat(establishment_id, '|', month(period_start)) as dedupe_key", "case when m is null then 'not_assessed' when m >= 50 then 'violation' else 'pass' end as state", "'HIGH' as severity", "1L as affected")
 
-    out = f"{tmp_path}/snapshots"
-    keep_findings(stream(spark, f"{tmp_path}/in", rows, REQUEST), out, f"{tmp_path}/check", evaluate).awaitTermination()
-    last = {r.dedupe_key: r.status for r in spark.read.parquet(f"{out}/2").collect()}
-    assert sorted(last.values()) == ["OPEN", "OPEN", "RESOLVED"] and last["1|2026-04-01"] == "RESOLVED" and sorted(calls) == [1, 1, 2]
-    keep_findings(spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/again", f"{tmp_path}/check2", evaluate).awaitTermination()
-    assert {r.dedupe_key: r.status for r in spark.read.parquet(f"{tmp_path}/again/2").collect()} == last
+    score = lambda findings: findings.groupBy("establishment_id").agg(F.count_if(F.col("status") == "OPEN").alias("open"))
+    register, done = Register(spark, f"{tmp_path}/r", FACTS, extract, 4), Assessments(spark, f"{tmp_path}/a", assess, score, 4)
+    for n, part in enumerate(FILINGS):
+        for _ in range(2):
+            done.take(register.take(spark.createDataFrame(part, FILING), n), register.rows, n)
+    status = lambda n: {r.dedupe_key: r.status for r in done.findings.read(n).collect()}
+    assert [status(n) for n in range(3)] == [{"2|4": "OPEN"}, {"2|4": "OPEN", "1|4": "OPEN"}, {"2|4": "OPEN", "1|4": "RESOLVED"}]
+    assert sorted((r.number, r.establishment_id, r.open) for r in done.cards().collect()) == [(0, 2, 1), (1, 1, 1), (2, 1, 0)]
