@@ -25,11 +25,12 @@ from .passages import OFTEN
 
 
 def subset_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, at, depth): the subsets of two shingles under which sets meet."""
+    """The subsets of two shingles under which sets meet, as `list_keys`."""
     first = F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 2)
-    one = nodes.select("node", first.alias("first"), F.posexplode(first).alias("i", "x"))
-    two = one.select("node", "i", "x", F.posexplode(F.slice("first", F.col("i") + 2, F.size("first"))).alias("j", "y"))
-    return two.select(F.xxhash64(F.lit(2), "x", "y").alias("key"), "node", (F.col("i") + F.col("j") + 2).alias("at"), F.lit(2).alias("depth"), F.lit(None).cast("long").alias("passed"))
+    one = nodes.select("node", "size", "lone", first.alias("first"), F.posexplode(first).alias("i", "x"))
+    two = one.select("node", "size", "lone", "i", "x", F.posexplode(F.slice("first", F.col("i") + 2, F.size("first"))).alias("j", "y"))
+    at = F.col("i") + F.col("j") + 2
+    return two.select(F.xxhash64(F.lit(2), "x", "y").alias("key"), "node", at.alias("at"), F.lit(2).alias("depth"), (at - 2 + F.col("lone")).alias("apart"), "size", F.lit(None).cast("long").alias("passed"))
 
 
 def boundary(nodes: DataFrame) -> int:

@@ -52,8 +52,10 @@ BELOW = (1 << 64) // 3
 COMMON = 1 << 30
 #: Partners that a node gets in the second look; the third look has all.
 WIDE = 64
-#: Nodes of a bucket that one task compares.
-MANY = 2000
+#: Nodes of a bucket that one task compares; of so many one by one.
+MANY, FEW = 2000, 12
+#: One of so many keys is looked at first.
+FIRST = 16
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -77,10 +79,11 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
-def proposals(node: np.ndarray, size: np.ndarray, lone: np.ndarray, label: np.ndarray, prints: list[np.ndarray], wide: int = 0) -> list[tuple[int, int]]:
-    """Pairs of nodes with differing labels within the budget: a forest of them, or all, up to `wide` for a node. prints are of the shared shingles; `lone` counts the others."""
+def proposals(node: np.ndarray, size: np.ndarray, lone: np.ndarray, label: np.ndarray, prints: list[np.ndarray], wide: int = 0) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of nodes with differing labels within the budget: a forest of them, or all, up to `wide` for a node; and whether a node has more. prints are of the shared shingles; `lone` counts the others."""
     root = np.unique(label, return_inverse=True)[1].copy()
     out: list[tuple[int, int]] = []
+    cut_off = False
     by_words: dict[int, np.ndarray] = {}
     words = np.array([len(p) for p in prints])
     for w in np.unique(words):
@@ -107,7 +110,34 @@ def proposals(node: np.ndarray, size: np.ndarray, lone: np.ndarray, label: np.nd
                     if not wide:
                         root[root == root[j]] = root[i]
                     elif given == wide:
+                        cut_off = True
                         break
+    return out, cut_off
+
+
+def few_proposals(bucket: list[tuple], wide: int = 0) -> list[tuple[int, int]]:
+    """The same for a few rows (node, size, lone, label, bits): all, or a forest."""
+    out = []
+    label = [r[3] for r in bucket]
+    prints = [int.from_bytes(r[4], "little") for r in bucket]
+    for i, (a, n, x, _, p) in enumerate(bucket):
+        for j in range(i):
+            b, m, y, _, q = bucket[j]
+            if label[i] == label[j] or UNDER * min(n, m) < OVER * max(n, m) or (OVER + UNDER) * (x + y) > (UNDER - OVER) * (n + m):
+                continue
+            wi, wj = 8 * len(p), 8 * len(q)
+            u, v = prints[i], prints[j]
+            if wi > 2 * wj or wj > 2 * wi:
+                continue
+            if wi > wj:
+                u = u >> wj ^ u & (1 << wj) - 1
+            elif wj > wi:
+                v = v >> wi ^ v & (1 << wi) - 1
+            if (OVER + UNDER) * ((u ^ v).bit_count() + x + y) <= (UNDER - OVER) * (n + m):
+                out.append((min(a, b), max(a, b)))
+                if not wide:
+                    old, new = label[j], label[i]
+                    label = [new if k == old else k for k in label]
     return out
 
 
@@ -240,45 +270,65 @@ def nodes_of(rows: DataFrame, texts: DataFrame, width: int, blanks: bool, often:
 
 
 def list_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, at, depth): the inverted lists in which sets meet; at: the place of the key's last shingle."""
-    return nodes.select("node", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "key")).select("key", "node", (F.col("at") + 1).alias("at"), F.lit(1).alias("depth"), F.lit(None).cast("long").alias("passed"))
+    """(key, node, at, depth, apart, size, passed): the inverted lists in which sets meet; at: the place of the key's last shingle; apart: shingles before it, and lone ones, that are not in the key."""
+    lists = nodes.select("node", "size", "lone", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "key"))
+    return lists.select("key", "node", (F.col("at") + 1).alias("at"), F.lit(1).alias("depth"), (F.col("at") + F.col("lone")).alias("apart"), "size", F.lit(None).cast("long").alias("passed"))
 
 
 def _met(keys: DataFrame, many: int) -> DataFrame:
-    """The keys of several nodes, with the number n of these; of keys with the same nodes, `many` at most, one. Where all nodes passed over one shingle that they share, they meet under that one."""
-    name = F.xxhash64(F.lit(7), "node")
+    """(key, node, at, depth, apart, size, n): the keys of several nodes, with the number n of these; of keys with the same nodes, `many` at most, one.
+
+    Alike sets need only meet under their first common shingles. What a node has before the key's last shingle and not in the key, no such partner has: nodes with too much of that, given the
+    least of the bucket, go. Where all nodes passed over one shingle that they share, they meet under that one.
+    """
     passed = F.coalesce((F.count("passed") == F.count(F.lit(1))) & (F.min("passed") == F.max("passed")), F.lit(False))
-    each = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(name.cast("decimal(20,0)")).alias("sum"), F.bit_xor(name).alias("xor"), passed.alias("late")).where("n > 1 and not late")
+    each = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("least"), passed.alias("late")).where("n > 1 and not late").select("key", "least")
+    # (OVER + UNDER) * (apart + least) <= (UNDER - OVER) * (size + size / 0.8) for any partner of the key.
+    close = cut(keys.drop("passed").join(each, "key").where(4 * (F.col("apart") + F.col("least")) <= F.col("size")).drop("least"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"x{salt}") for salt in (1, 2)]
+    groups = close.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
     same = F.when(F.col("n") > many, F.col("key"))
-    kept = each.groupBy("n", "sum", "xor", same).agg(F.min("key").alias("key")).select("key", "n")
-    return cut(keys.drop("passed").join(kept, "key"))
+    kept = groups.groupBy("n", "x1", "x2", same).agg(F.min("key").alias("key")).select("key", "n")
+    return cut(close.join(kept, "key"))
 
 
 def _looked(hits: DataFrame, nodes: DataFrame, labels: DataFrame, wide: int) -> DataFrame:
-    """(a, b): proposals of the buckets of hits (key, piece, node), piece by piece."""
+    """(key, a, b): proposals of the buckets of hits (key, piece, node), piece by piece; (key, null, null) for a bucket of which not all were given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[tuple] = []
+        out: list[tuple] = []
         now = None
 
-        def pairs() -> pa.RecordBatch:
-            node, size, lone, label = (np.array([r[i] for r in bucket], np.int64) for i in range(4))
-            found = proposals(node, size, lone, label, [np.frombuffer(r[4], np.uint64) for r in bucket], wide)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def close() -> None:
+            if len(bucket) <= FEW:
+                out.extend((now and now[0], *pair) for pair in few_proposals(bucket, wide))
+            else:
+                node, size, lone, label = (np.array([r[i] for r in bucket], np.int64) for i in range(4))
+                found, cut_off = proposals(node, size, lone, label, [np.frombuffer(r[4], np.uint64) for r in bucket], wide)
+                out.extend((now[0], *pair) for pair in found)
+                if cut_off:
+                    out.append((now[0], None, None))
+
+        def given() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in range(3)], names=["key", "a", "b"])
+            out.clear()
+            return found
 
         for b in batches:
             for key, piece, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, piece) != now:
-                    if len(bucket) > 1:
-                        yield pairs()
+                    close()
                     bucket, now = [], (key, piece)
+                    if len(out) > 10_000:
+                        yield given()
                 bucket.append(tuple(row))
-        if len(bucket) > 1:
-            yield pairs()
+        close()
+        yield given()
 
     rows = hits.select("key", "piece", "node").join(nodes.select("node", "size", "lone", "bits"), "node").join(labels, "node", "left")
     dealt = rows.select("key", "piece", "node", "size", "lone", F.coalesce("root", "node").alias("label"), "bits").repartition("key", "piece").sortWithinPartitions("key", "piece")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return cut(dealt.mapInArrow(run, "key long, a long, b long"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -298,27 +348,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _direct(hot: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, alike): links of hot buckets that the key's shingles alone prove, to the bucket's smallest set."""
-    sized = hot.join(nodes.select("node", "size"), "node")
+    sized = hot
     least = sized.groupBy("key").agg(F.min(F.struct("size", "node")).alias("least"))
     enough = F.expr(f"{OVER + UNDER} * depth >= {OVER} * (size + least.size) and node <> least.node")
     return cut(sized.join(least, "key").where(enough).select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"), F.lit(True).alias("alike")))
 
 
 def _split(hot: DataFrame, nodes: DataFrame, banded: bool) -> DataFrame:
-    """Keys of one shingle more: all that may follow in a node's order. The first time also by size: sets of a similarity of 0.8 lie in one band or in neighbours.
-
-    What a node has before the key's last shingle and not in the key, no partner that it meets here first has: nodes with too much of that, given the least of the bucket, go."""
+    """Keys of one shingle more: all that may follow in a node's order. The first time also by size: sets of a similarity of 0.8 lie in one band or in neighbours."""
     until = F.expr("size(shared) - need + depth + 1")
-    rows = hot.join(nodes.select("node", "size", "need", "lone", "shared"), "node").withColumn("apart", F.col("at") - F.col("depth") + F.col("lone"))
-    least = rows.groupBy("key").agg(F.min("apart").alias("least"))
-    # (OVER + UNDER) * (apart + least) <= (UNDER - OVER) * (size + size / 0.8) for any partner of the key.
-    rows = rows.join(least, "key").where(4 * (F.col("apart") + F.col("least")) <= F.col("size"))
+    rows = hot.drop("size").join(nodes.select("node", "size", "need", "lone", "shared"), "node")
     band = F.floor(F.log(F.col("size")) / F.log(F.lit(1.26)))
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1))) if banded else rows.withColumn("band", F.lit(0))
     rest = F.slice("shared", F.col("at") + 1, F.greatest(until - F.col("at"), F.lit(0)))
-    rows = rows.select("key", "node", "at", "depth", "band", rest.alias("rest"), F.posexplode(rest).alias("step", "token"))
+    rows = rows.select("key", "node", "at", "depth", "apart", "size", "band", rest.alias("rest"), F.posexplode(rest).alias("step", "token"))
     passed = F.when(F.col("step") > 0, F.get("rest", F.col("step") - 1))
-    return rows.select(F.xxhash64("key", "band", "token").alias("key"), "node", (F.col("at") + F.col("step") + 1).alias("at"), (F.col("depth") + 1).alias("depth"), passed.alias("passed"))
+    return rows.select(F.xxhash64("key", "band", "token").alias("key"), "node", (F.col("at") + F.col("step") + 1).alias("at"), (F.col("depth") + 1).alias("depth"), (F.col("apart") + F.col("step")).alias("apart"), "size", passed.alias("passed"))
 
 
 def _piece(number: Column) -> Column:
@@ -349,32 +394,40 @@ def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY) -> DataFrame:
     roots = nodes.sparkSession.createDataFrame([], "node long, root long")
     banded = True
 
-    def look(hits: DataFrame, wide: int) -> None:
+    def look(hits: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
+        """Proposals of hits, verified. The keys with proposals that failed, and those of which not all were taken; all others need no other look."""
         nonlocal done, roots
-        new = cut(_looked(hits, nodes, roots, wide).join(done, ["a", "b"], "left_anti"))
+        found = _looked(hits, nodes, roots, wide)
+        new = cut(found.where("b is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             done = done.union(_verified(new, nodes))
             roots = components(done.where("alike"))
+        return found.join(done.where("not alike"), ["a", "b"], "left_semi").select("key").distinct(), found.where("b is null").select("key").distinct()
 
     while True:
         hits = _met(keys, many)
         if hits.isEmpty():
             return roots
-        if banded:  # at first only: what dense groups there are is joined now
-            look(hits.withColumn("piece", _piece(F.ceil(F.col("n") / many))), 0)
+        hits = hits.withColumn("piece", _piece(F.ceil(F.col("n") / many)))
         small = hits.where(F.col("n") <= many)
-        for wide in (WIDE, many):
-            small = _open(small, roots)
-            if small.isEmpty():
-                break
-            look(small.withColumn("piece", F.lit(0)), wide)
-        hot = _open(hits.where(F.col("n") > many), roots)
+        if banded:  # at first: dense groups meet under many keys, of which a few join them
+            look(hits.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(FIRST)) == 0), 0)
+            hits = _open(hits, roots)
+            failed, _ = look(hits, 0)
+            small = hits.where(F.col("n") <= many).join(failed, "key", "left_semi")
+        small = _open(small, roots)
+        if not small.isEmpty():
+            _, more = look(small, WIDE)
+            if not more.isEmpty():
+                look(_open(small.join(more, "key", "left_semi"), roots), many)
+        hot = _open(hits.where(F.col("n") > many).drop("piece"), roots)
         if hot.isEmpty():
             return roots
         few, hot = _outsiders(hot, roots, many)
         if not few.isEmpty():
-            look(few, WIDE)
-            look(few, many)
+            _, more = look(few, WIDE)
+            if not more.isEmpty():
+                look(few.join(more, "key", "left_semi"), many)
         if hot.isEmpty():
             return roots
         proved = _direct(hot, nodes)
