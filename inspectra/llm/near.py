@@ -73,8 +73,8 @@ def digest(found: np.ndarray) -> int:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """The parity fingerprint of a set, in 64-bit words: a power of two of bits, four to eight for each shingle, BITS at most. A larger one folds to a smaller one."""
-    bits = min(BITS, max(64, 1 << (4 * len(found) - 1).bit_length()))
+    """The parity fingerprint of a set, in 64-bit words: a power of two of bits, two to four for each shingle, BITS at most. A larger one folds to a smaller one."""
+    bits = min(BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
