@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,9 +126,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **col
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs without a hit, all columns as they were."""
-    bad = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("own").alias("bad_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text"))
+    """The rows of docs without a hit, all columns as they were, whatever their names. Rows that share an id are judged by their texts; null ids and texts are ids and texts like others; an empty table stays empty."""
+    i, t = fresh(docs.columns, "bad_id", "bad_text")
+    bad = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(i), F.col("own").alias(t))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t))
     return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 

@@ -55,6 +55,10 @@ def test_decontaminate_cases(spark):
             1: (12, [(1, 11)], ["i1"]), 2: (0, [], []), 3: (0, [], []), 4: (6, [(1, 3), (4, 6)], ["i2"]), 5: (9, [], []), 6: (3, [(1, 3)], ["i2"]),
         }
     assert sorted(r.doc_id for r in decontaminate.remove_documents(df, bench).collect()) == [2, 3, 5]
+    clashing = df.withColumns({"bad_id": F.lit(1), "bad_text": F.lit("x"), "own": F.lit(2), "hashes": F.lit(3)})
+    left = decontaminate.remove_documents(clashing, bench)
+    assert left.columns == clashing.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 5]
+    assert decontaminate.remove_documents(clashing.where("false"), bench).count() == 0
     assert decontaminate.decontaminate(df.where("false"), bench).count() == 0
     again = spark.createDataFrame([(1, "short item"), (1, "clean text of another row"), (1, "short item"), (None, "a short item"), (None, "clean")], "doc_id long, text string")
     got = sorted((r.n_words, r.n_hit) for r in decontaminate.decontaminate(again, bench).collect())
