@@ -9,7 +9,7 @@ from inspectra.functions import normalise as n
 from inspectra.functions import predicates as p
 from inspectra.operators.facts import USABLE
 from inspectra.plans.registry import query
-from inspectra.sources.views import VIEWS, frame
+from inspectra.sources.views import ORACLE_VIEWS, VIEWS, frame
 
 c = F.col
 # Documents whose dates are those of the assessed wage period.
@@ -39,12 +39,23 @@ SELECT CAST(event_id AS BIGINT) AS upload_id, CAST(user_id % 7 AS BIGINT) AS org
 """
 
 
-def earlier_upload(uploads: DataFrame) -> DataFrame:
-    """The previous upload of the same content in the organisation that was not rejected."""
+def earlier_upload(uploads: DataFrame, block: str = "day") -> DataFrame:
+    """The previous upload of the same content in the organisation that was not rejected.
+
+    In two levels, so that one content with very many uploads is no single window: a window runs over one block of time of a content only, and what an upload does not find in its block is the last one of the
+    block before, of which there is one row a block. Uploads without a time come first, as one block."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("organisation_id", "content_sha256").orderBy("created_at", "upload_id").rowsBetween(Window.unboundedPreceding, -1)
-    return uploads.withColumn("earlier_id", F.last(F.when(c("status") != "REJECTED", c("upload_id")), ignorenulls=True).over(w))
+    key = ["organisation_id", "content_sha256"]
+    rows = uploads.withColumn("_block", F.date_trunc(block, "created_at"))
+    within = Window.partitionBy(*key, "_block").orderBy("created_at", "upload_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.last(F.when(c("status") != "REJECTED", c("upload_id")), ignorenulls=True).over(within))
+    # The last of each block that counts, combined before the shuffle, and carried over the blocks of its content.
+    last = rows.groupBy(*key, "_block").agg(F.max(F.when(c("status") != "REJECTED", F.struct("created_at", "upload_id"))).alias("_last"))
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*(c(k).alias(f"_{k}") for k in key), c("_block").alias("_at"), F.last("_last.upload_id", ignorenulls=True).over(before).alias("_far"))
+    same = [c(k).eqNullSafe(c(f"_{k}")) for k in key] + [c("_block").eqNullSafe(c("_at"))]
+    return rows.join(last, same, "left").select(*uploads.columns, F.coalesce("_near", "_far").alias("earlier_id"))
 
 
 @query("d2_earlier_upload", """SELECT upload_id, last_value(CASE WHEN status <> 'REJECTED' THEN upload_id END IGNORE NULLS) OVER (PARTITION BY organisation_id, content_sha256 ORDER BY created_at, upload_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_id FROM x_upload""")
@@ -98,7 +109,8 @@ def merge_shared_uan(people: DataFrame) -> DataFrame:
     """Identities of one establishment with one UAN become one: (establishment_id, uan, keeper_id, members, display_name, father_name, date_of_joining, is_contract_worker, name_variants).
     The keeper has the most spellings (column name_variants, where there is one), a joining date, a father's name and the longest name, in that order; the smallest id of equals. Blanks are filled from the keeper's order, spellings joined in it, 20 at most."""
     spelled = c("name_variants") if "name_variants" in people.columns else F.array().cast("array<string>")
-    rows = people.where(c("uan").isNotNull()).withColumns({"uan": n.digits_only("uan"), "_own": F.coalesce(spelled, F.array().cast("array<string>"))})
+    rows = people.withColumns({"uan": n.digits_only("uan"), "_own": F.coalesce(spelled, F.array().cast("array<string>"))})
+    rows = rows.where("uan <> ''")  # an account number without a digit says nothing about who it is
     order = F.struct(F.size("_own"), c("date_of_joining").isNotNull(), c("father_name").isNotNull(), F.length("display_name"), -c("identity_id"))
     best = lambda x: F.max_by(x, F.when(c(x).isNotNull(), order))
     return rows.groupBy("establishment_id", "uan").agg(
@@ -107,21 +119,37 @@ def merge_shared_uan(people: DataFrame) -> DataFrame:
     )
 
 
-_ORDER = "ORDER BY (date_of_joining IS NOT NULL) DESC, (father_name IS NOT NULL) DESC, length(display_name) DESC, identity_id"
+#: Identities with spellings, and account numbers in several forms: spaced, without a digit, none.
+VIEWS["x_spelled_identity"] = """
+SELECT establishment_id, identity_id, display_name, father_name, CASE WHEN identity_id % 23 = 0 THEN 'n/a' WHEN identity_id % 29 = 0 THEN '-' WHEN identity_id % 5 = 0 THEN substr(uan, 1, 4) || ' ' || substr(uan, 5, 4) || ' ' || substr(uan, 9, 4) ELSE uan END AS uan,
+       date_of_joining, is_contract_worker, CASE identity_id % 3 WHEN 0 THEN display_name || '|' || upper(display_name) WHEN 1 THEN upper(display_name) END AS spellings
+FROM x_identity
+"""
+ORACLE_VIEWS["x_o_account"] = r"""
+SELECT *, regexp_replace(uan, '\D', '', 'g') AS digits, coalesce(string_split(spellings, '|'), []) AS own FROM x_spelled_identity WHERE regexp_replace(uan, '\D', '', 'g') <> ''
+"""
+_ORDER = "ORDER BY len(own) DESC, (date_of_joining IS NOT NULL) DESC, (father_name IS NOT NULL) DESC, length(display_name) DESC, identity_id"
+
+
+def _spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "x_spelled_identity").withColumn("name_variants", F.split("spellings", r"\|"))
 
 
-@query("l5_merge_identities", f"""SELECT establishment_id, uan, first(identity_id {_ORDER}) AS keeper_id, count(*) AS members, first(display_name {_ORDER}) AS display_name, first(father_name {_ORDER}) FILTER (WHERE father_name IS NOT NULL) AS father_name,
- first(date_of_joining {_ORDER}) FILTER (WHERE date_of_joining IS NOT NULL) AS date_of_joining, bool_or(is_contract_worker) AS is_contract_worker, array_to_string(list(display_name {_ORDER}), '|') AS name_variants FROM x_identity WHERE uan IS NOT NULL GROUP BY 1, 2""")
+@query("l5_merge_identities", f"""WITH v AS (SELECT establishment_id, digits, string_agg(v, '|' ORDER BY k, j) AS name_variants FROM (SELECT *, row_number() OVER (PARTITION BY establishment_id, digits ORDER BY k, j) AS place FROM (
+ SELECT establishment_id, digits, v, k, j FROM (SELECT establishment_id, digits, k, unnest(list_prepend(display_name, own)) AS v, unnest(range(0, len(own) + 1)) AS j FROM (SELECT *, row_number() OVER (PARTITION BY establishment_id, digits {_ORDER}) AS k FROM x_o_account)) WHERE v IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY establishment_id, digits, v ORDER BY k, j) = 1)) WHERE place <= 20 GROUP BY 1, 2)
+ SELECT establishment_id, digits AS uan, first(identity_id {_ORDER}) AS keeper_id, count(*) AS members, first(display_name {_ORDER}) AS display_name, first(father_name {_ORDER}) FILTER (WHERE father_name IS NOT NULL) AS father_name,
+ first(date_of_joining {_ORDER}) FILTER (WHERE date_of_joining IS NOT NULL) AS date_of_joining, bool_or(is_contract_worker) AS is_contract_worker, first(v.name_variants) AS name_variants FROM x_o_account JOIN v USING (establishment_id, digits) GROUP BY 1, 2""")
 def _l5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_shared_uan(frame(spark, sf_dir, "x_identity")).withColumn("name_variants", F.array_join("name_variants", "|"))
+    return merge_shared_uan(_spelled(spark, sf_dir)).withColumn("name_variants", F.array_join("name_variants", "|"))
 
 
-@query("l1_l6_repoint", f"""SELECT identity_id, coalesce(keeper_id, identity_id) AS keeper_id FROM x_identity LEFT JOIN (SELECT establishment_id, uan, first(identity_id {_ORDER}) AS keeper_id FROM x_identity WHERE uan IS NOT NULL GROUP BY 1, 2) USING (establishment_id, uan)""")
+@query("l1_l6_repoint", f"""SELECT i.identity_id, coalesce(keeper_id, i.identity_id) AS keeper_id FROM x_spelled_identity i LEFT JOIN (SELECT establishment_id, digits, first(identity_id {_ORDER}) AS keeper_id FROM x_o_account GROUP BY 1, 2) k ON k.establishment_id = i.establishment_id AND k.digits = regexp_replace(i.uan, '\\D', '', 'g')""")
 def _l6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every identity with the one that its rows move to."""
-    people = frame(spark, sf_dir, "x_identity")
-    keepers = merge_shared_uan(people).select("establishment_id", "uan", "keeper_id")
-    return people.join(keepers, ["establishment_id", "uan"], "left").select("identity_id", F.coalesce("keeper_id", "identity_id").alias("keeper_id"))
+    """Every identity with the one that its rows move to. Account numbers meet by their digits, however they are written."""
+    people = _spelled(spark, sf_dir)
+    keepers = merge_shared_uan(people).select("establishment_id", c("uan").alias("digits"), "keeper_id")
+    return people.withColumn("digits", n.digits_only("uan")).join(keepers, ["establishment_id", "digits"], "left").select("identity_id", F.coalesce("keeper_id", "identity_id").alias("keeper_id"))
 
 
 def repoint(rows: DataFrame, keepers: DataFrame, column: str = "worker_identity_id") -> DataFrame:

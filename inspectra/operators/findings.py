@@ -270,10 +270,10 @@ def _c16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e7_e8_findings_snapshot", f"""WITH o AS ({rules.OUTCOME_SQL}),
  r(rule_id, severity) AS (VALUES {", ".join(f"('{r.rule_id}', '{r.severity}')" for r in rules.rules())}),
- cur AS MATERIALIZED (SELECT substr(sha256(concat_ws('|', rule_id, establishment_id, period_start, period_end)), 1, 48) AS dedupe_key, establishment_id, state, severity, affected FROM o JOIN r USING (rule_id)),
- prev AS (SELECT dedupe_key, CASE establishment_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'RESOLVED' ELSE 'DISPUTED' END AS status, 'INFO' AS severity, 1::BIGINT AS affected FROM cur WHERE establishment_id % 4 <> 3)
+ cur AS (SELECT substr(sha256(concat_ws('|', rule_id, establishment_id, period_start, period_end)), 1, 48) AS dedupe_key, state, r.severity AS new_severity, affected AS new_affected,
+  CASE establishment_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'RESOLVED' WHEN 2 THEN 'DISPUTED' END AS status FROM o JOIN r USING (rule_id))
  SELECT dedupe_key, CASE WHEN state = 'violation' AND (status IS NULL OR status = 'RESOLVED') THEN 'OPEN' WHEN state = 'violation' THEN status WHEN state = 'pass' AND status IN ('OPEN', 'DISPUTED') THEN 'RESOLVED' ELSE status END AS new_status,
-  CASE WHEN state = 'violation' THEN cur.severity ELSE prev.severity END AS severity, CASE WHEN state = 'violation' THEN cur.affected ELSE prev.affected END AS affected FROM cur LEFT JOIN prev USING (dedupe_key) WHERE new_status IS NOT NULL""")
+  CASE WHEN state = 'violation' THEN new_severity WHEN status IS NOT NULL THEN 'INFO' END AS severity, CASE WHEN state = 'violation' THEN new_affected WHEN status IS NOT NULL THEN 1 END AS affected FROM cur WHERE new_status IS NOT NULL""")
 def _e7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes upserted over an earlier snapshot that holds three in four establishments."""
     severity = F.broadcast(rules.rule_table(spark).select("rule_id", "severity"))

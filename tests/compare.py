@@ -39,4 +39,6 @@ def same(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(spark_df.columns)
     want = rows(names, found.fetchall())
-    assert got == want, (len(got), len(want), [x for x in got if x not in set(want)][:2], [x for x in want if x not in set(got)][:2])
+    if got != want:
+        ours, theirs = set(got), set(want)
+        raise AssertionError((len(got), len(want), [x for x in got if x not in theirs][:2], [x for x in want if x not in ours][:2]))
