@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inspectra.functions import normalise as n
 from inspectra.functions import predicates as p
+from inspectra.functions.canonical import content_hash
 from inspectra.operators.facts import USABLE
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, VIEWS, frame
@@ -255,6 +256,32 @@ def _h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_breaks(frame(spark, sf_dir, "x_audit"), content=F.md5(F.concat_ws(":", c("sequence").cast("string"), "action")))
 
 
+#: The fields that an entry's hash covers.
+HASHED = ["sequence", "recorded_at", "action", "actor_id", "actor_role", "subject_type", "subject_id", "establishment_id", "purpose", "detail", "prev_hash"]
+VIEWS["x_audit_entry"] = """
+SELECT CAST(event_id AS BIGINT) AS sequence, ts AS recorded_at, event_type AS action, CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'u' || CAST(user_id AS VARCHAR(20)) END AS actor_id, 'INSPECTOR' AS actor_role, 'document' AS subject_type,
+       CAST(event_id * 7 AS VARCHAR(20)) AS subject_id, CAST(user_id % 20 AS BIGINT) AS establishment_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN 'a "quoted" path' END AS purpose, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(user_id AS BIGINT) END AS affected, md5(event_type) AS prev_hash
+FROM events
+"""
+
+
+def entry_hash(entries: DataFrame) -> Column:
+    """H1: the hash that an audit entry should carry: of all its fields but the hash itself, nested detail included."""
+    record = F.struct(*HASHED)
+    return content_hash(record, entries.select(record.alias("r")).schema["r"].dataType)
+
+
+_QUOTED = """CASE WHEN {0} IS NULL THEN 'null' ELSE '"' || replace({0}, '"', chr(92) || '"') || '"' END"""
+
+
+@query("h1_content_hashes", f"""SELECT sequence, sha256('{{"action":' || {_QUOTED.format('action')} || ',"actor_id":' || {_QUOTED.format('actor_id')} || ',"actor_role":"INSPECTOR","detail":{{"affected":' || coalesce(affected::VARCHAR, 'null') || ',"tags":["' || action || '",null],"z":{{"a":true,"b":"2026"}}}},"establishment_id":' || establishment_id
+ || ',"prev_hash":"' || prev_hash || '","purpose":' || {_QUOTED.format('purpose')} || ',"recorded_at":"' || strftime(recorded_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(recorded_at) % 1000000 = 0 THEN '' ELSE strftime(recorded_at, '.%f') END || '+00:00","sequence":' || sequence || ',"subject_id":"' || subject_id || '","subject_type":"document"}}') AS entry_hash FROM x_audit_entry""")
+def _h1_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detail = F.struct(F.struct(F.lit("2026").alias("b"), F.lit(True).alias("a")).alias("z"), F.array("action", F.lit(None).cast("string")).alias("tags"), "affected")
+    entries = frame(spark, sf_dir, "x_audit_entry").withColumns({"detail": detail, "recorded_at": c("recorded_at").cast("timestamp")})
+    return entries.select("sequence", entry_hash(entries).alias("entry_hash"))
+
+
 def detection_report(expected: DataFrame, found: DataFrame) -> DataFrame:
     """H2: hits, misses and extras by rule, of (rule_id, worker_key) pairs."""
     a = expected.select("rule_id", "worker_key").distinct().withColumn("_e", F.lit(True))
