@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact import OP5_SQL, op5_exact
-from .jaccard import op12_jaccard
+from .jaccard import OP12_SQL, op12_jaccard
 from .language import op8_language
 from .mixture import OP3_SQL, op3_mixture
 from .quality import op7_quality
@@ -40,5 +40,6 @@ ORACLE_SQL = {
     "op9_suffixes": OP9_SQL,
     "op10_warc": OP10_SQL,
     "op11_repair": OP11_SQL,
+    "op12_jaccard": OP12_SQL,
     "op13_search": OP13_SQL,
 }
