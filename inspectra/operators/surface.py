@@ -134,7 +134,7 @@ def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot("document_id", ["doc_type", "status", "period_start"], "name", "value").where("value is not null")
 
 
-# The rows that each type of document delivers.
+# A short form of two types; operators/payloads.py has every shape.
 PAYLOADS = {"WAGE_REGISTER": "rows array<struct<page:int,worker_name:string,gross:string,paid_on:string>>", "MUSTER_ROLL": "rows array<struct<page:int,worker_name:string,marks:string>>"}
 
 VIEWS["x_payload"] = """

@@ -16,7 +16,7 @@ def test_matches_sql(spark, con, name):
     same(QUERIES[name](spark, SF), con, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["l5_merge_identities", "l1_l6_repoint", "e7_e8_findings_snapshot", "v1_v2_page_numbers", "t5_refilings", "d2_earlier_upload"])
+@pytest.mark.parametrize("name", ["l5_merge_identities", "l1_l6_repoint", "e7_e8_findings_snapshot", "v1_v2_page_numbers", "t5_refilings", "d2_earlier_upload", "s4_documents", "s4_wage_rows"])
 def test_matches_sql_where_names_and_numbers_repeat(spark, name):
     """Ten times the rows: what happens to be unique in the smallest tables is not here."""
     sf = "/root/testdata/sf0.01"
