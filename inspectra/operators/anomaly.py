@@ -1,7 +1,7 @@
 """Advisory statistical tests, for all groups at once. `by` is the grain, normally K.
 
 Unknown values are left out. Counts come first (one row per group and value), so no group's rows
-are gathered; medians are exact and sort within a group only.
+are gathered; medians are exact, those of large groups by rank.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inspectra.functions import predicates as p
@@ -41,12 +41,49 @@ def benford(rows: DataFrame, column: str, by: list[str], least: int = 60, critic
 F_EXPECTED = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
 
 
-def outliers(rows: DataFrame, column: str, by: list[str], least: int = 8, threshold: float = 3.5) -> DataFrame:
-    """A2: robust z-scores; statistic is the number of outliers, value the largest absolute score."""
+def median_by_rank(rows: DataFrame, column: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
+    """(by, med, n): the exact median of the known values of each group, whatever its size; groups without any have none.
+
+    `median` keeps a group's values in one buffer. Here a sketch of bounded size gives two values between which the middle ranks must lie (its ranks
+    err by 1/accuracy at most); what is below is only counted, what lies between is counted by value. Both combine before their shuffles, so one task
+    orders some 8/accuracy of a hot group's distinct values, and may spill. Rows meet the bounds of their group by a join that adaptive execution can split."""
+    own = rows.where(c(column).isNotNull()).select(*by, c(column).cast("double").alias("_x"))
+    slack = 4.0 / accuracy
+    bounds = own.groupBy(*by).agg(p.count_rows().alias("n"), F.percentile_approx("_x", [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy).alias("_b"))
+    # Small groups: the sketch is exact there, but the slack is less than the step from one middle value to the other.
+    low = F.when(c("n") > accuracy, c("_b")[0])
+    high = F.when(c("n") > accuracy, c("_b")[1])
+    near = own.join(bounds.select(*by, "n", low.alias("_low"), high.alias("_high")), by).where("_high is null or _x <= _high")
+    counted = near.groupBy(*by, "n", F.when(c("_low").isNull() | (c("_x") >= c("_low")), c("_x")).alias("_v")).agg(p.count_rows().alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
+    ranked = counted.withColumn("_to", upto)
+    at = lambda rank: F.min(F.when(c("_to") > rank, c("_v")))
+    return ranked.groupBy(*by, "n").agg(at(F.floor((c("n") - 1) / 2)).alias("_a"), at(F.floor(c("n") / 2)).alias("_b")).select(*by, (0.5 * c("_a") + 0.5 * c("_b")).alias("med"), "n")
+
+
+def hot_groups(rows: DataFrame, by: list[str], large: int = 1_000_000) -> DataFrame | None:
+    """The groups of more than `large` rows, or None. A table of at most total / large rows; one count decides whether there are any.
+    It is not kept: where there are some, they are counted again, which combines before its shuffle."""
+    found = rows.groupBy(*by).agg(p.count_rows().alias("_n")).where(c("_n") > large).select(*by)
+    return None if found.isEmpty() else found
+
+
+def medians(rows: DataFrame, column: str, by: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """(by, med, n): exact medians, in one buffer a group, but by rank for the groups of `hot`."""
+    plain = rows if hot is None else rows.join(hot, by, "left_anti")
+    out = plain.where(c(column).isNotNull()).groupBy(*by).agg(F.median(c(column).cast("double")).alias("med"), p.count_rows().alias("n"))
+    if hot is None:
+        return out
+    ranked = median_by_rank(rows.join(hot, by, "left_semi"), column, by).select(*by, c("med").alias("_med"), c("n").alias("_n"))
+    # No group is on both sides: a full join is their union, dealt by group for the joins that follow.
+    return out.join(ranked, by, "full_outer").select(*by, F.coalesce("med", "_med").alias("med"), F.coalesce("n", "_n").alias("n"))
+
+
+def outliers(rows: DataFrame, column: str, by: list[str], least: int = 8, threshold: float = 3.5, hot: DataFrame | None = None) -> DataFrame:
+    """A2: robust z-scores; statistic is the number of outliers, value the largest absolute score. hot: the groups whose medians are found by rank."""
     own = rows.where(c(column).isNotNull()).select(*by, c(column).cast("double").alias("x"))
-    middle = own.groupBy(*by).agg(F.median("x").alias("med"), p.count_rows().alias("n")).where(c("n") >= least)
-    spread = own.join(middle, by)
-    mad = spread.groupBy(*by).agg(F.median(F.abs(c("x") - c("med"))).alias("mad")).where("mad <> 0")
+    spread = own.join(medians(own, "x", by, hot).where(c("n") >= least), by)
+    mad = medians(spread.select(*by, F.abs(c("x") - c("med")).alias("d")), "d", by, hot).select(*by, c("med").alias("mad")).where("mad <> 0")
     z = F.abs(0.6745 * (c("x") - c("med")) / c("mad"))
     found = spread.join(mad, by).withColumn("z", z).where(c("z") >= threshold).groupBy(*by).agg(F.first("n").alias("n"), p.count_rows().alias("k"), F.max("z").alias("z"))
     return _result(found, by, f"outlier.{column}", "LOW", c("n"), c("k"), F.bround("z", 2))
@@ -96,17 +133,18 @@ def peer_values(wages: DataFrame, establishments: DataFrame) -> DataFrame:
     return rows.join(total, ["nic_code", "state_code"]).select("establishment_id", p.ratio(c("all_pay") - c("pay"), c("all_days") - c("days")).alias("peer_paise"))
 
 
-def peer_gap(rows: DataFrame, peers: DataFrame, by: list[str], least: int = 8, share: float = 0.7) -> DataFrame:
-    """The median daily wage is well below the peers'."""
-    own = rows.where("daily_wage_paise is not null").groupBy(*by).agg(F.median("daily_wage_paise").alias("med"), p.count_rows().alias("n")).where(c("n") >= least)
+def peer_gap(rows: DataFrame, peers: DataFrame, by: list[str], least: int = 8, share: float = 0.7, hot: DataFrame | None = None) -> DataFrame:
+    """The median daily wage is well below the peers'. hot: the groups whose medians are found by rank."""
+    own = medians(rows, "daily_wage_paise", by, hot).where(c("n") >= least)
     found = own.join(peers, "establishment_id").where(c("med") < c("peer_paise") * share)
     return _result(found, by, "peer.daily_wage_below_median", "LOW", c("n"), F.bround(c("med") / c("peer_paise"), 3), F.bround("peer_paise", 2))
 
 
 def all_tests(wages: DataFrame, attendance: DataFrame, epf: DataFrame, peers: DataFrame, by: list[str]) -> DataFrame:
-    """A9"""
-    parts = [benford(wages, "gross_paise", by), benford(wages, "net_paid_paise", by), outliers(wages, "daily_wage_paise", by), outliers(wages, "deduction_share", by), outliers(attendance, "overtime_hours", by),
-             duplicates(wages, "gross_paise", by), duplicates(wages, "net_paid_paise", by), round_amounts(wages, "gross_paise", by), zero_variance(attendance, by), uniform_base(epf, by), peer_gap(wages, peers, by)]
+    """A9. Medians of groups of over a million rows are found by rank."""
+    hot, shifts = hot_groups(wages, by), hot_groups(attendance, by)
+    parts = [benford(wages, "gross_paise", by), benford(wages, "net_paid_paise", by), outliers(wages, "daily_wage_paise", by, hot=hot), outliers(wages, "deduction_share", by, hot=hot), outliers(attendance, "overtime_hours", by, hot=shifts),
+             duplicates(wages, "gross_paise", by), duplicates(wages, "net_paid_paise", by), round_amounts(wages, "gross_paise", by), zero_variance(attendance, by), uniform_base(epf, by), peer_gap(wages, peers, by, hot=hot)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -159,6 +197,15 @@ def _inputs(spark: SparkSession, sf_dir: str, once=lambda df: df) -> tuple[DataF
     return wages, attendance, epf, peer_values(wages, frame(spark, sf_dir, "x_establishment"))
 
 
+@query("a2_a7_medians_by_rank", """SELECT 'year' AS grain, period_year::BIGINT AS k, median(daily_wage_paise) AS med, count(daily_wage_paise) AS n FROM x_o_wage GROUP BY 2 HAVING n > 0
+ UNION ALL SELECT 'establishment', establishment_id, median(daily_wage_paise), count(daily_wage_paise) AS n FROM x_o_wage GROUP BY 2 HAVING n > 0""")
+def _by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of few large groups and of many small ones, all by rank."""
+    wages = cut(_inputs(spark, sf_dir)[0].select("period_year", "establishment_id", "daily_wage_paise"))
+    one = lambda grain, key: median_by_rank(wages, "daily_wage_paise", [key], 1_000).select(F.lit(grain).alias("grain"), c(key).cast("long").alias("k"), "med", "n")
+    return one("year", "period_year").unionByName(one("establishment", "establishment_id"))
+
+
 @query("a8_peer_values", "SELECT * FROM x_o_peer")
 def _a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inputs(spark, sf_dir)[3]
