@@ -249,11 +249,12 @@ FROM customer
 
 
 def inspector_queue(findings: DataFrame, establishments: DataFrame, users: DataFrame) -> DataFrame:
-    """C14: (user_id, findings, establishments): what each active inspector whose jurisdictions hold the establishment is told of. Findings are counted by establishment before they fan out."""
+    """C14: (user_id, findings, establishments): what each active inspector whose jurisdictions hold the establishment is told of. Findings are counted by establishment, and these by jurisdiction, before they fan out: an inspector meets a row a jurisdiction."""
     open_ = findings.where(c("status").isin(OPEN)).groupBy("establishment_id").agg(p.count_rows().alias("n"))
     rows = open_.join(establishments.where("is_active").select("establishment_id", F.concat(F.lit("IN/"), "state_code").alias("jurisdiction")), "establishment_id")
     who = users.where("is_active and role = 'INSPECTOR'").select("user_id", F.explode(F.array_distinct(F.split("jurisdictions", ","))).alias("jurisdiction")).where("jurisdiction <> ''")
-    return rows.join(who, "jurisdiction").groupBy("user_id").agg(F.sum("n").alias("findings"), p.count_rows().alias("establishments"))
+    rows = rows.groupBy("jurisdiction").agg(F.sum("n").alias("findings"), p.count_rows().alias("establishments"))
+    return who.join(rows, "jurisdiction").groupBy("user_id").agg(F.sum("findings").alias("findings"), F.sum("establishments").alias("establishments"))
 
 
 @query("c14_inspector_queue", """SELECT user_id, count(*) AS findings, count(DISTINCT f.establishment_id) AS establishments FROM x_finding f JOIN x_establishment e USING (establishment_id) JOIN (SELECT user_id, unnest(string_split(jurisdictions, ',')) AS j FROM x_inspector WHERE is_active AND role = 'INSPECTOR') u ON u.j = 'IN/' || e.state_code
