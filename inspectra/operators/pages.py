@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inspectra.functions import normalise as n
-from inspectra.plans.materialise import cut
+from inspectra.plans.materialise import stored
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, VIEWS, frame
 
@@ -74,7 +74,7 @@ def trace_numbers(claims: DataFrame, lines: DataFrame) -> DataFrame:
     A single word of that number comes first, by reading order (`word`); else neighbouring words of a line whose joined text is that number (`joined`) or has its digits, a
     decimal point being lost (`digits`), by line, start and length. A null claim agrees; one that is no number is unsupported; a page without words cannot be checked."""
     wanted = claims.select(*PAGE, "claim_id", "value", F.when(c("value").rlike("[0-9]"), money("value")).alias("number"), n.digits_only("value").alias("digits"))
-    places = cut(number_places(lines))
+    places = stored(number_places(lines))
     hit = F.struct("text", "box")
     # One row for each number, and each sequence of digits, of a page before it meets the claims.
     first = lambda rows, key, order, name: rows.groupBy(*PAGE, key).agg(F.min(F.struct(*order)).alias(f"{name}_at"), F.min_by(hit, F.struct(*order)).alias(name))
@@ -96,17 +96,18 @@ def trace_texts(claims: DataFrame, lines: DataFrame, letters: int = LETTERS) ->
     """V3: (page, claim_id, verdict, how, text, box) of text claims: the first line of the page that holds the claim's letters and digits, or its first `letters`. The box is that
     of the line's words that the claim holds, or of the line without any."""
     word = F.struct("at", "text", *BOX)
-    rows = lines.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(word)).alias("words")).withColumn("said", plain(F.array_join(F.transform("words", lambda w: w["text"]), ""))).where("said <> ''")
-    wanted = claims.withColumn("_v", plain(F.coalesce("value", F.lit(""))))
-    held = F.contains("said", "_v") | ((F.length("_v") >= letters) & F.contains("said", F.substring("_v", 1, letters)))
-    # A claim meets the lines of its own page only.
-    near = wanted.where("_v <> ''").join(rows, PAGE).where(held).groupBy(*PAGE, "claim_id").agg(F.min_by(F.struct("line", "words", "_v"), "line").alias("l"))
-    own = F.filter("l.words", lambda w: (plain(w["text"]) != "") & F.contains(c("l._v"), plain(w["text"])))
-    used = F.when(F.size(own) > 0, own).otherwise(c("l.words"))
-    near = near.select(*PAGE, "claim_id", F.array_join(F.transform(used, lambda w: w["text"]), " ").alias("text"), _around(used).alias("box"))
-    out = wanted.join(near, [*PAGE, "claim_id"], "left").join(lines.select(*PAGE).distinct().withColumn("read", F.lit(True)), PAGE, "left")
+    rows = lines.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(word)).alias("words")).withColumn("said", plain(F.array_join(F.transform("words", lambda w: w["text"]), "")))
+    wanted = claims.withColumns({"_v": plain(F.coalesce("value", F.lit(""))), "_n": F.monotonically_increasing_id()})
+    held = (c("said") != "") & (c("_v") != "") & (F.contains("said", "_v") | ((F.length("_v") >= letters) & F.contains("said", F.substring("_v", 1, letters))))
+    # A claim meets the lines of its own page only. Lines, this join and its aggregate all lie by page, so that words and claims are shuffled once.
+    met = wanted.join(rows, PAGE, "left").groupBy(*PAGE, "claim_id", "value", "_v", "_n")
+    near = met.agg(F.min_by(F.when(held, c("words")), F.when(held, c("line"))).alias("words"), F.max(c("line").isNotNull()).alias("read"))
+    own = F.filter("words", lambda w: (plain(w["text"]) != "") & F.contains(c("_v"), plain(w["text"])))
+    used = F.when(F.size(own) > 0, own).otherwise(c("words"))
+    out = near.select(*PAGE, "claim_id", "value", "_v", "read", F.when(c("words").isNotNull(), used).alias("used"))
+    out = out.select("*", F.array_join(F.transform("used", lambda w: w["text"]), " ").alias("text"), F.when(c("used").isNotNull(), _around(c("used"))).alias("box"))
     blank = F.trim(F.coalesce("value", F.lit(""))) == ""
-    verdict = F.when(blank, "AGREED").when(c("read").isNull(), "MODEL_ONLY").when((c("_v") == "") | c("box").isNotNull(), "AGREED").otherwise("UNSUPPORTED")
+    verdict = F.when(blank, "AGREED").when(~c("read"), "MODEL_ONLY").when((c("_v") == "") | c("box").isNotNull(), "AGREED").otherwise("UNSUPPORTED")
     return out.select(*PAGE, "claim_id", verdict.alias("verdict"), F.when(c("box").isNotNull(), "line").alias("how"), "text", "box")
 
 
@@ -164,9 +165,15 @@ _EDGES = "round_even(list_min(list_transform(ws, lambda w: w.l)), 5) AS box_left
 _NUMBER = "CASE WHEN regexp_matches({0}, '[0-9]') THEN try_cast(regexp_replace({0}, '[^0-9.\\-]', '', 'g') AS DECIMAL(30, 10)) END"
 
 
+def _printed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The printed rows that words and claims are made of, worked out once for all of them."""
+    return {"x_printed": stored(frame(spark, sf_dir, "x_printed"))}
+
+
 @query("v16_page_lines", "SELECT document_id, page, token, spot::INT AS spot, line::INT AS line FROM x_o_line")
 def _v16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_lines(frame(spark, sf_dir, "x_word")).select(*PAGE, "token", c("at").alias("spot"), "line")
+    printed = _printed(spark, sf_dir)
+    return page_lines(frame(spark, sf_dir, "x_word", printed)).select(*PAGE, "token", c("at").alias("spot"), "line")
 
 
 @query("v1_v2_page_numbers", rf"""WITH sp AS (SELECT document_id, page, line, start, span, words[start : start + span - 1] AS ws FROM (SELECT r.*, unnest(range(1, len(words) + 1)) AS start FROM x_o_run r), (VALUES (1), (2), (3), (4)) AS s(span) WHERE start + span - 1 <= len(words)),
@@ -177,7 +184,8 @@ def _v16(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT cl.document_id, cl.page, cl.claim_id, CASE WHEN value IS NULL THEN 'AGREED' WHEN number IS NULL THEN 'UNSUPPORTED' WHEN NOT EXISTS (SELECT 1 FROM x_word w WHERE w.document_id = cl.document_id AND w.page = cl.page) THEN 'MODEL_ONLY' WHEN how IS NOT NULL THEN 'AGREED' ELSE 'UNSUPPORTED' END AS verdict,
  how, text, {_EDGES} FROM cl LEFT JOIN hit USING (document_id, page, claim_id)""")
 def _v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trace_numbers(frame(spark, sf_dir, "x_number_claim"), cut(page_lines(frame(spark, sf_dir, "x_word"))))
+    printed = _printed(spark, sf_dir)
+    found = trace_numbers(frame(spark, sf_dir, "x_number_claim", printed), stored(page_lines(frame(spark, sf_dir, "x_word", printed))))
     return found.select(*PAGE, "claim_id", "verdict", "how", "text", "box.*")
 
 
@@ -187,7 +195,8 @@ def _v1(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT cl.document_id, cl.page, cl.claim_id, CASE WHEN trim(coalesce(value, '')) = '' THEN 'AGREED' WHEN NOT EXISTS (SELECT 1 FROM x_word w WHERE w.document_id = cl.document_id AND w.page = cl.page) THEN 'MODEL_ONLY' WHEN v = '' OR ws IS NOT NULL THEN 'AGREED' ELSE 'UNSUPPORTED' END AS verdict,
  CASE WHEN ws IS NOT NULL THEN 'line' END AS how, CASE WHEN ws IS NOT NULL THEN array_to_string(list_transform(ws, lambda w: w.text), ' ') END AS text, {_EDGES} FROM cl LEFT JOIN used USING (document_id, page, claim_id)""")
 def _v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trace_texts(frame(spark, sf_dir, "x_text_claim"), cut(page_lines(frame(spark, sf_dir, "x_word"))))
+    printed = _printed(spark, sf_dir)
+    found = trace_texts(frame(spark, sf_dir, "x_text_claim", printed), page_lines(frame(spark, sf_dir, "x_word", printed)))
     return found.select(*PAGE, "claim_id", "verdict", "how", "text", "box.*")
 
 
@@ -195,5 +204,6 @@ def _v3(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT document_id, page, claim_id, CASE WHEN trim(coalesce(value, '')) = '' THEN 'no_quote' ELSE 'quote_not_found' END AS reason FROM a WHERE trim(coalesce(value, '')) = '' OR (v <> '' AND EXISTS (SELECT 1 FROM x_word w WHERE w.document_id = a.document_id AND w.page = a.page)
   AND NOT EXISTS (SELECT 1 FROM x_o_run r WHERE r.document_id = a.document_id AND r.page = a.page AND (contains(plain, v) OR (length(v) >= 6 AND contains(plain, left(v, 6))))))""")
 def _v14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = frame(spark, sf_dir, "x_text_claim").select(*PAGE, "claim_id", (c("claim_id") % 7 != 0).alias("present"), c("value").alias("quote"))
-    return unsupported_quotes(answers, cut(page_lines(frame(spark, sf_dir, "x_word"))))
+    printed = _printed(spark, sf_dir)
+    answers = frame(spark, sf_dir, "x_text_claim", printed).select(*PAGE, "claim_id", (c("claim_id") % 7 != 0).alias("present"), c("value").alias("quote"))
+    return unsupported_quotes(answers, page_lines(frame(spark, sf_dir, "x_word", printed)))

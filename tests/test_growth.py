@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from inspectra.operators import facts, surface
+from inspectra.operators import facts, pages, surface
 
 DAY = datetime.date
 
@@ -50,3 +50,18 @@ def test_months_need_no_shuffle_to_meet_their_rows(spark):
     held = found.join(periods, facts.K, "left_semi").select(*found.columns)
     assert sorted(held.collect()) == sorted(facts.in_periods(rows, periods).select(*found.columns).collect())
     assert facts.common_periods(periods.union(spark.createDataFrame([(1, DAY(2020, 2, 20), DAY(2020, 5, 2))], kinds))) is None
+
+
+def test_words_are_shuffled_once_by_page(spark):
+    """Lines, claims and verdicts lie by page: one exchange of words, one of claims. Repeated claims keep their rows; a page of signs was read."""
+    kinds = "document_id long, page int, token long, text string, box_left double, box_top double, width double, height double"
+    words = spark.createDataFrame([(1, 1, 1, "Ram", 0.1, 0.1, 0.1, 0.01), (1, 1, 2, "Lal", 0.3, 0.1, 0.1, 0.01), (1, 2, 1, "--", 0.1, 0.1, 0.1, 0.01)], kinds)
+    claims = spark.createDataFrame([(1, 1, 1, "ramlal"), (1, 1, 1, "ramlal"), (1, 2, 2, "ram"), (1, 3, 3, "ram"), (1, 3, 4, None)], "document_id long, page int, claim_id long, value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pages.trace_texts(claims, pages.page_lines(words))
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = sorted((r.claim_id, r.verdict, r.how, r.text) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(1, "AGREED", "line", "Ram Lal")] * 2 + [(2, "UNSUPPORTED", None, None), (3, "MODEL_ONLY", None, None), (4, "AGREED", None, None)]
