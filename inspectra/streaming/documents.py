@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -27,11 +28,17 @@ def document_events(spark: SparkSession, folder: str, files_per_trigger: int = 1
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+#: Ids that share an entry of the state.
+NEIGHBOURS = 1 << 14
+
+
 class Barrier(StatefulProcessor):
-    """T2 for one batch: the latest state of each document by created_at, counts that follow each change, and whether the batch is sealed or released. Memory is one document's state at a time."""
+    """T2 for one batch: the latest state of each document by created_at, counts that follow each change, and whether the batch is sealed or released.
+
+    Documents of neighbouring ids are one entry of the state, since each read and write of it is a call from Python to the store; memory is one entry's documents at a time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.documents = handle.getMapState("documents", "document_id long", "created_at timestamp, status string, dated boolean")
+        self.documents = handle.getMapState("documents", "neighbours long", "held string")
         self.counts = handle.getValueState("counts", "documents long, running long, usable long, sealed boolean, released boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -39,20 +46,22 @@ class Barrier(StatefulProcessor):
         for part in rows:
             if released:
                 continue
-            for r in part.itertuples():
-                sealed = sealed or bool(r.sealed)
-                if pd.isna(r.document_id):
-                    continue
-                name, new = (int(r.document_id),), (r.created_at.to_pydatetime(), r.status, bool(r.dated))
-                old = self.documents.getValue(name) if self.documents.containsKey(name) else None
-                if old is not None and (old[0], old[1]) > (new[0], new[1]):
-                    continue
-                for state, step in ((old, -1), (new, 1)):
-                    if state is not None:
-                        documents += step
-                        running += step * (state[1] not in TERMINAL)
-                        usable += step * (state[1] in USABLE and state[2])
-                self.documents.updateValue(name, new)
+            sealed = sealed or any(x is True or x == 1 for x in part["sealed"])
+            part = part[part["document_id"].notna()]
+            for at, own in part.groupby(part["document_id"].astype("int64") // NEIGHBOURS):
+                held = json.loads(self.documents.getValue((int(at),))[0]) if self.documents.containsKey((int(at),)) else {}
+                for r in own.itertuples():
+                    name, new = str(int(r.document_id)), [r.created_at.value, r.status, bool(r.dated)]
+                    old = held.get(name)
+                    if old is not None and (old[0], old[1] or "") > (new[0], new[1] or ""):
+                        continue
+                    for state, step in ((old, -1), (new, 1)):
+                        if state is not None:
+                            documents += step
+                            running += step * (state[1] not in TERMINAL)
+                            usable += step * (state[1] in USABLE and state[2])
+                    held[name] = new
+                self.documents.updateValue((int(at),), (json.dumps(held),))
         ready = sealed and not released and running == 0 and usable > 0
         if ready:
             self.documents.clear()

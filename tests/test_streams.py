@@ -119,3 +119,32 @@ def test_assessments_follow_and_cards_are_added(spark, tmp_path):
     status = lambda n: {r.dedupe_key: r.status for r in done.findings.read(n).collect()}
     assert [status(n) for n in range(3)] == [{"2|4": "OPEN"}, {"2|4": "OPEN", "1|4": "OPEN"}, {"2|4": "OPEN", "1|4": "RESOLVED"}]
     assert sorted((r.number, r.establishment_id, r.open) for r in done.cards().collect()) == [(0, 2, 1), (1, 1, 1), (2, 1, 0)]
+
+
+def test_barrier_reads_its_state_by_neighbours():
+    """A thousand neighbouring documents, twice: an entry is read and written once a chunk, not once a document."""
+    import pandas as pd
+
+    from inspectra.streaming.documents import Barrier
+
+    class State(dict):
+        calls = 0
+
+        def _call(self, f, *x):
+            self.calls += 1
+            return f(*x)
+
+        containsKey, getValue, updateValue = (lambda self, k: self._call(self.__contains__, k)), (lambda self, k: self._call(self.get, k)), (lambda self, k, v: self._call(self.__setitem__, k, v))
+        exists, update = (lambda self: "v" in self), (lambda self, v: self.__setitem__("v", v))
+        get_value = dict.get
+
+        def get(self, *k):
+            return self.get_value(*k) if k else self["v"]
+
+    held, counts = State(), State()
+    barrier_ = Barrier()
+    barrier_.init(type("Handle", (), {"getMapState": lambda *x: held, "getValueState": lambda *x: counts})())
+    rows = lambda status, day, sealed: pd.DataFrame({"document_id": range(1000), "status": status, "dated": True, "sealed": sealed, "created_at": pd.Timestamp(f"2020-01-0{day}")})
+    out = [x for part in (rows("RECEIVED", 1, True), rows("EXTRACTED", 3, False), rows("RECEIVED", 2, False)) for x in barrier_.handleInputRows((7,), [part], None)]
+    assert [x.to_dict("records") for x in out] == [[{"batch_id": 7, "documents": 1000, "usable": 1000}]]
+    assert held.calls <= 9
