@@ -3,14 +3,13 @@ word positions, links of printed workers to known ones, and headers bound to an
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inspectra.functions import normalise as n
 from inspectra.functions import predicates as p
 from inspectra.operators import cleaning, documents
+from inspectra.operators.pages import page_lines
 from inspectra.operators.surface import trace_texts
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, VIEWS, frame
@@ -166,22 +165,11 @@ def _v15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", trust_share(c("provenance")).alias("share"))
 
 
-def _lines(page: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    page = page.sort_values(["box_top", "box_left", "token"], kind="stable")
-    anchors: list[float] = []
-    line = []
-    for centre in page.box_top.to_numpy() + page.height.to_numpy() / 2:
-        near = np.flatnonzero(np.abs(np.array(anchors) - centre) <= tolerance) if anchors else ()
-        if not len(near):
-            anchors.append(centre)
-        line.append(int(near[0]) if len(near) else len(anchors) - 1)
-    return page.assign(line=line)
-
-
 def word_lines(words: DataFrame, tolerance: float = 0.004) -> DataFrame:
-    """The line of each word of a page (document_id, token, box_left, box_top, height): in reading order a word joins the first line whose first word's centre is near, else it begins one. The order matters, so a page, which is small, is one group."""
-    kinds = "document_id long, token long, box_left double, box_top double, height double, line int"
-    return words.select("document_id", "token", "box_left", "box_top", "height").groupBy("document_id").applyInPandas(lambda page: _lines(page, tolerance), kinds)
+    """The line of each word of a page (document_id, token, box_left, box_top, height): in reading order a word joins the first line whose first word's centre is near, else it begins one. A fold in the JVM (`pages.page_lines`)."""
+    kinds = {"document_id": "long", "token": "long", "box_left": "double", "box_top": "double", "height": "double"}
+    rows = words.select(*(c(x).cast(kind).alias(x) for x, kind in kinds.items()))
+    return page_lines(rows, tolerance, ["document_id"]).select(*kinds, "line")
 
 
 @query("v16_word_lines")

@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from inspectra.operators import documents, facts, pages, surface
+from inspectra.operators import documents, facts, intake, pages, surface
 
 DAY = datetime.date
 
@@ -75,3 +75,10 @@ def test_equal_names_are_paired_once(spark):
     rows = found.collect()
     assert len(rows) == 3000 * 8 and {(r.identity_id, r.place) for r in rows} == {(2 * i + 1, i + 1) for i in range(8)}
     assert {r.score for r in rows if r.name_id % 3} == {100.0} and {r.score for r in rows if r.name_id % 3 == 0} == {66.7}
+
+
+def test_word_lines_need_no_python(spark):
+    words = spark.createDataFrame([(1, 1, 0.1, 0.1, 0.01), (1, 2, 0.3, 0.102, 0.01), (1, 3, 0.1, 0.5, 0.01)], "document_id long, token long, box_left double, box_top double, height double")
+    found = intake.word_lines(words)
+    assert "Pandas" not in plan(found) and "Arrow" not in plan(found)
+    assert {(r.token, r.line) for r in found.collect()} == {(1, 0), (2, 0), (3, 1)}
