@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,12 +13,22 @@ from inspectra.functions.predicates import col
 # What stands for an empty cell, date formats in order, skills, tokens that tell no names apart, cells of total and of header rows.
 BLANKS = ["", "null", "none", "n/a", "na", "-", "--"]
 DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "yyyy-M", "M/yyyy"]
+# Shapes that a text must have to fit the format at its place: no parser is asked, and none throws, that cannot fit.
+_DAY, _YEAR, _LONG, _SHORT = r"[+-]?\d{1,19}", r"[+-]?\d{4,19}", r"(?:[Mm][Aa][Yy]|[^\d\s]{4,})", r"[^\d\s]{3,5}"
+DATE_SHAPES = [
+    f"{_YEAR}-{_DAY}-{_DAY}", f"{_DAY}-{_DAY}-{_YEAR}", f"{_DAY}/{_DAY}/{_YEAR}", rf"{_DAY}\.{_DAY}\.{_YEAR}", f"{_DAY} {_LONG} {_YEAR}", f"{_DAY} {_SHORT} {_YEAR}", f"{_LONG} {_YEAR}", f"{_SHORT} {_YEAR}", f"{_YEAR}-{_DAY}", f"{_DAY}/{_YEAR}",
+]
 SKILLS = ["UNSKILLED", "SEMI_SKILLED", "SKILLED", "HIGHLY_SKILLED"]
 NOISE_TOKENS = ["SHRI", "SHRIMATI", "SMT", "SRI", "MR", "MRS", "MS", "MISS", "MASTER", "SARDAR", "LATE", "DECEASED", "SO", "DO", "WO", "CO", "OF"]
 TOTAL_MARKS = ["TOTAL", "GRAND TOTAL", "SUBTOTAL", "SUB-TOTAL", "SUB TOTAL", "C/F", "C-F", "B/F", "B-F", "CARRIED FORWARD", "BROUGHT FORWARD"]
 HEADER_MARKS = ["WORKER NAME", "EMPLOYEE NAME", "MEMBER NAME", "NAME OF WORKER", "NAME OF EMPLOYEE", "NAME"]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(c: Column | str) -> Column:
     """N1"""
     text = F.trim(F.regexp_replace(col(c), r"\s+", " "))
@@ -36,16 +47,18 @@ def parse_int(c: Column | str) -> Column:
 
 def parse_date(c: Column | str) -> Column:
     """The first format that fits, day first; a month alone is its first day."""
-    text = clean_text(c)
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS))
+    one = lambda t, shape, f: F.when(t.rlike(f"^{shape}$"), F.try_to_timestamp(t, F.lit(f)).cast("date"))
+    return _once(F.trim(F.regexp_replace(col(c), r"\s+", " ")), lambda t: F.coalesce(*(one(t, shape, f) for f, shape in zip(DATE_FORMATS, DATE_SHAPES))))
 
 
 def parse_paise(c: Column | str) -> Column:
     """Amounts in rupees to paise, half up; brackets are negative."""
-    text = clean_text(c)
-    value = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("decimal(30,10)")
-    paise = F.round(value * 100, 0).cast("long")
-    return F.when(text.startswith("(") & text.endswith(")"), -F.abs(paise)).otherwise(paise)
+
+    def paise(text: Column) -> Column:
+        value = F.round(F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("decimal(30,10)") * 100, 0).cast("long")
+        return F.when(text.startswith("(") & text.endswith(")"), -F.abs(value)).otherwise(value)
+
+    return _once(clean_text(c), paise)
 
 
 def parse_skill(c: Column | str) -> Column:

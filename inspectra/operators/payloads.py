@@ -80,21 +80,22 @@ def family(doc_type: Column | str = "doc_type") -> Column:
     return out
 
 
-def payload_items(payloads: DataFrame) -> DataFrame:
+def payload_items(payloads: DataFrame, about: dict[str, Column] | None = None) -> DataFrame:
     """The entries of payloads (document_id, page, doc_type, payload, and `pages`, the pages that it was read from; without it `page` alone).
 
     Adds family, whole (the payload), n (the place of the entry), item, entry_page, reason (N10-N13: why a row of a table is removed; null: accepted).
-    A payload without entries keeps one row with null n. Rows of tables must name one of the payload's pages by a whole number; answers and
+    about: columns over `whole`, worked out once a payload, not once an entry. A payload without entries keeps one row with null n. Rows of tables must name one of the payload's pages by a whole number; answers and
     certificates that do not are taken to be on `page`. Of equal entries of a payload the first stays."""
     pages = c("pages") if "pages" in payloads.columns else F.array(c("page").cast("int"))
     base = payloads.select("document_id", c("page").cast("int").alias("page"), "doc_type", pages.cast("array<int>").alias("_pages"), family().alias("family"), F.try_parse_json("payload").alias("whole"))
     listed = lambda name: F.try_variant_get("whole", f"$.{name}", "array<variant>")
     entries = F.when(c("family") == "registration", F.when(_keys("whole").isNotNull(), F.array("whole"))).when(c("family") == "prose", listed("assertions")).otherwise(listed("rows"))
+    about = about or {}
     # Sorted by their canonical text, equal entries are neighbours: no comparison of all with all, and no shuffle.
     marked = F.transform("_items", lambda x, i: F.when(_keys(x).isNotNull(), F.struct(F.to_json(x).alias("text"), i.alias("n"))))
-    rows = base.withColumn("_items", entries).withColumn("_sorted", F.array_sort(F.array_compact(marked)))
+    rows = base.withColumns({**about, "_items": entries}).withColumn("_sorted", F.array_sort(F.array_compact(marked)))
     one = lambda x, i: F.struct(x["n"].alias("n"), F.get("_items", x["n"]).alias("item"), ((i > 0) & (F.get("_sorted", i - 1)["text"] == x["text"])).alias("_repeated"))
-    rows = rows.select("document_id", "doc_type", "page", "_pages", "family", "whole", F.inline_outer(F.transform("_sorted", one)))
+    rows = rows.select("document_id", "doc_type", "page", "_pages", "family", "whole", *about, F.inline_outer(F.transform("_sorted", one)))
     claimed = F.when(F.schema_of_variant(F.try_variant_get("item", "$.page", "variant")) == "BIGINT", F.try_variant_get("item", "$.page", "int"))
     known = p.truth(F.array_contains("_pages", claimed))
     name = F.coalesce(*(_text("item", k) for k in NAMES))
@@ -102,7 +103,7 @@ def payload_items(payloads: DataFrame) -> DataFrame:
     is_table = ~c("family").isin("registration", "prose")
     return rows.select(
         "document_id", "doc_type", "page", "family", "whole", "n", "item", F.when(known & (c("family") != "registration"), claimed).otherwise(c("page")).alias("entry_page"),
-        F.when(is_table & c("n").isNotNull(), n.row_reason(name, known, has_number, c("_repeated"))).alias("reason"),
+        F.when(is_table & c("n").isNotNull(), n.row_reason(name, known, has_number, c("_repeated"))).alias("reason"), *about,
     )
 
 
@@ -152,11 +153,11 @@ def payload_documents(payloads: DataFrame) -> DataFrame:
     head = {target: _typed("whole", k, f"header.{source}") for k, source, target in fields(HEADER)}
     head |= {"scheme": n.clean_text(_text("whole", "scheme")), "challan_number": n.clean_text(_text("whole", "challan_number")), "deposited_on": n.parse_date(_text("whole", "deposited_on"))}
     totals = {"printed_gross_paise": n.parse_paise(_text("whole", "printed_totals.gross")), **{f"_{k}": n.parse_int(_text("whole", f"printed_totals.{k}")) for k in ("worker_count", "member_count")}}
-    found = payload_items(payloads)
+    bad = F.coalesce(F.size(F.try_variant_get("whole", "$.unreadable_regions", "array<variant>")), F.lit(0))
+    found = payload_items(payloads, {**head, **totals, "_bad": bad})
     seen, kept = c("n").isNotNull(), c("n").isNotNull() & c("reason").isNull()
     rows = found.select(
-        "document_id", "page", "doc_type", "family", "n", "reason", F.when(kept & (c("family") == "wage"), n.parse_paise(_text("item", "gross"))).alias("_gross"),
-        *(v.alias(k) for k, v in (head | totals).items()), F.coalesce(F.size(F.try_variant_get("whole", "$.unreadable_regions", "array<variant>")), F.lit(0)).alias("_bad"),
+        "document_id", "page", "doc_type", "family", "n", "reason", F.when(kept & (c("family") == "wage"), n.parse_paise(_text("item", "gross"))).alias("_gross"), *head, *totals, "_bad",
     )
     out = rows.groupBy("document_id").agg(
         F.min_by("doc_type", "page").alias("doc_type"), F.min_by("family", "page").alias("_family"), *(first(c(k)).alias(k) for k in head | totals), F.count_if(seen).alias("seen"), F.count_if(kept).alias("accepted"),

@@ -2,8 +2,12 @@
 
 import datetime
 import random
+import re
 
-from inspectra.operators import documents, facts, intake, pages, surface
+from pyspark.sql import functions as F
+
+from inspectra.functions import normalise
+from inspectra.operators import documents, facts, intake, pages, payloads, surface
 
 DAY = datetime.date
 
@@ -82,3 +86,20 @@ def test_word_lines_need_no_python(spark):
     found = intake.word_lines(words)
     assert "Pandas" not in plan(found) and "Arrow" not in plan(found)
     assert {(r.token, r.line) for r in found.collect()} == {(1, 0), (2, 0), (3, 1)}
+
+
+def test_no_date_format_is_tried_that_cannot_fit(spark):
+    """A parser that does not fit throws for each row: only formats of a text's own shape are asked, with the same days as all of them give."""
+    texts = ["2020-1-02", "2-1-2020", "02/1/2020", "2.1.2020", "2 January 2020", "2 jan 2020", "March 2020", "Mar 2020", "2020-3", "3/2020", "2-1-20", "31/2/2020", "+12020-1-2", "-2020-1-2", "2 Sept 2020", "20-1-2", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tried = F.coalesce(*(F.try_to_timestamp("t", F.lit(f)).cast("date") for f in normalise.DATE_FORMATS))
+    assert df.where(~normalise.parse_date("t").eqNullSafe(tried)).count() == 0
+    assert all(sum(bool(re.fullmatch(shape, t)) for shape in normalise.DATE_SHAPES) in (1, 2) for t in texts[:10]) and not any(re.fullmatch(shape, "2-1-20") for shape in normalise.DATE_SHAPES)
+
+
+def test_a_header_is_read_once_a_payload(spark):
+    """Not again for each of its entries."""
+    found = payloads.payload_documents(spark.createDataFrame([(1, 1, "WAGE_REGISTER", '{"header":{"state":"MH"},"rows":[{"page":1,"worker_name":"a"},{"page":1,"worker_name":"b"}]}')], "document_id long, page int, doc_type string, payload string"))
+    text = plan(found)
+    assert text.index("Generate") < text.index("$.header.state")
+    assert [(r.state, r.seen) for r in found.collect()] == [("MH", 2)]
