@@ -199,14 +199,26 @@ def _v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_split_numbers(claims: DataFrame, tokens: DataFrame) -> DataFrame:
     """V2: claims (document_id, claim_id, value) that no single token carries, held to neighbouring tokens of a line: the joined text is that number, or has its digits (a decimal point was lost).
     The first line, start and width count: (document_id, claim_id, line, pos, width)."""
-    money = lambda x: F.regexp_replace(x, r"[^0-9.\-]", "").try_cast("decimal(30,10)")
-    spans = token_spans(tokens).where(c("text").rlike("[0-9]")).withColumns({"number": money(c("text")), "digits": n.digits_only("text")})
-    at = F.min(F.struct("line", "pos", "width")).alias("at")
-    wanted = claims.withColumns({"number": money(c("value")), "digits": n.digits_only("value")}).where("digits <> ''")
-    # Two equi-joins, on one row for each number and each digit sequence of a page.
-    by_number = wanted.join(spans.groupBy("document_id", "number").agg(at), ["document_id", "number"]).select("document_id", "claim_id", "at")
-    by_digits = wanted.join(spans.groupBy("document_id", "digits").agg(at), ["document_id", "digits"]).select("document_id", "claim_id", "at")
-    return by_number.union(by_digits).groupBy("document_id", "claim_id").agg(F.min("at").alias("at")).select("document_id", "claim_id", "at.*")
+    return trace_in_spans(claims, token_spans(tokens))
+
+
+def line_spans(pages: DataFrame, most: int = 4) -> DataFrame:
+    """V2: the spans of `token_spans` that hold a digit, from the texts of pages: only lines with a digit are taken apart, where they lie, so no word is shuffled."""
+    lines = pages.select("document_id", F.posexplode(F.split("text", "\n")).alias("line", "_line")).where(c("_line").rlike("[0-9]"))
+    words = lines.select("document_id", "line", F.filter(F.split("_line", " "), lambda w: w != "").alias("_w"))
+    joined = lambda i, k: F.struct(i.alias("pos"), F.lit(k).alias("width"), F.array_join(F.slice("_w", i + 1, k), "").alias("text"))
+    spans = F.flatten(F.transform("_w", lambda w, i: F.array(*(F.when(i + k <= F.size("_w"), joined(i, k)) for k in range(2, most + 1)))))
+    return words.select("document_id", "line", F.inline(F.filter(spans, lambda s: s["text"].rlike("[0-9]"))))
+
+
+def trace_in_spans(claims: DataFrame, spans: DataFrame) -> DataFrame:
+    """trace_split_numbers over spans (document_id, line, pos, width, text). One equi-join, on one row for each number and each digit sequence of a page."""
+    money = lambda x: F.regexp_replace(x, r"[^0-9.\-]", "").try_cast("decimal(30,10)").cast("string")
+    keys = lambda x: F.inline(F.array(F.struct(F.lit("number").alias("kind"), money(x).alias("key")), F.struct(F.lit("digits").alias("kind"), n.digits_only(x).alias("key"))))
+    printed = spans.where(c("text").rlike("[0-9]")).select("document_id", F.struct("line", "pos", "width").alias("at"), keys(c("text"))).where("key is not null")
+    printed = printed.groupBy("document_id", "kind", "key").agg(F.min("at").alias("at"))
+    wanted = claims.where(n.digits_only("value") != "").select("document_id", "claim_id", keys(c("value")))
+    return wanted.join(printed, ["document_id", "kind", "key"]).groupBy("document_id", "claim_id").agg(F.min("at").alias("at")).select("document_id", "claim_id", "at.*")
 
 
 @query("v2_traced_spans", """SELECT document_id, claim_id, len(string_split(text, chr(10))) - 1 AS line, 0 AS pos, 3 AS width FROM x_page_line, (VALUES (1), (2)) AS t(claim_id) WHERE text IS NOT NULL""")
@@ -214,7 +226,7 @@ def _v2_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three claims a page: one printed in pieces, one that lost its point, one that is nowhere; of each the first span."""
     pages = frame(spark, sf_dir, "x_page_line")
     claims = pages.select("document_id", F.inline(F.array(*(F.struct(F.lit(i).alias("claim_id"), F.lit(v).alias("value")) for i, v in enumerate(("12,345", "123.45", "98989898.1"), 1)))))
-    return trace_split_numbers(claims, cleaning.page_tokens(pages))
+    return trace_in_spans(claims, line_spans(pages))
 
 
 def trace_texts(claims: DataFrame, pages: DataFrame) -> DataFrame:
