@@ -77,12 +77,27 @@ def removal_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(p.count_rows().alias("seen"), F.count_if(c("reason").isNull()).alias("accepted"), *(F.count_if(p.truth(c("reason") == k)).alias(f"removed_{k}") for k in kinds))
 
 
+def removed_counts(rows: DataFrame, pages: DataFrame, value_columns: list[str]) -> DataFrame:
+    """N14 as `removal_counts` of `accepted_rows`, where worker_name and uan are among the values. Equal rows of a page share all but the last reason, so they are counted together: those of the smallest row_id are first (a row_id may
+    repeat), the others repeat them. Rows are dealt by page once, and no row meets another."""
+    dealt = rows.select("document_id", "page", *value_columns, "row_id").repartition("document_id", "page")
+    ids = dealt.groupBy("document_id", "page", *value_columns, "row_id").agg(p.count_rows().alias("_k"))
+    unnumbered = p.total(F.when(c("row_id").isNull(), c("_k")))
+    groups = ids.groupBy("document_id", "page", *value_columns).agg(F.sum("_k").alias("_n"), (F.coalesce(F.min_by("_k", "row_id"), F.lit(0)) + unnumbered).cast("long").alias("_first"))
+    marked = groups.join(pages.select("document_id", "page").distinct().withColumn("_page", F.lit(True)), ["document_id", "page"], "left")
+    one = lambda repeated, k: F.struct(n.row_reason("worker_name", p.truth("_page"), c("uan").isNotNull(), F.lit(repeated)).alias("reason"), k.alias("k"))
+    each = marked.select("document_id", F.inline(F.array(one(False, c("_first")), one(True, c("_n") - c("_first")))))
+    kinds = ["bad_page", "total", "header", "duplicate"]
+    of = lambda test: F.sum(F.when(test, c("k")).otherwise(0))
+    return each.groupBy("document_id").agg(F.sum("k").alias("seen"), of(c("reason").isNull()).alias("accepted"), *(of(p.truth(c("reason") == k)).alias(f"removed_{k}") for k in kinds))
+
+
 @query("n10_n14_removed_rows", """SELECT document_id, count(*) AS seen, count(*) FILTER (WHERE reason IS NULL) AS accepted, count(*) FILTER (WHERE reason = 'bad_page') AS removed_bad_page, count(*) FILTER (WHERE reason = 'total') AS removed_total,
   count(*) FILTER (WHERE reason = 'header') AS removed_header, count(*) FILTER (WHERE reason = 'duplicate') AS removed_duplicate FROM (SELECT document_id, CASE WHEN page >= 38 THEN 'bad_page' WHEN worker_name IN ('Grand Total', 'Sub.Total', 'c/f', 'Brought   Forward') THEN 'total'
   WHEN worker_name IN ('Name', 'Member Name') AND uan IS NULL THEN 'header' WHEN row_id > min(row_id) OVER (PARTITION BY document_id, page, amount, skill, worker_name, uan) THEN 'duplicate' END AS reason FROM x_raw_amount) GROUP BY 1""")
 def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, "x_raw_amount")
-    return removal_counts(accepted_rows(rows, rows.where("page < 38"), ["amount", "skill", "worker_name", "uan"]))
+    return removed_counts(rows, rows.where("page < 38"), ["amount", "skill", "worker_name", "uan"])
 
 
 def reasons(*checks: tuple[Column, str]) -> Column:

@@ -11,6 +11,7 @@ from inspectra.functions import predicates as p
 from inspectra.operators import cleaning, documents
 from inspectra.operators.pages import page_lines
 from inspectra.operators.surface import trace_texts
+from inspectra.plans.materialise import cut
 from inspectra.plans.registry import query
 from inspectra.sources.views import ORACLE_VIEWS, VIEWS, frame
 
@@ -76,7 +77,7 @@ def printed_counts(removed: DataFrame, printed: DataFrame) -> DataFrame:
  AND row_id = first) AS accepted FROM (SELECT *, min(row_id) OVER (PARTITION BY document_id, page, amount, skill, worker_name, uan) AS first FROM x_raw_amount) GROUP BY 1) WHERE document_id % 5 <> 0 AND printed <> accepted""")
 def _n15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, "x_raw_amount")
-    removed = cleaning.removal_counts(cleaning.accepted_rows(rows, rows, ["amount", "skill", "worker_name", "uan"]))
+    removed = cut(cleaning.removed_counts(rows, rows, ["amount", "skill", "worker_name", "uan"]))  # a row a document, read twice
     printed = removed.select("document_id", F.when(c("document_id") % 5 != 0, c("seen") - c("document_id") % 3).alias("printed"))
     return printed_counts(removed, printed)
 
