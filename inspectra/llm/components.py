@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import PACK, cut, packed
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
@@ -22,15 +22,16 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    moved = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return down.join(low, "u").select(F.inline(moved)).where("u <> v").distinct()
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60, pack: int = PACK) -> DataFrame:
     """(node, root): for every node with a link, the smallest node it can reach.
 
     Null ends and self-links are ignored; repeated links count once; no links, no rows. A round that
-    changes nothing ends it: the links' number and two sums of 64-bit hashes are as before.
+    changes nothing ends it: the links' number and two sums of 64-bit hashes are as before. A round
+    takes a partition for every `pack` links, so one of few links shuffles nothing.
     """
     state = cut(links.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u is not null and v is not null and u <> v").distinct())
 
@@ -40,12 +41,12 @@ def components(links: DataFrame, left: str = "a", right: str = "b", max_rounds:
 
     before = mark(state)
     for _ in range(max_rounds):
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(_large_star(packed(state, before[0], pack))))
         now = mark(state)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not converge")
-    roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = packed(state, before[0], pack).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return packed(cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct())), 2 * before[0], pack)

@@ -11,7 +11,8 @@ fingerprints in bits, and sets of a similarity of 0.8 in at most a ninth of both
 3. Their shingles are all counted and put in one order, rare ones first. A shingle that is frequent in a task, or in
    more than MANY nodes, is a common one: its rows are dealt by node, and all common ones come last, in the order of their hashes. Any one order finds the same pairs.
    Two alike sets share, for every c, their first c common shingles among the first n - ceil(0.8 n) + c of each.
-4. Nodes meet under keys of c shingles (here c is 1; operator 12 takes 2 for small sets). Keys of the same nodes are one.
+4. In the pipeline the trie join of operator 1 comes first (`walked`): nodes whose SimHash fingerprints, over the same shingles, differ in two bits at most are verified on the whole sets, and what is alike is one component from the start.
+   Nodes meet under keys of c shingles (here c is 1; operator 12 takes 2 for small sets). Keys of the same nodes are one.
    In a bucket a pair within the budget is a proposal, of which a forest is taken first and verified on the whole sets; buckets whose
    nodes are in one component by then are done. Of the others all proposals between components are taken and verified.
 5. A bucket of more than MANY nodes (hot) meets in pieces at first, which joins dense groups. Where it is still open, and up to MANY nodes stand outside of its
@@ -34,9 +35,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 from .components import components
 from .passages import OFTEN
+from .simhash import links, majority
 from .winnow import gram_hashes
 
 SHINGLE = 5
@@ -56,6 +58,8 @@ WIDE = 64
 MANY, FEW = 2000, 12
 #: One of so many keys is looked at first.
 FIRST = 16
+#: Nodes of a partition, with their shingles and fingerprints.
+HELD = 1 << 11
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -246,10 +250,10 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, width: int, blanks: boo
 
 
 def nodes_of(rows: DataFrame, texts: DataFrame, width: int, blanks: bool, often: int, many: int) -> DataFrame:
-    """(node, size, need, lone, shared, scan, bits) of the sets that may have one alike.
+    """(node, size, need, lone, shared, scan, bits, fp) of the sets that may have one alike.
 
     need: shingles that any set alike shares; shared: the shingles that stand in several nodes, rare ones first; lone: the number of others; scan: the entries of the lists of its
-    first shingles, as far as a bucket goes; bits: the fingerprint of shared.
+    first shingles, as far as a bucket goes; bits: the fingerprint of shared; fp: its SimHash fingerprint.
     """
     need = F.max(F.when(F.col("token").isNull(), F.col("n")))
     third = _shared(texts, width, blanks, often, many, BELOW).groupBy("node").agg(need.alias("need"), F.count("token").alias("found"))
@@ -264,9 +268,17 @@ def nodes_of(rows: DataFrame, texts: DataFrame, width: int, blanks: bool, often:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = [parity(x.values.to_numpy().view(np.uint64)).tobytes() for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary())], names=[*b.schema.names, "bits"])
+            fp = np.array([majority([x.values.to_numpy().view(np.uint64)]) for x in b.column(4)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary()), pa.array(fp)], names=[*b.schema.names, "bits", "fp"])
 
-    return cut(per.mapInArrow(run, "node long, size int, need int, lone int, shared array<long>, scan long, bits binary"))
+    return packed(cut(per.mapInArrow(run, "node long, size int, need int, lone int, shared array<long>, scan long, bits binary, fp long")), rows=HELD)
+
+
+def walked(nodes: DataFrame) -> DataFrame:
+    """(a, b): a forest of the nodes whose SimHash fingerprints differ in two bits at most, by the trie join of operator 1. Proposals only: they join most of a dense group at once, and the keys find what it misses."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = nodes.select("fp", F.col("node").alias("b")).join(first.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    return packed(cut(equal.union(links(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()))
 
 
 def list_keys(nodes: DataFrame) -> DataFrame:
@@ -284,12 +296,12 @@ def _met(keys: DataFrame, many: int) -> DataFrame:
     passed = F.coalesce((F.count("passed") == F.count(F.lit(1))) & (F.min("passed") == F.max("passed")), F.lit(False))
     each = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("least"), passed.alias("late")).where("n > 1 and not late").select("key", "least")
     # (OVER + UNDER) * (apart + least) <= (UNDER - OVER) * (size + size / 0.8) for any partner of the key.
-    close = cut(keys.drop("passed").join(each, "key").where(4 * (F.col("apart") + F.col("least")) <= F.col("size")).drop("least"))
+    close = packed(cut(keys.drop("passed").join(each, "key").where(4 * (F.col("apart") + F.col("least")) <= F.col("size")).drop("least")))
     marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"x{salt}") for salt in (1, 2)]
     groups = close.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
     same = F.when(F.col("n") > many, F.col("key"))
     kept = groups.groupBy("n", "x1", "x2", same).agg(F.min("key").alias("key")).select("key", "n")
-    return cut(close.join(kept, "key"))
+    return packed(cut(close.join(kept, "key")))
 
 
 def _looked(hits: DataFrame, nodes: DataFrame, labels: DataFrame, wide: int) -> DataFrame:
@@ -328,7 +340,7 @@ def _looked(hits: DataFrame, nodes: DataFrame, labels: DataFrame, wide: int) ->
 
     rows = hits.select("key", "piece", "node").join(nodes.select("node", "size", "lone", "bits"), "node").join(labels, "node", "left")
     dealt = rows.select("key", "piece", "node", "size", "lone", F.coalesce("root", "node").alias("label"), "bits").repartition("key", "piece").sortWithinPartitions("key", "piece")
-    return cut(dealt.mapInArrow(run, "key long, a long, b long"))
+    return packed(cut(dealt.mapInArrow(run, "key long, a long, b long")))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -343,7 +355,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     few = F.broadcast(pairs) if pairs.count() <= IDS else pairs
     left = few.join(nodes.select(F.col("node").alias("a"), F.col("shared").alias("x"), F.col("size").alias("m")), "a")
     both = left.join(nodes.select(F.col("node").alias("b"), F.col("shared").alias("y"), F.col("size").alias("k")), "b")
-    return cut(both.select("a", "b", (F.col("m") + F.col("k")).alias("total"), "x", "y").mapInArrow(run, "a long, b long, alike boolean"))
+    return packed(cut(both.select("a", "b", (F.col("m") + F.col("k")).alias("total"), "x", "y").mapInArrow(run, "a long, b long, alike boolean")))
 
 
 def _direct(hot: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -351,7 +363,7 @@ def _direct(hot: DataFrame, nodes: DataFrame) -> DataFrame:
     sized = hot
     least = sized.groupBy("key").agg(F.min(F.struct("size", "node")).alias("least"))
     enough = F.expr(f"{OVER + UNDER} * depth >= {OVER} * (size + least.size) and node <> least.node")
-    return cut(sized.join(least, "key").where(enough).select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"), F.lit(True).alias("alike")))
+    return packed(cut(sized.join(least, "key").where(enough).select(F.least("node", "least.node").alias("a"), F.greatest("node", "least.node").alias("b"), F.lit(True).alias("alike"))))
 
 
 def _split(hot: DataFrame, nodes: DataFrame, banded: bool) -> DataFrame:
@@ -374,36 +386,40 @@ def _open(hits: DataFrame, roots: DataFrame) -> DataFrame:
     """The hits of buckets with more than one component."""
     tagged = hits.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
     keys = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return cut(hits.join(keys, "key", "left_semi"))
+    return packed(cut(hits.join(keys, "key", "left_semi")))
 
 
 def _outsiders(hot: DataFrame, roots: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
     """Of open hot buckets: those with at most `many` nodes outside of their largest component, in pieces that each hold all of these; and the hits of the others."""
     tagged = hot.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
     each = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = cut(each.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top")))
+    per = packed(cut(each.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top"))))
     few = per.where(F.col("total") - F.col("top.c") <= many).select("key", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / many).alias("k"))
     pieces = F.when(F.col("label") == F.col("main"), F.array(_piece(F.col("k")))).otherwise(F.sequence(F.lit(0), F.col("k").cast("int") - 1))
     dealt = tagged.join(few, "key").select("key", F.explode(pieces).alias("piece"), "node")
-    return cut(dealt), cut(hot.join(few, "key", "left_anti"))
+    return packed(cut(dealt)), packed(cut(hot.join(few, "key", "left_anti")))
 
 
-def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY) -> DataFrame:
-    """(node, root): components of the nodes that meet under keys and are alike."""
+def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY, first: DataFrame | None = None) -> DataFrame:
+    """(node, root): components of the nodes that meet under keys and are alike. first: pairs (a < b) that are verified before."""
     done = nodes.sparkSession.createDataFrame([], "a long, b long, alike boolean")
     roots = nodes.sparkSession.createDataFrame([], "node long, root long")
     banded = True
 
-    def look(hits: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
-        """Proposals of hits, verified. The keys with proposals that failed, and those of which not all were taken; all others need no other look."""
+    def take(new: DataFrame) -> None:
         nonlocal done, roots
-        found = _looked(hits, nodes, roots, wide)
-        new = cut(found.where("b is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            done = done.union(_verified(new, nodes))
+            done = packed(done.union(_verified(new, nodes)))
             roots = components(done.where("alike"))
+
+    def look(hits: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
+        """Proposals of hits, verified. The keys with proposals that failed, and those of which not all were taken; all others need no other look."""
+        found = _looked(hits, nodes, roots, wide)
+        take(packed(cut(found.where("b is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))))
         return found.join(done.where("not alike"), ["a", "b"], "left_semi").select("key").distinct(), found.where("b is null").select("key").distinct()
 
+    if first is not None:
+        take(first)
     while True:
         hits = _met(keys, many)
         if hits.isEmpty():
@@ -432,7 +448,7 @@ def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY) -> DataFrame:
             return roots
         proved = _direct(hot, nodes)
         if not proved.isEmpty():
-            done = done.union(proved)
+            done = packed(done.union(proved))
             roots = components(done.where("alike"))
         keys, banded = _split(hot, nodes, banded), False
 
@@ -449,4 +465,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, own, component_id) for every row: own is the text's digest; component_id the smallest doc_id reachable over pairs with a similarity of 0.8 at least."""
     rows, texts = rows_of(docs, id_col, text_col, width, True)
     nodes = nodes_of(rows, texts, width, True, often, many)
-    return named(rows, linked(list_keys(nodes), nodes, many)).drop("n")
+    return named(rows, linked(list_keys(nodes), nodes, many, walked(nodes))).drop("n")

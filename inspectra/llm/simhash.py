@@ -15,7 +15,7 @@ a null doc_id gets its fingerprint's component, but never names one; other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -34,6 +34,15 @@ PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes of all parts."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for h in parts:
+        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: bytes | None, shingle: int = 3) -> int:
     """Unsigned 64-bit fingerprint of UTF-8 bytes; only A-Z are folded, only ASCII blanks split."""
     words = text.lower().split() if text else []
@@ -43,11 +52,7 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
         grams = [b" ".join(words)]
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(grams), 1 << 15):
-        h = np.fromiter(map(_hash, grams[at : at + (1 << 15)]), np.uint64)
-        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(grams), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(_hash, grams[at : at + (1 << 15)]), np.uint64) for at in range(0, len(grams), 1 << 15))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

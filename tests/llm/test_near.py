@@ -6,7 +6,10 @@ import pyarrow as pa
 import pytest
 
 from inspectra.llm.jaccard import boundary, op12_jaccard, similar
-from inspectra.llm.near import COMMON, _counted, near_components, parity
+from inspectra.llm import near
+from inspectra.llm.common import packed
+from inspectra.llm.components import components
+from inspectra.llm.near import COMMON, _counted, near_components, nodes_of, parity, rows_of, walked
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -165,3 +168,41 @@ def test_op12_equals_all_pairs(spark):
         least[r] = min(i, least.get(r, i))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op12_jaccard(spark, sf).collect()}
     assert got == {i: (len(plain(t)) if (t or "").split() else 0, least[r] if (t or "").split() else i) for (i, t), r in zip(docs, want)}
+
+
+def test_trie_join_proposes_first(spark, monkeypatch):
+    """The stage walks the trie join of operator 1; its pairs are verified, so the components are those of all pairs, with or without it."""
+    texts = planted(31) + ["p q r s t " * 30 + f"u{i}" for i in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, whole = rows_of(df, "doc_id", "text", 5, True)
+    nodes = nodes_of(rows, whole, 5, True, 256, 2000)
+    fp = {r.node: r.fp & (1 << 64) - 1 for r in nodes.select("node", "fp").collect()}
+    found = [(r.a, r.b) for r in walked(nodes).collect()]
+    assert found and all(a < b and (fp[a] ^ fp[b]).bit_count() <= 2 for a, b in found)
+    root = {n: n for n in fp}
+    root |= {r.node: r.root for r in components(walked(nodes)).collect()}
+    assert all(root[a] == root[b] for a in fp for b in fp if (fp[a] ^ fp[b]).bit_count() <= 2)
+    taken = []
+    monkeypatch.setattr(near, "walked", lambda n: taken.append(walked(n)) or taken[0])
+    got = {r.doc_id: r.component_id for r in near_components(df).collect()}
+    assert len(taken) == 1 and [got[i] for i in range(len(texts))] == roots(texts)
+
+
+@pytest.mark.parametrize("pack", [3, 1 << 16])
+def test_components_of_few_links_shuffle_nothing(spark, pack):
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (None, 4), (7, 6)]
+    low = {n: n for p in pairs for n in p if n is not None}
+    for _ in low:
+        for a, b in pairs:
+            if a is not None:
+                low[a] = low[b] = min(low[a], low[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), pack=pack).collect()}
+    assert got == {n: r for n, r in low.items() if any(n in p and p[0] != p[1] and None not in p for p in pairs)}
+
+
+def test_small_tables_are_packed(spark):
+    df = spark.range(10).repartition(8)
+    assert packed(df).rdd.getNumPartitions() == 1 and packed(df, 10, 3).rdd.getNumPartitions() == 4 and packed(df.limit(0)).count() == 0
+    plan = packed(df, 10).groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition alone
