@@ -42,8 +42,8 @@ class Snapshots:
         return rows.where(F.concat_ws("/", "number", "bucket").isin(named)).drop("number", "bucket")
 
     def write(self, rows: DataFrame, touched: list[int], number: int) -> None:
-        """The touched buckets' new rows, whole."""
-        out = rows.withColumn("bucket", self.bucket()).repartition("bucket")
+        """The touched buckets' new rows, whole. A large bucket is written by several tasks, as many as its size asks for: each sorts what it writes."""
+        out = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
         out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/number={number}")
         versions = self.versions(number - 1) | dict.fromkeys(touched, number)
         self.spark.createDataFrame(sorted(versions.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/number={number}")

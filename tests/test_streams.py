@@ -148,3 +148,19 @@ def test_barrier_reads_its_state_by_neighbours():
     out = [x for part in (rows("RECEIVED", 1, True), rows("EXTRACTED", 3, False), rows("RECEIVED", 2, False)) for x in barrier_.handleInputRows((7,), [part], None)]
     assert [x.to_dict("records") for x in out] == [[{"batch_id": 7, "documents": 1000, "usable": 1000}]]
     assert held.calls <= 9
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """Of two establishments one has nearly all rows: no task sorts them all, and what is read is the same."""
+    table = Snapshots(spark, str(tmp_path), "establishment_id long, x long", "establishment_id", 4)
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("case when id % 1000 = 0 then 2L else 1L end as establishment_id", "xxhash64(id) as x")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "200k")
+    try:
+        table.write(rows, table.touched(rows), 0)
+    finally:
+        spark.conf.set(size, before)
+    files = {b.name: len(list(b.glob("*.parquet"))) for b in (tmp_path / "data/number=0").iterdir() if b.is_dir()}
+    assert max(files.values()) > 2
+    assert table.read(0).exceptAll(rows).isEmpty() and table.read(0).count() == 200_000
