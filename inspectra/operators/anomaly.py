@@ -45,19 +45,21 @@ def benford(rows: DataFrame, columns: str | list[str], by: list[str], least: int
 F_EXPECTED = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
 
 
-def median_by_rank(rows: DataFrame, column: str, by: list[str], accuracy: int = 10_000) -> DataFrame:
+def median_by_rank(rows: DataFrame, column: str, by: list[str], accuracy: int = 10_000, few: int = 500_000) -> DataFrame:
     """(by, med, n): the exact median of the known values of each group, whatever its size; groups without any have none.
 
     `median` keeps a group's values in one buffer. Here a sketch of bounded size gives two values between which the middle ranks must lie (its ranks
     err by 1/accuracy at most); what is below is only counted, what lies between is counted by value. Both combine before their shuffles, so one task
-    orders some 8/accuracy of a hot group's distinct values, and may spill. Rows meet the bounds of their group by a join that adaptive execution can split."""
+    orders some 8/accuracy of a hot group's distinct values, and may spill. The bounds are worked out once; those of up to `few` groups are broadcast (some 40 MB), so the rows are neither
+    dealt nor sorted by group before they are counted. More are met by a join that adaptive execution can split."""
     own = rows.where(c(column).isNotNull()).select(*by, c(column).cast("double").alias("_x"))
     slack = 4.0 / accuracy
     bounds = own.groupBy(*by).agg(p.count_rows().alias("n"), F.percentile_approx("_x", [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy).alias("_b"))
     # Small groups: the sketch is exact there, but the slack is less than the step from one middle value to the other.
     low = F.when(c("n") > accuracy, c("_b")[0])
     high = F.when(c("n") > accuracy, c("_b")[1])
-    near = own.join(bounds.select(*by, "n", low.alias("_low"), high.alias("_high")), by).where("_high is null or _x <= _high")
+    bounds = cut(bounds.select(*by, "n", low.alias("_low"), high.alias("_high")))
+    near = own.join(F.broadcast(bounds) if bounds.count() <= few else bounds, by).where("_high is null or _x <= _high")
     counted = near.groupBy(*by, "n", F.when(c("_low").isNull() | (c("_x") >= c("_low")), c("_x")).alias("_v")).agg(p.count_rows().alias("_k"))
     upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
     ranked = counted.withColumn("_to", upto)

@@ -37,3 +37,19 @@ def test_hot_groups_change_nothing(spark):
     assert hot.count() == 4
     plain, split = (sorted(map(tuple, anomaly.outliers(df, "x", ["g"], hot=h).collect())) for h in (None, hot))
     assert plain == split and len(plain) == 4
+
+
+def test_rows_meet_few_bounds_without_being_dealt(spark):
+    """Up to `few` groups the bounds are broadcast; beyond, rows and bounds are dealt by group, with the same medians."""
+    df = spark.createDataFrame(_rows(7), "k int, x double").repartition(7)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        found = [anomaly.median_by_rank(df, "x", ["k"], 100, few=n) for n in (500_000, 2)]
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in found]
+        assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+        one, two = (sorted(map(tuple, f.collect())) for f in found)
+    finally:
+        spark.conf.set(limit, before)
+    assert one == two and len(one) == 7
