@@ -7,7 +7,8 @@ Two alike sets of n and m shingles share, for every c, c of the first n - ceil(0
 * heavy sets scan inverted lists: they stand in the list of each of their first n - ceil(0.8 n) + 1 shingles. Light sets within a similarity of
   0.8 of the boundary stand there too, so light and heavy sets meet.
 
-The boundary is the size at which the whole costs least: subsets dealt by light sets, list entries scanned by heavy ones, counted for all sets by classes of size (`boundary`).
+The boundary is the size at which the whole costs least: subsets dealt by light sets, list entries scanned by heavy ones, counted for all sets by classes of size (`boundary`). It is taken once a sixteenth of the lists
+has joined the dense groups, over the lists that are still open: entries of one component are scanned no more, and counted with the square of a group's size they would make nearly all sets light, with up to w * (w - 1) / 2 subsets each.
 Counting, buckets, verification on whole sets and the splitting of hot buckets are those of `near`; documents of equal sets are one node from the start, so copies never meet one by one.
 
 Defined cases: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing; fewer words than a shingle make one shingle; repeated rows have equal sets and are
@@ -20,27 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .near import MANY, OVER, SHINGLE, UNDER, linked, list_keys, named, nodes_of, rows_of
+from .near import MANY, OVER, SHINGLE, UNDER, entries, linked, list_keys, named, nodes_of, rows_of
 from .passages import OFTEN
 
 
 def subset_keys(nodes: DataFrame) -> DataFrame:
     """The subsets of two shingles under which sets meet, as `list_keys`."""
     first = F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 2)
-    one = nodes.select("node", "size", "lone", first.alias("first"), F.posexplode(first).alias("i", "x"))
-    two = one.select("node", "size", "lone", "i", "x", F.posexplode(F.slice("first", F.col("i") + 2, F.size("first"))).alias("j", "y"))
+    one = nodes.select("node", "label", "size", "lone", first.alias("first"), F.posexplode(first).alias("i", "x"))
+    two = one.select("node", "label", "size", "lone", "i", "x", F.posexplode(F.slice("first", F.col("i") + 2, F.size("first"))).alias("j", "y"))
     at = F.col("i") + F.col("j") + 2
-    return two.select(F.xxhash64(F.lit(2), "x", "y").alias("key"), "node", at.alias("at"), F.lit(2).alias("depth"), (at - 2 + F.col("lone")).alias("apart"), "size", F.lit(None).cast("long").alias("passed"))
+    return two.select(F.xxhash64(F.lit(2), "x", "y").alias("key"), "node", "label", at.alias("at"), F.lit(2).alias("depth"), (at - 2 + F.col("lone")).alias("apart"), "size", F.lit(None).cast("long").alias("passed"))
 
 
-def boundary(nodes: DataFrame) -> int:
-    """The size up to which sets are light."""
+def boundary(nodes: DataFrame, lists: DataFrame | None = None) -> int:
+    """The size up to which sets are light. lists: the entries to be scanned (size, scan); without, the nodes tell theirs (scan)."""
     width = F.expr("size(shared) - need + 2")
-    classes = nodes.groupBy(F.floor(F.log2("size") * 8).alias("class")).agg(F.max("size").alias("most"), F.sum(width * (width - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"))
-    rows = classes.orderBy("class").collect()  # eight classes for each power of two
+    classes = nodes.groupBy(F.floor(F.log2("size") * 8).alias("class"))  # eight classes for each power of two
+    rows = classes.agg(F.max("size").alias("most"), F.sum(width * (width - 1) / 2).alias("subsets")).orderBy("class").collect()
+    scans = (nodes if lists is None else lists).groupBy(F.floor(F.log2("size") * 8).alias("class")).agg(F.sum("scan").alias("scan"))
+    scan = {r["class"]: r.scan for r in scans.collect()}
 
     def cost(b: int) -> float:
-        return sum(r.subsets if r.most <= b else 0 for r in rows) + sum(r.scan if UNDER * r.most >= OVER * (b + 1) else 0 for r in rows)
+        return sum(r.subsets if r.most <= b else 0 for r in rows) + sum(scan.get(r["class"], 0) if UNDER * r.most >= OVER * (b + 1) else 0 for r in rows)
 
     return min([0, *(r.most for r in rows)], key=cost)
 
@@ -49,9 +52,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """(doc_id, own, n, component_id) of every row: n distinct shingles; component_id the smallest doc_id reachable over links. light: a boundary to take instead of the cheapest."""
     rows, texts = rows_of(docs, id_col, text_col, width, False)
     nodes = nodes_of(rows, texts, width, False, often, many)
-    most = boundary(nodes) if light is None else light
-    keys = subset_keys(nodes.where(F.col("size") <= most)).union(list_keys(nodes.where(UNDER * F.col("size") >= OVER * (most + 1))))
-    return named(rows, linked(keys, nodes, many))
+
+    def keys_of(marked: DataFrame) -> DataFrame:
+        most = boundary(marked, entries(marked, many)) if light is None else light
+        return subset_keys(marked.where(F.col("size") <= most)).union(list_keys(marked.where(UNDER * F.col("size") >= OVER * (most + 1))))
+
+    return named(rows, linked(nodes, many, keys_of))
 
 
 def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ fingerprints in bits, and sets of a similarity of 0.8 in at most a ninth of both
    more than MANY nodes, is a common one: its rows are dealt by node, and all common ones come last, in the order of their hashes. Any one order finds the same pairs.
    Two alike sets share, for every c, their first c common shingles among the first n - ceil(0.8 n) + c of each.
 4. In the pipeline the trie join of operator 1 comes first (`walked`): nodes whose SimHash fingerprints, over the same shingles, differ in two bits at most are verified on the whole sets, and what is alike is one component from the start.
-   Nodes meet under keys of c shingles (here c is 1; operator 12 takes 2 for small sets). Keys of the same nodes are one.
-   In a bucket a pair within the budget is a proposal, of which a forest is taken first and verified on the whole sets; buckets whose
-   nodes are in one component by then are done. Of the others all proposals between components are taken and verified.
+   Nodes meet under keys of c shingles (here c is 1; operator 12 takes 2 for small sets). Keys of the same nodes are one, and keys whose nodes are in one component already are not dealt at all.
+   In a bucket a pair within the budget is a proposal, of which a forest is taken first and verified on the whole sets: at first in a sixteenth of the inverted lists, which joins dense groups, then under all keys
+   that are still open. Of buckets that are open then, all proposals between components are taken and verified.
 5. A bucket of more than MANY nodes (hot) meets in pieces at first, which joins dense groups. Where it is still open, and up to MANY nodes stand outside of its
    largest component, these meet all pieces. Else the bucket is split by the next shingle (and by bands of size): what two alike sets share beyond the key begins there. Sets that share
    no more than the key are linked to the smallest set of the bucket, if that is enough. This goes on until no bucket is hot, so no piece limit loses a link.
@@ -26,7 +26,7 @@ all ids are). Words, shingles, sets, and rows where doc_id repeats or is null, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -152,39 +152,47 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, bool]
     return (F.col(id_col).cast("long") if single else F.xxhash64(F.col(id_col), F.col(text_col))), single
 
 
-def _tokens(texts: DataFrame, width: int, blanks: bool, often: int, below: int = 1 << 64) -> DataFrame:
-    """(token, node, n) of texts (t): a row for each shingle, n 0, or -1 if it is a common one; a row with n -2 tells a common shingle's task; and one row for each node, n the set's size. Of shingles
-    `below` a hash only, n of the node's row is one more than the number of them that must stand elsewhere too if anything is like it. A set that a task meets again gives nothing."""
+def _tokens(source: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]], often: int) -> DataFrame:
+    """(token, node, n) of the sets that read gives from a batch (name, head, shingles): a row for each shingle, n 0, or -1 if it is a common one; a row with n -2 tells a common shingle's task; and one row for each
+    node, n its head. A set that a task meets again gives nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
             sets = {}
-            for t in b.column(0):
-                found = shingles(t.as_py(), width, blanks)
-                name = digest(found)
-                if len(found) and name not in met:
+            for name, head, found in read(b):
+                if head and name not in met:
                     met.add(name)
-                    sets[name] = found
+                    sets[name] = head, found
             if not sets:
                 continue
-            node, n = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
-            head, own = n, list(sets.values())
-            if below < 1 << 64:
-                own = [s[: np.searchsorted(s, np.uint64(below))] for s in own]
-                kept = np.array([len(s) for s in own], np.int64)
-                head, n = np.maximum(kept - (n + OVER * n // -UNDER), 0) + 1, kept
+            heads, own = zip(*sets.values())
+            node, head, n = np.array(list(sets), np.int64), np.array(heads, np.int32), np.array([len(s) for s in own], np.int64)
             token = np.concatenate(own)
             each, at, times = np.unique(token, return_inverse=True, return_counts=True)
             marks = each[times >= often]
             columns = [
                 np.concatenate([token.view(np.int64), marks.view(np.int64), node]),
                 np.concatenate([np.repeat(node, n), np.zeros(len(marks), np.int64), node]),
-                np.concatenate([-(times >= often)[at].astype(np.int32), np.full(len(marks), -2, np.int32), head.astype(np.int32)]),
+                np.concatenate([-(times >= often)[at].astype(np.int32), np.full(len(marks), -2, np.int32), head]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "node", "n"])
 
-    return texts.select("t").mapInArrow(run, "token long, node long, n int")
+    return source.mapInArrow(run, "token long, node long, n int")
+
+
+def _whole(width: int, blanks: bool, b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The sets of texts (t); head: the set's size."""
+    for t in b.column(0):
+        found = shingles(t.as_py(), width, blanks)
+        yield digest(found), len(found), found
+
+
+def _below(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The sets that rows (node, n, third) hold in part; head: one more than the number of these that must stand elsewhere too if anything is like the set."""
+    for name, size, third in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+        found = third.values.to_numpy().view(np.uint64)
+        yield name, max(len(found) - (size + OVER * size // -UNDER), 0) + 1, found
 
 
 def _counted(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
@@ -224,9 +232,9 @@ def _counted(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Record
         yield pack(held[1], held[0], np.full(held.shape[1], held.shape[1]))
 
 
-def _shared(texts: DataFrame, width: int, blanks: bool, often: int, many: int, below: int = 1 << 64) -> DataFrame:
-    """(node, token, n) of _counted over all texts."""
-    rows = _tokens(texts, width, blanks, often, below)
+def _shared(source: DataFrame, read: Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]], often: int, many: int) -> DataFrame:
+    """(node, token, n) of _counted over all sets."""
+    rows = _tokens(source, read, often)
     rows = rows.repartition(F.when(F.col("n") == -1, F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("token", "n", "node")
     return rows.mapInArrow(lambda batches: _counted(batches, many), "node long, token long, n int")
 
@@ -236,7 +244,8 @@ def _among(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str, width: int, blanks: bool) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, own, row, node, n) of every row: own the text's digest, node and n name and size of its shingle set (null and 0 without); and (row, t), the texts."""
+    """(doc_id, own, row, node, n, third) of every row: own the text's digest, node and n name and size of its shingle set (null and 0 without), third its shingles below BELOW; and (row, t), the texts. Words are hashed once
+    for both: the first look at all sets takes the stored thirds."""
     row, _ = _row_key(docs, id_col, text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), row.alias("row"), F.col(text_col).cast("binary").alias("t"))
 
@@ -244,26 +253,27 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, width: int, blanks: boo
         for b in batches:
             found = [shingles(t.as_py(), width, blanks) for t in b.column(3)]
             node = pa.array([digest(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], node, pa.array([len(s) for s in found], pa.int64())], names=["doc_id", "own", "row", "node", "n"])
+            third = [s[: np.searchsorted(s, np.uint64(BELOW))] for s in found]
+            offsets = np.cumsum([0, *(len(s) for s in third)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*third, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], node, pa.array([len(s) for s in found], pa.int64()), lists], names=["doc_id", "own", "row", "node", "n", "third"])
 
-    return cut(texts.mapInArrow(run, "doc_id long, own long, row long, node long, n long")), texts.select("row", "t")
+    return cut(texts.mapInArrow(run, "doc_id long, own long, row long, node long, n long, third array<long>")), texts.select("row", "t")
 
 
 def nodes_of(rows: DataFrame, texts: DataFrame, width: int, blanks: bool, often: int, many: int) -> DataFrame:
-    """(node, size, need, lone, shared, scan, bits, fp) of the sets that may have one alike.
+    """(node, size, need, lone, shared, bits, fp) of the sets that may have one alike.
 
-    need: shingles that any set alike shares; shared: the shingles that stand in several nodes, rare ones first; lone: the number of others; scan: the entries of the lists of its
-    first shingles, as far as a bucket goes; bits: the fingerprint of shared; fp: its SimHash fingerprint.
+    need: shingles that any set alike shares; shared: the shingles that stand in several nodes, rare ones first; lone: the number of others; bits: the fingerprint of shared; fp: its SimHash fingerprint.
     """
     need = F.max(F.when(F.col("token").isNull(), F.col("n")))
-    third = _shared(texts, width, blanks, often, many, BELOW).groupBy("node").agg(need.alias("need"), F.count("token").alias("found"))
+    third = _shared(rows.where("n > 0").select("node", "n", "third"), _below, often, many).groupBy("node").agg(need.alias("need"), F.count("token").alias("found"))
     hopeful = cut(third.where("found + 1 >= need").select("node"))
     one = _among(rows.select("node", "row"), hopeful, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
     mine = F.when(F.col("token").isNotNull(), F.struct("n", "token"))
-    per = _shared(_among(texts, cut(one), "row"), width, blanks, often, many).groupBy("node").agg(F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("size"), F.sort_array(F.collect_list(mine)).alias("s"))
+    per = _shared(_among(texts, cut(one), "row").select("t"), partial(_whole, width, blanks), often, many).groupBy("node").agg(F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("size"), F.sort_array(F.collect_list(mine)).alias("s"))
     per = per.withColumn("need", F.expr(f"int(({OVER} * size + {UNDER - 1}) div {UNDER})")).where("size(s) >= need")
-    scan = F.aggregate(F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1), F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.lit(many)))
-    per = per.select("node", "size", "need", (F.col("size") - F.size("s")).alias("lone"), F.col("s.token").alias("shared"), scan.alias("scan"))
+    per = per.select("node", "size", "need", (F.col("size") - F.size("s")).alias("lone"), F.col("s.token").alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,7 +281,7 @@ def nodes_of(rows: DataFrame, texts: DataFrame, width: int, blanks: bool, often:
             fp = np.array([majority([x.values.to_numpy().view(np.uint64)]) for x in b.column(4)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary()), pa.array(fp)], names=[*b.schema.names, "bits", "fp"])
 
-    return packed(cut(per.mapInArrow(run, "node long, size int, need int, lone int, shared array<long>, scan long, bits binary, fp long")), rows=HELD)
+    return packed(cut(per.mapInArrow(run, "node long, size int, need int, lone int, shared array<long>, bits binary, fp long")), rows=HELD)
 
 
 def walked(nodes: DataFrame) -> DataFrame:
@@ -281,27 +291,41 @@ def walked(nodes: DataFrame) -> DataFrame:
     return packed(cut(equal.union(links(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()))
 
 
+def marked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, size, need, lone, shared, label): the nodes, with their component so far."""
+    return nodes.select("node", "size", "need", "lone", "shared").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def entries(nodes: DataFrame, many: int) -> DataFrame:
+    """(size, scan): the list entries of marked nodes that are still to be scanned, those of lists with several components, with the entries of other components that each meets on average, as far as a bucket goes."""
+    lists = list_keys(nodes).select("key", "size", "label")
+    per = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    still = per.where("k > 1").select("key", F.least(F.col("n") - F.col("own") / F.col("n"), F.lit(many)).alias("scan"))
+    return lists.join(still, "key").select("size", "scan")
+
+
 def list_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, at, depth, apart, size, passed): the inverted lists in which sets meet; at: the place of the key's last shingle; apart: shingles before it, and lone ones, that are not in the key."""
-    lists = nodes.select("node", "size", "lone", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "key"))
-    return lists.select("key", "node", (F.col("at") + 1).alias("at"), F.lit(1).alias("depth"), (F.col("at") + F.col("lone")).alias("apart"), "size", F.lit(None).cast("long").alias("passed"))
+    """(key, node, label, at, depth, apart, size, passed): the inverted lists in which sets of `marked` meet; at: the place of the key's last shingle; apart: shingles before it, and lone ones, that are not in the key."""
+    lists = nodes.select("node", "label", "size", "lone", F.posexplode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("at", "key"))
+    return lists.select("key", "node", "label", (F.col("at") + 1).alias("at"), F.lit(1).alias("depth"), (F.col("at") + F.col("lone")).alias("apart"), "size", F.lit(None).cast("long").alias("passed"))
 
 
 def _met(keys: DataFrame, many: int) -> DataFrame:
-    """(key, node, at, depth, apart, size, n): the keys of several nodes, with the number n of these; of keys with the same nodes, `many` at most, one.
+    """(key, node, at, depth, apart, size, n): the keys of several components, with the number n of nodes; of keys with the same nodes, `many` at most, one.
 
-    Alike sets need only meet under their first common shingles. What a node has before the key's last shingle and not in the key, no such partner has: nodes with too much of that, given the
+    Nodes of one component need not meet any more, so a key that has no others is not dealt: what is dealt follows the links that are still open, not the entries of dense groups. Alike sets need only meet under their first common shingles. What a node has before the key's last shingle and not in the key, no such partner has: nodes with too much of that, given the
     least of the bucket, go. Where all nodes passed over one shingle that they share, they meet under that one.
     """
     passed = F.coalesce((F.count("passed") == F.count(F.lit(1))) & (F.min("passed") == F.max("passed")), F.lit(False))
-    each = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("least"), passed.alias("late")).where("n > 1 and not late").select("key", "least")
+    ends = [F.min("label").alias("low"), F.max("label").alias("high")]
+    each = keys.groupBy("key").agg(F.min("apart").alias("least"), passed.alias("late"), *ends).where("low < high and not late").select("key", "least")
     # (OVER + UNDER) * (apart + least) <= (UNDER - OVER) * (size + size / 0.8) for any partner of the key.
     close = packed(cut(keys.drop("passed").join(each, "key").where(4 * (F.col("apart") + F.col("least")) <= F.col("size")).drop("least")))
     marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"x{salt}") for salt in (1, 2)]
-    groups = close.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
+    groups = close.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks, *ends).where("low < high")
     same = F.when(F.col("n") > many, F.col("key"))
     kept = groups.groupBy("n", "x1", "x2", same).agg(F.min("key").alias("key")).select("key", "n")
-    return packed(cut(close.join(kept, "key")))
+    return packed(cut(close.drop("label").join(kept, "key")))
 
 
 def _looked(hits: DataFrame, nodes: DataFrame, labels: DataFrame, wide: int) -> DataFrame:
@@ -367,15 +391,15 @@ def _direct(hot: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _split(hot: DataFrame, nodes: DataFrame, banded: bool) -> DataFrame:
-    """Keys of one shingle more: all that may follow in a node's order. The first time also by size: sets of a similarity of 0.8 lie in one band or in neighbours."""
+    """Keys of one shingle more, of marked nodes: all that may follow in a node's order. The first time also by size: sets of a similarity of 0.8 lie in one band or in neighbours."""
     until = F.expr("size(shared) - need + depth + 1")
-    rows = hot.drop("size").join(nodes.select("node", "size", "need", "lone", "shared"), "node")
+    rows = hot.drop("size").join(nodes.select("node", "label", "size", "need", "lone", "shared"), "node")
     band = F.floor(F.log(F.col("size")) / F.log(F.lit(1.26)))
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1))) if banded else rows.withColumn("band", F.lit(0))
     rest = F.slice("shared", F.col("at") + 1, F.greatest(until - F.col("at"), F.lit(0)))
-    rows = rows.select("key", "node", "at", "depth", "apart", "size", "band", rest.alias("rest"), F.posexplode(rest).alias("step", "token"))
+    rows = rows.select("key", "node", "label", "at", "depth", "apart", "size", "band", rest.alias("rest"), F.posexplode(rest).alias("step", "token"))
     passed = F.when(F.col("step") > 0, F.get("rest", F.col("step") - 1))
-    return rows.select(F.xxhash64("key", "band", "token").alias("key"), "node", (F.col("at") + F.col("step") + 1).alias("at"), (F.col("depth") + 1).alias("depth"), (F.col("apart") + F.col("step")).alias("apart"), "size", passed.alias("passed"))
+    return rows.select(F.xxhash64("key", "band", "token").alias("key"), "node", "label", (F.col("at") + F.col("step") + 1).alias("at"), (F.col("depth") + 1).alias("depth"), (F.col("apart") + F.col("step")).alias("apart"), "size", passed.alias("passed"))
 
 
 def _piece(number: Column) -> Column:
@@ -400,8 +424,8 @@ def _outsiders(hot: DataFrame, roots: DataFrame, many: int) -> tuple[DataFrame,
     return packed(cut(dealt)), packed(cut(hot.join(few, "key", "left_anti")))
 
 
-def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY, first: DataFrame | None = None) -> DataFrame:
-    """(node, root): components of the nodes that meet under keys and are alike. first: pairs (a < b) that are verified before."""
+def linked(nodes: DataFrame, many: int = MANY, keys_of: Callable[[DataFrame], DataFrame] = list_keys, first: DataFrame | None = None) -> DataFrame:
+    """(node, root): components of the nodes that meet under keys and are alike. keys_of: the keys of marked nodes. first: pairs (a < b) that are verified before."""
     done = nodes.sparkSession.createDataFrame([], "a long, b long, alike boolean")
     roots = nodes.sparkSession.createDataFrame([], "node long, root long")
     banded = True
@@ -418,19 +442,25 @@ def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY, first: DataFrame
         take(packed(cut(found.where("b is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))))
         return found.join(done.where("not alike"), ["a", "b"], "left_semi").select("key").distinct(), found.where("b is null").select("key").distinct()
 
+    def dealt(keys: DataFrame) -> DataFrame:
+        return _met(keys, many).withColumn("piece", _piece(F.ceil(F.col("n") / many)))
+
     if first is not None:
         take(first)
+    # Dense groups meet under many keys, of which a few join them.
+    plain = marked(nodes, roots) if first is None else cut(marked(nodes, roots))
+    few = dealt(list_keys(plain).where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(FIRST)) == 0))
+    if not few.isEmpty():
+        look(few, 0)
+    keys = keys_of(cut(marked(nodes, roots)))
     while True:
-        hits = _met(keys, many)
+        hits = dealt(keys)
         if hits.isEmpty():
             return roots
-        hits = hits.withColumn("piece", _piece(F.ceil(F.col("n") / many)))
         small = hits.where(F.col("n") <= many)
-        if banded:  # at first: dense groups meet under many keys, of which a few join them
-            look(hits.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(FIRST)) == 0), 0)
-            hits = _open(hits, roots)
+        if banded:
             failed, _ = look(hits, 0)
-            small = hits.where(F.col("n") <= many).join(failed, "key", "left_semi")
+            small = small.join(failed, "key", "left_semi")
         small = _open(small, roots)
         if not small.isEmpty():
             _, more = look(small, WIDE)
@@ -450,7 +480,7 @@ def linked(keys: DataFrame, nodes: DataFrame, many: int = MANY, first: DataFrame
         if not proved.isEmpty():
             done = packed(done.union(proved))
             roots = components(done.where("alike"))
-        keys, banded = _split(hot, nodes, banded), False
+        keys, banded = _split(hot, marked(nodes, roots), banded), False
 
 
 def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -465,4 +495,4 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, own, component_id) for every row: own is the text's digest; component_id the smallest doc_id reachable over pairs with a similarity of 0.8 at least."""
     rows, texts = rows_of(docs, id_col, text_col, width, True)
     nodes = nodes_of(rows, texts, width, True, often, many)
-    return named(rows, linked(list_keys(nodes), nodes, many, walked(nodes))).drop("n")
+    return named(rows, linked(nodes, many, first=walked(nodes))).drop("n")
