@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from inspectra.llm.jaccard import boundary, op12_jaccard, similar
-from inspectra.llm import jaccard, near
+from inspectra.llm import near
 from inspectra.llm.common import packed
 from inspectra.llm.components import components
 from inspectra.llm.near import COMMON, _counted, near_components, nodes_of, parity, rows_of, walked
@@ -208,30 +208,9 @@ def test_small_tables_are_packed(spark):
     assert plan.count("Exchange") == 1  # the repartition alone
 
 
-def template_groups(copies, seed=5):
-    """Groups of near copies with one to three of 120 words changed, and other texts that share a passage with each group."""
-    rng = random.Random(seed)
-    out = []
-    for g in range(3):
-        base = [f"g{g}w{i}" for i in range(120)]
-        for c in range(copies):
-            t = list(base)
-            for _ in range(1 + c % 3):
-                t[rng.randrange(120)] = f"x{g}.{c}.{rng.randrange(99)}"
-            out.append(" ".join(t))
-        out += [" ".join([f"y{g}.{k}.{i}" for i in range(90)] + base[:20]) for k in range(3)]
-    return out
-
-
-def test_dense_groups_stay_heavy_and_are_not_dealt_again(spark, monkeypatch):
-    """What is dealt does not follow the entries of dense groups: once they are one component, only keys with others are dealt, and their lists count no more against heavy sets."""
-    dealt, bounds = [], []
-    met, bound = near._met, jaccard.boundary
-    monkeypatch.setattr(near, "_met", lambda keys, many: dealt.append(met(keys, many)) or dealt[-1])
-    monkeypatch.setattr(jaccard, "boundary", lambda *given: bounds.append(bound(*given)) or bounds[-1])
-    texts = template_groups(40)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in similar(df).collect()}
-    assert [got[i] for i in range(len(texts))] == roots(texts)
-    entries = sum(len(plain(t)) - -(-4 * len(plain(t)) // 5) + 1 for t in texts)
-    assert bounds == [0] and sum(d.count() for d in dealt) < entries / 2
+def test_keys_of_one_component_are_not_dealt(spark):
+    """Nodes 0 to 4 are one component: they meet under key 2 alone, where node 9 stands too, and no list of theirs alone counts as to be scanned."""
+    rows = [(i, 10, 8, 0, list(range(10)), 0) for i in range(5)] + [(9, 10, 8, 0, list(range(2, 12)), 9)]
+    nodes = spark.createDataFrame(rows, "node long, size int, need int, lone int, shared array<long>, label long")
+    assert sorted((r.key, r.node) for r in near._met(near.list_keys(nodes), 2000).collect()) == [(2, n) for n in (0, 1, 2, 3, 4, 9)]
+    assert [round(r.scan, 6) for r in near.entries(nodes, 2000).collect()] == [round(1 + (6 - 26 / 6) / near.SCANNED, 6)] * 6
