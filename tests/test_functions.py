@@ -68,6 +68,14 @@ def test_national_ids(spark):
     assert all(r.masked.startswith("XXXXXXXX") for r in national_ids(df, "id", "t").collect())
 
 
+def test_national_ids_are_words_of_their_own(spark):
+    """The first was found inside a secret; white space of any kind parts a number, and no first digit is left out."""
+    texts = ["86a31e945411267126c0174875cf8d131", "é945411267126", "_945411267126_", "1945411267126", "9454\t1126-7126.", "(945411267126)", "9454\n11267126", "945411267127"]
+    zero = next(x for x in ("0000 0000 000" + str(d) for d in range(10)) if one(spark, verhoeff_ok(F.lit(x.replace(" ", ""))))[0])
+    df = spark.createDataFrame(list(enumerate([*texts, zero])), "id long, t string")
+    assert sorted((r.id, r.masked) for r in national_ids(df, "id", "t").collect()) == [(4, "XXXXXXXX7126"), (5, "XXXXXXXX7126"), (6, "XXXXXXXX7126"), (8, "XXXXXXXX" + zero[-4:])]
+
+
 def test_upsert_is_idempotent(spark):
     now = spark.createDataFrame([("a", "violation", "HIGH", 3), ("b", "pass", "HIGH", None), ("c", "unassessed", "LOW", None), ("d", "violation", "LOW", 1)], "dedupe_key string, state string, severity string, affected long")
     old = spark.createDataFrame([("b", "OPEN", "HIGH", 2), ("c", "OPEN", "LOW", 2), ("d", "DISPUTED", "LOW", 9), ("e", "WAIVED", "LOW", 1)], "dedupe_key string, status string, severity string, affected long")
