@@ -30,12 +30,13 @@ def plain(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def page_lines(words: DataFrame, reach: float = REACH, by: list[str] = PAGE) -> DataFrame:
-    """Words (by, token, text, box) with `at`, their place in reading order, and `line`: a word joins the first line whose first word's centre is within reach, else it begins one.
+def lined_pages(words: DataFrame, reach: float = REACH, by: list[str] = PAGE) -> DataFrame:
+    """A row a page (by, w): its words in reading order, each with its `line`: a word joins the first line whose first word's centre is within reach, else it begins one.
 
     An ordered fold over the page's words in the JVM, with the lines' centres as its state."""
     fields = [x for x in words.columns if x not in by]
-    pages = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("box_top", "box_left", "token", *(x for x in fields if x not in ("box_top", "box_left", "token"))))).alias("w"))
+    # Words are dealt by page before they are gathered: no two words of a page meet earlier, so a partial aggregate would only make them larger.
+    pages = words.repartition(*by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("box_top", "box_left", "token", *(x for x in fields if x not in ("box_top", "box_left", "token"))))).alias("w"))
     start = F.struct(F.array().cast("array<double>").alias("centres"), F.array().cast("array<int>").alias("lines"))
 
     def step(state: Column, word: Column) -> Column:
@@ -45,8 +46,34 @@ def page_lines(words: DataFrame, reach: float = REACH, by: list[str] = PAGE) ->
         return F.struct(centres.alias("centres"), F.concat(state["lines"], F.array(F.when(near > 0, near - 1).otherwise(F.size(state["centres"])))).alias("lines"))
 
     lined = pages.select(*by, "w", F.aggregate("w", start, step, lambda s: s["lines"]).alias("lines"))
-    each = lined.select(*by, F.posexplode(F.arrays_zip("w", "lines")).alias("at", "x"))
-    return each.select(*by, *(c(f"x.w.{x}").alias(x) for x in fields), "at", c("x.lines").alias("line"))
+    return lined.select(*by, F.zip_with("w", "lines", lambda w, line: F.struct(line.alias("line"), *(w[x].alias(x) for x in fields))).alias("w"))
+
+
+def page_lines(words: DataFrame, reach: float = REACH, by: list[str] = PAGE) -> DataFrame:
+    """Words (by, token, text, box) with `at`, their place in reading order, and `line`."""
+    fields = [x for x in words.columns if x not in by]
+    each = lined_pages(words, reach, by).select(*by, F.posexplode("w").alias("at", "x"))
+    return each.select(*by, *(c(f"x.{x}").alias(x) for x in fields), "at", c("x.line").alias("line"))
+
+
+def gathered(lines: DataFrame) -> DataFrame:
+    """The pages of lined words: `lined_pages` of what `page_lines` gave."""
+    word = F.struct("line", "text", *BOX)
+    pages = lines.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("at", word.alias("x")))).alias("w"))
+    return pages.select(*PAGE, F.transform("w", lambda w: w["x"]).alias("w"))
+
+
+def _met(claims: DataFrame, pages: DataFrame) -> DataFrame:
+    """A row a page that claims are made for: its claims as an array `claims`, and its words `w`, null if it has none. Both sides lie by page, so each is shuffled once."""
+    fields = [x for x in claims.columns if x not in PAGE]
+    return claims.repartition(*PAGE).groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("claims")).join(pages.select(*PAGE, "w"), PAGE, "left")
+
+
+def _runs(words: Column) -> Column:
+    """The lines of a page: arrays of words, those of one line lying together."""
+    same = lambda i: F.get(words, i)["line"].eqNullSafe(F.get(words, i - 1)["line"])
+    first = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | ~same(i))
+    return F.transform(first, lambda i, k: F.slice(words, i + 1, F.coalesce(F.get(first, k + 1), F.size(words)) - i))
 
 
 def _around(words: Column) -> Column:
@@ -57,54 +84,57 @@ def _around(words: Column) -> Column:
     return F.struct(F.bround(left, 5).alias("box_left"), F.bround(top, 5).alias("box_top"), F.bround(F.greatest(F.lit(0.0), right - left), 5).alias("width"), F.bround(F.greatest(F.lit(0.0), bottom - top), 5).alias("height"))
 
 
-def number_places(lines: DataFrame, most: int = JOINED) -> DataFrame:
-    """V1, V2: (page, line, start, span, text, number, digits, box): each word that holds a digit, and each row of up to `most` neighbouring words of a line, joined."""
-    line = Window.partitionBy(*PAGE, "line").orderBy("at")
-    word = F.struct("text", *BOX)
-    rows = lines.select(*PAGE, "at", "line", F.row_number().over(line).alias("start"), F.array(word, *(F.lead(word, i).over(line) for i in range(1, most))).alias("run"))
-    spans = F.transform(F.sequence(F.lit(1), F.size(F.array_compact("run"))), lambda k: F.struct(k.alias("span"), F.slice(c("run"), F.lit(1), k).alias("words")))
-    rows = rows.select(*PAGE, "at", "line", "start", F.inline(spans)).withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), ""))
-    rows = rows.where(c("text").rlike("[0-9]"))
-    return rows.select(*PAGE, "at", "line", "start", "span", "text", money("text").alias("number"), n.digits_only("text").alias("digits"), _around(c("words")).alias("box"))
-
-
-def trace_numbers(claims: DataFrame, lines: DataFrame) -> DataFrame:
+def trace_numbers(claims: DataFrame, lines: DataFrame, most: int = JOINED) -> DataFrame:
     """V1, V2: (page, claim_id, verdict, how, text, box) of number claims (page, claim_id, value).
 
-    A single word of that number comes first, by reading order (`word`); else neighbouring words of a line whose joined text is that number (`joined`) or has its digits, a
+    A single word of that number comes first, by reading order (`word`); else up to `most` neighbouring words of a line whose joined text is that number (`joined`) or has its digits, a
     decimal point being lost (`digits`), by line, start and length. A null claim agrees; one that is no number is unsupported; a page without words cannot be checked."""
-    wanted = claims.select(*PAGE, "claim_id", "value", F.when(c("value").rlike("[0-9]"), money("value")).alias("number"), n.digits_only("value").alias("digits"))
-    places = stored(number_places(lines))
-    hit = F.struct("text", "box")
-    # One row for each number, and each sequence of digits, of a page before it meets the claims.
-    first = lambda rows, key, order, name: rows.groupBy(*PAGE, key).agg(F.min(F.struct(*order)).alias(f"{name}_at"), F.min_by(hit, F.struct(*order)).alias(name))
-    joined = places.where("span > 1")
-    order = ["line", "start", "span"]
-    rows = wanted.join(first(places.where("span = 1"), "number", ["at"], "word"), [*PAGE, "number"], "left")
-    rows = rows.join(first(joined, "number", order, "joined"), [*PAGE, "number"], "left").join(first(joined.where("digits <> ''"), "digits", order, "digital"), [*PAGE, "digits"], "left")
-    rows = rows.join(lines.select(*PAGE).distinct().withColumn("read", F.lit(True)), PAGE, "left")
+    return numbers_on_pages(claims, gathered(lines), most)
+
+
+def numbers_on_pages(claims: DataFrame, pages: DataFrame, most: int = JOINED) -> DataFrame:
+    """`trace_numbers` over lined pages: words and their runs are looked at once a page, and claims are looked up in the arrays of their numbers and digits."""
+    # Signs are taken out of each word by itself: what is left of joined words is what is left of each, joined. Numbers are compared as the text of their decimal; what is none throws as it is read, so its shape is looked at first.
+    number = lambda x: F.when(x.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), x.try_cast("decimal(30,10)").cast("string"))
+    word = lambda w, i: F.struct(w["line"].alias("line"), i.alias("at"), F.regexp_replace(w["text"], r"[^0-9.\-]", "").alias("money"), n.digits_only(w["text"]).alias("digits"), w["text"].alias("text"), *(w[x].alias(x) for x in BOX))
+    rows = _met(claims, pages).withColumn("s", F.sort_array(F.transform("w", word))).select(*PAGE, "claims", "s")
+    # Of each word the runs that begin with it, by length; null where the line ends before.
+    of = lambda i, k, f: F.concat_ws("", *(F.get(c("s"), i + x)[f] for x in range(k)))
+    run = lambda i, k: F.when(F.get(c("s"), i + k - 1)["line"] == F.get(c("s"), i)["line"], F.struct(number(of(i, k, "money")).alias("number"), of(i, k, "digits").alias("digits")))
+    rows = rows.withColumn("runs", F.flatten(F.transform("s", lambda w, i: F.array(*(run(i, k) for k in range(2, most + 1))))))
+    single = F.sort_array(F.transform("s", lambda w, i: F.struct(w["at"].alias("at"), number(w["money"]).alias("number"), i.alias("i"))))
+    rows = rows.withColumn("single", single).select(*PAGE, "claims", "s", F.transform("single", lambda w: w["number"]).alias("single"), F.transform("single", lambda w: w["i"]).alias("spot"), F.transform("runs", lambda x: x["number"]).alias("numbers"), F.transform("runs", lambda x: x["digits"]).alias("digits"))
+    each = rows.select(*PAGE, "s", "single", "spot", "numbers", "digits", F.explode("claims").alias("x"))
+    wanted = F.when(c("x.value").rlike("[0-9]"), money("x.value").cast("string"))
+    each = each.select(*PAGE, "s", "single", "spot", "numbers", "digits", "x.claim_id", "x.value", wanted.alias("_number"), F.nullif(n.digits_only("x.value"), F.lit("")).alias("_digits"))
+    place = lambda array, x: F.nullif(F.array_position(array, c(x)), F.lit(0)).cast("int")
+    each = each.select(*PAGE, "s", "spot", "claim_id", "value", "_number", place("single", "_number").alias("word"), place("numbers", "_number").alias("joined"), F.when(c("_number").isNotNull(), place("digits", "_digits")).alias("digital"))
     # Of the same words, the number counts before its digits.
-    by_number = c("joined").isNotNull() & (c("digital_at").isNull() | (c("joined_at") <= c("digital_at")))
-    sought = c("number").isNotNull()
-    how = F.when(~sought, None).when(c("word").isNotNull(), "word").when(by_number, "joined").when(c("digital").isNotNull(), "digits")
-    found = F.when(how == "word", c("word")).when(how == "joined", c("joined")).when(how == "digits", c("digital"))
-    verdict = F.when(c("value").isNull(), "AGREED").when(~sought, "UNSUPPORTED").when(c("read").isNull(), "MODEL_ONLY").when(how.isNotNull(), "AGREED").otherwise("UNSUPPORTED")
-    return rows.select(*PAGE, "claim_id", verdict.alias("verdict"), how.alias("how"), found["text"].alias("text"), found["box"].alias("box"))
+    how = F.when(c("word").isNotNull(), "word").when(c("joined").isNotNull() & (c("digital").isNull() | (c("joined") <= c("digital"))), "joined").when(c("digital").isNotNull(), "digits")
+    first = F.when(c("how") == "joined", c("joined")).otherwise(c("digital")) - 1
+    used = F.when(c("how") == "word", F.slice("s", F.get("spot", c("word") - 1) + 1, F.lit(1))).when(c("how").isNotNull(), F.slice("s", F.floor(first / (most - 1)).cast("int") + 1, first % (most - 1) + 2))
+    verdict = F.when(c("value").isNull(), "AGREED").when(c("_number").isNull(), "UNSUPPORTED").when(c("s").isNull(), "MODEL_ONLY").when(c("how").isNotNull(), "AGREED").otherwise("UNSUPPORTED")
+    each = each.withColumn("how", how).select(*PAGE, "claim_id", verdict.alias("verdict"), "how", used.alias("used"))
+    return each.select(*PAGE, "claim_id", "verdict", "how", F.when(c("used").isNotNull(), F.array_join(F.transform("used", lambda w: w["text"]), "")).alias("text"), F.when(c("used").isNotNull(), _around(c("used"))).alias("box"))
 
 
 def trace_texts(claims: DataFrame, lines: DataFrame, letters: int = LETTERS) -> DataFrame:
     """V3: (page, claim_id, verdict, how, text, box) of text claims: the first line of the page that holds the claim's letters and digits, or its first `letters`. The box is that
     of the line's words that the claim holds, or of the line without any."""
-    word = F.struct("at", "text", *BOX)
-    rows = lines.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(word)).alias("words")).withColumn("said", plain(F.array_join(F.transform("words", lambda w: w["text"]), "")))
-    wanted = claims.withColumns({"_v": plain(F.coalesce("value", F.lit(""))), "_n": F.monotonically_increasing_id()})
-    held = (c("said") != "") & (c("_v") != "") & (F.contains("said", "_v") | ((F.length("_v") >= letters) & F.contains("said", F.substring("_v", 1, letters))))
-    # A claim meets the lines of its own page only. Lines, this join and its aggregate all lie by page, so that words and claims are shuffled once.
-    met = wanted.join(rows, PAGE, "left").groupBy(*PAGE, "claim_id", "value", "_v", "_n")
-    near = met.agg(F.min_by(F.when(held, c("words")), F.when(held, c("line"))).alias("words"), F.max(c("line").isNotNull()).alias("read"))
-    own = F.filter("words", lambda w: (plain(w["text"]) != "") & F.contains(c("_v"), plain(w["text"])))
-    used = F.when(F.size(own) > 0, own).otherwise(c("words"))
-    out = near.select(*PAGE, "claim_id", "value", "_v", "read", F.when(c("words").isNotNull(), used).alias("used"))
+    return texts_on_pages(claims, gathered(lines), letters)
+
+
+def texts_on_pages(claims: DataFrame, pages: DataFrame, letters: int = LETTERS) -> DataFrame:
+    """`trace_texts` over lined pages: a line's letters are read once a page, and a claim meets the lines of its own page only."""
+    word = lambda w: F.struct(w["line"].alias("line"), w["at"].alias("at"), plain(w["x"]["text"]).alias("key"), w["x"]["text"].alias("text"), *(w["x"][x].alias(x) for x in BOX))
+    rows = _met(claims, pages).withColumn("w", F.transform(F.sort_array(F.transform("w", lambda w, i: F.struct(w["line"].alias("line"), i.alias("at"), w.alias("x")))), word))
+    rows = rows.withColumn("lines", _runs(c("w"))).select(*PAGE, "claims", "lines", F.transform("lines", lambda x: F.array_join(F.transform(x, lambda w: w["key"]), "")).alias("said"))
+    each = rows.select(*PAGE, "lines", "said", F.explode("claims").alias("x")).select(*PAGE, "lines", "said", "x.claim_id", "x.value").withColumn("_v", plain(F.coalesce("value", F.lit(""))))
+    held = lambda said: (said != "") & (c("_v") != "") & (F.contains(said, c("_v")) | ((F.length("_v") >= letters) & F.contains(said, F.substring("_v", 1, letters))))
+    each = each.withColumn("line", F.array_position(F.transform("said", held), True).cast("int"))
+    each = each.select(*PAGE, "claim_id", "value", "_v", c("said").isNotNull().alias("read"), F.when(c("line") > 0, F.get("lines", c("line") - 1)).alias("words"))
+    own = F.filter("words", lambda w: (w["key"] != "") & F.contains(c("_v"), w["key"]))
+    out = each.withColumn("own", own).select(*PAGE, "claim_id", "value", "_v", "read", F.when(F.size("own") > 0, c("own")).otherwise(c("words")).alias("used"))
     out = out.select("*", F.array_join(F.transform("used", lambda w: w["text"]), " ").alias("text"), F.when(c("used").isNotNull(), _around(c("used"))).alias("box"))
     blank = F.trim(F.coalesce("value", F.lit(""))) == ""
     verdict = F.when(blank, "AGREED").when(~c("read"), "MODEL_ONLY").when((c("_v") == "") | c("box").isNotNull(), "AGREED").otherwise("UNSUPPORTED")
@@ -185,7 +215,7 @@ def _v16(spark: SparkSession, sf_dir: str) -> DataFrame:
  how, text, {_EDGES} FROM cl LEFT JOIN hit USING (document_id, page, claim_id)""")
 def _v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = _printed(spark, sf_dir)
-    found = trace_numbers(frame(spark, sf_dir, "x_number_claim", printed), stored(page_lines(frame(spark, sf_dir, "x_word", printed))))
+    found = numbers_on_pages(frame(spark, sf_dir, "x_number_claim", printed), lined_pages(frame(spark, sf_dir, "x_word", printed)))
     return found.select(*PAGE, "claim_id", "verdict", "how", "text", "box.*")
 
 
@@ -196,7 +226,7 @@ def _v1(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN ws IS NOT NULL THEN 'line' END AS how, CASE WHEN ws IS NOT NULL THEN array_to_string(list_transform(ws, lambda w: w.text), ' ') END AS text, {_EDGES} FROM cl LEFT JOIN used USING (document_id, page, claim_id)""")
 def _v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = _printed(spark, sf_dir)
-    found = trace_texts(frame(spark, sf_dir, "x_text_claim", printed), page_lines(frame(spark, sf_dir, "x_word", printed)))
+    found = texts_on_pages(frame(spark, sf_dir, "x_text_claim", printed), lined_pages(frame(spark, sf_dir, "x_word", printed)))
     return found.select(*PAGE, "claim_id", "verdict", "how", "text", "box.*")
 
 

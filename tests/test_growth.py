@@ -71,6 +71,25 @@ def test_words_are_shuffled_once_by_page(spark):
     assert got == [(1, "AGREED", "line", "Ram Lal")] * 2 + [(2, "UNSUPPORTED", None, None), (3, "MODEL_ONLY", None, None), (4, "AGREED", None, None)]
 
 
+def test_numbers_are_looked_up_on_their_page(spark):
+    """Runs of words are neither stored nor shuffled: one exchange of words, one of claims. A word that is no number ends nothing; lines order before places."""
+    kinds = "document_id long, page int, token long, text string, box_left double, box_top double, width double, height double"
+    texts = [(1, "1.2.3", 0.1), (2, "4,", 0.3), (3, "-", 0.5), (4, "500", 0.7), (5, "x", 0.9)]
+    words = [(1, 1, t, x, left, 0.1, 0.1, 0.01) for t, x, left in texts] + [(1, 1, 6, "7", 0.1, 0.5, 0.1, 0.01), (1, 1, 7, "00.5", 0.3, 0.5, 0.1, 0.01), (1, 2, 1, None, 0.1, 0.1, 0.1, 0.01)]
+    values = ["500", "4-500", "4500", "123", "123 4500", "700.50", "7005", "7", "-", None, "-500", "9"]
+    claims = spark.createDataFrame([(1, 1, i, v) for i, v in enumerate(values)] + [(1, 2, 20, "7"), (1, 3, 21, "7"), (1, 1, 0, "500")], "document_id long, page int, claim_id long, value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = pages.page_lines(spark.createDataFrame(words, kinds))
+        found = pages.trace_numbers(claims, lines)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = sorted(((r.claim_id, r.verdict, r.how, r.text) for r in found.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [(0, "AGREED", "word", "500")] * 2 + [(1, "UNSUPPORTED", None, None), (2, "AGREED", "digits", "4,-500"), (3, "UNSUPPORTED", None, None), (4, "AGREED", "digits", "1.2.34,-500"), (5, "AGREED", "joined", "700.5"), (6, "AGREED", "digits", "700.5"), (7, "AGREED", "word", "7"), (8, "UNSUPPORTED", None, None), (9, "AGREED", None, None), (10, "AGREED", "joined", "-500"), (11, "UNSUPPORTED", None, None)]
+    assert got == sorted([*want, (20, "UNSUPPORTED", None, None), (21, "MODEL_ONLY", None, None)], key=str)
+
+
 def test_equal_names_are_paired_once(spark):
     """Three thousand people of one name: nine million pairs before."""
     people = spark.createDataFrame([(1, i, "Ram Lal" if i % 2 else "Sita Devi") for i in range(3000)], "establishment_id long, identity_id long, display_name string")
