@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from inspectra.operators import facts
 from inspectra.plans.materialise import CLEANUP, stored
 
 
@@ -15,3 +16,16 @@ def test_a_stored_table_keeps_no_shuffle_files(spark):
     rows = stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
     assert shuffled(spark) <= before and rows.count() == 7
     assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_rows_are_not_shuffled_for_their_floors(spark):
+    rows = spark.createDataFrame([(1, None), (2, None)], "establishment_id long, period_end date").withColumn("period_end", F.lit("1997-01-31").cast("date"))
+    rates = spark.createDataFrame([("MH", "UNSKILLED", 100, "1996-01-01")], "state_code string, skill_category string, daily_rate_paise long, effective_from string").withColumn("effective_from", F.col("effective_from").cast("date"))
+    places = spark.createDataFrame([(1, "MH"), (2, "GJ")], "establishment_id long, state_code string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = facts.with_floors(rows, rates, places, rows)
+        assert "Exchange hashpartitioning(establishment_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.establishment_id, r.floor_paise) for r in found.collect()} == {(1, 100), (2, None)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
