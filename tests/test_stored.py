@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from inspectra.operators import facts
 from inspectra.plans.materialise import CLEANUP, stored
+from inspectra.plans.catalog import QUERIES
+from tests.test_growth import plan
 
 
 def shuffled(spark):
@@ -29,3 +31,8 @@ def test_rows_are_not_shuffled_for_their_floors(spark):
         assert {(r.establishment_id, r.floor_paise) for r in found.collect()} == {(1, 100), (2, None)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_violations_are_found_before_their_values(spark):
+    """The plan that shows values holds no count of checks."""
+    assert "bit_or" not in plan(QUERIES["e04_observed_values"](spark, "/root/testdata/sf0.001"))
