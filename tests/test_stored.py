@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from inspectra.operators import facts
+from inspectra.operators import anomaly, facts
 from inspectra.plans.materialise import CLEANUP, stored
 from inspectra.plans.catalog import QUERIES
 from tests.test_growth import plan
@@ -36,3 +36,13 @@ def test_rows_are_not_shuffled_for_their_floors(spark):
 def test_violations_are_found_before_their_values(spark):
     """The plan that shows values holds no count of checks."""
     assert "bit_or" not in plan(QUERIES["e04_observed_values"](spark, "/root/testdata/sf0.001"))
+
+
+def test_tests_are_not_shuffled_together(spark):
+    wages = spark.range(40).selectExpr("1L AS establishment_id", "1997 AS period_year", "id AS worker_key", "id AS row_number", "id * 7 + 1 AS gross_paise", "id * 7 + 1 AS net_paid_paise", "CAST(id AS double) AS days_paid", "CAST(id AS double) AS daily_wage_paise", "0.1D AS deduction_share")
+    attendance = spark.range(40).selectExpr("1L AS establishment_id", "1997 AS period_year", "26.0D AS days_present", "0.0D AS days_absent", "CAST(id AS double) AS overtime_hours")
+    epf = spark.range(40).selectExpr("1L AS establishment_id", "1997 AS period_year", "5L AS wage_base_paise", "id + 1 AS register_wages_paise")
+    peers = spark.createDataFrame([(1, 1e9)], "establishment_id long, peer_paise double")
+    found = anomaly.all_tests(wages, attendance, epf, peers, anomaly.YEAR)
+    assert "Aggregate" not in plan(found)
+    assert {"attendance.zero_variance", "epf.uniform_wage_base", "peer.daily_wage_below_median"} <= {r.test for r in found.collect()}
