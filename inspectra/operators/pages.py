@@ -69,13 +69,6 @@ def _met(claims: DataFrame, pages: DataFrame) -> DataFrame:
     return claims.repartition(*PAGE).groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("claims")).join(pages.select(*PAGE, "w"), PAGE, "left")
 
 
-def _runs(words: Column) -> Column:
-    """The lines of a page: arrays of words, those of one line lying together."""
-    same = lambda i: F.get(words, i)["line"].eqNullSafe(F.get(words, i - 1)["line"])
-    first = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | ~same(i))
-    return F.transform(first, lambda i, k: F.slice(words, i + 1, F.coalesce(F.get(first, k + 1), F.size(words)) - i))
-
-
 def _around(words: Column) -> Column:
     """The box around an array of words, to five places."""
     edge = lambda f: F.transform(words, f)
@@ -128,23 +121,32 @@ def texts_on_pages(claims: DataFrame, pages: DataFrame, letters: int = LETTERS)
     """`trace_texts` over lined pages: a line's letters are read once a page, and a claim meets the lines of its own page only."""
     word = lambda w: F.struct(w["line"].alias("line"), w["at"].alias("at"), plain(w["x"]["text"]).alias("key"), w["x"]["text"].alias("text"), *(w["x"][x].alias(x) for x in BOX))
     rows = _met(claims, pages).withColumn("w", F.transform(F.sort_array(F.transform("w", lambda w, i: F.struct(w["line"].alias("line"), i.alias("at"), w.alias("x")))), word))
-    rows = rows.withColumn("lines", _runs(c("w"))).select(*PAGE, "claims", "lines", F.transform("lines", lambda x: F.array_join(F.transform(x, lambda w: w["key"]), "")).alias("said"))
+    # Where lines begin is a column of its own: inside the second function it would be looked for again for each line.
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i)["line"] != F.get("w", i - 1)["line"]))
+    rows = rows.withColumn("first", begins).withColumn("lines", F.transform("first", lambda i, k: F.slice("w", i + 1, F.coalesce(F.get("first", k + 1), F.size("w")) - i)))
+    rows = rows.select(*PAGE, "claims", "lines", F.transform("lines", lambda x: F.array_join(F.transform(x, lambda w: w["key"]), "")).alias("said"))
     each = rows.select(*PAGE, "lines", "said", F.explode("claims").alias("x")).select(*PAGE, "lines", "said", "x.claim_id", "x.value").withColumn("_v", plain(F.coalesce("value", F.lit(""))))
     held = lambda said: (said != "") & (c("_v") != "") & (F.contains(said, c("_v")) | ((F.length("_v") >= letters) & F.contains(said, F.substring("_v", 1, letters))))
     each = each.withColumn("line", F.array_position(F.transform("said", held), True).cast("int"))
-    each = each.select(*PAGE, "claim_id", "value", "_v", c("said").isNotNull().alias("read"), F.when(c("line") > 0, F.get("lines", c("line") - 1)).alias("words"))
+    # A verdict asks for the line only, so that who needs no box (V14) has none made.
+    each = each.select(*PAGE, "claim_id", "value", "_v", c("said").isNotNull().alias("read"), F.coalesce(c("line") > 0, F.lit(False)).alias("found"), F.when(c("line") > 0, F.get("lines", c("line") - 1)).alias("words"))
     own = F.filter("words", lambda w: (w["key"] != "") & F.contains(c("_v"), w["key"]))
-    out = each.withColumn("own", own).select(*PAGE, "claim_id", "value", "_v", "read", F.when(F.size("own") > 0, c("own")).otherwise(c("words")).alias("used"))
+    out = each.withColumn("own", own).select(*PAGE, "claim_id", "value", "_v", "read", "found", F.when(F.size("own") > 0, c("own")).otherwise(c("words")).alias("used"))
     out = out.select("*", F.array_join(F.transform("used", lambda w: w["text"]), " ").alias("text"), F.when(c("used").isNotNull(), _around(c("used"))).alias("box"))
     blank = F.trim(F.coalesce("value", F.lit(""))) == ""
-    verdict = F.when(blank, "AGREED").when(~c("read"), "MODEL_ONLY").when((c("_v") == "") | c("box").isNotNull(), "AGREED").otherwise("UNSUPPORTED")
-    return out.select(*PAGE, "claim_id", verdict.alias("verdict"), F.when(c("box").isNotNull(), "line").alias("how"), "text", "box")
+    verdict = F.when(blank, "AGREED").when(~c("read"), "MODEL_ONLY").when((c("_v") == "") | c("found"), "AGREED").otherwise("UNSUPPORTED")
+    return out.select(*PAGE, "claim_id", verdict.alias("verdict"), F.when(c("found"), "line").alias("how"), "text", "box")
 
 
 def unsupported_quotes(answers: DataFrame, lines: DataFrame) -> DataFrame:
     """(page, claim_id, reason) of present answers (page, claim_id, present, quote) without a quotation, or whose quotation's first 60 characters no line of its page holds."""
+    return quotes_on_pages(answers, gathered(lines))
+
+
+def quotes_on_pages(answers: DataFrame, pages: DataFrame) -> DataFrame:
+    """`unsupported_quotes` over lined pages."""
     rows = answers.where("present").withColumn("blank", F.trim(F.coalesce("quote", F.lit(""))) == "")
-    seen = trace_texts(rows.where("not blank").select(*PAGE, "claim_id", F.substring("quote", 1, 60).alias("value")), lines).where("verdict = 'UNSUPPORTED'")
+    seen = texts_on_pages(rows.where("not blank").select(*PAGE, "claim_id", F.substring("quote", 1, 60).alias("value")), pages).where("verdict = 'UNSUPPORTED'")
     return rows.where("blank").select(*PAGE, "claim_id", F.lit("no_quote").alias("reason")).union(seen.select(*PAGE, "claim_id", F.lit("quote_not_found").alias("reason")))
 
 
@@ -236,4 +238,4 @@ def _v3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = _printed(spark, sf_dir)
     answers = frame(spark, sf_dir, "x_text_claim", printed).select(*PAGE, "claim_id", (c("claim_id") % 7 != 0).alias("present"), c("value").alias("quote"))
-    return unsupported_quotes(answers, page_lines(frame(spark, sf_dir, "x_word", printed)))
+    return quotes_on_pages(answers, lined_pages(frame(spark, sf_dir, "x_word", printed)))

@@ -90,6 +90,16 @@ def test_numbers_are_looked_up_on_their_page(spark):
     assert got == sorted([*want, (20, "UNSUPPORTED", None, None), (21, "MODEL_ONLY", None, None)], key=str)
 
 
+def test_quotes_need_no_boxes(spark):
+    """V14 asks whether a line holds a quotation: no box is made for it, and lines are not gathered again."""
+    kinds = "document_id long, page int, token long, text string, box_left double, box_top double, width double, height double"
+    words = spark.createDataFrame([(1, 1, 1, "Ram", 0.1, 0.1, 0.1, 0.01), (1, 1, 2, "Lal", 0.3, 0.1, 0.1, 0.01)], kinds)
+    answers = spark.createDataFrame([(1, 1, 1, True, "ram lal"), (1, 1, 2, True, "sita"), (1, 1, 3, True, " "), (1, 2, 4, True, "ram"), (1, 1, 5, False, "sita")], "document_id long, page int, claim_id long, present boolean, quote string")
+    found = pages.quotes_on_pages(answers, pages.lined_pages(words))
+    assert "bround" not in plan(found) and plan(found).count("posexplode") == 0
+    assert {(r.claim_id, r.reason) for r in found.collect()} == {(2, "quote_not_found"), (3, "no_quote")}
+
+
 def test_equal_names_are_paired_once(spark):
     """Three thousand people of one name: nine million pairs before."""
     people = spark.createDataFrame([(1, i, "Ram Lal" if i % 2 else "Sita Devi") for i in range(3000)], "establishment_id long, identity_id long, display_name string")
